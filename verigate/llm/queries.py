@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from verigate.llm import sstable
+from verigate.llm import packing, sstable
 
 QUERIES = {
     "op1_sstable": sstable.query,
+    "op10_packing": packing.query,
 }
 ORACLE: dict[str, str] = {}
