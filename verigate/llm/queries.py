@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from verigate.llm import packing, sstable
+from verigate.llm import linededup, packing, sstable
 
 QUERIES = {
     "op1_sstable": sstable.query,
+    "op5_linededup": linededup.query,
     "op10_packing": packing.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_linededup": linededup.ORACLE,
+}
