@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from verigate.llm import linededup, packing, sstable
+from verigate.llm import linededup, minhash, packing, sstable
 
 QUERIES = {
     "op1_sstable": sstable.query,
     "op5_linededup": linededup.query,
+    "op8_minhash": minhash.query,
     "op10_packing": packing.query,
 }
 ORACLE = {
     "op5_linededup": linededup.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
