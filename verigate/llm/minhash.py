@@ -4,8 +4,10 @@ One hash of each shingle picks a bin and a value; a bin keeps its smallest value
 of a bin that a fixed pseudo-random sequence finds first among the filled ones (optimal densification). Bands
 of bins are bucket keys. Within a bucket the edges form a star around one centre, so a bucket of m sets gives
 m - 1 pairs; the centre is the set whose buckets are largest, which for a group of edited copies is their
-common source. Pairs are compared by one byte of each bin first, then confirmed on the full sets. Sets that no
-centre reached get another star among themselves, as long as the last round found links. Components of the
+common source. Pairs are compared by one byte of each bin first, then confirmed on the full sets. While a round
+finds links, every bucket that still holds several components gets two more stars, around the member with the
+most links so far and around one drawn by a hash, towards the members of other components. Bucket keys are one,
+two or three neighbouring bands: the wider ones part dissimilar sets that share a narrow one. Components of the
 links are the groups.
 
 Equal sets are one node, so exact copies never become pairs. Sets of up to ``SMALL`` shingles have too few
@@ -194,7 +196,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
 
     Two sets are linked where 100 * intersection >= percent * union.
     """
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     band = 5 if percent >= 85 else 4
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = staged(profiles(rows, percent, band, words), "profiles")
@@ -208,22 +211,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     involved = staged(held.join(busy, "node").select("node", "n", "sketch", "doc_id").join(labels, "node").where("doc_id = label").dropDuplicates(["node"]).select("node", "n", "sketch", "label"), "involved")
     texts = rows.join(involved.select(F.col("label").alias("doc_id"), "node").hint("shuffle_hash"), "doc_id").select("doc_id", "node", "text")
     sets = staged(full_sets(texts.select("text", "node"), words), "sets").dropDuplicates(["node"])
-    left = staged(members.join(busy, "node").select("key", "node", "rank"), "left")
-    links: DataFrame | None = None
-    while True:
-        centres = staged(left.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("c.node").alias("centre")), "centres")
-        pairs = left.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        found = staged(_confirmed(staged(_likely(staged(pairs, "pairs"), involved, percent), "likely"), sets, percent), "links")
-        links = found if links is None else links.union(found)
-        joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    keyed = staged(nodes.select("node", "keys").join(busy, "node"), "keyed")
+
+    def bucketed(width: int) -> DataFrame:
+        # a key is as many neighbouring keys of a set as the width says: wider ones part the dissimilar sets of a large bucket
+        wide = F.transform("keys", lambda _, i: F.xxhash64(F.lit(width), *[F.get("keys", (i + j) % F.size("keys")) for j in range(width)]))
+        return keyed.select("node", "rank", F.explode(F.array_distinct(wide)).alias("key"))
+
+    links = spark.createDataFrame([], "a long, b long")
+    joined = spark.createDataFrame([], "node long, root long")
+    tested, centres_so_far = links, spark.createDataFrame([], "key long, node long")
+    everyone = staged(bucketed(1).union(bucketed(2)).union(bucketed(3)), "everyone")
+    idle = turn = 0
+    while idle < 2:
+        # two centres of a bucket: the member with the most links so far, and one by a hash that changes with the
+        # round; both are compared with the members of other components, until two rounds find no link
+        ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+        degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        now = everyone.join(joined, "node", "left").join(degree, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        mixed = now.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
+        now = staged(now.join(mixed, "key"), "now")
+        free = now.join(centres_so_far, ["key", "node"], "left_anti")
+        drawn = F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root")
+        picks = free.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
+        centres = staged(picks.select("key", F.explode(F.array(F.struct("x.node", "x.root"), F.struct("y.node", "y.root"))).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")).distinct(), "centres")
+        pairs = now.join(centres, "key").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = staged(_confirmed(staged(_likely(pairs, involved, percent), "likely"), sets, percent), "links")
+        turn += 1
+        tested = tested.union(pairs)
+        centres_so_far = centres_so_far.union(centres.select("key", F.col("centre").alias("node")))
+        idle += 1
         if found.isEmpty():
-            break
-        # who is in no centre's component gets a star in the next round, as long as rounds find links
-        root = left.join(joined, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"))
-        centre_root = centres.join(joined, centres["centre"] == joined["node"], "left").select("key", F.coalesce("root", "centre").alias("centre_root"))
-        left = staged(root.join(centre_root, "key").where("root <> centre_root").select("key", "node", "rank"), "left")
-        if left.isEmpty():
-            break
+            continue
+        idle = 0
+        links = links.union(found)
+        joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     least = joined.join(labels, "node").groupBy("root").agg(F.min("label").alias("least"))
     of = labels.join(joined, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "label").alias("component"))
     of = staged(of, "groups")
