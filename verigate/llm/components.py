@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from verigate.llm.common import staged
 
+EDGES_A_TASK = 100_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -22,13 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while True:
+        parts = 1 + mark[0] // EDGES_A_TASK  # a step never has more edges than twice the last one
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "edges")
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        large = staged(large.coalesce(parts), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        now = staged(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().coalesce(parts), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -221,32 +221,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     links = spark.createDataFrame([], "a long, b long")
     joined = spark.createDataFrame([], "node long, root long")
     tested, centres_so_far = links, spark.createDataFrame([], "key long, node long")
-    everyone = staged(bucketed(1).union(bucketed(2)).union(bucketed(3)), "everyone")
-    idle = turn = 0
-    while idle < 2:
-        # two centres of a bucket: the member with the most links so far, and one by a hash that changes with the
-        # round; both are compared with the members of other components, until two rounds find no link
+    everyone = staged(bucketed(1).withColumn("width", F.lit(1)).union(bucketed(2).withColumn("width", F.lit(2))).union(bucketed(3).withColumn("width", F.lit(3))), "everyone")
+    turn, more = 0, True
+    while more:
+        # first one star in every bucket of a single band; then, while a round finds links, stars around the member
+        # with the most links so far, and in buckets of several bands around one drawn by a hash that changes with
+        # the round, both towards the members of other components
         ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        now = everyone.join(joined, "node", "left").join(degree, "node", "left").select("key", "node", "rank", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        now = everyone if turn else everyone.where("width = 1")
+        now = now.join(joined, "node", "left").join(degree, "node", "left").select("key", "width", "node", "rank", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         mixed = now.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
         now = staged(now.join(mixed, "key"), "now")
         free = now.join(centres_so_far, ["key", "node"], "left_anti")
-        drawn = F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root")
+        drawn = F.when(F.col("width") > 1, F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root"))
         picks = free.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
-        centres = staged(picks.select("key", F.explode(F.array(F.struct("x.node", "x.root"), F.struct("y.node", "y.root"))).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")).distinct(), "centres")
+        centres = picks.select("key", F.explode(F.array_compact(F.array(F.struct("x.node", "x.root"), F.when(F.col("y").isNotNull(), F.struct("y.node", "y.root"))))).alias("c"))
+        centres = staged(centres.select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")).distinct(), "centres")
         pairs = now.join(centres, "key").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = staged(_confirmed(staged(_likely(pairs, involved, percent), "likely"), sets, percent), "links")
+        more = not found.isEmpty() or not turn
         turn += 1
         tested = tested.union(pairs)
         centres_so_far = centres_so_far.union(centres.select("key", F.col("centre").alias("node")))
-        idle += 1
-        if found.isEmpty():
-            continue
-        idle = 0
-        links = links.union(found)
-        joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+        if more:
+            links = links.union(found)
+            joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     least = joined.join(labels, "node").groupBy("root").agg(F.min("label").alias("least"))
     of = labels.join(joined, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "label").alias("component"))
     of = staged(of, "groups")
