@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from verigate.llm import bytecnn, linededup, minhash, packing, sstable, suffixes
+from verigate.llm import bytecnn, linededup, lzprint, minhash, packing, sharding, sstable, suffixes
 
 QUERIES = {
     "op1_sstable": sstable.query,
     "op4_suffixes": suffixes.query,
     "op5_linededup": linededup.query,
+    "op6_sharding": sharding.query,
+    "op7_lzprint": lzprint.query,
     "op8_minhash": minhash.query,
     "op9_bytecnn": bytecnn.query,
     "op10_packing": packing.query,
