@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from verigate.llm import bytecnn, linededup, lzprint, minhash, packing, pieces, sharding, sstable, suffixes
+from verigate.llm import bytecnn, images, linededup, lzprint, minhash, packing, pieces, sharding, sstable, suffixes
 
 QUERIES = {
     "op1_sstable": sstable.query,
     "op2_pieces": pieces.query,
+    "op3_images": images.query,
     "op4_suffixes": suffixes.query,
     "op5_linededup": linededup.query,
     "op6_sharding": sharding.query,
