@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
 
     links = spark.createDataFrame([], "a long, b long")
     joined = spark.createDataFrame([], "node long, root long")
-    tested, centres_so_far = links, spark.createDataFrame([], "key long, node long")
+    tested = links
     everyone = staged(bucketed(1).withColumn("width", F.lit(1)).union(bucketed(2).withColumn("width", F.lit(2))).union(bucketed(3).withColumn("width", F.lit(3))), "everyone")
     turn, more = 0, True
     while more:
@@ -233,9 +233,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
         now = now.join(joined, "node", "left").join(degree, "node", "left").select("key", "width", "node", "rank", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         mixed = now.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
         now = staged(now.join(mixed, "key"), "now")
-        free = now.join(centres_so_far, ["key", "node"], "left_anti")
         drawn = F.when(F.col("width") > 1, F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root"))
-        picks = free.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
+        picks = now.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
         centres = picks.select("key", F.explode(F.array_compact(F.array(F.struct("x.node", "x.root"), F.when(F.col("y").isNotNull(), F.struct("y.node", "y.root"))))).alias("c"))
         centres = staged(centres.select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")).distinct(), "centres")
         pairs = now.join(centres, "key").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -244,7 +243,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
         more = not found.isEmpty() or not turn
         turn += 1
         tested = tested.union(pairs)
-        centres_so_far = centres_so_far.union(centres.select("key", F.col("centre").alias("node")))
         if more:
             links = links.union(found)
             joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")

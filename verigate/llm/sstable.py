@@ -36,7 +36,7 @@ from verigate.llm.tokens import encoder
 MAGIC, VERSION = b"VGSST\x00\x00\x01", 1
 #: Raw bytes after which a block ends; entries between restart points; Bloom bits for each key and hashes.
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 128 << 10, 16, 10, 7
-_FOOTER = struct.Struct("<8sIIQQQQQQI")
+_FOOTER = struct.Struct("<8sIIQQQQQQIB8s")
 _ENTRY = struct.Struct("<QIIIQ")
 _END = b"\n"
 
@@ -129,7 +129,7 @@ def shard_parts(entries: Iterator[tuple[bytes, bytes]], id_width: int) -> Iterat
             bloom[b >> 3] |= 1 << (b & 7)
     bloom_at = index_at + len(body) + len(_END)
     yield bytes(bloom)
-    head = _FOOTER.pack(MAGIC, VERSION, id_width, docs, tokens, index_at, len(body), bloom_at, len(bloom), bits)
+    head = _FOOTER.pack(MAGIC, VERSION, id_width, docs, tokens, index_at, len(body), bloom_at, len(bloom), bits, len(keys[0]), keys[0])
     yield head + struct.pack("<I", zlib.crc32(head))
 
 
@@ -142,7 +142,8 @@ class Shard:
         if len(foot) != size or struct.unpack("<I", foot[-4:])[0] != zlib.crc32(foot[:-4]) or foot[:8] != MAGIC:
             raise ValueError("not a shard, or damaged")
         self.data = data
-        _, _, self.id_width, self.n_docs, self.n_tokens, at, length, bloom_at, bloom_len, self.bits = _FOOTER.unpack(foot[:-4])
+        _, _, self.id_width, self.n_docs, self.n_tokens, at, length, bloom_at, bloom_len, self.bits, n, first = _FOOTER.unpack(foot[:-4])
+        self.first_key = first[:n]
         self.bloom = data[bloom_at : bloom_at + bloom_len]
         self.last_keys, self.blocks = [], []
         end = at + length
@@ -198,6 +199,11 @@ class Shard:
         return found
 
 
+def _key_and_total(foot: bytes) -> tuple[bytes, int]:
+    fields = _FOOTER.unpack(foot)
+    return fields[-1][: fields[-2]], fields[4]
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes every whole text and writes the shards. One exchange, by ranges of the identifier."""
     short_batches(docs.sparkSession)
@@ -236,10 +242,9 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.column(0)[i].as_py())
-                first, at, rows, size = None, 0, [], 0
+                at, rows, size = 0, [], 0
                 for key, ids in shard.documents():
-                    first = key if first is None else first
-                    rows.append((first, id_of(key), at, len(ids) // 4, ids))
+                    rows.append((shard.first_key, id_of(key), at, len(ids) // 4, ids))
                     at, size = at + len(ids) // 4, size + len(ids)
                     if size > 4 << 20:
                         yield _batch(rows)
@@ -249,10 +254,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                shard = Shard(b.column(0)[i].as_py())
-                first = next(shard.documents())[0]
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary()), pa.array([shard.n_tokens], pa.int64())], ["first_key", "total"])
+            feet = [_key_and_total(f) for f in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in feet], pa.binary()), pa.array([f[1] for f in feet], pa.int64())], ["first_key", "total"])
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -260,7 +263,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     files = _shard_files(spark, folder)
     before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
-    shift = files.mapInArrow(totals, "first_key binary, total long").select("first_key", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
+    foot = files.select(F.substring("content", F.octet_length("content") - (_FOOTER.size + 4 + len(_END)) + 1, F.lit(_FOOTER.size)).alias("foot"))
+    shift = foot.mapInArrow(totals, "first_key binary, total long").select("first_key", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
     rows = files.mapInArrow(decoded, "shard binary, doc_id long, at long, n_tokens long, ids binary")
     return rows.join(shift, rows["shard"] == shift["first_key"]).select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "n_tokens", "ids")
 

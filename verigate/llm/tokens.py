@@ -5,9 +5,18 @@ from __future__ import annotations
 import array
 import json
 import os
+import re
 
-#: Pretokens remembered in one worker (about 200 bytes each), and the longest one remembered.
-MEMO, LONGEST = 500_000, 48
+import numpy as np
+
+#: Pretokens remembered in one worker (about 200 bytes each), the longest one remembered, and how many go as one text.
+MEMO, LONGEST, RUN = 700_000, 48, 200
+
+#: The byte-level pattern, and the same in the standard library's classes. These agree but for characters of ``_RARE``:
+#: number signs that aren't digits, odd white space, and what stands outside of Latin letters and common punctuation.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_COMMON = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+_RARE = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f\u2010-\u2027\u2030-\u205e]").search
 
 
 class TokenEncoder:
@@ -24,6 +33,7 @@ class TokenEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.library.model._resize_cache(0)  # the memo below takes its place
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -32,12 +42,37 @@ class TokenEncoder:
         if pattern and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             import regex
 
-            self.find = regex.compile(pattern).findall
+            self.exact = regex.compile(pattern).findall
+            self.find = self._split if pattern == BYTE_LEVEL else self.exact
+        self.plain = None
+        if self.find:
+            # a space and letters: such pretokens can go to the library as one text, for each begins with a token
+            # that has the space, and no other token of it has one
+            self.plain = regex.compile(r" \p{L}+").fullmatch
+            size = self.library.get_vocab_size(with_added_tokens=True)
+            self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _split(self, text: str) -> list[str]:
+        return _COMMON(text) if not _RARE(text) else self.exact(text)
+
+    def _fresh(self, words: list[str]) -> None:
+        plain = [w for w in words if self.plain(w)]
+        rest = [w for w in words if not self.plain(w)] if len(plain) < len(words) else []
+        for lo in range(0, len(plain), RUN):
+            part = plain[lo : lo + RUN]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(at) != len(part):
+                rest += part
+                continue
+            data = ids.tobytes()
+            self.memo.update(zip(part, [data[4 * s : 4 * e] for s, e in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
+        self.memo.update(zip(rest, self._ids(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.find is None:
             return self._ids(texts)
@@ -47,7 +82,7 @@ class TokenEncoder:
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
             fresh = list(wanted)
-        self.memo.update(zip(fresh, self._ids(fresh), strict=True))
+        self._fresh(fresh)
         out = [b"".join(map(self.memo.__getitem__, w)) for w in words]
         for w in fresh:
             if len(w) > LONGEST:
