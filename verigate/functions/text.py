@@ -5,6 +5,9 @@ White space and word bounds follow Unicode (``(?U)``).
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,7 +102,7 @@ def first_nonempty(*columns: Column | str) -> Column:
 
 def listed(c: Column | str) -> Column:
     """A comma-separated string as an array of its trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(_text(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_text(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 # What starts a line that isn't a statement.
@@ -141,10 +144,6 @@ def count_elements(c: Column | str) -> Column:
 
 def unified_diff(old: Column | str, new: Column | str, context: int = 3) -> Column:
     """A unified diff. Needs an alignment of lines, so this is a vectorised Python function."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "before", "after", lineterm="", n=context)) for x, y in zip(a, b, strict=True)])
@@ -154,10 +153,6 @@ def unified_diff(old: Column | str, new: Column | str, context: int = 3) -> Colu
 
 def changed_lines(old: Column | str, new: Column | str) -> Column:
     """Lines added and removed, by the same alignment."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([sum(line[:2] in ("+ ", "- ") for line in difflib.ndiff((x or "").splitlines(), (y or "").splitlines())) for x, y in zip(a, b, strict=True)])

@@ -1,10 +1,469 @@
-"""The queries and their SQL by name."""
+"""The queries by name, each beside the SQL that checks it.
+
+Small inputs that the tables don't hold (findings, test results, manifests) are row constructors in SQL that both
+engines read alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verigate.functions import text as T
+from verigate.functions.rates import wilson
+from verigate.operators import corpus, dedup, gate, metrics, ranking, split
+from verigate.sources import records as R
+from verigate.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: White space as Python and Java with (?U) have it, for DuckDB.
+WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def inline(spark: SparkSession, values: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("cleared", (F.col("quality") == 1) & (F.col("toxic") == 0))
+
+
+def _wilson_sql(k: str, n: str) -> str:
+    p, zz = f"({k}::DOUBLE / {n}::DOUBLE)", "(1.96::DOUBLE * 1.96::DOUBLE)"
+    centre = f"(({p} + {zz} / (2.0::DOUBLE * {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"
+    half = f"((1.96::DOUBLE * sqrt(({p} * (1.0::DOUBLE - {p}) + {zz} / (4.0::DOUBLE * {n}::DOUBLE)) / {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"
+    return f"CASE WHEN {n} > 0 THEN {k}::DOUBLE / {n}::DOUBLE ELSE 0.0::DOUBLE END AS rate, CASE WHEN {n} > 0 THEN greatest(0.0::DOUBLE, {centre} - {half}) ELSE 0.0::DOUBLE END AS ci_low, CASE WHEN {n} > 0 THEN least(1.0::DOUBLE, {centre} + {half}) ELSE 0.0::DOUBLE END AS ci_high"
+
+
+_LABELLED = "l AS (SELECT d.doc_id, d.lang, d.source, (quality = 1 AND toxic = 0) AS cleared FROM labels JOIN documents d ON labels.doc_id = d.doc_id)"
+_NAMES = ["overall", "en", "fr", "de", "es", "src0", "other source", "none such"]
+
+
+@query(f"""WITH {_LABELLED}, x AS (SELECT unnest(['overall', lang, CASE WHEN source = 'src0' THEN 'src0' ELSE 'other source' END]) AS stratum, cleared FROM l),
+c AS (SELECT stratum, count(*) AS n, count(*) FILTER (cleared) AS cleared FROM x GROUP BY 1),
+s AS (SELECT unnest({_NAMES!r}) AS stratum), m AS (SELECT s.stratum, coalesce(n, 0) AS n, coalesce(cleared, 0) AS cleared FROM s LEFT JOIN c ON s.stratum = c.stratum)
+SELECT stratum, n, cleared, {_wilson_sql("cleared", "n")} FROM m""")
+def q_rate_by_stratum(spark, sf_dir):
+    strata = F.array(F.lit("overall"), "lang", F.when(F.col("source") == "src0", "src0").otherwise("other source"))
+    return metrics.stratified(labelled(spark, sf_dir), strata, _NAMES)
+
+
+@query(f"""WITH {_LABELLED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (cleared) AS cleared FROM l GROUP BY 1), r AS (SELECT lang, n, cleared, {_wilson_sql("cleared", "n")} FROM c)
+SELECT r.*, CASE WHEN r.lang <> 'en' THEN round(r.rate - b.rate, 4) END AS delta FROM r, (SELECT rate FROM r WHERE lang = 'en') b""")
+def q_compare_tags(spark, sf_dir):
+    return metrics.compare_tags(labelled(spark, sf_dir), "lang", "en")
+
+
+@query("SELECT a = 1 AS compiles, b = 1 AS regression_pass, c = 1 AS pov_flipped, d = 1 AS semgrep_clean, e = 1 AS codeql_clean, f = 1 AS not_deleted, a + b + c + d + e + f = 6 AS cleared FROM range(2) a(a), range(2) b(b), range(2) c(c), range(2) d(d), range(2) e(e), range(2) f(f)")
+def q_verdict_truth(spark, sf_dir):
+    bits = [F.expr(f"(id >> {5 - i}) & 1 = 1").alias(f) for i, f in enumerate(metrics.FLAGS)]
+    return spark.range(64).select(*bits).withColumn("cleared", metrics.cleared())
+
+
+@query("SELECT n::BIGINT AS n, k::BIGINT AS cleared, " + _wilson_sql("k", "n") + " FROM range(0, 41) a(n), range(0, 41) b(k) WHERE k <= n")
+def q_wilson_grid(spark, sf_dir):
+    grid = spark.range(41).withColumnRenamed("id", "n").crossJoin(spark.range(41).withColumnRenamed("id", "cleared")).where("cleared <= n")
+    low, high = wilson(F.col("cleared"), F.col("n"))
+    return grid.select("n", "cleared", metrics.rate(F.col("cleared"), F.col("n")).alias("rate"), low.alias("ci_low"), high.alias("ci_high"))
+
+
+_BASE = r"regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g')"
+_NORM = f"trim(regexp_replace(lower({_BASE}), '{WS}+', ' ', 'g'))"
+_FLAT = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_NORM}) AS normal, md5({_FLAT}) AS flat, md5({_BASE}) AS bare FROM documents")
+def q_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_code("text")).alias("normal"), F.md5(T.collapse_whitespace("text")).alias("flat"), F.md5(T.strip_comments("text")).alias("bare"))
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({_NORM}, '[a-z0-9_]+') AS t FROM documents)")
+def q_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens("text")).alias("n_tokens"), F.size(F.array_distinct(T.tokens("text"))).alias("n_distinct"))
+
+
+_CODES = "(1, 'int f() { return 1; } // FIX cve', 'CWE_89', 'https://x.org/a/Repo.git/', 'a, b ,,c'), (2, 'see CVE-2020-12345 and CWE-79 in VUL4J-10 at deadbeef12', '79', 'g/Proj', ''), (3, 'path src/main/App.java and C:x', 'cwe22', '', 'one'), (4, '', '', 'http://h/', 'x::y'), (5, '/* VULN: gone */ keep', 'none', ' A/B ', ',')"
+
+
+def _redacted(c: str) -> str:
+    for pattern, by in T.REDACTIONS:
+        body, flags = pattern[pattern.index(")") + 1 :], "gi" if "i" in pattern[: pattern.index(")")] else "g"
+        c = f"regexp_replace({c}, '{body}', '{by}', '{flags}')"
+    return c
+
+
+@query(f"SELECT doc_id AS id, md5({_redacted('text')}) AS redacted FROM documents UNION ALL SELECT -id, md5({_redacted('code')}) FROM (VALUES {_CODES}) t(id, code, cwe, url, tests)")
+def q_redact(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5(T.redact("text")).alias("redacted"))
+    return docs.union(inline(spark, _CODES, "id, code, cwe, url, tests").select((-F.col("id")).cast("long"), F.md5(T.redact("code"))))
+
+
+@query(f"""SELECT id, CASE WHEN starts_with(c, 'CWE-') THEN c WHEN starts_with(c, 'CWE') THEN 'CWE-' || regexp_replace(substr(c, 4), '^[-_]+', '') WHEN regexp_matches(c, '^[0-9]+$') THEN 'CWE-' || c ELSE c END AS cwe,
+replace(string_split(regexp_replace(lower(trim(url)), '/+$', ''), '/')[-1], '.git', '') AS repo, list_filter(list_transform(string_split(tests, ','), lambda x: trim(x)), lambda x: x <> '') AS tests
+FROM (SELECT *, upper(trim(cwe)) AS c FROM (VALUES {_CODES}) t(id, code, cwe, url, tests))""")
+def q_identifiers(spark, sf_dir):
+    return inline(spark, _CODES, "id, code, cwe, url, tests").select("id", T.norm_cwe("cwe").alias("cwe"), T.repo_key("url").alias("repo"), T.listed("tests").alias("tests"))
+
+
+@query("SELECT page_id, replace(string_split(regexp_replace(lower(trim(url)), '/+$', ''), '/')[-1], '.git', '') AS repo FROM pages")
+def q_repo_key(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.repo_key("url").alias("repo"))
+
+
+_REPLIES = "(1, 'Here:' || chr(10) || '```java' || chr(10) || 'int x;' || chr(10) || '```' || chr(10) || 'done'), (2, '```' || chr(10) || 'class A {}' || chr(10) || '```'), (3, '  no fence  '), (4, '')"
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(t, '(?is)```(?:java|jsp)?[^\\S\\n]*\\n(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:java|jsp)?[^\\S\\n]*\\n(.*?)```', 1), chr(10)) ELSE trim(t) END AS code FROM (VALUES {_REPLIES}) x(id, t)")
+def q_fence_extract(spark, sf_dir):
+    return inline(spark, _REPLIES, "id, t").select("id", T.fenced("t").alias("code"))
+
+
+_FIRST = "row_number() OVER (PARTITION BY k ORDER BY doc_id) > 1"
+
+
+@query(f"SELECT doc_id, k AS key, {_FIRST} AS dup FROM (SELECT doc_id, sha256({_FLAT} || chr(0) || source) AS k FROM documents)")
+def q_exact_dedup_sha256(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.pair_key("text", "source").alias("key"))
+    return dedup.exact(docs, F.col("key"), [F.col("doc_id")]).select("doc_id", "key", "dup")
+
+
+@query(f"SELECT doc_id, {_FIRST} AS dup FROM (SELECT doc_id, sha1({_NORM} || chr(0) || lang) AS k FROM documents)")
+def q_exact_dedup_sha1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return dedup.exact(docs, T.code_key("text", "lang"), [F.col("doc_id")]).select("doc_id", "dup")
+
+
+@query(f"SELECT count(*) AS input, count(*) FILTER (dup) AS exact, count(*) FILTER (NOT dup) AS kept FROM (SELECT {_FIRST} AS dup FROM (SELECT doc_id, sha1({_NORM} || chr(0) || lang) AS k FROM documents))")
+def q_dedup_stats(spark, sf_dir):
+    return q_exact_dedup_sha1(spark, sf_dir).agg(F.count(F.lit(1)).alias("input"), F.count_if("dup").alias("exact"), F.count_if(~F.col("dup")).alias("kept"))
+
+
+_SETS = f"s AS (SELECT doc_id, source, list_distinct(regexp_extract_all({_NORM}, '[a-z0-9_]+')) AS t FROM documents)"
+
+
+@query(f"""WITH {_SETS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::DOUBLE AS i, len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS u
+FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.t) > 0 AND len(b.t) > 0) SELECT a, b, i / u AS similarity FROM p WHERE i / u >= 0.9""")
+def q_jaccard_pairs(spark, sf_dir):
+    return dedup.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", "source", "text", 0.9)
+
+
+@query()
+def q_near_dedup_greedy(spark, sf_dir):
+    return dedup.near_dedup(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", 0.9).select("doc_id")
+
+
+@query()
+def q_minhash_pairs(spark, sf_dir):
+    return dedup.minhash_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.9)
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AND source NOT IN ('src3', 'src5')")
+def q_holdout_anti(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.col("doc_id").cast("string"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string"))
+    return split.hold_out(docs, "key", "source", toxic, inline(spark, "('src3'), ('src5')", "repo")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_NORM} NOT IN (SELECT {_NORM} FROM benchmark)")
+def q_decontaminate(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.sha2(T.normalize_code("text"), 256).alias("k")).distinct()
+    docs = table(spark, sf_dir, "documents").withColumn("_k", F.sha2(T.normalize_code("text"), 256))
+    return docs.join(items, docs["_k"] == items["k"], "left_anti").select("doc_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1996-01-01'")
+def q_temporal_cut(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where(split.before(F.date_format("o_orderdate", "yyyy-MM-dd"), "1996-01-01")).select("o_orderkey")
+
+
+@query("WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS x, row_number() OVER (ORDER BY o_orderdate) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT x AS cutoff FROM d WHERE r = greatest(0, least(n - 1, floor(n * (1 - 0.2))))")
+def q_auto_cutoff(spark, sf_dir):
+    return split.auto_cutoff(table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")), "d", 0.2)
+
+
+@query("SELECT event_id, CASE WHEN strftime(ts, '%Y-%m-%d') >= '2024-03-01' THEN 'eval' ELSE 'train' END AS split FROM events")
+def q_temporal_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"))
+    return split.temporal_split(rows, "d", "2024-03-01").select("event_id", "split")
+
+
+@query("""WITH f AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), o AS (SELECT source, coalesce(sum(n) OVER (ORDER BY md5('13:' || source), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor(sum(n) OVER () * 0.2) AS t FROM f)
+SELECT doc_id, CASE WHEN b < t THEN 'eval' ELSE 'train' END AS split FROM documents JOIN o ON documents.source = o.source""")
+def q_family_split(spark, sf_dir):
+    return split.family_split(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 0.2).select("doc_id", "split")
+
+
+@query("SELECT source FROM (SELECT source, CASE WHEN doc_id % 7 = 0 THEN 'eval' ELSE 'train' END AS split FROM documents) GROUP BY source HAVING count(DISTINCT split) > 1")
+def q_leak_check(spark, sf_dir):
+    return split.leaked(table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 7 == 0, "eval").otherwise("train")), "source")
+
+
+_FIVE = {
+    "methods": ("('f1', 'm', 'True', 'int a;', 1), ('f1', 'm', 'False', 'int b;', 2), ('f1', 'm', 'True', 'int a2;', 3), ('f2', 'n', '1', 'x  y', 4), ('f2', 'n', '0', 'x y', 5), ('f3', 'k', 't', 'p', 6), ('f3', 'k', 'f', 'q', 7), ('f4', 'k', 'yes', 'p', 8), ('f4', 'k', 'no', 'q', 9)", "file_change_id, name, before_change, code, ord"),
+    "files": ("('f1', 'Java', 'h1'), ('f2', 'java', 'h1'), ('f3', 'JAVA', 'h2'), ('f4', 'java', 'h3')", "file_change_id, programming_language, hash"),
+    "commits": ("('h1', 'https://g/x/jsoup', '2020-01-01'), ('h2', 'https://g/x/own', '2021-05-05'), ('h3', 'https://g/x/other', '')", "hash, repo_url, committer_date"),
+    "fixes": ("('h1', 'CVE-1'), ('h2', 'CVE-2'), ('h2', 'CVE-3'), ('h3', 'CVE-4')", "hash, cve_id"),
+    "classes": ("('CVE-1', 'CWE-79', 1), ('CVE-2', 'CWE-22', 2), ('CVE-2', 'CWE-89', 3)", "cve_id, cwe_id, ord"),
+}
+_FIVE_SQL = ", ".join(f"{n}({c}) AS (VALUES {v})" for n, (v, c) in _FIVE.items())
+_PAIRS_SQL = f"""WITH {_FIVE_SQL}, j AS (SELECT *, lower(before_change) IN ('1', 'true', 't', 'yes') AS yes FROM methods JOIN files USING (file_change_id) JOIN commits USING (hash) JOIN fixes USING (hash) WHERE lower(programming_language) = 'java'),
+g AS (SELECT file_change_id, name, arg_max(code, ord) FILTER (yes) AS vuln, arg_max(code, ord) FILTER (NOT yes) AS fixed, arg_min(repo_url, ord) AS repo, arg_min(committer_date, ord) AS cdate, arg_min(cve_id, (ord, cve_id)) AS cve, min(ord) AS ord FROM j GROUP BY 1, 2),
+k AS (SELECT cve_id, arg_min(cwe_id, ord) AS cwe FROM classes GROUP BY 1),
+p AS (SELECT vuln, fixed, repo, cdate, cve, coalesce(cwe, '') AS cwe, ord FROM g LEFT JOIN k ON g.cve = k.cve_id WHERE trim(regexp_replace(vuln, '\\s+', ' ', 'g')) <> trim(regexp_replace(fixed, '\\s+', ' ', 'g')))"""
+
+
+def _five(spark: SparkSession) -> dict[str, DataFrame]:
+    return {n: inline(spark, v, c) for n, (v, c) in _FIVE.items()}
+
+
+@query(f"{_PAIRS_SQL} SELECT * FROM p")
+def q_pair_pivot(spark, sf_dir):
+    return corpus.pairs(**_five(spark))
+
+
+@query(f"""{_PAIRS_SQL}, h AS (SELECT *, string_split(lower(repo), '/')[-1] AS r FROM p), a AS (SELECT * FROM h WHERE cve <> 'CVE-9' AND r <> 'jsoup'), b AS (SELECT * FROM a WHERE cdate = '' OR substr(cdate, 1, 10) < '2022-01-01'), c AS (SELECT DISTINCT vuln, fixed FROM b)
+SELECT 'raw' AS stage, count(*) AS n FROM p UNION ALL SELECT 'after_holdout', count(*) FROM a UNION ALL SELECT 'after_temporal_cut', count(*) FROM b UNION ALL SELECT 'after_dedup', count(*) FROM c""")
+def q_provenance(spark, sf_dir):
+    return R.stage_counts(corpus.build(corpus.pairs(**_five(spark)), inline(spark, "('CVE-9')", "cve"), inline(spark, "('jsoup')", "repo"), "2022-01-01"))
+
+
+@query("SELECT l_orderkey, l_linenumber, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 49")
+def q_corpus_join(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    lines = t("lineitem").where("l_quantity > 49").select("l_orderkey", "l_linenumber")
+    return lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("l_orderkey", "l_linenumber", "n_name")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY 1")
+def q_first_per_key(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
+
+
+_META = "('VUL4J-1', 'p/a', 'CWE_89', 'vul4j', 'F.java', 'T#a, T#b', 1), ('VJB-2', '', '79', 'vjbench', '', '', 2), ('VUL4J-1', 'late', '', 'vul4j', 'G.java', '', 3), ('VJB-3-trans', 'q', 'CWE22', 'vjbench', 'H.java', 'x', 4)"
+
+
+@query(f"""SELECT id, project, CASE WHEN c = '' THEN '' WHEN starts_with(c, 'CWE-') THEN c WHEN starts_with(c, 'CWE') THEN 'CWE-' || regexp_replace(substr(c, 4), '^[-_]+', '') ELSE 'CWE-' || c END AS cwe, vulnerable_file, list_filter(list_transform(string_split(tests, ','), lambda x: trim(x)), lambda x: x <> '') AS pov_tests
+FROM (SELECT *, upper(trim(cwe)) AS c, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM (VALUES {_META}) t(id, project, cwe, source, vulnerable_file, tests, ord)) WHERE r = 1""")
+def q_manifest(spark, sf_dir):
+    meta = inline(spark, _META, "id, project, cwe, source, vulnerable_file, tests, ord")
+    return R.manifest_entries(R.first_wins(meta, "id", "ord")).select("id", "project", "cwe", "vulnerable_file", "pov_tests")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (source = 'vul4j') AS vul4j, count(*) FILTER (source = 'vjbench') AS vjbench, count(*) FILTER (contains(id, 'trans')) AS transformed, count(*) FILTER (cwe IN ('CWE_89', '79')) AS covered FROM (VALUES {_META}) t(id, project, cwe, source, vulnerable_file, tests, ord)")
+def q_manifest_summary(spark, sf_dir):
+    meta = inline(spark, _META, "id, project, cwe, source, vulnerable_file, tests, ord")
+    return R.manifest_summary(meta.withColumns({"transformed": F.col("id").contains("trans"), "semgrep_covered": F.col("cwe").isin("CWE_89", "79")}))
+
+
+_LINES = "('VUL4J-1'), ('# note'), (''), ('  VUL4J-2 # inline '), ('  ')"
+
+
+@query(f"SELECT trim(v) AS id FROM (VALUES {_LINES}) t(v) WHERE trim(v) <> '' AND NOT starts_with(trim(v), '#')")
+def q_id_list(spark, sf_dir):
+    return R.id_list(inline(spark, _LINES, "value"))
+
+
+_RAW = """('{"func_before": "a", "after": "b", "cve_id": "CVE-1", "project": "p"}'), ('{"vuln_code": "", "before": "x", "fixed_code": "y", "date": "2020"}'), ('{"vuln_code": "only"}')"""
+
+
+@query(f"""SELECT coalesce(nullif(v->>'vuln_code', ''), nullif(v->>'func_before', ''), nullif(v->>'before', ''), '') AS vuln_code, coalesce(nullif(v->>'fixed_code', ''), nullif(v->>'after', ''), '') AS fixed_code,
+coalesce(v->>'cve_id', '') AS cve, '' AS cwe, coalesce(v->>'date', '') AS date, coalesce(v->>'project', '') AS project FROM (SELECT v::JSON AS v FROM (VALUES {_RAW}) t(v)) WHERE coalesce(nullif(v->>'fixed_code', ''), nullif(v->>'after', ''), '') <> ''""")
+def q_records(spark, sf_dir):
+    return R.records(inline(spark, _RAW, "value"))
+
+
+_SEMGREP = """('b1', '{"results": [{"check_id": "java.sqli", "path": "src/A.java", "start": {"line": 3}, "end": {"line": 5}, "extra": {"severity": "ERROR", "message": "m"}}, {"path": "B.java", "start": {"line": 7}}]}'), ('b2', '{"results": []}'), ('b3', 'not json')"""
+
+
+@query(f"""SELECT bug, coalesce(r->>'check_id', '') AS check_id, coalesce(r->>'path', '') AS path, coalesce((r->'start'->>'line')::INT, 0) AS start_line, coalesce((r->'end'->>'line')::INT, (r->'start'->>'line')::INT, 0) AS end_line, coalesce(r->'extra'->>'severity', '') AS severity, coalesce(r->'extra'->>'message', '') AS message, 'semgrep' AS tool
+FROM (SELECT bug, unnest((j::JSON->'results')::JSON[]) AS r FROM (VALUES {_SEMGREP}) t(bug, j) WHERE json_valid(j))""")
+def q_semgrep(spark, sf_dir):
+    return R.semgrep_findings(inline(spark, _SEMGREP, "bug, j"), "j", ["bug"])
+
+
+_SARIF = """('b1', '{"runs": [{"tool": {"driver": {"name": "c", "rules": [{"id": "java/sqli", "defaultConfiguration": {"level": "error"}}]}}, "results": [{"ruleId": "java/sqli", "message": {"text": "q"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "src/A.java"}, "region": {"startLine": 9}}}]}, {"rule": {"id": "java/x"}, "level": "note", "message": {"text": "n"}}]}]}')"""
+
+
+@query(f"""WITH t(bug, j) AS (VALUES {_SARIF}), runs AS (SELECT bug, unnest((j::JSON->'runs')::JSON[]) AS run FROM t), r AS (SELECT bug, run, unnest((run->'results')::JSON[]) AS r FROM runs),
+d AS (SELECT bug, u->>'id' AS id, u->'defaultConfiguration'->>'level' AS level FROM (SELECT bug, unnest((run->'tool'->'driver'->'rules')::JSON[]) AS u FROM runs))
+SELECT r.bug, coalesce(r->>'ruleId', r->'rule'->>'id', '') AS check_id, coalesce(r->'locations'->0->'physicalLocation'->'artifactLocation'->>'uri', '') AS path, coalesce((r->'locations'->0->'physicalLocation'->'region'->>'startLine')::INT, 0) AS start_line,
+coalesce((r->'locations'->0->'physicalLocation'->'region'->>'endLine')::INT, (r->'locations'->0->'physicalLocation'->'region'->>'startLine')::INT, 0) AS end_line, coalesce(r->>'level', d.level, '') AS severity, coalesce(r->'message'->>'text', '') AS message, 'codeql' AS tool
+FROM r LEFT JOIN d ON d.bug = r.bug AND d.id = coalesce(r->>'ruleId', r->'rule'->>'id', '')""")
+def q_sarif(spark, sf_dir):
+    return R.sarif_findings(inline(spark, _SARIF, "bug, j"), "j", ["bug"])
+
+
+_FINDINGS = "('java.lang.sqli', 'CWE-89', 'src/A.java', 'semgrep', 'b1'), ('sqli', 'cwe-89', 'A.java', 'codeql', 'b1'), ('xss', 'CWE-89', 'A.java', 'semgrep', 'b2'), ('', 'CWE-89', 'A.java', 'semgrep', 'b3'), ('any', '', 'A.java', 'semgrep', 'b3')"
+_RULES = "('CWE-89', 'lang.sqli'), ('CWE-79', 'xss')"
+_SCOPED = f"f AS (SELECT * FROM (VALUES {_FINDINGS}) t(check_id, cwe, path, tool, bug)), r AS (SELECT * FROM (VALUES {_RULES}) t(cwe, rule)), s AS (SELECT f.* FROM f WHERE upper(cwe) NOT IN (SELECT cwe FROM r) OR (check_id <> '' AND EXISTS (SELECT 1 FROM r WHERE r.cwe = upper(f.cwe) AND (ends_with(rule, check_id) OR ends_with(check_id, rule)))))"
+
+
+@query(f"WITH {_SCOPED} SELECT * FROM s")
+def q_scope(spark, sf_dir):
+    return gate.in_scope(inline(spark, _FINDINGS, "check_id, cwe, path, tool, bug"), inline(spark, _RULES, "cwe, rule"))
+
+
+_PATCHES = "('b1', false, false), ('b2', false, true), ('b3', true, false), ('b4', false, false)"
+
+
+@query(f"WITH {_SCOPED}, p AS (SELECT * FROM (VALUES {_PATCHES}) t(bug, semgrep_error, codeql_error)), n AS (SELECT bug, count(*) FILTER (tool = 'semgrep') AS a, count(*) FILTER (tool = 'codeql') AS b FROM s GROUP BY 1) SELECT p.*, NOT semgrep_error AND coalesce(a, 0) = 0 AS semgrep_clean, codeql_error OR coalesce(b, 0) = 0 AS codeql_clean FROM p LEFT JOIN n ON p.bug = n.bug")
+def q_sast_gate(spark, sf_dir):
+    return gate.sast_gate(inline(spark, _PATCHES, "bug, semgrep_error, codeql_error"), q_scope(spark, sf_dir), "bug")
+
+
+_RESULTS = """('b1', '{"tests": {"overall_metrics": {"number_running": 5, "number_passing": 3, "number_failing": 2}, "failures": [{"test_class": "T", "test_method": "a"}, {"test_class": "U", "test_method": "z"}], "passing_tests": ["T#b"]}}'), ('b2', '{"overall_metrics": {"number_running": "2", "number_passing": "x"}, "passing_tests": ["T#a", "U#z"]}')"""
+
+
+@query(f"""SELECT bug, coalesce(try_cast(m->>'number_running' AS INT), 0) AS running, coalesce(try_cast(m->>'number_passing' AS INT), 0) AS passing, coalesce(try_cast(m->>'number_failing' AS INT), 0) AS failing, coalesce(json_array_length(d->'failures'), 0)::INT AS failures, coalesce(json_array_length(d->'passing_tests'), 0)::INT AS passed
+FROM (SELECT bug, d, d->'overall_metrics' AS m FROM (SELECT bug, coalesce(j::JSON->'tests', j::JSON) AS d FROM (VALUES {_RESULTS}) t(bug, j)))""")
+def q_test_summary(spark, sf_dir):
+    return R.test_summary(inline(spark, _RESULTS, "bug, j"), "j", ["bug"]).select("bug", "running", "passing", "failing", F.size("failures").alias("failures"), F.size("passing_tests").alias("passed"))
+
+
+@query("SELECT * FROM (VALUES ('T::a', true), ('T.a', true), ('Ta', true), ('T', true), ('U#z', true), ('V#a', false)) t(wanted, found)")
+def q_pov_match(spark, sf_dir):
+    failures = R.test_summary(inline(spark, _RESULTS, "bug, j"), "j", ["bug"]).where("bug = 'b1'").select("failures")
+    wanted = inline(spark, "('T::a'), ('T.a'), ('Ta'), ('T'), ('U#z'), ('V#a')", "wanted").crossJoin(failures)
+    return wanted.select("wanted", (F.size(gate.pov_state(F.array("wanted"), F.col("failures"))[0]) > 0).alias("found"))
+
+
+@query("SELECT * FROM (VALUES ('b', true, true, true, true, true, true, true, true)) t(bug, baseline_failed, compiles, regression_pass, pov_flipped, semgrep_clean, codeql_clean, not_deleted, cleared)")
+def q_gate(spark, sf_dir):
+    failure = "array(named_struct('test_class', 'T', 'test_method', 'a'))"
+    row = spark.sql(f"SELECT 'b' AS bug, true AS compiles, array('T#a') AS pov_tests, {failure} AS before, filter({failure}, x -> false) AS after, true AS semgrep_clean, true AS codeql_clean, 'int a;\nreturn 1;' AS code_before, 'int a;\nreturn 2;' AS code_after")
+    return gate.run_gate(row).select("bug", "baseline_failed", *metrics.FLAGS, "cleared")
+
+
+_STMT = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda s: s NOT IN ('', '{', '}') AND NOT regexp_matches(s, '^(//|\\*|/\\*|@)'))"
+
+
+@query(f"SELECT doc_id, len(s)::INT AS statements, len(list_filter(s, lambda x: contains(x, 'return') OR contains(x, 'throw')))::INT AS returns FROM (SELECT doc_id, {_STMT} AS s FROM documents)")
+def q_line_guard(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.count_statements("text").alias("statements"), T.count_returns("text").alias("returns"))
+
+
+_ELEMENTS = r"len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script\s*>', '\1', 'g'), '(?is)(<style\b[^>]*>).*?</style\s*>', '\1', 'g'), '<[a-zA-Z][^>]*>'))"
+
+
+@query(f"SELECT page_id, {_ELEMENTS}::INT AS elements FROM pages")
+def q_dom_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.count_elements("html").alias("elements"))
+
+
+@query(f"SELECT page_id, CASE WHEN a > 0 THEN b::DOUBLE / a ELSE 1.0 END AS ratio, CASE WHEN a > 0 THEN b::DOUBLE / a ELSE 1.0 END >= 0.6 AS ok FROM (SELECT page_id, {_ELEMENTS} AS a, {_ELEMENTS.replace('(html,', '(left(html, (length(html) * 7 // 10)::BIGINT),')} AS b FROM pages)")
+def q_dom_guard(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("cut", F.expr("left(html, length(html) * 7 div 10)"))
+    return pages.select("page_id", gate.dom_guard("html", "cut").alias("g")).select("page_id", "g.ratio", "g.ok")
+
+
+_A11Y = r"""len(regexp_extract_all(html, '(?i)<img\b')) - len(regexp_extract_all(html, '(?i)<img\b[^>]*\balt=')) AS image_alt, CASE WHEN regexp_matches(html, '(?i)<html\b[^>]*\blang=') THEN 0 ELSE 1 END AS html_lang, CASE WHEN regexp_matches(html, '(?i)<title>[^<]*\S[^<]*</title>') THEN 0 ELSE 1 END AS title,
+len(regexp_extract_all(html, '(?i)<a\b[^>]*>\s*</a>')) AS link_name, len(regexp_extract_all(html, '(?i)<button\b[^>]*>\s*</button>')) AS button_name, len(regexp_extract_all(html, '(?i)<input\b')) - len(regexp_extract_all(html, '(?i)<input\b[^>]*\baria-label=')) AS label"""
+
+
+@query(f"SELECT page_id, image_alt::INT AS image_alt, html_lang::INT AS html_lang, title::INT AS title, link_name::INT AS link_name, button_name::INT AS button_name, label::INT AS label FROM (SELECT page_id, {_A11Y} FROM pages)")
+def q_a11y_rules(spark, sf_dir):
+    rules = table(spark, sf_dir, "pages").select("page_id", gate.accessibility("html").alias("m"))
+    names = {"image_alt": "image-alt", "html_lang": "html-has-lang", "title": "document-title", "link_name": "link-name", "button_name": "button-name", "label": "label"}
+    return rules.select("page_id", *[F.col("m")[k].alias(n) for n, k in names.items()])
+
+
+_HTML = "(1, '<html><body><img><a href=x></a></body></html>', '<html lang=en><title>t</title><body><img alt=x><a href=x>y</a></body></html>'), (2, '<html><img></html>', '<html lang=en><title>t</title></html>'), (3, '<html lang=en><title>t</title></html>', '<html lang=en><title>t</title></html>')"
+
+
+@query("SELECT * FROM (VALUES (1, true, true, true, true, 0), (2, true, true, true, true, 0), (3, false, true, true, false, 0)) t(id, had_violations, flipped, not_deleted, cleared, still)")
+def q_a11y_gate(spark, sf_dir):
+    rows = inline(spark, _HTML, "id, a, b")
+    g = gate.a11y_gate(gate.accessibility("a"), gate.accessibility("b"), F.col("a"), F.col("b"))
+    return rows.select("id", g.alias("g")).select("id", "g.had_violations", "g.flipped", "g.not_deleted", "g.cleared", F.size("g.still_failing").alias("still"))
+
+
+@query("SELECT conv_id, turn, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, role) AS r FROM conversations) WHERE r = 1")
+def q_rank_candidates(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("digest"), F.length("text").cast("double").alias("score"))
+    return ranking.best_candidate(rows, "conv_id", "score", "turn", "role").select("conv_id", "turn", "digest")
+
+
+@query("SELECT conv_id, CASE WHEN count(*) FILTER (length(text) % 5 = 0) > 0 THEN min(turn) FILTER (length(text) % 5 = 0) ELSE max(turn) END AS turn FROM conversations GROUP BY 1")
+def q_attempts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 5 == 0).alias("cleared"))
+    return ranking.decisive_attempt(rows, "conv_id", "turn").select("conv_id", "turn")
+
+
+@query("SELECT a.conv_id, md5(a.role) AS prompt, md5(a.text) AS chosen, md5(b.text) AS rejected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id WHERE a.turn % 2 = 1 AND b.turn % 2 = 0")
+def q_pref_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.md5("role").alias("prompt"), F.md5("text").alias("text"), (F.col("turn") % 2 == 1).alias("cleared"))
+    return ranking.preference_pairs(rows, "conv_id", "prompt", "text")
+
+
+_JUDGE = """(1, '{"accept": true, "score": 0.7, "reason": "ok"}'), (2, 'Sure: {"accept": true, "score": 7} bye'), (3, '{"accept": false}'), (4, 'nothing here'), (5, '{"accept": true, "score": "bad"}')"""
+
+
+@query("SELECT * FROM (VALUES (1, true, 0.7::DOUBLE, 'ok'), (2, true, 1.0, ''), (3, false, 0.0, ''), (4, false, 0.0, 'unparseable: nothing here'), (5, true, 1.0, '')) t(id, accept, score, reason)")
+def q_judge_parse(spark, sf_dir):
+    return inline(spark, _JUDGE, "id, t").select("id", ranking.judged("t").alias("j")).select("id", "j.accept", "j.score", "j.reason")
+
+
+@query("SELECT conv_id, count(*)::INT AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
+def q_chat(spark, sf_dir):
+    chats = ranking.chat_messages(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return chats.select("conv_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("digest"))
+
+
+@query("SELECT '- b: no' || chr(10) || '- c: ' AS feedback")
+def q_feedback(spark, sf_dir):
+    layers = spark.sql("SELECT array(named_struct('name', 'a', 'passed', true, 'detail', 'x'), named_struct('name', 'b', 'passed', false, 'detail', 'no'), named_struct('name', 'c', 'passed', false, 'detail', null)) AS layers")
+    return layers.select(gate.feedback(F.col("layers")).alias("feedback"))
+
+
+@query("SELECT * FROM (VALUES ('a', 2, 0), ('b', 1, 1), ('c', 0, 4)) t(rule, before, after)")
+def q_rule_diff(spark, sf_dir):
+    maps = spark.sql("SELECT map('a', 2, 'b', 1) AS x, map('b', 1, 'c', 4) AS y")
+    return maps.select(F.explode(gate.rule_changes(F.col("x"), F.col("y"))).alias("rule", "v")).select("rule", "v.before", "v.after")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 7) UNION ALL SELECT r_regionkey, r_name FROM region")
+def q_limit_union(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(7).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return nations.unionByName(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (value > 50) AS cleared FROM events GROUP BY 1")
+def q_stream_window(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ok", F.col("value") > 50)
+    return streams.windowed_rate(rows, "ts", "ok").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "cleared")
+
+
+@query()
+def q_stream_dedup(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    name = "verigate_stream_dedup"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    run = streams.distinct_events(rows, ["user_id", "event_type"]).select("user_id", "event_type").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query()
+def q_changed_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "conversations")
+    both = docs.select("conv_id", "turn", F.col("text").alias("a"), F.upper("text").alias("b"))
+    return both.select("conv_id", "turn", T.changed_lines("a", "b").alias("changed"), F.length(T.unified_diff("a", "b")).alias("diff_chars"))
