@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from verigate.llm.common import Rolling, mix64, seeds64, short_batches, staged, text_runs
 from verigate.llm.components import components
 
-WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 20, -(1 << 63)
+WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

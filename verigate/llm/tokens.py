@@ -10,13 +10,14 @@ import re
 import numpy as np
 
 #: Pretokens remembered in one worker (about 200 bytes each), the longest one remembered, and how many go as one text.
-MEMO, LONGEST, RUN = 700_000, 48, 200
+MEMO, LONGEST, RUN = 500_000, 48, 200
 
 #: The byte-level pattern, and the same in the standard library's classes. These agree but for characters of ``_RARE``:
 #: number signs that aren't digits, odd white space, and what stands outside of Latin letters and common punctuation.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _COMMON = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 _RARE = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f\u2010-\u2027\u2030-\u205e]").search
+_RARE_ASCII = re.compile("[\x1c-\x1f]").search
 
 
 class TokenEncoder:
@@ -57,7 +58,7 @@ class TokenEncoder:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list[str]:
-        return _COMMON(text) if not _RARE(text) else self.exact(text)
+        return _COMMON(text) if text.isascii() and not _RARE_ASCII(text) or not _RARE(text) else self.exact(text)
 
     def _fresh(self, words: list[str]) -> None:
         plain = [w for w in words if self.plain(w)]
@@ -77,7 +78,9 @@ class TokenEncoder:
         if self.find is None:
             return self._ids(texts)
         words = [self.find(t) for t in texts]
-        wanted = set().union(*words)
+        wanted: set[str] = set()
+        for w in words:
+            wanted.update(w)
         fresh = list(wanted.difference(self.memo))
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
