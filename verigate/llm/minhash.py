@@ -235,10 +235,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
         now = staged(now.join(mixed, "key"), "now")
         drawn = F.when(F.col("width") > 1, F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root"))
         picks = now.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
-        centres = picks.select("key", F.explode(F.array_compact(F.array(F.struct("x.node", "x.root"), F.when(F.col("y").isNotNull(), F.struct("y.node", "y.root"))))).alias("c"))
-        centres = staged(centres.select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")).distinct(), "centres")
-        pairs = now.join(centres, "key").where("root <> centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        near = staged(now.join(picks.select("key", "x.node", "x.root", "y.node", "y.root").toDF("key", "x", "x_root", "y", "y_root"), "key"), "near")
+        pairs = None
+        for centre in "xy":
+            own = near.where(F.col("root") != F.col(f"{centre}_root")).select(F.least("node", centre).alias("a"), F.greatest("node", centre).alias("b"))
+            pairs = own if pairs is None else pairs.union(own)
+        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        # a centre has met all of its bucket and leaves it
+        rest = near.where((F.col("node") != F.col("x")) & (F.col("y").isNull() | (F.col("node") != F.col("y")))).select("key", "width", "node", "rank")
+        everyone = rest if turn else rest.union(everyone.where("width > 1").select("key", "width", "node", "rank"))
         found = staged(_confirmed(staged(_likely(pairs, involved, percent), "likely"), sets, percent), "links")
         more = not found.isEmpty() or not turn
         turn += 1
