@@ -10,7 +10,7 @@ import re
 import numpy as np
 
 #: Pretokens remembered in one worker (about 200 bytes each), the longest one remembered, and how many go as one text.
-MEMO, LONGEST, RUN = 500_000, 48, 200
+MEMO, LONGEST, RUN = 400_000, 48, 200
 
 #: The byte-level pattern, and the same in the standard library's classes. These agree but for characters of ``_RARE``:
 #: number signs that aren't digits, odd white space, and what stands outside of Latin letters and common punctuation.
@@ -82,13 +82,11 @@ class TokenEncoder:
         for w in words:
             wanted.update(w)
         fresh = list(wanted.difference(self.memo))
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list(wanted)
         self._fresh(fresh)
         out = [b"".join(map(self.memo.__getitem__, w)) for w in words]
+        full = len(self.memo) > MEMO  # frequent pretokens are in it by then
         for w in fresh:
-            if len(w) > LONGEST:
+            if full or len(w) > LONGEST:
                 del self.memo[w]
         return out
 
