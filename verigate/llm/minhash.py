@@ -33,6 +33,7 @@ from verigate.llm.common import Rolling, mix64, seeds64, short_batches, staged,
 from verigate.llm.components import components
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
+ROWS_A_TASK, PAIRS_A_TASK = 50_000, 3_000
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -232,19 +233,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
         now = everyone if turn else everyone.where("width = 1")
         now = now.join(joined, "node", "left").join(degree, "node", "left").select("key", "width", "node", "rank", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         mixed = now.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
-        now = staged(now.join(mixed, "key"), "now")
+        # tables of a round get tasks by their rows, not by the session's number of partitions
+        parts = 1 + everyone.count() // ROWS_A_TASK
+        now = staged(now.join(mixed, "key").coalesce(parts), "now")
         drawn = F.when(F.col("width") > 1, F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root"))
         picks = now.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
-        near = staged(now.join(picks.select("key", "x.node", "x.root", "y.node", "y.root").toDF("key", "x", "x_root", "y", "y_root"), "key"), "near")
+        near = staged(now.join(picks.select("key", "x.node", "x.root", "y.node", "y.root").toDF("key", "x", "x_root", "y", "y_root"), "key").coalesce(parts), "near")
         pairs = None
         for centre in "xy":
             own = near.where(F.col("root") != F.col(f"{centre}_root")).select(F.least("node", centre).alias("a"), F.greatest("node", centre).alias("b"))
             pairs = own if pairs is None else pairs.union(own)
-        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti").coalesce(parts), "pairs")
         # a centre has met all of its bucket and leaves it
         rest = near.where((F.col("node") != F.col("x")) & (F.col("y").isNull() | (F.col("node") != F.col("y")))).select("key", "width", "node", "rank")
         everyone = rest if turn else rest.union(everyone.where("width > 1").select("key", "width", "node", "rank"))
-        found = staged(_confirmed(staged(_likely(pairs, involved, percent), "likely"), sets, percent), "links")
+        few = 1 + pairs.count() // PAIRS_A_TASK
+        found = staged(_confirmed(staged(_likely(pairs, involved, percent).coalesce(few), "likely"), sets, percent).coalesce(few), "links")
         more = not found.isEmpty() or not turn
         turn += 1
         tested = tested.union(pairs)
