@@ -136,16 +136,14 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, le
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, pattern)
-        for b in batches:
-            ids = b.column(0).to_pylist()
+        for b, part in enc.encode_batches(batches, "text"):
             out = []
-            for lo in range(0, len(ids), 100):
-                for doc_id, data in zip(ids[lo : lo + 100], enc.encode(b.column(1).slice(lo, 100).to_pylist()), strict=True):
-                    data += tail
-                    n, copy = len(data) // 4, zlib.crc32(data)
-                    cuts = [0, *range(n % length or length, n + 1, length)]
-                    for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        out.append((doc_id, copy, k, s, e - s, zlib.crc32(data[4 * s : 4 * e])))
+            for doc_id, data in zip(b.column(0).to_pylist(), part, strict=True):
+                data += tail
+                n, copy = len(data) // 4, zlib.crc32(data)
+                cuts = [0, *range(n % length or length, n + 1, length)]
+                for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    out.append((doc_id, copy, k, s, e - s, zlib.crc32(data[4 * s : 4 * e])))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])

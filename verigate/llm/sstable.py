@@ -215,11 +215,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str | No
         enc = encoder(tokenizer, pattern)
 
         def entries() -> Iterator[tuple[bytes, bytes]]:
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                for lo in range(0, len(ids), 100):
-                    for doc_id, out in zip(ids[lo : lo + 100], enc.encode(b.column(1).slice(lo, 100).to_pylist()), strict=True):
-                        yield key_of(doc_id), out + tail
+            for b, part in enc.encode_batches(batches, "text"):
+                for doc_id, out in zip(b.column(0).to_pylist(), part, strict=True):
+                    yield key_of(doc_id), out + tail
 
         for part in shard_parts(entries(), 2 if max(enc.vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["part"])
