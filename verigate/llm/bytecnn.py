@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import short_batches, text_runs
+from verigate.llm.common import frugal, short_batches, text_runs
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE, SEED = 4000, 3, 3, 128, 0.02, 9
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> Dat
             value = pa.array([s if ok else 0.0 for s, ok in zip(score, letter, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, lang, value], [*b.schema.names, "lang_pred", "score"])
 
-    return base.withColumn("_vg_letter", letters).mapInArrow(run, kinds).drop("_vg_letter")
+    return base.withColumn("_vg_letter", letters).mapInArrow(frugal(run), kinds).drop("_vg_letter")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import Rolling, mix64, seeds64, short_batches, staged, text_runs
+from verigate.llm.common import Rolling, frugal, mix64, seeds64, short_batches, staged, text_runs
 from verigate.llm.components import components
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
@@ -137,7 +137,7 @@ def profiles(docs: DataFrame, percent: int, band: int, words: int) -> DataFrame:
                     columns = _profile(data, starts, percent, band, words)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    out = docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>, sketch binary")
+    out = docs.mapInArrow(frugal(run), "doc_id long, n long, k1 long, k2 long, keys array<long>, sketch binary")
     return out.select("doc_id", "n", F.when(F.col("n") > 0, F.xxhash64("k1", "k2", "n")).alias("node"), "keys", "sketch")
 
 
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                     sets = [h[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, rows), pa.array(sets, pa.binary())], ["node", "members"])
 
-    return docs.mapInArrow(run, "node long, members binary")
+    return docs.mapInArrow(frugal(run), "node long, members binary")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = small | ((x == y).sum(axis=1) >= least)
                 yield b.select([0, 1]).filter(pa.array(keep))
 
-    return both.select("a", "b", "s_a", "s_b", F.least("n_a", "n_b").alias("n")).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "s_a", "s_b", F.least("n_a", "n_b").alias("n")).mapInArrow(frugal(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if keep:
                 yield t.select([0, 1]).filter(pa.array(keep))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import number_rows, short_batches, staged
+from verigate.llm.common import frugal, number_rows, short_batches, staged
 from verigate.llm.tokens import encoder
 
 LENGTH, ROUNDS, STEP = 1024, 600, 0.12
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, le
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(cut, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(frugal(cut), "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
 
 
 def assign(rows: DataFrame, capacity: int = LENGTH) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verigate.llm.common import fresh_path, n_partitions, short_batches
+from verigate.llm.common import fresh_path, frugal, n_partitions, short_batches
 from verigate.llm.tokens import encoder
 
 MAGIC, VERSION = b"VGSST\x00\x00\x01", 1
@@ -222,7 +222,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str | No
         for part in shard_parts(entries(), 2 if max(enc.vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["part"])
 
-    rows.mapInArrow(parts, "part binary").select(F.col("part").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(folder)
+    rows.mapInArrow(frugal(parts), "part binary").select(F.col("part").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(folder)
 
 
 def _shard_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,7 +263,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
     foot = files.select(F.substring("content", F.octet_length("content") - (_FOOTER.size + 4 + len(_END)) + 1, F.lit(_FOOTER.size)).alias("foot"))
     shift = foot.mapInArrow(totals, "first_key binary, total long").select("first_key", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
-    rows = files.mapInArrow(decoded, "shard binary, doc_id long, at long, n_tokens long, ids binary")
+    rows = files.mapInArrow(frugal(decoded), "shard binary, doc_id long, at long, n_tokens long, ids binary")
     return rows.join(shift, rows["shard"] == shift["first_key"]).select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "n_tokens", "ids")
 
 

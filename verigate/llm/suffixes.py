@@ -33,9 +33,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import Rolling, discard, mix64, seeds64, short_batches, staged, text_runs
+from verigate.llm.common import Rolling, discard, frugal, mix64, seeds64, short_batches, staged, text_runs
 
-THRESHOLD, GRAM, BLOCK, RUN_BYTES, NO_ID = 200, 32, 13, 1 << 20, -(1 << 63)
+THRESHOLD, GRAM, BLOCK, RUN_BYTES, NO_ID = 200, 32, 13, 1 << 18, -(1 << 63)
 PLACES = THRESHOLD - GRAM + 1
 _C = seeds64(4, 404) | np.uint64(1)
 
@@ -116,7 +116,7 @@ def _runs(rows: DataFrame) -> DataFrame:
                     columns = [b.column(0).take(take), b.column(1).take(take), pa.array(_pack(start, n, hi)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["holder", "row", "at", "core", "hull"])
 
-    return rows.mapInArrow(run, "holder long, row long, at long, core long, hull long")
+    return rows.mapInArrow(frugal(run), "holder long, row long, at long, core long, hull long")
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _squeezed(rows: DataFrame) -> DataFrame:
             texts = b.column(2).cast(pa.large_binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t.as_buffer()) for t in texts], pa.binary())], ["holder", "row", "zip"])
 
-    return rows.mapInArrow(run, "holder long, row long, zip binary")
+    return rows.mapInArrow(frugal(run), "holder long, row long, zip binary")
 
 
 def _blocks(texts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _blocks(texts: DataFrame, runs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["holder", "row", "at", "core", "hull", "windows"])
 
     both = texts.join(wanted.hint("shuffle_hash"), ["holder", "row"]).select("holder", "row", "zip", "at")
-    return both.mapInArrow(run, "holder long, row long, at long, core long, hull long, windows array<long>")
+    return both.mapInArrow(frugal(run), "holder long, row long, at long, core long, hull long, windows array<long>")
 
 
 def _refined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +222,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return both.mapInArrow(run, "holder long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return both.mapInArrow(frugal(run), "holder long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

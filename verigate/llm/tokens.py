@@ -14,7 +14,7 @@ import pyarrow as pa
 from verigate.llm.common import text_runs
 
 #: Pretokens remembered in one worker (about 200 bytes each), the longest one remembered, how many go as one text, and the bytes of text in a run.
-MEMO, LONGEST, RUN, RUN_BYTES = 400_000, 48, 200, 8 << 20
+MEMO, LONGEST, RUN, RUN_BYTES = 200_000, 48, 200, 4 << 20
 
 #: The byte-level pattern. Texts with a character of class ``_OTHER_TEXT`` are split by the pattern itself, all others
 #: by classes of characters: that class holds odd white space, number signs that aren't digits, and what stands
