@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and the tokenizer itself, on awkward rows."""
 
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -141,6 +142,52 @@ def test_minhash_brute_force(docs, texts):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if group[i] == i]
 
 
+def hot_texts(tails):
+    """Texts of 20 shingles whose four smallest hashes, all their keys at 85 %, are of one passage."""
+    rng = np.random.default_rng(5)
+    heads = [" ".join(f"p{x}" for x in row) for row in rng.integers(0, 1 << 40, (60_000, 12))]
+    data, starts = np.frombuffer("".join(heads).encode(), np.uint8), np.cumsum([0, *map(len, heads)])
+    with np.errstate(over="ignore"):
+        doc, h = minhash.shingles(data, starts)
+        low = np.sort(h.reshape(-1, 8), axis=1)[:, 3]
+        head, cut = heads[int(low.argmin())], low.min()
+        out = []
+        for tail in tails:
+            for salt in itertools.count():
+                words = [f"t{tail}x{salt}x{i}" for i in range(13)]
+                pair = [" ".join([head, *words[:12]]), " ".join([head, *words[:11], words[12]])]
+                data, starts = np.frombuffer("".join(pair).encode(), np.uint8), np.array([0, len(pair[0]), len(pair[0]) + len(pair[1])])
+                doc, h = minhash.shingles(data, starts)
+                if ((h <= cut).sum(), len(h)) == (8, 40):
+                    out.append(pair)
+                    break
+    return out
+
+
+def test_minhash_hot_buckets(spark):
+    made = hot_texts(range(60))
+    texts = [p[0] for p in made] + [p[1] for p in made[:4]]
+    sets = [shingle_set(t) for t in texts]
+    group = list(range(len(texts)))
+    for j in range(60, 64):
+        assert 100 * len(sets[j] & sets[j - 60]) >= 85 * len(sets[j] | sets[j - 60])
+        group[j] = j - 60
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, 85).collect()}
+    assert [got[i] for i in range(64)] == group
+
+
+def test_minhash_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rows = spark.createDataFrame([(1, i, i, 100 + 3 * i) for i in range(40)] + [(2, i, i, 70) for i in range(4)], "key long, node long, root long, n long")
+    blocks = {}
+    for r in minhash._blocks(rows, 85).collect():
+        blocks.setdefault((r.block, r.i, r.j), []).append(r)
+    met = {(min(x.node, y.node), max(x.node, y.node)) for (_, i, j), b in blocks.items() for x, y in itertools.combinations(b, 2) if i == j or x.own != y.own}
+    want = {(x, y) for x, y in itertools.combinations(range(40), 2) if 100 * (100 + 3 * x) >= 85 * (100 + 3 * y)}
+    assert want <= met and max(map(len, blocks.values())) < 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)] + [(500, x) for x in range(200, 230)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))

@@ -7,7 +7,9 @@ m - 1 pairs; the centre is the set whose buckets are largest, which for a group
 common source. Pairs are compared by one byte of each bin first, then confirmed on the full sets. While a round
 finds links, every bucket that still holds several components gets two more stars, around the member with the
 most links so far and around one drawn by a hash, towards the members of other components. Bucket keys are one,
-two or three neighbouring bands: the wider ones part dissimilar sets that share a narrow one. Components of the
+two or three neighbouring bands: the wider ones part dissimilar sets that share a narrow one. When the stars find no more,
+all members of each bucket of a single band that are still in different components meet: in blocks of a bounded
+number of rows, by sizes, then by the sketch or (small sets) by the number of shared prefix keys. Components of the
 links are the groups.
 
 Equal sets are one node, so exact copies never become pairs. Sets of up to ``SMALL`` shingles have too few
@@ -33,7 +35,7 @@ from verigate.llm.common import Rolling, frugal, mix64, seeds64, short_batches,
 from verigate.llm.components import components
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
-ROWS_A_TASK, PAIRS_A_TASK = 50_000, 3_000
+ROWS_A_TASK, PAIRS_A_TASK, BLOCK = 50_000, 3_000, 1_024
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -175,6 +177,95 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b", F.least("n_a", "n_b").alias("n")).mapInArrow(frugal(run), "a long, b long")
 
 
+def _blocks(left: DataFrame, percent: int) -> DataFrame:
+    """From rows (key, node, root, n) the blocks in which all pairs of a bucket meet: block, node, root, own, i, j.
+
+    A bucket of up to BLOCK rows is one block. A larger one is split into classes of size of which only equal and
+    neighbouring ones can hold a link, each two neighbours into cells, and each two cells are a block: rows of cell i
+    meet those of cell j.
+    """
+    wide = math.log(100 / max(percent, 1) * 1.0001) if percent < 100 else 1e-4
+    size = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    rows = left.join(size, "key")
+    few = rows.where(F.col("size") <= BLOCK).select(F.xxhash64("key").alias("block"), "node", "root", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    rank = F.floor(F.log(F.col("n").cast("double")) / wide).cast("int")
+    many = rows.where(F.col("size") > BLOCK).select("key", "node", "root", F.explode(F.array(rank, rank - 1)).alias("k"))
+    cells = many.groupBy("key", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
+    many = many.join(cells, ["key", "k"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit("cell")), F.col("cells")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    return few.union(many.select(F.xxhash64("key", "k", i, j).alias("block"), "node", "root", "own", i.alias("i"), j.alias("j")))
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of all blocks that may be links: rows are block, own, i, j, node, root, n, sketch, prefix, sorted by block."""
+    t = percent / 100
+    least = BINS * (t - 6 * math.sqrt(t * (1 - t) / BINS))
+
+    def pairs_of(own: np.ndarray, i: int, j: int, node: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, prefix: list) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(n, kind="stable")
+        own, node, root, n, sketch = own[order], node[order], root[order], n[order], sketch[order]
+        length = np.array([len(prefix[x]) for x in order])
+        # the rest of the smaller-ending prefix bounds what two sets can share beyond their shared prefix keys
+        shared = np.zeros((len(n), len(n)), dtype=np.int16) if n[0] <= SMALL else None
+        if shared is not None:
+            flat, of = np.concatenate([prefix[x] for x in order]), np.repeat(np.arange(len(n)), length)
+            by = np.argsort(flat, kind="stable")
+            cut = np.flatnonzero(np.diff(flat[by])) + 1
+            for x in np.split(of[by], cut):
+                if len(x) > 1:
+                    shared[np.ix_(x, x)] += 1
+        a, b = [], []
+        for x in range(len(n) - 1):
+            y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 100 // percent, side="right")) if percent else len(n))
+            y = y[(root[y] != root[x]) & ((i == j) | (own[y] != own[x]))]
+            if not len(y):
+                continue
+            if n[x] <= SMALL:
+                both = shared[x, y] + np.maximum(n[x] - length[x], n[y] - length[y])
+                y = y[(100 + percent) * both >= percent * (n[x] + n[y])]
+            else:
+                y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
+            a.append(np.full(len(y), node[x]))
+            b.append(node[y])
+        none = np.zeros(0, dtype=np.int64)
+        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, own, i, j, node, root, n = (t.column(c).to_numpy() for c in range(7))
+            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            prefix = [np.array(x, dtype=np.int64) for x in t.column(8).to_pylist()]
+            ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            first = 0
+            found = []
+            for end in ends:
+                if end - first > 1:
+                    s = slice(first, end)
+                    found.append(pairs_of(own[s], i[first], j[first], node[s], root[s], n[s], sketch[s], prefix[s]))
+                first = end
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], ["a", "b"])
+
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
+            if kept and (cut or kept[-1].column(0)[-1].as_py() != int(block[0])):
+                yield from done(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+                kept = []
+            elif cut:
+                yield from done(pa.Table.from_batches([batch.slice(0, cut)]))
+            kept.append(batch.slice(cut))
+        if kept:
+            yield from done(pa.Table.from_batches(kept))
+
+    return rows.mapInArrow(frugal(run), "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("members").alias("m_a"))
     b = sets.select(F.col("node").alias("b"), F.col("members").alias("m_b"))
@@ -255,6 +346,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
         if more:
             links = links.union(found)
             joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    # the stars end with the first round that finds no link; all members of a bucket that are still apart now meet
+    left = everyone.where("width = 1").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = left.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
+    left = staged(left.join(mixed, "key").join(involved.select("node", "n"), "node").coalesce(1 + everyone.count() // ROWS_A_TASK), "apart")
+    blocks = staged(_blocks(left, percent), "blocks")
+    opens = F.when(F.col("n") <= SMALL * 100 // percent, F.expr(f"slice(keys, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).otherwise(F.array().cast("array<bigint>"))
+    whole = involved.join(keyed.select("node", "keys"), "node").select("node", "n", "sketch", opens.alias("prefix"))
+    met = blocks.join(whole, "node").select("block", "own", "i", "j", "node", "root", "n", "sketch", "prefix")
+    met = met.repartition(1 + blocks.count() // ROWS_A_TASK, "block").sortWithinPartitions("block")
+    pairs = staged(_met(met, percent), "met")
+    pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = staged(_confirmed(pairs.coalesce(1 + pairs.count() // PAIRS_A_TASK), sets, percent), "links")
+    if not found.isEmpty():
+        links = links.union(found)
+        joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     least = joined.join(labels, "node").groupBy("root").agg(F.min("label").alias("least"))
     of = labels.join(joined, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "label").alias("component"))
     of = staged(of, "groups")
