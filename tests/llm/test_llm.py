@@ -307,6 +307,14 @@ def test_null_and_repeated_identifiers(spark):
         assert f(docs).count() == 5
 
 
+def test_deduplicate_null_and_repeated_identifiers(spark):
+    other = "other words here for a change"
+    rows = [(None, LONG), (3, LONG), (3, LONG), (3, other), (None, "a text of five words or more"), (None, "x y"), (4, other), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, minhash.deduplicate(docs, 85).collect()))
+    assert got == Counter([(None, LONG), (3, other), (None, "a text of five words or more"), (None, "x y"), (None, None), (5, "")])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -371,8 +371,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
 
 def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which one of each group stays (that with the smallest identifier), all columns as they were."""
-    found = near_duplicates(docs, percent, words, id_col, text_col).where("kept").select(F.col("doc_id").alias("_vg_kept")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_vg_kept"]), "left_semi").dropDuplicates([id_col])
+    # rows are told apart by numbers of their own, for an identifier may be null or stand on several texts
+    own = docs.withColumns({"_vg_row": F.monotonically_increasing_id(), "_vg_text": F.xxhash64(text_col)})
+    own = staged(own, "numbered_rows")
+    found = near_duplicates(own, percent, words, "_vg_row", text_col).select(F.col("doc_id").alias("_vg_row"), "component_id")
+    order = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), "_vg_text", "_vg_row")
+    first = own.select("_vg_row", order.alias("order")).join(found, "_vg_row").groupBy("component_id").agg(F.min("order").alias("first"))
+    return own.join(first.select("first._vg_row"), "_vg_row", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
