@@ -41,6 +41,16 @@ def test_similar_pairs_brute_force(spark):
     assert {(r.a, r.b) for r in dedup.similar_pairs(rows, "id", "block", "text", 0.7).collect()} == want
 
 
+def test_minhash_pairs_brute_force(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[:40 - i] + [f"z{i}"] * (i > 0)) for i in range(5)] + [" ".join(base)] * 3 + [" ".join(base[:20] + [f"y{i}" for i in range(20)]), "", "w1 w2"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [set(t.split()) for t in texts]
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2) if x and y and len(x & y) / len(x | y) >= 0.9}
+    got = [(r.a, r.b) for r in dedup.minhash_pairs(rows, "id", "text", 0.9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_code_guard(spark):
     code = "int a;\n// note\nint b;\nreturn a;\n}"
     rows = spark.createDataFrame([(code, code), (code, "int a;"), ("", "x"), (code, "int a;\nint b;\nint c;")], "a string, b string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,12 +83,26 @@ def near_dedup(df: DataFrame, id_col: str, block: str, text: str, threshold: flo
 
 
 def minhash_pairs(df: DataFrame, id_col: str, text: str, threshold: float, bands: int = 16, rows: int = 4) -> DataFrame:
-    """Approximate similarity join: banded signatures give candidates (a star for each bucket), exact likeness decides."""
-    sets = staged(df.select(F.col(id_col).alias("id"), F.array_distinct(tokens(text)).alias("set")).where(F.size("set") > 0))
-    hashes = F.array(*[F.array_min(F.transform("set", lambda w, i=i: F.xxhash64(F.lit(i), w))) for i in range(bands * rows)])
-    keys = sets.select("id", hashes.alias("h")).select("id", F.explode(F.array(*[F.xxhash64(F.lit(j), *[F.get("h", j * rows + k) for k in range(rows)]) for j in range(bands)])).alias("key"))
+    """Approximate similarity join: all pairs of sets that share a band are candidates, exact likeness decides.
+
+    Equal sets are one class; ``members`` brings their identifiers back. Pairs are (a, b) with a < b.
+    """
+    sets = staged(df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("set")).where(F.size("set") > 0).withColumn("node", F.md5(F.concat_ws(" ", "set"))))
+    members = sets.select("node", "id").where("id is not null").distinct()
+    sets = sets.select("node", "set").dropDuplicates(["node"])
+
+    def seeded(i: int) -> Callable[[Column], Column]:
+        return lambda w: F.xxhash64(F.lit(i), w)  # a second parameter would be taken for the place in the array
+
+    hashes = F.array(*[F.array_min(F.transform("set", seeded(i))) for i in range(bands * rows)])
+    keys = sets.select("node", F.size("set").alias("m"), hashes.alias("h")).select("node", "m", F.explode(F.array(*[F.xxhash64(F.lit(j), *[F.get("h", j * rows + k) for k in range(rows)]) for j in range(bands)])).alias("key"))
     keys = staged(keys)
-    centre = keys.groupBy("key").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "c")
-    pairs = keys.join(centre, "key").where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    x, y = keys.alias("x"), keys.alias("y")
+    like = (F.col("x.m") >= threshold * F.col("y.m") - 1e-9) & (F.col("y.m") >= threshold * F.col("x.m") - 1e-9)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & like).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
+    left, right = sets.select(F.col("node").alias("p"), F.col("set").alias("x")), sets.select(F.col("node").alias("q"), F.col("set").alias("y"))
+    found = pairs.join(left, "p").join(right, "q").select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    first, second = members.select(F.col("node").alias("p"), F.col("id").alias("i")), members.select(F.col("node").alias("q"), F.col("id").alias("j"))
+    apart = found.join(first, "p").join(second, "q").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+    equal = first.join(second, F.col("p") == F.col("q")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1.0).alias("similarity")).where(F.col("similarity") >= threshold)
+    return apart.union(equal)
