@@ -287,6 +287,13 @@ def test_images(spark):
     assert got[5000].group_id == 5000 and got[5001].n_corners == 0
 
 
+def test_images_corners_grow():
+    """A small crop of a large picture keeps enough corners to be found."""
+    big = images.picture([1.0, 2.0], side=800)
+    whole, part = images.descriptors(big.astype(np.float32)), images.descriptors(big[320:440, 520:640].astype(np.float32))
+    assert len(whole[1]) > 1000 and images.agreeing(*part, *whole) >= images.MIN_AGREEING
+
+
 @pytest.mark.parametrize("f", [
     lambda d: linededup.apply_bitmaps(d, linededup.keep_bitmaps(d)), suffixes.removals, lambda d: minhash.near_duplicates(d, 85), sharding.shard_documents,
     lzprint.fingerprints, lambda d: bytecnn.predict(d, bytecnn.learn(d)), lambda d: packing.pack(d, BPE, public_tokenizers.PATTERN), lambda d: pieces.digests(d, public_tokenizers.path("piece_bpe_32k.model")),
