@@ -294,6 +294,39 @@ def test_images_corners_grow():
     assert len(whole[1]) > 1000 and images.agreeing(*part, *whole) >= images.MIN_AGREEING
 
 
+def test_images_third_centre(spark, monkeypatch):
+    """Two copies (0, 1) whose buckets all have an image unlike them (2) as centre."""
+    first = images.picture([1.0])
+    pictures = [first, images.edited(first), images.picture([2.0]), images.picture([3.0])]
+    rows = spark.createDataFrame([(i, bytearray(images.to_pgm(p))) for i, p in enumerate(pictures)], "id long, image binary")
+    own = F.when(F.col("label") < 2, F.sequence(F.lit(1), F.lit(4))).when(F.col("label") == 2, F.sequence(F.lit(1), F.lit(12))).otherwise(F.sequence(F.lit(5), F.lit(12)))
+    monkeypatch.setattr(images, "_keys", lambda classes: classes.select("node", F.explode(own.cast("array<bigint>")).alias("key")))
+    assert {r.id: r.group_id for r in images.copies(rows).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_images_shared_logo(spark):
+    """Copies among many images that hold one logo, against brute force."""
+    logo = images.picture([9.0, 9.0], side=40)
+    pictures = []
+    for i in range(40):
+        img = images.picture([float(i), 5.0])
+        img[20:60, 20:60] = logo
+        pictures.append((i, bytearray(images.to_pgm(img))))
+        if i < 5:
+            pictures.append((100 + i, bytearray(images.to_pgm((img[2:, 2:] * 0.8 + 12).astype(np.uint8)))))
+    rows = spark.createDataFrame(pictures, "id long, image binary")
+    classes = images.described(rows).collect()
+    points = {r.id: (images._points(r.points), images._words(r.words)) for r in classes}
+    keys = {r.id: {(w, x) for row in np.frombuffer(r.words, ">u4").reshape(-1, 8).tolist() for w, x in enumerate(row)} for r in classes}
+    group = {i: i for i in points}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(points), 2) if len(keys[a] & keys[b]) >= images.MIN_SHARED and images.agreeing(*points[a], *points[b]) >= images.MIN_AGREEING]
+    for _ in group:
+        for a, b in linked:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r.id: r.group_id for r in images.copies(rows).collect()}
+    assert all(group[100 + i] == group[i] for i in range(5)) and got == group
+
+
 @pytest.mark.parametrize("f", [
     lambda d: linededup.apply_bitmaps(d, linededup.keep_bitmaps(d)), suffixes.removals, lambda d: minhash.near_duplicates(d, 85), sharding.shard_documents,
     lzprint.fingerprints, lambda d: bytecnn.predict(d, bytecnn.learn(d)), lambda d: packing.pack(d, BPE, public_tokenizers.PATTERN), lambda d: pieces.digests(d, public_tokenizers.path("piece_bpe_32k.model")),
