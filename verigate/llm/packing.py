@@ -5,14 +5,25 @@ says everything. The configuration linear program over it
 
     minimise sum_j x_j   subject to   sum_j a_jl x_j >= n_l   for every length l
 
-has a variable for each way to fill one sequence. Multiplicative weights solve it: lengths carry weights that
-fall as they are covered, and a knapsack by dynamic programming prices the best configuration under the
-weights. Rounding down leaves a few items for each configuration; best fit by decreasing length packs these.
-All of that costs the same at any input size; only the histogram and the final assignment see the rows.
+has a variable for each way to fill one sequence. Multiplicative weights solve it. Every length has a price; a
+knapsack by dynamic programming finds, for each length at once, the best configuration with it under these prices.
+A schedule says which share of every length should be covered by when. In each round the lengths behind it take what
+they lack from their own best configurations, as far as no other length of these gets further ahead than ``AHEAD``;
+prices fall by a factor where a length is ahead and rise where it is behind. After the schedule's end covered lengths
+have no price, and rounds go on until everything is covered. Any prices, divided by the worth of the best
+configuration, are feasible for the dual program, so the best of them bounds the number of sequences from below;
+``Plan`` holds both sides.
+
+Rounding goes along the configurations that fill a sequence, in the order of their longest lengths, and takes as many of
+each as the running total gains whole ones, where all its pieces are still there; some at the end, which hold the
+shortest pieces, are kept back. The program is solved again for what a pass leaves, while that is more than ``REST``
+pieces and passes place a tenth of it; best fit by decreasing
+length packs the rest. All of that costs the same at any input size; only the histogram and the final assignment see
+the rows.
 
 Defined results: a null text is empty (its document is the end id alone); a document longer than a sequence is
 cut into full pieces after a first piece that may be shorter; repeated identifiers are separate documents,
-ordered by text; an empty table gives no rows; other columns are ignored.
+ordered by their ids' checksum; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,74 +32,117 @@ import bisect
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import frugal, number_rows, short_batches, staged
+from verigate.llm.common import frugal, number_rows, staged
 from verigate.llm.tokens import encoder
 
-LENGTH, ROUNDS, STEP = 1024, 600, 0.12
+LENGTH = 1024
+#: Rounds of the schedule, the share of its need that a length may be ahead of it, the exponent of the prices.
+ROUNDS, AHEAD, STEP, TILT = 64, 0.05, 1.0, 0.3
+#: As many pieces may be left to best fit; sequences (and which part of them at most) that rounding keeps back for it.
+REST, BACK, BACK_PART = 1024, 128, 0.04
+
+
+class Plan(NamedTuple):
+    """Configurations (counts by length) and how often each is used; pieces by where their places come from."""
+
+    configurations: list[tuple[np.ndarray, int]]
+    full: int
+    by_program: int
+    by_best_fit: int
+    use: float  # the program's value for the lengths below a full sequence
+    bound: float  # from the dual: no packing of these needs less
 
 
-def best_configuration(weights: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
-    """The knapsack: counts a_l (l = 1..capacity, sum l * a_l <= capacity) of the largest total weight.
+def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every room c up to the capacity: the largest total price that fits, and how many of each length give it.
 
-    Dynamic programming over capacities; with ``most`` no length is taken more often than that.
+    Dynamic programming over the rooms; where ``most`` binds, a length is taken only while the configuration it joins
+    has fewer of it.
     """
-    lengths = np.flatnonzero(weights > 0)
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    worth = weights[lengths]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        best[c], take[c] = best[c - 1], 0
-        if k:
-            gain = worth[:k] + best[c - lengths[:k]]
-            i = int(np.argmax(gain))
-            if gain[i] > best[c] + 1e-15:
-                best[c], take[c] = gain[i], lengths[i]
-    counts, c = np.zeros(capacity + 1, dtype=np.int64), capacity
-    while c > 0:
-        n = int(take[c])
-        if n and (most is None or counts[n] < most[n]):
-            counts[n] += 1
-            c -= n
+    best, counts = np.zeros(capacity + 1), np.zeros((capacity + 1, len(lengths)), dtype=np.int16)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    scarce = np.flatnonzero(most < capacity // lengths)
+    limit = most[scarce]
+    upto_scarce = np.searchsorted(scarce, upto)
+    for c in range(int(lengths[0]), capacity + 1):
+        k, m = upto[c], upto_scarce[c]
+        before = c - lengths[:k]
+        gain = price[:k] + best[before]
+        if m:
+            own = scarce[:m]
+            gain[own[counts[before[own], own] >= limit[:m]]] = -1.0
+        i = int(gain.argmax())
+        if gain[i] > best[c - 1]:
+            best[c], counts[c] = gain[i], counts[before[i]]
+            counts[c, i] += 1
         else:
-            c -= 1
-    return counts
+            best[c], counts[c] = best[c - 1], counts[c - 1]
+    return best, counts
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[list[np.ndarray], np.ndarray]:
-    """Multiplicative weights for the configuration program: configurations and how often to use each (fractional)."""
-    need = histogram.astype(float)
-    have = need > 0
-    sizes = np.arange(capacity + 1)
-    if not have.any():
-        return [], np.zeros(0)
-    weights = np.where(have, sizes / capacity, 0.0)  # the first prices: room taken
-    configs: dict[bytes, int] = {}
+def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Multiplicative weights for the configuration program: configurations (rows, by length), how often to use each
+    (fractional; together they cover the histogram), and the dual's lower bound."""
+    lengths = np.flatnonzero(histogram)
+    if not len(lengths):
+        return np.zeros((0, capacity + 1), dtype=np.int64), np.zeros(0), 0.0
+    whole, need = histogram[lengths], histogram[lengths].astype(float)
+    covered = np.zeros(len(lengths))
+    # prices that are feasible as they are: the room taken, and 1 for all from a length on that leaves less than k
+    bound = max(float(need @ np.where(lengths > capacity - k, 1.0, np.where(lengths < k, 0.0, lengths / capacity))) for k in range(capacity // 2 + 1))
+    found: dict[bytes, int] = {}
     rows: list[np.ndarray] = []
     used: list[float] = []
-    covered = np.zeros(capacity + 1)
-    for _ in range(rounds):
-        a = best_configuration(weights, capacity)
-        amount = float(np.min(need[a > 0] / a[a > 0])) * step  # moves no length by more than a step of its need
-        j = configs.setdefault(a.tobytes(), len(rows))
-        if j == len(rows):
-            rows.append(a)
-            used.append(0.0)
-        used[j] += amount
-        covered += a * amount
-        share = np.where(have, covered / np.maximum(need, 1), 0.0)
-        # prices fall where lengths are covered ahead of the rest; the room taken stays the base price
-        weights = np.where(have, sizes / capacity * np.exp(-(share - share[have].min()) * 1.0), 0.0)
-    return rows, np.array(used)
-
-
-def plan(histogram: np.ndarray, capacity: int = LENGTH) -> list[tuple[np.ndarray, int]]:
-    """Whole configurations and their numbers, which hold every item of the histogram exactly once."""
+    t, gained, open_ = 0, 0.0, np.ones(len(lengths), dtype=bool)
+    while open_.any():
+        price = lengths / capacity * np.exp(STEP * (min(1.0, t / rounds) - covered / need))
+        if t % 8 == 0 and t <= rounds:
+            best, _ = knapsack(price, lengths, capacity, np.full(len(lengths), capacity))
+            bound = max(bound, float(need @ price) / float(best[capacity]))
+        price *= (lengths / capacity) ** TILT  # long pieces first: short ones fill what is left at the end
+        if t >= rounds:
+            price[~open_] = 0.0
+        best, counts = knapsack(price, lengths, capacity, whole)
+        goal, most = need * min(1.0, (t + 1) / rounds), need * min(1.0, (t + 1) / rounds + AHEAD)
+        # hardly ever: rounds that gain too little, and what is still open is covered whatever else that covers
+        late = t >= rounds and gained < 1e-3 * float((need - covered).clip(0) @ lengths)
+        before = float(covered @ lengths)
+        for i in np.flatnonzero(goal - covered > 1e-9 * need)[::-1].tolist():
+            lack = goal[i] - covered[i]
+            if lack <= 1e-9 * need[i]:
+                continue
+            a = counts[capacity - lengths[i]]
+            if a[i] < whole[i]:
+                a = a.copy()
+                a[i] += 1
+            held = np.flatnonzero(a)
+            amount = lack / a[i]
+            if not late:
+                amount = min(amount, float(((most[held] - covered[held]) / a[held]).min()))
+            if amount <= 1e-12 * need[i]:
+                continue
+            j = found.setdefault(a.tobytes(), len(rows))
+            if j == len(rows):
+                rows.append(a.astype(np.int64))
+                used.append(0.0)
+            used[j] += amount
+            covered[held] += a[held] * amount
+        t, gained = t + 1, float(covered @ lengths) - before
+        open_ = covered < need * (1 - 1e-6)
+    wide = np.zeros((len(rows), capacity + 1), dtype=np.int64)
+    wide[:, lengths] = rows
+    return wide, np.array(used), bound
+
+
+def plan(histogram: np.ndarray, capacity: int = LENGTH, rounds: int = ROUNDS) -> Plan:
+    """Whole configurations that hold every item of the histogram exactly once."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     out: list[tuple[np.ndarray, int]] = []
@@ -98,18 +152,28 @@ def plan(histogram: np.ndarray, capacity: int = LENGTH) -> list[tuple[np.ndarray
         only[capacity] = 1
         out.append((only, full))
         left[capacity] = 0
-    rows, x = solve(left, capacity)
-    for j in np.argsort(-x, kind="stable"):
-        a = rows[j]
-        n = int(min(np.floor(x[j]), (left[a > 0] // a[a > 0]).min()))
-        if n > 0:
-            out.append((a, n))
-            left -= a * n
-    while left.sum() > 4 * capacity:  # what rounding and the program's gap left over: fill greedily by the same knapsack
-        a = best_configuration(np.where(left > 0, np.arange(capacity + 1) + 1e-3 * np.arange(capacity + 1) ** 2 / capacity, 0.0), capacity, left)
-        n = int((left[a > 0] // a[a > 0]).min())
-        out.append((a, n))
-        left -= a * n
+    total, use, bound = int(left.sum()), 0.0, 0.0
+    first = True
+    sizes = np.arange(capacity + 1)
+    while left.any() and (first or int(left.sum()) > REST):
+        rows, x, least = solve(left, capacity, rounds if first else rounds // 4)
+        if first:
+            use, bound = float(x.sum()), least
+        longest = capacity - np.argmax(rows[:, ::-1] > 0, axis=1)
+        order = np.lexsort((-x, -longest))
+        order = order[np.cumsum(x[order][::-1])[::-1] > min(BACK, BACK_PART * x.sum())]
+        times = np.diff(np.floor(np.append(0.0, np.cumsum(x[order])) + 0.5)).astype(np.int64)
+        had = int(left.sum())
+        for j, n in zip(order.tolist(), times.tolist(), strict=True):
+            held = np.flatnonzero(rows[j])
+            n = min(n, int((left[held] // rows[j, held]).min())) if n else 0
+            if n:
+                out.append((rows[j], n))
+                left[held] -= rows[j, held] * n
+        first = False
+        if had - int(left.sum()) < had / 10:
+            break
+    rest = int(left.sum())
     room: list[int] = []  # best fit by decreasing length for the rest
     open_: list[np.ndarray] = []
     for length in range(capacity, 0, -1):
@@ -125,12 +189,11 @@ def plan(histogram: np.ndarray, capacity: int = LENGTH) -> list[tuple[np.ndarray
             i = bisect.bisect_left(room, free)
             room.insert(i, free)
             open_.insert(i, a)
-    return out + [(a, 1) for a in open_]
+    return Plan(out + [(a, 1) for a in open_], full, total - rest, rest, use, bound)
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenises and cuts: doc_id, copy (tells repeated identifiers apart), piece, start, length, ids_crc32."""
-    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tail = struct.pack("<I", end_id)
 
@@ -163,7 +226,7 @@ def assign(rows: DataFrame, capacity: int = LENGTH) -> DataFrame:
     for r in rows.groupBy("length").count().collect():  # at most one row for each length
         counts[r["length"]] = r["count"]
     sequence, at, places = 0, np.zeros(capacity + 1, dtype=np.int64), []
-    for a, n in plan(counts, capacity):
+    for a, n in plan(counts, capacity).configurations:
         offset = 0
         for length in np.flatnonzero(a)[::-1].tolist():
             k = int(a[length])
