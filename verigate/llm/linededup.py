@@ -1,22 +1,26 @@
 """Operator 5: line dedup, DataFrame functions only.
 
 Lines become 128-bit hashes of their keys with document and position. These narrow rows are dealt by ranges of
-(hash, document, position) and sorted within a range, so a line that a third of all documents hold spreads
-over many ranges. Per hash, partial sums are taken before the exchange: how many documents hold it and which
-comes first in the stream (the largest identifier). The result is not text but, for each document that loses
-lines, a run-length compressed keep bitmap: the lengths of alternating runs kept, dropped, kept, ...
+(hash, document descending, position) and streamed in that order, so a line that a third of all documents hold spreads
+over many ranges: within a range a running rank counts a hash's documents, and its first occurrence is the document
+that keeps the line. Only a range's first and last hash can go on in its neighbours; what a range knows of these two
+(documents, largest and smallest identifier) is carried over, two rows for each range. The result is not text but, for
+each document that loses lines, a run-length compressed keep bitmap: the lengths of alternating runs kept, dropped,
+kept, ...
 
 Defined results: a null or empty text is one empty line; rows with the same identifier are one holder of a
 line; a null identifier is a holder too, smaller than all others; a document that loses every line keeps an
-empty text; an empty table gives no rows; other columns pass through ``apply_bitmaps`` untouched.
+empty text; an empty table gives no rows; other columns pass through ``apply_bitmaps`` untouched, but for columns with
+the names of its two counts, which it replaces (with ``counts=None`` it adds none and replaces none).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from verigate.llm.common import n_partitions, staged
+from verigate.llm.common import discard, n_partitions, staged
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +46,19 @@ def occurrences(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", te
     return rows.where(F.char_length("key") >= min_chars).select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x5EED), key).alias("h2"), F.col("_vg_holder").alias("holder"), F.col("_vg_row").alias("row"), "pos")
 
 
+def _carried(stream: DataFrame) -> DataFrame:
+    """For the first and last hash of every range: at, h1, h2, and over all ranges n (documents) and first (largest holder)."""
+    key = F.struct("h1", "h2")
+    ends = stream.groupBy("at").agg(F.min(key).alias("low"), F.max(key).alias("high"))  # one row for each range
+    edge = stream.join(F.broadcast(ends), "at").where((key == F.col("low")) | (key == F.col("high")))
+    edge = edge.groupBy("at", "h1", "h2").agg(F.count_distinct("holder").alias("m"), F.max("holder").alias("top"), F.min("holder").alias("least"))
+    in_order = Window.partitionBy("h1", "h2").orderBy("at")
+    every = Window.partitionBy("h1", "h2")
+    # a holder that ends one range and begins the next counts once
+    own = edge.withColumn("m", F.col("m") - F.coalesce(F.lag("least").over(in_order) == F.col("top"), F.lit(False)).cast("long"))
+    return own.select("at", "h1", "h2", F.sum("m").over(every).alias("n_over"), F.max("top").over(every).alias("first_over"))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document that loses lines: holder, row, n_dropped, keep_runs (array of run lengths).
 
@@ -50,10 +67,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     """
     lines = staged(occurrences(docs, min_chars, id_col, text_col), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("holder").desc(), F.col("row"), F.col("pos")]
-    stream = staged(lines.repartitionByRange(n_partitions(lines), *order).sortWithinPartitions(*order), "stream")
-    frequent = stream.groupBy("h1", "h2").agg(F.count_distinct("holder").alias("n"), F.max("holder").alias("first")).where(F.col("n") >= min_docs)
-    frequent = staged(frequent.select("h1", "h2", "first"), "frequent")
-    dropped = stream.join(frequent, ["h1", "h2"]).where(F.col("holder") != F.col("first")).select("holder", "row", "pos")
+    stream = staged(lines.repartitionByRange(n_partitions(lines), *order).withColumn("at", F.spark_partition_id()), "stream")
+    discard(lines)
+    own = Window.partitionBy("at", "h1", "h2")
+    ranked = stream.withColumns({"k": F.dense_rank().over(own.orderBy(F.col("holder").desc())), "top": F.max("holder").over(own)})
+    ranked = ranked.withColumn("m", F.max("k").over(own))
+    found = ranked.join(F.broadcast(_carried(stream)), ["at", "h1", "h2"], "left")  # two rows for each range
+    frequent = F.coalesce("n_over", F.col("m")) >= min_docs
+    dropped = found.where(frequent & (F.col("holder") != F.coalesce("first_over", "top"))).select("holder", "row", "pos")
     at = dropped.groupBy("holder", "row").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     begin = F.filter("at", lambda p, i: (i == 0) | (p != F.get("at", i - 1) + 1))
     end = F.filter("at", lambda p, i: (i == F.size("at") - 1) | (p != F.get("at", i + 1) - 1))
@@ -61,8 +82,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col
     return at.withColumns({"begin": begin, "end": end}).select("holder", "row", F.size("at").cast("long").alias("n_dropped"), F.flatten(runs).alias("keep_runs"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their text cut to the kept lines, and n_lines (before) and n_dropped."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with their text cut to the kept lines, and two counts: lines before, and dropped."""
     maps = bitmaps.select(F.col("holder").alias("_vg_of"), F.col("row").alias("_vg_of_row"), F.col("n_dropped").alias("_vg_n"), F.col("keep_runs").alias("_vg_runs"))
     rows = _keyed(docs, id_col, text_col)
     both = rows.join(maps.hint("shuffle_hash"), (F.col("_vg_holder") == F.col("_vg_of")) & (F.col("_vg_row") == F.col("_vg_of_row")), "left")
@@ -71,11 +92,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     n_lines = F.octet_length("_vg_text") - F.octet_length(F.replace(F.col("_vg_text"), F.lit("\n"), F.lit(""))) + 1
     both = both.withColumn("_vg_flags", flags)
     text = F.when(F.col("_vg_n").isNull(), F.col(text_col)).otherwise(kept)
-    return both.select(
-        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        n_lines.cast("long").alias("n_lines"),
-        F.coalesce("_vg_n", F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    added = dict(zip(counts, (n_lines, F.coalesce("_vg_n", F.lit(0))), strict=True)) if counts else {}
+    kept_columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in added]
+    return both.select(*kept_columns, *[value.cast("long").alias(name) for name, value in added.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
