@@ -3,13 +3,14 @@
 The network sees windows of ``WINDOW`` bytes: convolutions of several widths over the bytes, the largest value of
 each filter in the window, a softmax over the languages. A convolution over one-hot bytes is a sum of table
 rows, one table for each place in the filter. It is trained here, in numpy, on a bounded sample of labelled
-rows: ``SAMPLE_DOCS`` documents (those with the smallest hashes of their identifiers), ``SAMPLE_WINDOWS`` windows
-of each at hashed places. Prediction covers every window of the whole text; a document's score is the softmax
+rows: ``SAMPLE_DOCS`` documents (those with the smallest hashes of identifier and text), ``SAMPLE_WINDOWS`` windows
+of each at hashed places of the whole text. Prediction covers every window of the whole text; a document's score is the softmax
 of its windows' mean log-probabilities, weighted by their bytes.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where there was nothing to learn
 from; a row without a language is never learnt from; ties go to the language that sorts first; repeated rows
-get equal predictions; an empty table gives no rows; extra columns are ignored.
+get equal predictions and are learnt from once; an empty table gives no rows; extra columns are kept (see ``predict``
+for those that have the names of the results).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import frugal, short_batches, text_runs
+from verigate.llm.common import frugal, text_runs
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE, SEED = 4000, 3, 3, 128, 0.02, 9
@@ -72,7 +73,7 @@ def windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin = starts[:-1][text] + k * WINDOW
     held = np.minimum(WINDOW, starts[1:][text] - begin)
     padded = np.concatenate((data, np.zeros(WINDOW, dtype=np.uint8)))
-    x = padded[begin[:, None] + np.arange(WINDOW)]
+    x = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[begin]
     x[np.arange(WINDOW) >= held[:, None]] = 0
     return x, text, held
 
@@ -125,35 +126,45 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """The network for the languages of the labelled rows that aren't held out; None without such rows."""
+    """The network for the languages of the labelled rows that aren't held out; None without such rows.
+
+    The sample are the ``SAMPLE_DOCS`` smallest hashes of identifier and text. A threshold on the hash, from the number
+    of rows, leaves little more than the sample before anything is sorted or sent.
+    """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) > 0))
     blob = F.col(text_col).cast("binary")
     room = F.greatest(F.octet_length(text_col) - WINDOW + 1, F.lit(1))
     key = F.xxhash64(F.lit(SEED), F.col(id_col), text_col)
+    n = rows.count()
+    some = min(1.0, 2 * (SAMPLE_DOCS + 100) / max(n, 1))
+    if some < 1:
+        rows = rows.where(key < int((2 * some - 1) * (1 << 63)))
     parts = [F.substring(blob, (F.pmod(F.xxhash64(key, F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
-    sample = rows.select(key.alias("key"), F.col(lang_col).cast("string").alias("lang"), F.array(*parts).alias("parts")).orderBy("key", "lang", "parts").limit(SAMPLE_DOCS).collect()
+    # repeated rows have one key; they are one row of the sample, and go as one over the exchange
+    found = rows.groupBy(key.alias("key"), F.col(lang_col).cast("string").alias("lang")).agg(F.first(F.array(*parts)).alias("parts"))
+    sample = found.orderBy("key", "lang").limit(SAMPLE_DOCS).collect()
     if not sample:
         return None
     return train([bytes(p) for r in sample for p in r["parts"]], [r["lang"] for r in sample for _ in r["parts"]])
 
 
-def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score; takes nothing but the text."""
-    short_batches(docs.sparkSession)
-    schema = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in schema]
-    base = docs.select(*[docs[n] for n in names])
+def predict(docs: DataFrame, net: Network | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its score under ``names`` (columns that have these names are replaced); takes
+    nothing but the text."""
+    lang_name, score_name = names
+    kept = [c for c in docs.columns if c not in names]
+    base = docs.select(*[docs[n] for n in kept])
     letters = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
     if net is None:
-        return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    kinds = base.schema.add("_vg_letter", "boolean").add("lang_pred", "string").add("score", "double")
+        return base.withColumns({lang_name: F.lit(UNKNOWN), score_name: F.lit(0.0)})
+    kinds = base.schema.add("_vg_letter", "boolean").add(lang_name, "string").add(score_name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best, score = [], []
             for _, rows, data, starts in text_runs(b, text_col, RUN_BYTES):
-                x, text, held = windows(data, starts)
                 total = np.zeros((rows, len(net.langs)))
+                x, text, held = windows(data, starts)
                 np.add.at(total, text, net.log_probabilities(x) * held[:, None])
                 total /= np.maximum(np.diff(starts), 1)[:, None]
                 p = np.exp(total - total.max(axis=1, keepdims=True))
@@ -163,15 +174,17 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> Dat
             letter = b.column(b.num_columns - 1).to_pylist()
             lang = pa.array([net.langs[i] if ok else UNKNOWN for i, ok in zip(best, letter, strict=True)], pa.string())
             value = pa.array([s if ok else 0.0 for s, ok in zip(score, letter, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, lang, value], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, lang, value], [*b.schema.names, lang_name, score_name])
 
     return base.withColumn("_vg_letter", letters).mapInArrow(frugal(run), kinds).drop("_vg_letter")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language the network tells; undetermined or doubtful ones (score under MIN_SCORE) go."""
-    found = predict(docs, learn(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """The documents whose language the network tells, all columns as they were; undetermined or doubtful ones (score
+    under ``least``) go, and so do null texts and texts without a letter."""
+    names = ("_vg_lang", "_vg_score")
+    found = predict(docs, learn(docs), names=names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
