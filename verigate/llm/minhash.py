@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import Rolling, frugal, mix64, seeds64, short_batches, staged, text_runs
+from verigate.llm.common import Rolling, frugal, mix64, seeds64, staged, text_runs
 from verigate.llm.components import components
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
@@ -128,19 +128,19 @@ def _profile(data: np.ndarray, starts: np.ndarray, percent: int, band: int, word
 
 
 def profiles(docs: DataFrame, percent: int, band: int, words: int) -> DataFrame:
-    """For each row: doc_id, n (set size), node (of its set; null where empty), keys (buckets), sketch."""
+    """For each row (doc_id, t, text): doc_id, t, n (set size), node (of its set; null where empty), keys (buckets), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "k1", "k2", "keys", "sketch"]
+        names = ["doc_id", "t", "n", "k1", "k2", "keys", "sketch"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         with np.errstate(over="ignore"):
             for b in batches:
                 for lo, rows, data, starts in text_runs(b, "text", RUN_BYTES):
                     columns = _profile(data, starts, percent, band, words)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), b.column(1).slice(lo, rows), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
-    out = docs.mapInArrow(frugal(run), "doc_id long, n long, k1 long, k2 long, keys array<long>, sketch binary")
-    return out.select("doc_id", "n", F.when(F.col("n") > 0, F.xxhash64("k1", "k2", "n")).alias("node"), "keys", "sketch")
+    out = docs.mapInArrow(frugal(run), "doc_id long, t long, n long, k1 long, k2 long, keys array<long>, sketch binary")
+    return out.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.xxhash64("k1", "k2", "n")).alias("node"), "keys", "sketch")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -283,26 +283,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest identifier of its group), kept.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t, text: rows are told apart by identifier and text hash, for an identifier may be null or repeat."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col(id_col).isNull(), text).alias("t"), text.alias("text"))
 
-    Two sets are linked where 100 * intersection >= percent * union.
-    """
-    spark = docs.sparkSession
-    short_batches(spark)
+
+def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all rows, and for each node: root (of its component) and label (its smallest identifier)."""
+    spark = rows.sparkSession
     band = 5 if percent >= 85 else 4
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = staged(profiles(rows, percent, band, words), "profiles")
     held = every.where("node is not null")
-    labels = staged(held.groupBy("node").agg(F.min("doc_id").alias("label")), "labels")
+    labels = held.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    labels = staged(labels.select("node", F.col("first.doc_id").alias("label"), F.col("first.t").alias("label_t")), "labels")
     nodes = held.select("node", "n", "keys", "sketch").dropDuplicates(["node"])
     buckets = staged(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
     shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = staged(buckets.join(shared, "key"), "members")
     busy = staged(members.groupBy("node").agg(F.sum("size").alias("rank")), "busy")
-    involved = staged(held.join(busy, "node").select("node", "n", "sketch", "doc_id").join(labels, "node").where("doc_id = label").dropDuplicates(["node"]).select("node", "n", "sketch", "label"), "involved")
-    texts = rows.join(involved.select(F.col("label").alias("doc_id"), "node").hint("shuffle_hash"), "doc_id").select("doc_id", "node", "text")
-    sets = staged(full_sets(texts.select("text", "node"), words), "sets").dropDuplicates(["node"])
+    involved = staged(held.join(busy, "node").select("node", "n", "sketch", "doc_id", "t").join(labels, "node").where("doc_id = label and t = label_t").dropDuplicates(["node"]).select("node", "n", "sketch", "label", "label_t"), "involved")
+    texts = rows.join(involved.select(F.col("label").alias("doc_id"), F.col("label_t").alias("t"), "node").hint("shuffle_hash"), ["doc_id", "t"]).select("text", "node")
+    sets = staged(full_sets(texts, words), "sets").dropDuplicates(["node"])
     keyed = staged(nodes.select("node", "keys").join(busy, "node"), "keyed")
 
     def bucketed(width: int) -> DataFrame:
@@ -361,23 +363,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     if not found.isEmpty():
         links = links.union(found)
         joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    least = joined.join(labels, "node").groupBy("root").agg(F.min("label").alias("least"))
-    of = labels.join(joined, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "label").alias("component"))
-    of = staged(of, "groups")
+    return every, staged(labels.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "label"), "groups")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest identifier of its group), kept.
+
+    Two sets are linked where 100 * intersection >= percent * union.
+    """
+    every, groups = _grouped(_rows(docs, id_col, text_col), percent, words)
+    least = groups.groupBy("root").agg(F.min("label").alias("component"))
+    of = staged(groups.join(least, "root").select("node", "component"), "components")
     out = every.select("doc_id", "n", "node").join(of, "node", "left").select(F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return out.select(real.alias("doc_id"), "n_shingles", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which one of each group stays (that with the smallest identifier), all columns as they were."""
-    # rows are told apart by numbers of their own, for an identifier may be null or stand on several texts
-    own = docs.withColumns({"_vg_row": F.monotonically_increasing_id(), "_vg_text": F.xxhash64(text_col)})
-    own = staged(own, "numbered_rows")
-    found = near_duplicates(own, percent, words, "_vg_row", text_col).select(F.col("doc_id").alias("_vg_row"), "component_id")
-    order = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), "_vg_text", "_vg_row")
-    first = own.select("_vg_row", order.alias("order")).join(found, "_vg_row").groupBy("component_id").agg(F.min("order").alias("first"))
-    return own.join(first.select("first._vg_row"), "_vg_row", "left_semi").select(*docs.columns)
+    """The documents of which one of each group stays (that with the smallest identifier), all columns as they were.
+
+    Rows without words all stay. Of rows with equal identifiers and texts, which are one group, an arbitrary one stays.
+    """
+    rows = _rows(docs, id_col, text_col)
+    every, groups = _grouped(rows, percent, words)
+    alone = F.col("node").isNull()
+    own = every.select("doc_id", "t", "node").groupBy("doc_id", "t").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("copies"))
+    first = own.join(groups.select("node", "root"), "node").groupBy("root").agg(F.min(F.struct("doc_id", "t", "copies")).alias("first")).select("first.*")
+    stay = staged(first.union(own.where(alone).select("doc_id", "t", F.lit(0).cast("long"))), "stay").select(F.col("doc_id").alias("_vg_id"), F.col("t").alias("_vg_t"), F.col("copies").alias("_vg_copies"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == stay["_vg_id"]) & (F.xxhash64(docs[id_col].isNull(), text) == stay["_vg_t"])
+    both = docs.join(stay.hint("shuffle_hash"), same)
+    repeated = both.where("_vg_copies > 1").dropDuplicates(["_vg_id", "_vg_t"])
+    return both.where("_vg_copies <= 1").unionByName(repeated).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
