@@ -8,8 +8,9 @@ Phrase sets contain every prefix of a phrase, so the longest known phrase at a p
 the last phrase's length up or down. A text and its edited form share their parse up to the first edited
 character.
 
-Documents meet their successors by ranges of the identifier: bounds come from approximate quantiles (as many as
-there are partitions); the first document of a range also goes, once more, to the range before it.
+Documents meet their successors by ranges of (identifier, text hash): the bounds are where the ranges of an exchange
+of these two numbers begin; the first document of a range also goes, once more, to the range before it. Equal rows are
+counted before the exchange, and go as one.
 
 Defined results: a null text is empty; an empty text has the fingerprint without phrases, likeness 1 to another
 such and 0 to all others; repeated identifiers follow each other by a hash of their texts; a null identifier comes
@@ -28,9 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import mix64, n_partitions, seeds64, short_batches
+from verigate.llm.common import frugal, mix64, n_partitions, seeds64
 
 BINS, NO_ID = 128, -(1 << 63)
+#: Ranges at most (their bounds are known to every task); beyond, ranges grow and stay streams.
+MAX_RANGES = 20_000
 _NONE = 0xFFFF
 _BASE = int(seeds64(1, 77)[0]) | 1
 _tables: list[np.ndarray] = []
@@ -107,66 +110,83 @@ def _hex(sig: np.ndarray) -> str:
     return sig.astype(">u2").tobytes().hex()
 
 
+def _codes(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash deals to it."""
+    found = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("code")).collect()  # n rows
+    codes = {r["p"]: r["code"] for r in found}
+    return [codes.get(p, p) for p in range(n)]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last n_chars // 2 characters replaced by the first as many (or all) of the next document.
     """
     spark = docs.sparkSession
-    short_batches(spark)
-    n = partitions or n_partitions(docs, 16 << 20)
+    n = min(MAX_RANGES, partitions or n_partitions(docs, 16 << 20))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(key.alias("key"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    cut = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n).alias("q")).first()["q"] or []
-    bounds = np.unique(np.array(cut, dtype=np.int64))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            part = np.searchsorted(bounds, ids, side="left")
-            parts = np.unique(part)
-            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([int(ids[part == p].min()) for p in parts], pa.int64())], ["part", "first"])
-
-    firsts = {r["part"]: r["first"] for r in docs.select(key.alias("key")).mapInArrow(least, "part int, first long").groupBy("part").agg(F.min("first").alias("first")).collect()}  # one row for each partition
-    order = sorted(firsts)
-    before = {firsts[p]: order[i - 1] for i, p in enumerate(order)}
+    no_id = F.col(id_col).isNull()
+    rows = docs.select(key.alias("key"), no_id.alias("no_id"), F.xxhash64(no_id, text).alias("tie"), text.alias("text"))
+    dealt_numbers = rows.select("key", "tie").repartitionByRange(n, "key", "tie").withColumn("part", F.spark_partition_id())
+    firsts = dealt_numbers.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("first")).collect()  # one row for each range
+    bounds = np.array(sorted({(r["first"]["key"], r["first"]["tie"]) for r in firsts}), dtype=[("key", "<i8"), ("tie", "<i8")])
+    last = len(bounds) - 1
+    codes = np.array(_codes(spark, last + 1) if last >= 0 else [], dtype=np.int64)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        names = ["part", "tail", "key", "no_id", "tie", "zip"]
+        names = ["code", "part", "tail", "key", "no_id", "tie", "copies", "zip"]
         for b in batches:
-            ids = b.column(0).to_pylist()
-            part = np.searchsorted(bounds, np.array(ids, dtype=np.int64), side="left").astype(np.int32)
-            zips = pa.array([squeeze.compress(t.as_buffer()) for t in b.column(3).cast(pa.large_binary())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([False] * len(ids)), *b.columns[:3], zips], names)
-            again = [i for i, d in enumerate(ids) if d in before]
-            if again:
-                take = pa.array(again)
-                yield pa.RecordBatch.from_arrays([pa.array([before[ids[i]] for i in again], pa.int32()), pa.array([True] * len(again)), *(c.take(take) for c in b.columns[:3]), zips.take(take)], names)
+            if not b.num_rows:
+                continue
+            ids = np.empty(b.num_rows, dtype=bounds.dtype)
+            ids["key"], ids["tie"] = b.column(0).to_numpy(), b.column(2).to_numpy()
+            _, one, copies = np.unique(ids, return_index=True, return_counts=True)
+            own, ids = b.take(pa.array(one)), ids[one]
+            part = np.searchsorted(bounds, ids, side="right") - 1
+            zips = pa.array([squeeze.compress(t.as_buffer()) for t in own.column(3).cast(pa.large_binary())], pa.binary())
+            first = np.flatnonzero(ids == bounds[part])  # these go to the range before, too
+            for take, where, tail in ((np.arange(len(ids)), part, False), (first, (part[first] - 1) % (last + 1), True)):
+                if len(take):
+                    at = pa.array(take)
+                    columns = [pa.array(codes[where]), pa.array(where.astype(np.int32)), pa.array([tail] * len(take)), *(own.column(c).take(at) for c in range(3)), pa.array(copies[take].astype(np.int64)), zips.take(at)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        last, where, out = None, None, []
+        held, where, out = None, None, []
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
         with np.errstate(over="ignore"):
             for b in batches:
-                for part, tail, doc_id, no_id, zipped in zip(*(b.column(i) for i in (0, 1, 2, 3, 5)), strict=True):
-                    if tail.as_py() and last is None:
-                        continue  # a repeat of the next range's first identifier
+                for part, tail, doc_id, no_id, copies, zipped in zip(*(b.column(i) for i in (1, 2, 3, 4, 6, 7)), strict=True):
+                    if tail.as_py() and held is None:
+                        continue  # a repeat of the next range's first document
                     text = unzip.decompress(zipped.as_buffer()).decode("utf-8", "replace")
                     own = parsed(text)
-                    if last is not None and where == part.as_py():
-                        out.append(_compared(*last, text, own))
-                    where, last = part.as_py(), None if tail.as_py() else (None if no_id.as_py() else doc_id.as_py(), text, own)
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-                out = []
-
-    parts = rows.mapInArrow(dealt, "part int, tail boolean, key long, no_id boolean, tie long, zip binary").repartition(max(1, len(order)), "part")
+                    if held is not None and where == part.as_py():
+                        out.append(_compared(*held, text, own))
+                    where = part.as_py()
+                    held = None if tail.as_py() else (None if no_id.as_py() else doc_id.as_py(), text, own)
+                    if held and copies.as_py() > 1:  # equal rows follow each other
+                        again = _compared(*held, text, own)
+                        for _ in range(copies.as_py() - 1):
+                            out.append(again)
+                            if len(out) >= 1024:
+                                yield batch()
+                                out.clear()
+                yield batch()
+                out.clear()
+
+    parts = rows.mapInArrow(frugal(dealt), "code long, part int, tail boolean, key long, no_id boolean, tie long, copies long, zip binary").repartition(max(1, last + 1), "code")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return parts.sortWithinPartitions("part", "tail", "key", "tie").mapInArrow(printed, schema)
+    return parts.sortWithinPartitions("part", "tail", "key", "tie").mapInArrow(frugal(printed), schema)
 
 
 def _compared(doc_id: int | None, text: str, own: tuple, following: str, after: tuple) -> tuple:
