@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and the tokenizer itself, on awkward rows."""
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -112,7 +113,7 @@ def test_line_dedup(docs, texts):
 def test_suffixes_brute_force(docs, texts):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[s : s + 200] for d in data for s in range(len(d) - 199))
-    got = {r.holder: r for r in suffixes.removals(docs).collect()}
+    got = {r.doc_id: r for r in suffixes.removals(docs).collect()}
     for i, d in enumerate(data):
         gone = np.zeros(len(d), dtype=bool)
         for s in range(len(d) - 199):
@@ -270,12 +271,41 @@ def test_packing(docs, texts):
     assert len(by_sequence) <= -(-total // 256) + 3
 
 
+def best_fit(h, capacity=1024):
+    room = []
+    for length in range(capacity, 0, -1):
+        for _ in range(int(h[length])):
+            i = bisect.bisect_left(room, length)
+            bisect.insort(room, (room.pop(i) if i < len(room) else capacity) - length)
+    return room
+
+
 def test_packing_plan_near_bound():
+    """The program does the packing: its value lies next to the dual's bound and its configurations place the pieces."""
+    sizes = np.arange(1025)
     rng = np.random.default_rng(3)
-    h = np.bincount(rng.integers(1, 400, 20_000), minlength=1025)
+    for h in (np.bincount(rng.integers(1, 400, 20_000), minlength=1025), np.bincount(np.minimum(1024, rng.lognormal(6, 1, 12_000).astype(int) + 1), minlength=1025)):
+        plan = packing.plan(h)
+        assert (sum(a * n for a, n in plan.configurations) == h).all() and all((a * sizes).sum() <= 1024 for a, _ in plan.configurations)
+        used, short = sum(n for _, n in plan.configurations), int(h[1:1024].sum())
+        assert plan.by_program >= 0.9 * short and plan.by_program + plan.by_best_fit == short and plan.full == h[1024]
+        assert plan.bound <= plan.use <= 1.005 * plan.bound and plan.bound + plan.full <= used <= 1.003 * (plan.bound + plan.full) + 3
+        assert used <= 1.001 * len(best_fit(h)) + 2
+
+
+def test_packing_prices():
+    """The knapsack against all configurations of a few lengths; long pieces that can't share bound the program."""
+    lengths, price = np.array([3, 5, 7]), np.array([0.31, 0.5, 0.75])
+    best, counts = packing.knapsack(price, lengths, 20, np.full(3, 20))
+    for room in range(21):
+        want = max(price @ c for c in itertools.product(range(8), repeat=3) if lengths @ c <= room)
+        assert best[room] == pytest.approx(want) and price @ counts[room] == pytest.approx(want) and lengths @ counts[room] <= room
+    few, counts = packing.knapsack(price, lengths, 20, np.array([1, 1, 1]))
+    assert few[20] == pytest.approx(1.56) and counts[20].tolist() == [1, 1, 1]
+    h = np.zeros(1025, dtype=np.int64)
+    h[[600, 700, 20]] = 50, 30, 3
     plan = packing.plan(h)
-    assert (sum(a * n for a, n in plan) == h).all() and all((a * np.arange(1025)).sum() <= 1024 for a, _ in plan)
-    assert sum(n for _, n in plan) <= -(-int((h * np.arange(1025)).sum()) // 1024) * 1.005 + 1
+    assert plan.bound == pytest.approx(80) and sum(n for _, n in plan.configurations) == 80
 
 
 def test_images(spark):

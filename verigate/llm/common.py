@@ -13,17 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows in one Arrow batch; documents are long, so batches are kept short.
-ARROW_ROWS = 400
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is missing (tests, one machine) a temporary folder takes its place.
+    Only a local session, whose driver is its one executor, may do without it: a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verigate-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,12 +42,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more, where all that came from them is staged itself."""
+    """Deletes staged tables that nothing reads any more, where all that came from them is staged itself.
+
+    A collection on the driver lets Spark's cleaner delete the shuffle files of the steps that are over, too.
+    """
     for df in tables:
         spark = df.sparkSession
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -65,11 +67,6 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def n_partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for an exchange of ``df``: the session's number, or more where the input's size asks for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import short_batches
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 MEMO, LONGEST = 400_000, 48
@@ -185,7 +184,6 @@ def segmenter(path: str) -> Segmenter:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian 32-bit) of every whole text."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = segmenter(path)
@@ -208,7 +206,6 @@ def decode_documents(ids: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document, from one encoding and its decoding: n_tokens, ids_crc32, decoded_sha256, round_trip."""
-    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = segmenter(path)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verigate.llm.common import fresh_path, frugal, n_partitions, short_batches
+from verigate.llm.common import fresh_path, frugal, n_partitions
 from verigate.llm.tokens import encoder
 
 MAGIC, VERSION = b"VGSST\x00\x00\x01", 1
@@ -206,7 +206,6 @@ def _key_and_total(foot: bytes) -> tuple[bytes, int]:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes every whole text and writes the shards. One exchange, by ranges of the identifier."""
-    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards or n_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     tail = b"" if end_id is None else struct.pack("<I", end_id)
