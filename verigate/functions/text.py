@@ -89,10 +89,44 @@ def repo_key(c: Column | str) -> Column:
 
 
 def fenced(c: Column | str, languages: str = "java|jsp") -> Column:
-    """The first fenced block of one of the languages (or of none); the trimmed text where there is none."""
-    pattern = rf"(?is)```(?:{languages})?[^\S\n]*\n(.*?)```"
+    """The first fenced block of one of the languages (or of none), without the newlines around it; the trimmed text
+    where there is none. The fence's first line holds nothing else."""
+    pattern = rf"(?is)```[ \t]*(?:{languages})?[ \t]*\r?\n(.*?)```"
     t = _text(c)
-    return F.when(t.rlike(pattern), F.btrim(F.regexp_extract(t, pattern, 1), F.lit("\n"))).otherwise(F.trim(t))
+    return F.when(t.rlike(pattern), F.btrim(F.regexp_extract(t, pattern, 1), F.lit("\n"))).otherwise(_strip(t))
+
+
+def _strip(c: Column) -> Column:
+    return _sub(c, r"(?U)^\s+|\s+$", "")
+
+
+def fenced_anyhow(c: Column | str, language: str = "java") -> Column:
+    """The first fenced block, also one that begins on the fence's line, trimmed; the trimmed text where there is none."""
+    pattern = rf"(?isU)```(?:{language})?\s*(.*?)```"
+    t = _text(c)
+    return F.when(t.rlike(pattern), _strip(F.regexp_extract(t, pattern, 1))).otherwise(_strip(t))
+
+
+def relative_path(path: Column | str, root: Column | str) -> Column:
+    """An absolute path below a root, from there; any other path as it is."""
+    p, r = _c(path), F.concat(F.rtrim(_c(root), F.lit("/")), F.lit("/"))
+    return F.when(p.startswith(r) & (r != "/"), F.substring(p, F.length(r) + 1, F.length(p))).otherwise(p)
+
+
+def skeleton(code: Column | str) -> Column:
+    """A class of the same package and name without the code's body: what a deleting patch would leave."""
+    t = _text(code)
+    package, name = F.regexp_extract(t, r"(?m)^\s*package\s+([\w.]+)\s*;", 1), F.regexp_extract(t, r"\b(?:class|interface|enum)\s+(\w+)", 1)
+    head = F.when(package != "", F.concat(F.lit("package "), package, F.lit(";\n\n"))).otherwise("")
+    return F.concat(head, F.lit("public class "), F.coalesce(F.nullif(name, F.lit("")), F.lit("Emptied")), F.lit(" {\n}\n"))
+
+
+# What mustn't be published, by path.
+FORBIDDEN = r"(?i)(^|/)(\.env$|secrets/|.*\.token$|.*\.key$|.*\.pptx?$|handbook|problem-statement|photos/)"
+
+
+def forbidden_path(path: Column | str, pattern: str = FORBIDDEN) -> Column:
+    return _text(path).rlike(pattern)
 
 
 def first_nonempty(*columns: Column | str) -> Column:
@@ -168,3 +202,4 @@ def pair_key(a: Column | str, b: Column | str) -> Column:
 def code_key(a: Column | str, b: Column | str) -> Column:
     """SHA-1 of two normalised codes with a NUL between."""
     return F.sha1(F.concat(normalize_code(a), F.lit("\0"), normalize_code(b)))
+

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigate.functions.text import collapse_whitespace, pair_key, repo_key
-from verigate.operators.dedup import first_per_key
+from verigate.operators.dedup import first_per_key, greedy_drops, minhash_pairs
 from verigate.operators.split import before, hold_out
 
 
@@ -31,8 +31,51 @@ def pairs(methods: DataFrame, files: DataFrame, commits: DataFrame, fixes: DataF
     return own.join(cwe, own["cve"] == cwe["cve_id"], "left").select("vuln", "fixed", "repo", "cdate", "cve", F.coalesce("cwe", F.lit("")).alias("cwe"), "ord")
 
 
-def build(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str) -> dict[str, DataFrame]:
-    """The stages of the corpus by name: raw, after the hold-out, the temporal cut and the exact dedup."""
+# The names of the columns of the five tables, in the order in which they are tried.
+COLUMNS = {
+    "methods": {"code": ["code", "code_change", "method_code"], "before_change": ["before_change", "is_before", "before"], "name": ["name", "method_name", "signature"], "file_change_id": ["file_change_id"]},
+    "files": {"file_change_id": ["file_change_id"], "programming_language": ["programming_language", "language"], "hash": ["hash", "commit_hash"]},
+    "commits": {"hash": ["hash", "commit_hash"], "repo_url": ["repo_url", "repo_name", "repository"], "committer_date": ["committer_date", "author_date", "commit_date", "date"]},
+    "fixes": {"hash": ["hash", "commit_hash"], "cve_id": ["cve_id", "cve"]},
+    "classes": {"cve_id": ["cve_id", "cve"], "cwe_id": ["cwe_id", "cwe"]},
+}
+OPTIONAL = {"name", "repo_url", "committer_date"}
+
+
+def probed(table: DataFrame, kind: str) -> DataFrame:
+    """One of the five tables with its columns under their common names (``ord`` too, where it has one).
+
+    Optional columns that are missing are empty; others that are missing are named in an error, before anything runs.
+    """
+    have, out, missing = set(table.columns), [], []
+    for name, aliases in COLUMNS[kind].items():
+        found = next((a for a in aliases if a in have), None)
+        if found:
+            out.append(F.col(found).alias(name))
+        elif name in OPTIONAL:
+            out.append(F.lit("").alias(name))
+        else:
+            missing.append(f"{kind}.{name}")
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    return table.select(*out, *(["ord"] if "ord" in have else []))
+
+
+def near_dedup(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Without pairs whose words (both sides together) are like those of an earlier pair that stays (by ``ord``).
+
+    Candidates come from minimum hashes; likeness is exact, so that nothing goes by a chance of the hashes.
+    """
+    both = pairs.withColumn("_both", F.concat("vuln", F.lit(" "), "fixed"))
+    gone = greedy_drops(minhash_pairs(both, "ord", "_both", threshold, tokens_of="words"))
+    return pairs.join(gone, pairs["ord"] == gone["id"], "left_anti")
+
+
+def build(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str, near: float | None = None) -> dict[str, DataFrame]:
+    """The stages of the corpus by name: raw, after the hold-out, the temporal cut, the exact and the near dedup."""
     held = hold_out(raw.withColumn("_repo", repo_key("repo")), "cve", "_repo", cves, repos).drop("_repo")
     cut = held.where(before(F.coalesce("cdate", F.lit("")), cutoff))
-    return {"raw": raw, "after_holdout": held, "after_temporal_cut": cut, "after_dedup": first_per_key(cut, pair_key("vuln", "fixed"), [F.col("ord")])}
+    stages = {"raw": raw, "after_holdout": held, "after_temporal_cut": cut, "after_dedup": first_per_key(cut, pair_key("vuln", "fixed"), [F.col("ord")])}
+    if near is not None:
+        stages["after_near_dedup"] = near_dedup(stages["after_dedup"], near)
+    return stages

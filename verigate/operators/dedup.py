@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verigate.functions.text import jaccard, tokens
+from verigate.functions.text import collapse_whitespace, jaccard, tokens
 from verigate.operators.tables import staged
 
 #: Sorts after every date; stands for an empty one.
@@ -34,27 +34,51 @@ def exact(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return keyed.join(least, "_key").withColumn("dup", F.col("_order") != F.col("_least")).drop("_key", "_order", "_least")
 
 
-def similar_pairs(df: DataFrame, id_col: str, block: str, text: str, threshold: float) -> DataFrame:
-    """Pairs (a, b, similarity) with a < b in one block whose token sets are alike by the threshold.
+def _classes(df: DataFrame, id_col: str, block: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): node and id of every row with tokens; node, block, set and first id of every distinct set."""
+    own = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.array_sort(F.array_distinct(tokens(text))).alias("set")).where(F.size("set") > 0)
+    own = staged(own.withColumn("node", F.md5(F.concat_ws(" ", F.coalesce("block", F.lit("")), "set"))))
+    classes = own.groupBy("node").agg(F.min("id").alias("first"), F.first("block").alias("block"), F.first("set").alias("set"))
+    return own.select("node", "id"), staged(classes)
+
 
-    Prefix filter: two sets above the threshold share one of their rarest tokens, as many of them as the
-    threshold leaves open. Only such pairs of like sizes are compared.
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (p, q, similarity) of distinct sets (node, block, set) of one block that are alike by the threshold.
+
+    Prefix filter: two sets above the threshold share one of their rarest tokens, as many of them as the threshold
+    leaves open; and from the first one they share, enough tokens have to be left in both. Only such pairs of like
+    sizes are compared.
     """
-    sets = staged(df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.array_distinct(tokens(text)).alias("set")).where(F.size("set") > 0))
-    words = sets.select("id", "block", F.size("set").alias("m"), F.explode("set").alias("word"))
-    count = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"))
-    rare = Window.partitionBy("id").orderBy("n", "word")
-    prefix = words.join(count.where("n > 1"), ["block", "word"]).withColumn("at", F.row_number().over(rare))
+    words = classes.select("node", "block", F.size("set").alias("m"), F.explode("set").alias("word"))
+    count = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rare = Window.partitionBy("node").orderBy("n", "word")
     # tokens that stand in one set only come first in the order: they can't match, and shorten the rest
-    alone = prefix.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    prefix = prefix.join(alone, "id").where(F.col("at") <= F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1 - (F.col("m") - F.col("shared")))
-    prefix = staged(prefix.select("id", "block", "word", "m"))
+    known = words.join(count, ["block", "word"]).withColumns({"at": F.row_number().over(rare), "shared": F.count(F.lit(1)).over(Window.partitionBy("node"))})
+    known = known.withColumn("at", F.col("at") + F.col("m") - F.col("shared"))
+    prefix = staged(known.where(F.col("at") <= F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1).select("node", "block", "word", "m", "at"))
     a, b = prefix.alias("a"), prefix.alias("b")
     like = (F.col("a.m") >= threshold * F.col("b.m") - 1e-9) & (F.col("b.m") >= threshold * F.col("a.m") - 1e-9)
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & like)
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    room = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at")) + 1
+    enough = room >= (F.col("a.m") + F.col("b.m")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = a.join(b, F.col("a.block").eqNullSafe(F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.node") < F.col("b.node")) & like & enough)
+    pairs = pairs.select(F.col("a.node").alias("p"), F.col("b.node").alias("q")).distinct()
+    left, right = classes.select(F.col("node").alias("p"), F.col("set").alias("x")), classes.select(F.col("node").alias("q"), F.col("set").alias("y"))
+    return pairs.join(left, "p").join(right, "q").select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _expanded(found: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, similarity) of rows, a < b, from pairs of classes and the classes themselves."""
+    first, second = members.select(F.col("node").alias("p"), F.col("id").alias("i")), members.select(F.col("node").alias("q"), F.col("id").alias("j"))
+    apart = found.join(first, "p").join(second, "q").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+    equal = first.join(second, F.col("p") == F.col("q")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1.0).alias("similarity"))
+    return apart.union(equal.where(F.col("similarity") >= threshold))
+
+
+def similar_pairs(df: DataFrame, id_col: str, block: str, text: str, threshold: float) -> DataFrame:
+    """Pairs (a, b, similarity) with a < b in one block whose token sets are alike by the threshold. The pairs are the
+    result itself, those of equal sets too; ``near_dedup`` doesn't need these."""
+    members, classes = _classes(df, id_col, block, text)
+    return _expanded(similar_classes(classes, threshold), members, threshold)
 
 
 def greedy_drops(pairs: DataFrame) -> DataFrame:
@@ -75,21 +99,30 @@ def greedy_drops(pairs: DataFrame) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, id_col: str, block: str, text: str, threshold: float = 0.9) -> DataFrame:
-    """The rows that the greedy rule keeps; a threshold of 0 or less keeps all."""
+    """The rows that the greedy rule keeps; a threshold of 0 or less keeps all.
+
+    Equal sets share their fate with the first of them, which they are like: only it meets other sets.
+    """
     if threshold <= 0:
         return df
-    gone = greedy_drops(similar_pairs(df, id_col, block, text, threshold))
-    return df.join(gone, df[id_col] == gone["id"], "left_anti")
+    members, classes = _classes(df, id_col, block, text)
+    first = classes.select("node", "first")
+    pairs = similar_classes(classes, threshold).join(first.withColumnsRenamed({"node": "p", "first": "a"}), "p").join(first.withColumnsRenamed({"node": "q", "first": "b"}), "q")
+    gone = greedy_drops(pairs.select("a", "b"))
+    later = members.join(first, "node").where(F.col("id") != F.col("first")).select("id")
+    return df.join(gone.union(later).withColumnRenamed("id", "_gone"), df[id_col] == F.col("_gone"), "left_anti")
 
 
-def minhash_pairs(df: DataFrame, id_col: str, text: str, threshold: float, bands: int = 16, rows: int = 4) -> DataFrame:
+def minhash_pairs(df: DataFrame, id_col: str, text: str, threshold: float, bands: int = 16, rows: int = 4, tokens_of: str = "code") -> DataFrame:
     """Approximate similarity join: all pairs of sets that share a band are candidates, exact likeness decides.
 
-    Equal sets are one class; ``members`` brings their identifiers back. Pairs are (a, b) with a < b.
+    Sets are of code tokens, or of words between white space (``tokens_of="words"``). Equal sets are one class;
+    ``members`` brings their identifiers back. Pairs are (a, b) with a < b.
     """
-    sets = staged(df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("set")).where(F.size("set") > 0).withColumn("node", F.md5(F.concat_ws(" ", "set"))))
+    own = tokens(text) if tokens_of == "code" else F.filter(F.split(collapse_whitespace(text), " "), lambda w: w != "")
+    sets = staged(df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(own)).alias("set")).where(F.size("set") > 0).withColumn("node", F.md5(F.concat_ws(" ", "set"))))
     members = sets.select("node", "id").where("id is not null").distinct()
-    sets = sets.select("node", "set").dropDuplicates(["node"])
+    sets = staged(sets.select("node", "set").dropDuplicates(["node"]))
 
     def seeded(i: int) -> Callable[[Column], Column]:
         return lambda w: F.xxhash64(F.lit(i), w)  # a second parameter would be taken for the place in the array
@@ -102,7 +135,4 @@ def minhash_pairs(df: DataFrame, id_col: str, text: str, threshold: float, bands
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & like).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
     left, right = sets.select(F.col("node").alias("p"), F.col("set").alias("x")), sets.select(F.col("node").alias("q"), F.col("set").alias("y"))
     found = pairs.join(left, "p").join(right, "q").select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
-    first, second = members.select(F.col("node").alias("p"), F.col("id").alias("i")), members.select(F.col("node").alias("q"), F.col("id").alias("j"))
-    apart = found.join(first, "p").join(second, "q").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
-    equal = first.join(second, F.col("p") == F.col("q")).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1.0).alias("similarity")).where(F.col("similarity") >= threshold)
-    return apart.union(equal)
+    return _expanded(found, members, threshold)

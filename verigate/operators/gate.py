@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verigate.functions.text import count_elements, count_returns, count_statements, retained
-from verigate.operators.metrics import FLAGS, tool_clean
+from verigate.functions.text import count_elements, retained, statement_lines
+from verigate.operators.metrics import FLAGS, cleared, tool_clean
 
 MIN_RETAINED = 0.6
 
+#: Fixed value: what the next attempt is told where no layer failed.
+NO_FAILURES = "The previous patch did not pass the verification gate."
+
+
+@dataclass(frozen=True)
+class GateOptions:
+    """Thresholds and which layers have to be there."""
+
+    min_retained: float = MIN_RETAINED
+    require_baseline: bool = True
+    semgrep_required: bool = True
+    codeql_required: bool = False
+
+
+def _base(path: Column) -> Column:
+    flat = F.ltrim(F.replace(F.replace(F.coalesce(path, F.lit("")), F.lit("file://"), F.lit("")), F.lit("\\"), F.lit("/")), F.lit("/"))
+    return F.element_at(F.split(flat, "/"), -1)
+
 
 def same_file(a: Column, b: Column) -> Column:
-    """Paths name the same file if their last segments agree."""
-    base = lambda p: F.element_at(F.split(F.replace(F.regexp_replace(p, "^file://", ""), F.lit("\\"), F.lit("/")), "/"), -1)
-    return (base(a) == base(b)) & (base(a) != "")
+    """Paths name the same file if their last segments agree; an empty path names none."""
+    return (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "") & (_base(a) == _base(b))
 
 
 def in_scope(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -23,80 +42,106 @@ def in_scope(findings: DataFrame, rules: DataFrame) -> DataFrame:
     ``findings`` has check_id and cwe, ``rules`` has cwe and rule. An empty or unmapped weakness has no scope: all its
     findings stay. An empty check_id never matches.
     """
-    own = rules.where("rule <> ''").groupBy("cwe").agg(F.collect_set("rule").alias("_rules"))  # a handful for each weakness
-    both = findings.join(own.withColumnRenamed("cwe", "_cwe"), F.upper(findings["cwe"]) == F.col("_cwe"), "left")
+    own = rules.where("rule <> ''").groupBy(F.upper("cwe").alias("_cwe")).agg(F.collect_set("rule").alias("_rules"))  # a handful for each weakness
+    both = findings.join(own, F.upper(findings["cwe"]) == F.col("_cwe"), "left")
     hit = F.exists("_rules", lambda r: (F.col("check_id") == r) | F.col("check_id").endswith(r) | r.endswith(F.col("check_id")))
     return both.where(F.col("_rules").isNull() | ((F.col("check_id") != "") & hit)).drop("_rules", "_cwe")
 
 
+def on_file(findings: DataFrame, patches: DataFrame, key: str, path: str = "path", target: str = "patched_file") -> DataFrame:
+    """The findings on the file that their patch changes."""
+    own = patches.select(F.col(key).alias("_patch"), F.col(target).alias("_target"))
+    return findings.join(own, findings[key] == own["_patch"]).where(same_file(F.col(path), F.col("_target"))).drop("_patch", "_target")
+
+
 def sast_gate(patches: DataFrame, findings: DataFrame, key: str, required: tuple[bool, bool] = (True, False)) -> DataFrame:
-    """semgrep_clean and codeql_clean for each patch (columns semgrep_error and codeql_error say that a tool failed)."""
+    """semgrep_clean and codeql_clean for each patch (columns semgrep_error and codeql_error say that a tool failed).
+
+    ``findings`` are those in scope and on the file: see ``in_scope`` and ``on_file``.
+    """
     n = findings.groupBy(key).agg(F.count_if(F.col("tool") == "semgrep").alias("_s"), F.count_if(F.col("tool") == "codeql").alias("_c"))
     both = patches.join(n, key, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return both.withColumns({"semgrep_clean": tool_clean(zero(F.col("_s")), F.col("semgrep_error"), required[0]), "codeql_clean": tool_clean(zero(F.col("_c")), F.col("codeql_error"), required[1])}).drop("_s", "_c")
 
 
-def test_name(c: Column) -> Column:
-    return F.replace(F.trim(c), F.lit("::"), F.lit("#"))
+def same_test(wanted: Column, found: Column) -> Column:
+    """Does a found id name the wanted test? Class#method (or ::), Class.method, the two without a separator, or the
+    class alone, which stands for each of its methods."""
+    ids = [F.replace(F.trim(c), F.lit("::"), F.lit("#")) for c in (wanted, found)]
+    (w, w_class, w_method), (f, f_class, f_method) = ((i, F.substring_index(i, "#", 1), F.when(i.contains("#"), F.regexp_replace(i, r"^[^#]*#", "")).otherwise("")) for i in ids)
+    dotted = (f_method == "") & (w_method != "") & (f == F.concat(w_class, F.lit("."), w_method))
+    joined = ((f_method == "") & (w_method != "") & (f_class == F.concat(w_class, w_method))) | ((w_method == "") & (f_method != "") & (w_class == F.concat(f_class, f_method)))
+    plain = (f_class == w_class) & ((w_method == "") | (f_method == w_method))
+    return (w == f) | dotted | joined | plain
+
 
+def failing_ids(failures: Column) -> Column:
+    """Test ids of failure records: Class#method, or the class where no method is named."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.transform(failures, lambda f: F.when(blank(f["test_method"]) != "", F.concat(blank(f["test_class"]), F.lit("#"), f["test_method"])).otherwise(blank(f["test_class"])))
 
-def same_test(wanted: Column, cls: Column, method: Column) -> Column:
-    """Does a wanted id name this test? Class#method, Class.method, Classmethod, or the class alone."""
-    w = test_name(wanted)
-    return (w == F.concat(cls, F.lit("#"), method)) | (w == F.concat(cls, F.lit("."), method)) | (w == F.concat(cls, method)) | (w == cls)
 
+def named(wanted: Column, found: Column) -> tuple[Column, Column]:
+    """The wanted ids that are among the found ones, and those that aren't."""
+    hit = lambda w: F.exists(found, lambda f: same_test(w, f))
+    return F.filter(wanted, hit), F.filter(wanted, lambda w: ~hit(w))
 
-def pov_state(wanted: Column, failures: Column) -> tuple[Column, Column]:
-    """The wanted ids that are among the failures, and those that aren't."""
-    failing = lambda w: F.exists(failures, lambda f: same_test(w, F.coalesce(f["test_class"], F.lit("")), F.coalesce(f["test_method"], F.lit(""))))
-    return F.filter(wanted, failing), F.filter(wanted, lambda w: ~failing(w))
 
+def regressions(wanted: Column, before: Column, after: Column) -> Column:
+    """Ids that fail after the patch, aren't wanted ones and didn't fail before."""
+    return F.filter(after, lambda f: ~F.exists(wanted, lambda w: same_test(w, f)) & ~F.exists(before, lambda b: same_test(b, f)))
 
-def regression(wanted: Column, before: Column, after: Column) -> Column:
-    """Failures after the patch that are neither wanted ids nor failed before."""
-    def new(f: Column) -> Column:
-        cls, method = F.coalesce(f["test_class"], F.lit("")), F.coalesce(f["test_method"], F.lit(""))
-        old = F.exists(before, lambda b: (F.coalesce(b["test_class"], F.lit("")) == cls) & (F.coalesce(b["test_method"], F.lit("")) == method))
-        return ~F.exists(wanted, lambda w: same_test(w, cls, method)) & ~old
 
-    return F.filter(after, new)
+def tests_pass(failing: Column, error: Column, passing: Column, required: Column) -> Column:
+    """Nothing fails or errs, and every required id is among the passing ones."""
+    return (failing == 0) & (error == 0) & F.forall(required, lambda r: F.exists(passing, lambda p: same_test(r, p)))
 
 
 def code_guard(before: Column | str, after: Column | str, least: float = MIN_RETAINED) -> Column:
-    """struct(ok, ratio, returns_kept, counts): enough statements stay, and the ways out if there were any."""
-    s0, s1, r0, r1 = count_statements(before), count_statements(after), count_returns(before), count_returns(after)
-    ratio = retained(s1, s0)
-    kept = (r0 == 0) | (r1 > 0)
-    return F.struct(((ratio >= least) & kept).alias("ok"), ratio.alias("ratio"), kept.alias("returns_kept"), s0.alias("orig_statements"), s1.alias("new_statements"), r0.alias("orig_returns"), r1.alias("new_returns"))
+    """struct(ok, ratio, returns_kept, counts): enough statements stay, and no fewer ways out."""
+
+    def counts(c: Column | str) -> Column:
+        return F.transform(F.array(statement_lines(c)), lambda s: F.struct(F.size(s).alias("n"), F.size(F.filter(s, lambda x: x.contains("return") | x.contains("throw"))).alias("r")))[0]
+
+    def judged(x: Column) -> Column:
+        old, new = x["old"], x["new"]
+        ratio, kept = retained(new["n"], old["n"]), new["r"] >= old["r"]
+        return F.struct(((ratio >= least) & kept).alias("ok"), ratio.alias("ratio"), kept.alias("returns_kept"), old["n"].alias("orig_statements"), new["n"].alias("new_statements"), old["r"].alias("orig_returns"), new["r"].alias("new_returns"))
+
+    return F.transform(F.array(F.struct(counts(before).alias("old"), counts(after).alias("new"))), judged)[0]  # counts are taken once
 
 
 def dom_guard(before: Column | str, after: Column | str, least: float = MIN_RETAINED) -> Column:
-    return F.struct((retained(count_elements(after), count_elements(before)) >= least).alias("ok"), retained(count_elements(after), count_elements(before)).alias("ratio"))
+    """struct(ok, ratio): enough elements stay."""
+    both = F.array(F.struct(count_elements(before).alias("old"), count_elements(after).alias("new")))
+    ratio = F.transform(both, lambda x: retained(x["new"], x["old"]))
+    return F.transform(ratio, lambda r: F.struct((r >= least).alias("ok"), r.alias("ratio")))[0]
 
 
-def run_gate(df: DataFrame, require_baseline: bool = True) -> DataFrame:
-    """Six flags and the verdict for each patch.
+def run_gate(df: DataFrame, options: GateOptions = GateOptions()) -> DataFrame:
+    """Six flags, the layers (name, passed, detail) and the verdict for each patch.
 
-    Takes compiles, pov_tests, failures before and after, semgrep_clean, codeql_clean, code_before, code_after. If the
-    baseline doesn't fail as it should, the whole verdict is false.
+    Takes compiles, pov_tests, the failures before and after with the tests that pass after (failures_before,
+    failures_after, passing_after), semgrep_clean, codeql_clean, code_before, code_after. A wanted test has flipped if
+    it failed before and is among those that pass now; without wanted tests any failure before and none after count.
+    If the baseline doesn't fail as it should, the whole verdict is false.
     """
-    found, missing = pov_state(F.col("pov_tests"), F.col("before"))
-    failed_first = F.when(F.size("pov_tests") > 0, F.size(missing) == 0).otherwise(F.size("before") > 0)
-    still, _ = pov_state(F.col("pov_tests"), F.col("after"))
-    fixed = F.when(F.size("pov_tests") > 0, F.size(still) == 0).otherwise(F.size("after") == 0)
-    flags = {
-        "regression_pass": F.col("compiles") & (F.size(regression(F.col("pov_tests"), F.col("before"), F.col("after"))) == 0),
-        "pov_flipped": F.col("compiles") & failed_first & fixed,
-        "not_deleted": code_guard("code_before", "code_after")["ok"],
-    }
-    out = df.withColumns(flags | {"baseline_failed": failed_first})
-    usable = F.col("baseline_failed") if require_baseline else F.lit(True)
-    out = out.withColumns({f: usable & F.col(f) for f in FLAGS})
-    everything = F.lit(True)
-    for f in FLAGS:
-        everything &= F.col(f)
-    return out.withColumn("cleared", everything)
+    before, after = failing_ids(F.col("failures_before")), failing_ids(F.col("failures_after"))
+    some = F.size("pov_tests") > 0
+    failed_first = F.when(some, F.size(named(F.col("pov_tests"), before)[1]) == 0).otherwise(F.size("failures_before") > 0)
+    fixed = F.when(some, F.size(named(F.col("pov_tests"), F.col("passing_after"))[1]) == 0).otherwise(F.size("failures_after") == 0)
+    out = df.withColumns({
+        "baseline_failed": failed_first,
+        "regression_pass": F.col("compiles") & (F.size(regressions(F.col("pov_tests"), before, after)) == 0),
+        "_guard": code_guard("code_before", "code_after", options.min_retained),
+    })
+    out = out.withColumns({"pov_flipped": F.col("compiles") & F.col("baseline_failed") & fixed, "not_deleted": F.col("_guard.ok")}).drop("_guard")
+    usable = F.col("baseline_failed") if options.require_baseline else F.lit(True)
+    out = out.withColumns({f: usable & F.coalesce(F.col(f), F.lit(False)) for f in FLAGS})
+    reason = F.when(usable, "").otherwise("baseline doesn't fail as expected: unusable")
+    layers = F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("passed"), F.when(F.col(f), "").otherwise(reason).alias("detail")) for f in FLAGS])
+    return out.withColumns({"layers": layers, "cleared": cleared()})
 
 
 def accessibility(html: Column | str) -> Column:
@@ -113,12 +158,28 @@ def accessibility(html: Column | str) -> Column:
     )
 
 
-def a11y_gate(base: Column, after: Column, before_html: Column, after_html: Column) -> Column:
-    """struct(had_violations, flipped, not_deleted, cleared, still_failing): every rule that failed before passes now."""
-    failing = F.map_keys(F.map_filter(base, lambda _, v: v > 0))
-    still = F.array_sort(F.filter(failing, lambda k: F.coalesce(F.try_element_at(after, k), F.lit(0)) > 0))
-    had, flipped, kept = F.size(failing) > 0, F.size(still) == 0, dom_guard(before_html, after_html)["ok"]
-    return F.struct(had.alias("had_violations"), flipped.alias("flipped"), kept.alias("not_deleted"), (had & flipped & kept).alias("cleared"), still.alias("still_failing"))
+def a11y_gate(base: Column, after: Column, before_html: Column, after_html: Column, targets: list[str] | None = None, least: float = MIN_RETAINED) -> Column:
+    """struct(had_violations, violations_after, flipped, not_deleted, cleared, still_failing) of two rule maps.
+
+    Every rule that failed before (or of ``targets``) has to pass now, and there has to be something to mend.
+    """
+    only = (lambda m: F.map_filter(m, lambda k, v: (v > 0) & k.isin(targets))) if targets else (lambda m: F.map_filter(m, lambda _, v: v > 0))
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda s, v: s + v)
+
+    def judged(x: Column) -> Column:
+        wanted = F.array(*[F.lit(t) for t in targets]) if targets else F.map_keys(x["b"])
+        still = F.array_sort(F.filter(wanted, lambda k: F.coalesce(F.try_element_at(x["a"], k), F.lit(0)) > 0))
+        had, kept = total(x["b"]) > 0, x["kept"]
+        flipped = had & (F.size(still) == 0)
+        return F.struct(had.alias("had_violations"), total(x["a"]).alias("violations_after"), flipped.alias("flipped"), kept.alias("not_deleted"), (flipped & kept).alias("cleared"), still.alias("still_failing"))
+
+    return F.transform(F.array(F.struct(only(base).alias("b"), only(after).alias("a"), dom_guard(before_html, after_html, least)["ok"].alias("kept"))), judged)[0]
+
+
+def rule_summary(by_rule: Column) -> Column:
+    """"rule (xN), ..." by rule name, or a fixed text for none."""
+    entries = F.transform(F.array_sort(F.map_entries(by_rule)), lambda e: F.concat(e["key"], F.lit(" (x"), e["value"].cast("string"), F.lit(")")))
+    return F.when(F.size(entries) > 0, F.array_join(entries, ", ")).otherwise("none reported")
 
 
 def rule_changes(before: Column, after: Column) -> Column:
@@ -126,7 +187,14 @@ def rule_changes(before: Column, after: Column) -> Column:
     return F.map_zip_with(before, after, lambda _, x, y: F.struct(F.coalesce(x, F.lit(0)).alias("before"), F.coalesce(y, F.lit(0)).alias("after")))
 
 
-def feedback(layers: Column) -> Column:
-    """The failing layers as text for the next attempt (array of struct name, passed, detail)."""
+def failing_lines(layers: Column) -> Column:
+    """The failing layers, a line each (array of struct name, passed, detail)."""
     lines = F.transform(F.filter(layers, lambda x: ~x["passed"]), lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), F.coalesce(x["detail"], F.lit(""))))
     return F.array_join(lines, "\n")
+
+
+def feedback(layers: Column, head: str = "") -> Column:
+    """The failing layers as text for the next attempt, below ``head``; a fixed sentence where none failed."""
+    text = failing_lines(layers)
+    return F.when(text == "", NO_FAILURES).otherwise(F.concat(F.lit(head), text))
+

@@ -9,7 +9,7 @@ from verigate.functions.rates import rate, wilson
 
 # Weaknesses that the scanners cover, strata, verdict flags.
 COVERED = ["CWE-89", "CWE-78", "CWE-79", "CWE-22", "CWE-327", "CWE-328", "CWE-611", "CWE-502", "CWE-90", "CWE-91", "CWE-113", "CWE-326", "CWE-295"]
-STRATA = ["overall", "vul4j", "vjbench", "vjbench-trans", "covered", "uncovered"]
+STRATA = ["overall", "vul4j", "vjbench", "vjbench-trans", "semgrep-covered", "semgrep-uncovered"]
 FLAGS = ["compiles", "regression_pass", "pov_flipped", "semgrep_clean", "codeql_clean", "not_deleted"]
 
 
@@ -37,7 +37,7 @@ def is_covered(cwe: str, covered: list[str] = COVERED) -> Column:
 
 def source_stratum(bug: str, source: str) -> Column:
     b, s = F.lower(F.coalesce(F.col(bug), F.lit(""))), F.lower(F.coalesce(F.col(source), F.lit("")))
-    return F.when(b.contains("trans"), "vjbench-trans").when(s.startswith("vjbench") | b.startswith("vjbench"), "vjbench").otherwise("vul4j")
+    return F.when(b.contains("trans"), "vjbench-trans").when((s == "vjbench") | b.startswith("vjbench"), "vjbench").otherwise("vul4j")
 
 
 def rates_by(df: DataFrame, keys: list[str], flag: str = "cleared") -> DataFrame:

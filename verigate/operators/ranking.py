@@ -42,7 +42,3 @@ def chat_messages(df: DataFrame, conversation: str, turn: str, role: str, text:
     own = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))))
     return df.groupBy(conversation).agg(F.transform(own, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
-
-def fix_prompt(cwe: Column, code: Column, note: Column) -> Column:
-    """Instruction, code, and feedback where there is any."""
-    return F.concat(F.lit("Fix the "), cwe, F.lit(" weakness. Return the whole file.\n\n"), code, F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit("\n\nThe last attempt failed:\n"), note)).otherwise(""))

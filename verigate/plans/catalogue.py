@@ -6,7 +6,7 @@ engines read alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,46 +14,17 @@ from pyspark.sql import functions as F
 from verigate.functions import text as T
 from verigate.functions.rates import wilson
 from verigate.operators import corpus, dedup, gate, metrics, ranking, split
+from verigate.operators.tables import shared_folder
+from verigate.plans import preparation  # noqa: F401 - registers its queries
+from verigate.plans.base import BASE, NORM, ORACLE, QUERIES, WS, inline, query, table, wilson_sql  # noqa: F401
 from verigate.sources import records as R
 from verigate.streaming import streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-#: White space as Python and Java with (?U) have it, for DuckDB.
-WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def inline(spark: SparkSession, values: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
-
-
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("cleared", (F.col("quality") == 1) & (F.col("toxic") == 0))
 
 
-def _wilson_sql(k: str, n: str) -> str:
-    p, zz = f"({k}::DOUBLE / {n}::DOUBLE)", "(1.96::DOUBLE * 1.96::DOUBLE)"
-    centre = f"(({p} + {zz} / (2.0::DOUBLE * {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"
-    half = f"((1.96::DOUBLE * sqrt(({p} * (1.0::DOUBLE - {p}) + {zz} / (4.0::DOUBLE * {n}::DOUBLE)) / {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"
-    return f"CASE WHEN {n} > 0 THEN {k}::DOUBLE / {n}::DOUBLE ELSE 0.0::DOUBLE END AS rate, CASE WHEN {n} > 0 THEN greatest(0.0::DOUBLE, {centre} - {half}) ELSE 0.0::DOUBLE END AS ci_low, CASE WHEN {n} > 0 THEN least(1.0::DOUBLE, {centre} + {half}) ELSE 0.0::DOUBLE END AS ci_high"
-
-
 _LABELLED = "l AS (SELECT d.doc_id, d.lang, d.source, (quality = 1 AND toxic = 0) AS cleared FROM labels JOIN documents d ON labels.doc_id = d.doc_id)"
 _NAMES = ["overall", "en", "fr", "de", "es", "src0", "other source", "none such"]
 
@@ -61,13 +32,13 @@ _NAMES = ["overall", "en", "fr", "de", "es", "src0", "other source", "none such"
 @query(f"""WITH {_LABELLED}, x AS (SELECT unnest(['overall', lang, CASE WHEN source = 'src0' THEN 'src0' ELSE 'other source' END]) AS stratum, cleared FROM l),
 c AS (SELECT stratum, count(*) AS n, count(*) FILTER (cleared) AS cleared FROM x GROUP BY 1),
 s AS (SELECT unnest({_NAMES!r}) AS stratum), m AS (SELECT s.stratum, coalesce(n, 0) AS n, coalesce(cleared, 0) AS cleared FROM s LEFT JOIN c ON s.stratum = c.stratum)
-SELECT stratum, n, cleared, {_wilson_sql("cleared", "n")} FROM m""")
+SELECT stratum, n, cleared, {wilson_sql("cleared", "n")} FROM m""")
 def q_rate_by_stratum(spark, sf_dir):
     strata = F.array(F.lit("overall"), "lang", F.when(F.col("source") == "src0", "src0").otherwise("other source"))
     return metrics.stratified(labelled(spark, sf_dir), strata, _NAMES)
 
 
-@query(f"""WITH {_LABELLED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (cleared) AS cleared FROM l GROUP BY 1), r AS (SELECT lang, n, cleared, {_wilson_sql("cleared", "n")} FROM c)
+@query(f"""WITH {_LABELLED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (cleared) AS cleared FROM l GROUP BY 1), r AS (SELECT lang, n, cleared, {wilson_sql("cleared", "n")} FROM c)
 SELECT r.*, CASE WHEN r.lang <> 'en' THEN round(r.rate - b.rate, 4) END AS delta FROM r, (SELECT rate FROM r WHERE lang = 'en') b""")
 def q_compare_tags(spark, sf_dir):
     return metrics.compare_tags(labelled(spark, sf_dir), "lang", "en")
@@ -79,24 +50,22 @@ def q_verdict_truth(spark, sf_dir):
     return spark.range(64).select(*bits).withColumn("cleared", metrics.cleared())
 
 
-@query("SELECT n::BIGINT AS n, k::BIGINT AS cleared, " + _wilson_sql("k", "n") + " FROM range(0, 41) a(n), range(0, 41) b(k) WHERE k <= n")
+@query("SELECT n::BIGINT AS n, k::BIGINT AS cleared, " + wilson_sql("k", "n") + " FROM range(0, 41) a(n), range(0, 41) b(k) WHERE k <= n")
 def q_wilson_grid(spark, sf_dir):
     grid = spark.range(41).withColumnRenamed("id", "n").crossJoin(spark.range(41).withColumnRenamed("id", "cleared")).where("cleared <= n")
     low, high = wilson(F.col("cleared"), F.col("n"))
     return grid.select("n", "cleared", metrics.rate(F.col("cleared"), F.col("n")).alias("rate"), low.alias("ci_low"), high.alias("ci_high"))
 
 
-_BASE = r"regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g')"
-_NORM = f"trim(regexp_replace(lower({_BASE}), '{WS}+', ' ', 'g'))"
 _FLAT = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, md5({_NORM}) AS normal, md5({_FLAT}) AS flat, md5({_BASE}) AS bare FROM documents")
+@query(f"SELECT doc_id, md5({NORM}) AS normal, md5({_FLAT}) AS flat, md5({BASE}) AS bare FROM documents")
 def q_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_code("text")).alias("normal"), F.md5(T.collapse_whitespace("text")).alias("flat"), F.md5(T.strip_comments("text")).alias("bare"))
 
 
-@query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({_NORM}, '[a-z0-9_]+') AS t FROM documents)")
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, regexp_extract_all({NORM}, '[a-z0-9_]+') AS t FROM documents)")
 def q_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens("text")).alias("n_tokens"), F.size(F.array_distinct(T.tokens("text"))).alias("n_distinct"))
 
@@ -104,10 +73,21 @@ def q_tokens(spark, sf_dir):
 _CODES = "(1, 'int f() { return 1; } // FIX cve', 'CWE_89', 'https://x.org/a/Repo.git/', 'a, b ,,c'), (2, 'see CVE-2020-12345 and CWE-79 in VUL4J-10 at deadbeef12', '79', 'g/Proj', ''), (3, 'path src/main/App.java and C:x', 'cwe22', '', 'one'), (4, '', '', 'http://h/', 'x::y'), (5, '/* VULN: gone */ keep', 'none', ' A/B ', ',')"
 
 
+# What has to be redacted, as RE2 has it.
+_REDACTED = [
+    (r"(?://|/\*|#)\s*(?:FIX(?:ME|ED)?|VULN(?:ERABILITY|ERABLE)?|PATCH(?:ED)?|SECURITY|EXPLOIT|SINK)\b[^\n*]*", "", "gi"),
+    (r"\bCVE-[0-9]{4}-[0-9]{4,}\b", "<CVE>", "gi"),
+    (r"\bCWE[-_]?[0-9]+\b", "<CWE>", "gi"),
+    (r"\b(?:VUL4J|VJBENCH)[-_]?[0-9]+\b", "<BUGID>", "gi"),
+    (r"\b[A-Za-z]:\\(?:[^\s\\]+\\)*[^\s\\]+\.(?:java|kt|xml|properties|json)\b", "<PATH>", "g"),
+    (r"\b(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.(?:java|kt|xml|properties|json)\b", "<PATH>", "g"),
+    (r"\b[0-9a-f]{7,40}\b", "<HASH>", "gi"),
+]
+
+
 def _redacted(c: str) -> str:
-    for pattern, by in T.REDACTIONS:
-        body, flags = pattern[pattern.index(")") + 1 :], "gi" if "i" in pattern[: pattern.index(")")] else "g"
-        c = f"regexp_replace({c}, '{body}', '{by}', '{flags}')"
+    for pattern, by, flags in _REDACTED:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', '{flags}')"
     return c
 
 
@@ -146,18 +126,18 @@ def q_exact_dedup_sha256(spark, sf_dir):
     return dedup.exact(docs, F.col("key"), [F.col("doc_id")]).select("doc_id", "key", "dup")
 
 
-@query(f"SELECT doc_id, {_FIRST} AS dup FROM (SELECT doc_id, sha1({_NORM} || chr(0) || lang) AS k FROM documents)")
+@query(f"SELECT doc_id, {_FIRST} AS dup FROM (SELECT doc_id, sha1({NORM} || chr(0) || lang) AS k FROM documents)")
 def q_exact_dedup_sha1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return dedup.exact(docs, T.code_key("text", "lang"), [F.col("doc_id")]).select("doc_id", "dup")
 
 
-@query(f"SELECT count(*) AS input, count(*) FILTER (dup) AS exact, count(*) FILTER (NOT dup) AS kept FROM (SELECT {_FIRST} AS dup FROM (SELECT doc_id, sha1({_NORM} || chr(0) || lang) AS k FROM documents))")
+@query(f"SELECT count(*) AS input, count(*) FILTER (dup) AS exact, count(*) FILTER (NOT dup) AS kept FROM (SELECT {_FIRST} AS dup FROM (SELECT doc_id, sha1({NORM} || chr(0) || lang) AS k FROM documents))")
 def q_dedup_stats(spark, sf_dir):
     return q_exact_dedup_sha1(spark, sf_dir).agg(F.count(F.lit(1)).alias("input"), F.count_if("dup").alias("exact"), F.count_if(~F.col("dup")).alias("kept"))
 
 
-_SETS = f"s AS (SELECT doc_id, source, list_distinct(regexp_extract_all({_NORM}, '[a-z0-9_]+')) AS t FROM documents)"
+_SETS = f"s AS (SELECT doc_id, source, list_distinct(regexp_extract_all({NORM}, '[a-z0-9_]+')) AS t FROM documents)"
 
 
 @query(f"""WITH {_SETS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::DOUBLE AS i, len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS u
@@ -171,7 +151,8 @@ def q_near_dedup_greedy(spark, sf_dir):
     return dedup.near_dedup(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", 0.9).select("doc_id")
 
 
-@query()
+@query(f"""WITH {_SETS}, w AS (SELECT doc_id, unnest(t) AS w FROM s), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b, i::DOUBLE / (len(x.t) + len(y.t) - i)::DOUBLE AS similarity FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE i::DOUBLE / (len(x.t) + len(y.t) - i)::DOUBLE >= 0.9""")
 def q_minhash_pairs(spark, sf_dir):
     return dedup.minhash_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 0.9)
 
@@ -183,11 +164,13 @@ def q_holdout_anti(spark, sf_dir):
     return split.hold_out(docs, "key", "source", toxic, inline(spark, "('src3'), ('src5')", "repo")).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_NORM} NOT IN (SELECT {_NORM} FROM benchmark)")
+_GRAMS = "list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all({NORM}, '[a-z0-9_]+') AS t FROM documents), b AS (SELECT regexp_extract_all({NORM}, '[a-z0-9_]+') AS t FROM benchmark),
+g AS (SELECT DISTINCT unnest({_GRAMS}) AS g FROM b WHERE len(t) >= 8), h AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(t) >= 8) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h JOIN g ON h.g = g.g)""")
 def q_decontaminate(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.sha2(T.normalize_code("text"), 256).alias("k")).distinct()
-    docs = table(spark, sf_dir, "documents").withColumn("_k", F.sha2(T.normalize_code("text"), 256))
-    return docs.join(items, docs["_k"] == items["k"], "left_anti").select("doc_id")
+    return split.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", 8).select("doc_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1996-01-01'")
@@ -246,10 +229,10 @@ def q_provenance(spark, sf_dir):
     return R.stage_counts(corpus.build(corpus.pairs(**_five(spark)), inline(spark, "('CVE-9')", "cve"), inline(spark, "('jsoup')", "repo"), "2022-01-01"))
 
 
-@query("SELECT l_orderkey, l_linenumber, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 49")
+@query("SELECT l_orderkey, l_linenumber, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def q_corpus_join(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").where("l_quantity > 49").select("l_orderkey", "l_linenumber")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber")
     return lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("l_orderkey", "l_linenumber", "n_name")
 
 
@@ -282,11 +265,11 @@ def q_id_list(spark, sf_dir):
     return R.id_list(inline(spark, _LINES, "value"))
 
 
-_RAW = """('{"func_before": "a", "after": "b", "cve_id": "CVE-1", "project": "p"}'), ('{"vuln_code": "", "before": "x", "fixed_code": "y", "date": "2020"}'), ('{"vuln_code": "only"}')"""
+_RAW = """('{"buggy_code": "a", "after": "b", "cve_id": "CVE-1", "project": "p"}'), ('{"vuln_code": "", "before": "x", "fix_code": "y", "published": "2020"}'), ('{"vuln_code": "only"}')"""
 
 
-@query(f"""SELECT coalesce(nullif(v->>'vuln_code', ''), nullif(v->>'func_before', ''), nullif(v->>'before', ''), '') AS vuln_code, coalesce(nullif(v->>'fixed_code', ''), nullif(v->>'after', ''), '') AS fixed_code,
-coalesce(v->>'cve_id', '') AS cve, '' AS cwe, coalesce(v->>'date', '') AS date, coalesce(v->>'project', '') AS project FROM (SELECT v::JSON AS v FROM (VALUES {_RAW}) t(v)) WHERE coalesce(nullif(v->>'fixed_code', ''), nullif(v->>'after', ''), '') <> ''""")
+@query(f"""SELECT coalesce(nullif(v->>'vuln_code', ''), nullif(v->>'before', ''), nullif(v->>'buggy_code', ''), '') AS vuln_code, coalesce(nullif(v->>'fixed_code', ''), nullif(v->>'after', ''), nullif(v->>'fix_code', ''), '') AS fixed_code,
+coalesce(v->>'cve_id', '') AS cve, '' AS cwe, coalesce(v->>'published', '') AS date, coalesce(v->>'project', '') AS project FROM (SELECT v::JSON AS v FROM (VALUES {_RAW}) t(v)) WHERE coalesce(nullif(v->>'after', ''), nullif(v->>'fix_code', ''), '') <> ''""")
 def q_records(spark, sf_dir):
     return R.records(inline(spark, _RAW, "value"))
 
@@ -339,20 +322,6 @@ def q_test_summary(spark, sf_dir):
     return R.test_summary(inline(spark, _RESULTS, "bug, j"), "j", ["bug"]).select("bug", "running", "passing", "failing", F.size("failures").alias("failures"), F.size("passing_tests").alias("passed"))
 
 
-@query("SELECT * FROM (VALUES ('T::a', true), ('T.a', true), ('Ta', true), ('T', true), ('U#z', true), ('V#a', false)) t(wanted, found)")
-def q_pov_match(spark, sf_dir):
-    failures = R.test_summary(inline(spark, _RESULTS, "bug, j"), "j", ["bug"]).where("bug = 'b1'").select("failures")
-    wanted = inline(spark, "('T::a'), ('T.a'), ('Ta'), ('T'), ('U#z'), ('V#a')", "wanted").crossJoin(failures)
-    return wanted.select("wanted", (F.size(gate.pov_state(F.array("wanted"), F.col("failures"))[0]) > 0).alias("found"))
-
-
-@query("SELECT * FROM (VALUES ('b', true, true, true, true, true, true, true, true)) t(bug, baseline_failed, compiles, regression_pass, pov_flipped, semgrep_clean, codeql_clean, not_deleted, cleared)")
-def q_gate(spark, sf_dir):
-    failure = "array(named_struct('test_class', 'T', 'test_method', 'a'))"
-    row = spark.sql(f"SELECT 'b' AS bug, true AS compiles, array('T#a') AS pov_tests, {failure} AS before, filter({failure}, x -> false) AS after, true AS semgrep_clean, true AS codeql_clean, 'int a;\nreturn 1;' AS code_before, 'int a;\nreturn 2;' AS code_after")
-    return gate.run_gate(row).select("bug", "baseline_failed", *metrics.FLAGS, "cleared")
-
-
 _STMT = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda s: s NOT IN ('', '{', '}') AND NOT regexp_matches(s, '^(//|\\*|/\\*|@)'))"
 
 
@@ -386,14 +355,18 @@ def q_a11y_rules(spark, sf_dir):
     return rules.select("page_id", *[F.col("m")[k].alias(n) for n, k in names.items()])
 
 
+_A11Y_LIST = r"""[len(regexp_extract_all(html, '(?i)<img\b')) - len(regexp_extract_all(html, '(?i)<img\b[^>]*\balt=')), CASE WHEN regexp_matches(html, '(?i)<html\b[^>]*\blang=') THEN 0 ELSE 1 END, CASE WHEN regexp_matches(html, '(?i)<title>[^<]*\S[^<]*</title>') THEN 0 ELSE 1 END,
+len(regexp_extract_all(html, '(?i)<a\b[^>]*>\s*</a>')), len(regexp_extract_all(html, '(?i)<button\b[^>]*>\s*</button>')), len(regexp_extract_all(html, '(?i)<input\b')) - len(regexp_extract_all(html, '(?i)<input\b[^>]*\baria-label='))]"""
 _HTML = "(1, '<html><body><img><a href=x></a></body></html>', '<html lang=en><title>t</title><body><img alt=x><a href=x>y</a></body></html>'), (2, '<html><img></html>', '<html lang=en><title>t</title></html>'), (3, '<html lang=en><title>t</title></html>', '<html lang=en><title>t</title></html>')"
 
 
-@query("SELECT * FROM (VALUES (1, true, true, true, true, 0), (2, true, true, true, true, 0), (3, false, true, true, false, 0)) t(id, had_violations, flipped, not_deleted, cleared, still)")
+@query(f"""WITH r AS (SELECT id, a, b, {_A11Y_LIST.replace('(html,', '(a,')} AS x, {_A11Y_LIST.replace('(html,', '(b,')} AS y, {_ELEMENTS.replace('(html,', '(a,')} AS m, {_ELEMENTS.replace('(html,', '(b,')} AS n FROM (VALUES {_HTML}) t(id, a, b)),
+g AS (SELECT id, list_sum(x) > 0 AS had, list_sum(y)::INT AS after, len(list_filter(list_zip(x, y), lambda z: z[1] > 0 AND z[2] > 0))::INT AS still, n::DOUBLE / m >= 0.6 AS kept FROM r)
+SELECT id, had AS had_violations, after AS violations_after, had AND still = 0 AS flipped, kept AS not_deleted, had AND still = 0 AND kept AS cleared, still FROM g""")
 def q_a11y_gate(spark, sf_dir):
     rows = inline(spark, _HTML, "id, a, b")
     g = gate.a11y_gate(gate.accessibility("a"), gate.accessibility("b"), F.col("a"), F.col("b"))
-    return rows.select("id", g.alias("g")).select("id", "g.had_violations", "g.flipped", "g.not_deleted", "g.cleared", F.size("g.still_failing").alias("still"))
+    return rows.select("id", g.alias("g")).select("id", "g.had_violations", "g.violations_after", "g.flipped", "g.not_deleted", "g.cleared", F.size("g.still_failing").alias("still"))
 
 
 @query("SELECT conv_id, turn, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, role) AS r FROM conversations) WHERE r = 1")
@@ -417,7 +390,8 @@ def q_pref_pairs(spark, sf_dir):
 _JUDGE = """(1, '{"accept": true, "score": 0.7, "reason": "ok"}'), (2, 'Sure: {"accept": true, "score": 7} bye'), (3, '{"accept": false}'), (4, 'nothing here'), (5, '{"accept": true, "score": "bad"}')"""
 
 
-@query("SELECT * FROM (VALUES (1, true, 0.7::DOUBLE, 'ok'), (2, true, 1.0, ''), (3, false, 0.0, ''), (4, false, 0.0, 'unparseable: nothing here'), (5, true, 1.0, '')) t(id, accept, score, reason)")
+@query(f"""WITH b AS (SELECT id, t, regexp_extract(t, '(?s)\\{{.*\\}}') AS b FROM (VALUES {_JUDGE}) x(id, t)), p AS (SELECT id, t, CASE WHEN b <> '' AND json_valid(b) THEN b::JSON END AS j FROM b)
+SELECT id, coalesce(j->>'accept' = 'true', false) AS accept, CASE WHEN j IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(try_cast(j->>'score' AS DOUBLE), CASE WHEN j->>'accept' = 'true' THEN 1.0 ELSE 0.0 END))) END AS score, CASE WHEN j IS NULL THEN 'unparseable: ' || left(t, 200) ELSE coalesce(j->>'reason', '') END AS reason FROM p""")
 def q_judge_parse(spark, sf_dir):
     return inline(spark, _JUDGE, "id, t").select("id", ranking.judged("t").alias("j")).select("id", "j.accept", "j.score", "j.reason")
 
@@ -428,16 +402,23 @@ def q_chat(spark, sf_dir):
     return chats.select("conv_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("digest"))
 
 
-@query("SELECT '- b: no' || chr(10) || '- c: ' AS feedback")
+_LAYERS = "(1, 1, 'a', true, 'x'), (1, 2, 'b', false, 'no'), (1, 3, 'c', false, NULL), (2, 1, 'a', true, '')"
+
+
+@query(f"SELECT id, coalesce(string_agg('- ' || name || ': ' || coalesce(detail, ''), chr(10) ORDER BY pos) FILTER (NOT passed), 'The previous patch did not pass the verification gate.') AS feedback FROM (VALUES {_LAYERS}) t(id, pos, name, passed, detail) GROUP BY 1")
 def q_feedback(spark, sf_dir):
-    layers = spark.sql("SELECT array(named_struct('name', 'a', 'passed', true, 'detail', 'x'), named_struct('name', 'b', 'passed', false, 'detail', 'no'), named_struct('name', 'c', 'passed', false, 'detail', null)) AS layers")
-    return layers.select(gate.feedback(F.col("layers")).alias("feedback"))
+    rows = inline(spark, _LAYERS, "id, pos, name, passed, detail").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "passed", "detail"))).alias("layers"))
+    return rows.select("id", gate.feedback(F.col("layers")).alias("feedback"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 0), ('b', 1, 1), ('c', 0, 4)) t(rule, before, after)")
+_COUNTS = "(1, 'a', 2, 0), (1, 'b', 1, 1), (1, 'c', 0, 4), (2, 'z', 0, 3)"
+
+
+@query(f"WITH c AS (SELECT * FROM (VALUES {_COUNTS}) t(id, rule, x, y)), a AS (SELECT * FROM c WHERE x > 0), b AS (SELECT * FROM c WHERE y > 0) SELECT coalesce(a.id, b.id) AS id, coalesce(a.rule, b.rule) AS rule, coalesce(a.x, 0) AS before, coalesce(b.y, 0) AS after FROM a FULL JOIN b ON a.id = b.id AND a.rule = b.rule")
 def q_rule_diff(spark, sf_dir):
-    maps = spark.sql("SELECT map('a', 2, 'b', 1) AS x, map('b', 1, 'c', 4) AS y")
-    return maps.select(F.explode(gate.rule_changes(F.col("x"), F.col("y"))).alias("rule", "v")).select("rule", "v.before", "v.after")
+    rows = inline(spark, _COUNTS, "id, rule, x, y")
+    side = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c) > 0, F.struct("rule", c))))
+    return rows.groupBy("id").agg(side("x").alias("x"), side("y").alias("y")).select("id", F.explode(gate.rule_changes(F.col("x"), F.col("y"))).alias("rule", "v")).select("id", "rule", "v.before", "v.after")
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 7) UNION ALL SELECT r_regionkey, r_name FROM region")
@@ -452,14 +433,41 @@ def q_stream_window(spark, sf_dir):
     return streams.windowed_rate(rows, "ts", "ok").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "cleared")
 
 
-@query()
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf_dir):
+    """One file is one micro-batch, within which nothing expires: the stream's result is the distinct keys."""
+    schema = table(spark, sf_dir, "events").schema
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    found = streams.distinct_events(rows, ["user_id", "event_type"]).select("user_id", "event_type")
+    run = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
+@query("SELECT user_id, arg_min(event_id, (-value, event_id)) AS event_id, max(value) AS value FROM events GROUP BY 1")
+def q_stream_best(spark, sf_dir):
+    """The last change of every key's best event is its best event."""
     schema = table(spark, sf_dir, "events").schema
-    name = "verigate_stream_dedup"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    run = streams.distinct_events(rows, ["user_id", "event_type"]).select("user_id", "event_type").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    found = streams.best_so_far(rows, "user_id", "event_id", "value")
+    run = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    changes = spark.read.schema(found.schema).parquet(f"{out}/rows")
+    return changes.groupBy("user_id").agg(F.min_by("event_id", F.struct((-F.col("value")).alias("s"), F.col("event_id").alias("a"))).alias("event_id"), F.max("value").alias("value"))
+
+
+@query("SELECT user_id, event_type, sum(new)::BIGINT AS sessions, count(*) AS n FROM (SELECT user_id, event_type, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 DAY THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)) GROUP BY 1, 2")
+def q_sessions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("key", F.struct("user_id", "event_type"))
+    return streams.sessions(rows, "ts", "key", "2 days").groupBy("key").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n")).select("key.user_id", "key.event_type", "sessions", "n")
+
+
+@query("SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (value > 50) AS cleared FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d, value FROM events) GROUP BY 1")
+def q_sliding_window(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ok", F.col("value") > 50)
+    return streams.windowed_rate(rows, "ts", "ok", "2 days", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "cleared")
 
 
 @query()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.functions.text import first_nonempty, listed, norm_cwe
+from verigate.functions.text import first_nonempty, listed, norm_cwe, repo_key
+from verigate.operators.split import default_repos
 
 SEMGREP = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<severity:string,message:string>>>"
 SARIF = (
@@ -16,26 +17,41 @@ SARIF = (
 _METRICS = "number_running:string,number_passing:string,number_error:string,number_failing:string,number_skipping:string"
 _RUN = f"overall_metrics:struct<{_METRICS}>,failures:array<struct<test_class:string,test_method:string,failure_name:string,detail:string>>,passing_tests:array<string>,skipping_tests:array<string>"
 TEST_RESULTS = f"tests struct<{_RUN}>, " + _RUN.replace("overall_metrics:", "overall_metrics ").replace(",failures:", ", failures ").replace(",passing_tests:", ", passing_tests ").replace(",skipping_tests:", ", skipping_tests ")
-AXE = "source string, violationCount int, ruleCount int, byRule map<string,int>"
+
+# The names under which records hold their fields, in the order in which they are tried.
+ALIASES = {
+    "vuln_code": ["vuln_code", "vulnerable_code", "before", "buggy_code", "input"],
+    "fixed_code": ["fixed_code", "patched_code", "after", "fix_code", "output"],
+    "cve": ["cve", "cve_id", "CVE"],
+    "cwe": ["cwe", "cwe_id", "CWE"],
+    "date": ["date", "published", "commit_date", "fix_date", "published_date"],
+    "project": ["project", "repo", "repository", "project_name"],
+}
+
+
+def json_items(value: Column | str) -> Column:
+    """The elements of a JSON list as an array of JSON, a single object as an array of itself; null where it doesn't parse."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).when(F.try_parse_json(c).isNotNull(), F.array(F.trim(c)))
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All .json and .jsonl below a folder, one object a line; lines that don't parse are dropped. Adds source_file."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").text(folder)
-    return raw.select("value", F.col("_metadata.file_path").alias("source_file")).where("try_parse_json(value) is not null")
+    """The objects in all .jsonl (one a line) and .json files (one, or a list) below a folder: value, source_file, ord.
+
+    What doesn't parse and what isn't an object is dropped; a missing folder raises. ``ord`` rises within a file.
+    """
+    files = spark.read.option("recursiveFileLookup", "true")
+    name = F.col("_metadata.file_path").alias("source_file")
+    lines = files.option("pathGlobFilter", "*.jsonl").text(folder).select(F.trim("value").alias("value"), name, F.monotonically_increasing_id().alias("ord")).where("try_parse_json(value) is not null")
+    whole = files.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", name)
+    items = whole.select("source_file", F.posexplode(json_items("value")).alias("ord", "value")).select("value", "source_file", F.col("ord").cast("long"))
+    return lines.unionByName(items).where("startswith(value, '{')")
 
 
 def records(raw: DataFrame, value: str = "value") -> DataFrame:
     """Repair records from JSON under any of their aliases; without both code sides a record goes."""
-
-    def pick(*names: str) -> Column:
-        return first_nonempty(*[F.get_json_object(value, f"$.{n}") for n in names])
-
-    out = raw.withColumns({
-        "vuln_code": pick("vuln_code", "vulnerable_code", "func_before", "before", "code_before"),
-        "fixed_code": pick("fixed_code", "func_after", "after", "code_after"),
-        "cve": pick("cve", "cve_id"), "cwe": pick("cwe", "cwe_id"), "date": pick("date", "publish_date", "commit_date"), "project": pick("project", "repo"),
-    })
+    pick = lambda names: first_nonempty(*[F.get_json_object(value, f"$.{n}") for n in names])
+    out = raw.withColumns({field: pick(names) for field, names in ALIASES.items()})
     return out.where("vuln_code <> '' and fixed_code <> ''").drop(value)
 
 
@@ -53,15 +69,13 @@ def id_list(lines: DataFrame, value: str = "value", inline_comments: bool = Fals
 
 
 def exclusions(csv: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cve, repo lists) from any columns whose names say so."""
-    from verigate.functions.text import repo_key
-
+    """(cve, repo lists) from any columns whose names say so, and the repositories that are always held out."""
     cves = [F.upper(F.trim(F.col(c))) for c in csv.columns if "cve" in c.lower()]
     repos = [repo_key(c) for c in csv.columns if any(x in c.lower() for x in ("repo", "project", "url"))]
     empty = F.array().cast("array<string>")
     cve = csv.select(F.explode(F.array(*cves) if cves else empty).alias("cve")).where("startswith(cve, 'CVE-')").distinct()
-    repo = csv.select(F.explode(F.array(*repos) if repos else empty).alias("repo")).where("repo <> ''").distinct()
-    return cve, repo
+    repo = csv.select(F.explode(F.array(*repos) if repos else empty).alias("repo")).where("repo <> ''")
+    return cve, repo.union(default_repos(csv.sparkSession)).distinct()
 
 
 def semgrep_findings(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:

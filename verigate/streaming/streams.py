@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def timed(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -26,3 +30,25 @@ def sessions(df: DataFrame, ts: str, key: str, gap: str, late: str = "1 day") ->
     rows = timed(df, ts)
     rows = rows.withWatermark(ts, late) if df.isStreaming else rows
     return rows.groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), "n")
+
+
+def best_so_far(df: DataFrame, key: str, attempt: str, score: str) -> DataFrame:
+    """A stream's best attempt of each key, emitted whenever it changes: key, attempt, score.
+
+    Ties go to the lowest attempt. The state is one attempt for each key.
+    """
+    keys, kinds = [key, attempt, score], {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def update(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = start = state.get if state.exists else None
+        for part in parts:
+            for a, s in zip(part[attempt].tolist(), part[score].tolist(), strict=True):
+                if best is None or (-s, a) < (-best[1], best[0]):
+                    best = (int(a), float(s))
+        if best != start:
+            state.update(best)
+            yield pd.DataFrame([(of[0], *best)], columns=keys)
+
+    rows = df.select(key, F.col(attempt).cast("long").alias(attempt), F.col(score).cast("double").alias(score))
+    schema = f"{key} {kinds[key]}, {attempt} long, {score} double"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "attempt long, score double", "append", GroupStateTimeout.NoTimeout)
