@@ -11,8 +11,8 @@ files go to any store that Spark can write, by its commit protocol: a task that
 exactly one copy. Byte offsets count the line ends.
 
 Defined results: a null identifier has the empty key and comes first; a null text has no ids of its own;
-repeated identifiers are all kept, next to each other, ordered by text; an empty table gives no shard; columns
-other than the identifier and the text are ignored.
+repeated identifiers are all kept, next to each other, ordered by a hash of the text, in one shard or in shards that
+follow each other; an empty table gives no shard; columns other than the identifier and the text are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ import bisect
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verigate.llm.common import fresh_path, frugal, n_partitions
 from verigate.llm.tokens import encoder
@@ -134,28 +135,47 @@ def shard_parts(entries: Iterator[tuple[bytes, bytes]], id_width: int) -> Iterat
 
 
 class Shard:
-    """Reads one shard: lookups by binary search, or all documents in order."""
+    """Reads one shard by byte ranges: the footer, then index and Bloom filter, then single blocks as they are asked for."""
 
-    def __init__(self, data: bytes):
-        size = _FOOTER.size + 4
-        foot = data[len(data) - len(_END) - size : len(data) - len(_END)]
-        if len(foot) != size or struct.unpack("<I", foot[-4:])[0] != zlib.crc32(foot[:-4]) or foot[:8] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        """``read(at, n)`` gives n bytes from byte ``at`` on; ``size`` is the shard's."""
+        length = _FOOTER.size + 4
+        foot = read(size - len(_END) - length, length) if size > length else b""
+        if len(foot) != length or struct.unpack("<I", foot[-4:])[0] != zlib.crc32(foot[:-4]) or foot[:8] != MAGIC:
             raise ValueError("not a shard, or damaged")
-        self.data = data
-        _, _, self.id_width, self.n_docs, self.n_tokens, at, length, bloom_at, bloom_len, self.bits, n, first = _FOOTER.unpack(foot[:-4])
+        self.read = read
+        _, _, self.id_width, self.n_docs, self.n_tokens, self.index_at, self.index_len, self.bloom_at, self.bloom_len, self.bits, n, first = _FOOTER.unpack(foot[:-4])
         self.first_key = first[:n]
-        self.bloom = data[bloom_at : bloom_at + bloom_len]
-        self.last_keys, self.blocks = [], []
-        end = at + length
-        while at < end:
+
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @cached_property
+    def bloom(self) -> bytes:
+        return self.read(self.bloom_at, self.bloom_len)
+
+    @cached_property
+    def _index(self) -> tuple[list[bytes], list[tuple]]:
+        data, at, keys, blocks = self.read(self.index_at, self.index_len), 0, [], []
+        while at < len(data):
             (n,) = struct.unpack_from("<I", data, at)
-            self.last_keys.append(data[at + 4 : at + 4 + n])
-            self.blocks.append(_ENTRY.unpack_from(data, at + 4 + n))
+            keys.append(data[at + 4 : at + 4 + n])
+            blocks.append(_ENTRY.unpack_from(data, at + 4 + n))
             at += 4 + n + _ENTRY.size
+        return keys, blocks
+
+    @property
+    def last_keys(self) -> list[bytes]:
+        return self._index[0]
+
+    @property
+    def blocks(self) -> list[tuple]:
+        return self._index[1]
 
     def _raw(self, i: int) -> bytes:
         at, length, raw, crc, _ = self.blocks[i]
-        packed = self.data[at : at + length]
+        packed = self.read(at, length)
         if zlib.crc32(packed) != crc:
             raise ValueError(f"block {i} is damaged")
         return zstandard.ZstdDecompressor().decompress(packed, max_output_size=raw)
@@ -182,7 +202,7 @@ class Shard:
     def lookup(self, doc_id: int | None) -> list[bytes]:
         """The ids of all documents with this identifier (none, one, or more where it repeats)."""
         key = key_of(doc_id)
-        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bloom_at(key, self.bits)):
+        if key < self.first_key or not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bloom_at(key, self.bits)):
             return []
         found, i = [], bisect.bisect_left(self.last_keys, key)
         while i < len(self.blocks):
@@ -199,15 +219,11 @@ class Shard:
         return found
 
 
-def _key_and_total(foot: bytes) -> tuple[bytes, int]:
-    fields = _FOOTER.unpack(foot)
-    return fields[-1][: fields[-2]], fields[4]
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encodes every whole text and writes the shards. One exchange, by ranges of the identifier."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or n_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]  # an identifier that many rows have may go over several shards
+    rows = rows.repartitionByRange(shards or n_partitions(docs), *order).sortWithinPartitions(*order)
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,59 +240,80 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, pattern: str | No
     rows.mapInArrow(frugal(parts), "part binary").select(F.col("part").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(folder)
 
 
-def _shard_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+def _opened(spark: SparkSession, folder: str) -> list[tuple[str, Shard]]:
+    """The shards of a folder by ascending first key, read by byte ranges through Spark's file system: a footer each."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    slurp = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+
+    def open_(file: tuple) -> tuple[str, Shard]:
+        path, size = file
+
+        def read(at: int, n: int) -> bytes:
+            stream = system.open(path)
+            try:
+                stream.seek(at)
+                return bytes(slurp(stream, n))
+            finally:
+                stream.close()
+
+        return path.toString(), Shard(read, size)
+
+    files = [(s.getPath(), s.getLen()) for s in system.listStatus(root) if s.getPath().getName().startswith("part-")]
+    with ThreadPoolExecutor(16) as pool:
+        return sorted(pool.map(open_, [f for f in files if f[1]]), key=lambda s: (s[1].first_key, s[0]))
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the shards: doc_id, start, n_tokens, ids (binary, little-endian 32-bit).
 
-    start counts the ids of all documents before it. Each shard's total comes from its footer; the totals (one
-    row for each shard) are added up in the order of the shards' first keys.
+    start counts the ids of all documents before it. The shards' totals come from their footers (one row for each
+    shard) and are added up in the order of the shards' first keys; the shards themselves are read once.
     """
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "doc_id", "at", "n_tokens", "ids"])
+
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                shard = Shard(b.column(0)[i].as_py())
+                shard, name = Shard.of(b.column(0)[i].as_py()), b.column(1)[i].as_py()
                 at, rows, size = 0, [], 0
                 for key, ids in shard.documents():
-                    rows.append((shard.first_key, id_of(key), at, len(ids) // 4, ids))
+                    rows.append((name, id_of(key), at, len(ids) // 4, ids))
                     at, size = at + len(ids) // 4, size + len(ids)
                     if size > 4 << 20:
-                        yield _batch(rows)
+                        yield batch(rows)
                         rows, size = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield batch(rows)
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            feet = [_key_and_total(f) for f in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in feet], pa.binary()), pa.array([f[1] for f in feet], pa.int64())], ["first_key", "total"])
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "doc_id", "at", "n_tokens", "ids"])
-
-    files = _shard_files(spark, folder)
-    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
-    foot = files.select(F.substring("content", F.octet_length("content") - (_FOOTER.size + 4 + len(_END)) + 1, F.lit(_FOOTER.size)).alias("foot"))
-    shift = foot.mapInArrow(totals, "first_key binary, total long").select("first_key", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
-    rows = files.mapInArrow(frugal(decoded), "shard binary, doc_id long, at long, n_tokens long, ids binary")
-    return rows.join(shift, rows["shard"] == shift["first_key"]).select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "n_tokens", "ids")
+    totals, at = [], 0
+    for path, shard in _opened(spark, folder):
+        totals.append((path.rsplit("/", 1)[-1], at))
+        at += shard.n_tokens
+    shift = spark.createDataFrame(totals, "of string, shift long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
+    rows = files.mapInArrow(frugal(decoded), "shard string, doc_id long, at long, n_tokens long, ids binary")
+    return rows.join(F.broadcast(shift), rows["shard"] == shift["of"]).select("doc_id", (F.col("at") + F.col("shift")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int | None]) -> DataFrame:
-    """The ids of a short list of documents: doc_id, ids. Each shard answers by Bloom filter and binary search."""
+    """The ids of a short list of documents: doc_id, ids.
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                shard = Shard(b.column(0)[i].as_py())
-                hits = [(d, ids) for d in doc_ids for ids in shard.lookup(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.binary())], ["doc_id", "ids"])
-
-    return _shard_files(spark, folder).mapInArrow(found, "doc_id long, ids binary")
+    Only shards whose first key isn't beyond an identifier are asked; of these the footer, then (where the identifier may
+    be in it) Bloom filter and index, and single blocks are read.
+    """
+    shards = [s for _, s in _opened(spark, folder)]
+    firsts = [s.first_key for s in shards]
+    found = []
+    for doc_id in doc_ids:
+        i = bisect.bisect_right(firsts, key_of(doc_id)) - 1
+        while i >= 0:
+            found += [(doc_id, bytearray(ids)) for ids in shards[i].lookup(doc_id)]
+            i = i - 1 if firsts[i] == key_of(doc_id) else -1  # the shard before may end with the same identifier
+    return spark.createDataFrame(found, "doc_id long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

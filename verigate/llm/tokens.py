@@ -92,21 +92,23 @@ class TokenEncoder:
 
     A byte-level BPE without a normaliser handles each pretoken on its own, so the library encodes every
     distinct pretoken and the ids of a text are the ids of its pretokens in a row. With any other kind of
-    vocabulary file the library gets the whole texts. Special tokens' strings are ordinary text.
+    vocabulary file the library gets the whole texts. A special token's string in a text is ordinary text, so that no
+    text can write an end id; with ``specials`` it becomes the token's id, as the library has it by default.
     """
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not specials
         self.library.model._resize_cache(0)  # the memo below takes its place
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.memo: dict[str, bytes] = {}
         self.exact = None
+        self.marks = [t["content"].encode() for t in spec.get("added_tokens") or []] if specials else []
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         if pattern == BYTE_LEVEL and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             import regex
@@ -184,10 +186,10 @@ class TokenEncoder:
     def encode_rows(self, batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
         """The ids of a batch's texts in runs: (first row, ids of each row from there). Null texts are empty."""
         for lo, _, data, starts in text_runs(batch, column, RUN_BYTES):
-            if self.exact:
+            raw = data.tobytes() if self.marks or not self.exact else b""
+            if self.exact and not any(m in raw for m in self.marks):
                 yield lo, self._run(data, starts)
             else:
-                raw = data.tobytes()
                 yield lo, self._ids([raw[s:e].decode() for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -195,11 +197,11 @@ class TokenEncoder:
         return [ids for _, part in self.encode_rows(batch, "text") for ids in part]
 
 
-_encoders: dict[tuple[str, str | None], TokenEncoder] = {}
+_encoders: dict[tuple[str, str | None, bool], TokenEncoder] = {}
 
 
-def encoder(path: str, pattern: str | None = None) -> TokenEncoder:
-    """One encoder for each worker process and file."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = TokenEncoder(path, pattern)
-    return _encoders[path, pattern]
+def encoder(path: str, pattern: str | None = None, specials: bool = False) -> TokenEncoder:
+    """One encoder for each worker process, file and treatment of special tokens."""
+    if (path, pattern, specials) not in _encoders:
+        _encoders[path, pattern, specials] = TokenEncoder(path, pattern, specials)
+    return _encoders[path, pattern, specials]
