@@ -66,7 +66,7 @@ def test_sstable_round_trip(spark, docs, texts, tmp_path):
 
 def test_sstable_shard_of_many_keys():
     entries = [(sstable.key_of(i * 7 - 900), struct.pack("<2I", i, i + 1)) for i in range(40_000)]
-    shard = sstable.Shard(b"".join(p + b"\n" for p in sstable.shard_parts(iter(entries), 2)))
+    shard = sstable.Shard.of(b"".join(p + b"\n" for p in sstable.shard_parts(iter(entries), 2)))
     assert len(shard.blocks) > 1 and shard.n_docs == 40_000 and list(shard.documents()) == entries
     assert shard.lookup(7 * 31_234 - 900) == [struct.pack("<2I", 31_234, 31_235)] and shard.lookup(1) == [] and shard.lookup(10**9) == []
 
@@ -325,12 +325,12 @@ def test_images_corners_grow():
 
 
 def test_images_third_centre(spark, monkeypatch):
-    """Two copies (0, 1) whose buckets all have an image unlike them (2) as centre."""
+    """Two copies (0, 1) all of whose keys an image unlike them (2) has too, and unlike images that share others."""
     first = images.picture([1.0])
     pictures = [first, images.edited(first), images.picture([2.0]), images.picture([3.0])]
     rows = spark.createDataFrame([(i, bytearray(images.to_pgm(p))) for i, p in enumerate(pictures)], "id long, image binary")
-    own = F.when(F.col("label") < 2, F.sequence(F.lit(1), F.lit(4))).when(F.col("label") == 2, F.sequence(F.lit(1), F.lit(12))).otherwise(F.sequence(F.lit(5), F.lit(12)))
-    monkeypatch.setattr(images, "_keys", lambda classes: classes.select("node", F.explode(own.cast("array<bigint>")).alias("key")))
+    own = F.when(F.col("label") < 2, F.sequence(F.lit(1), F.lit(6))).when(F.col("label") == 2, F.sequence(F.lit(1), F.lit(16))).otherwise(F.sequence(F.lit(7), F.lit(16)))
+    monkeypatch.setattr(images, "_keys", lambda classes: classes.select(F.explode(own.cast("array<bigint>")).alias("key"), "node"))
     assert {r.id: r.group_id for r in images.copies(rows).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
@@ -347,14 +347,16 @@ def test_images_shared_logo(spark):
     rows = spark.createDataFrame(pictures, "id long, image binary")
     classes = images.described(rows).collect()
     points = {r.id: (images._points(r.points), images._words(r.words)) for r in classes}
-    keys = {r.id: {(w, x) for row in np.frombuffer(r.words, ">u4").reshape(-1, 8).tolist() for w, x in enumerate(row)} for r in classes}
+    keys = {r.id: set(images.keys_of(images._words(r.words)).tolist()) for r in classes}
     group = {i: i for i in points}
-    linked = [(a, b) for a, b in itertools.combinations(sorted(points), 2) if len(keys[a] & keys[b]) >= images.MIN_SHARED and images.agreeing(*points[a], *points[b]) >= images.MIN_AGREEING]
+    linked = [(a, b) for a, b in itertools.combinations(sorted(points), 2) if len(keys[a] & keys[b]) >= images.MIN_EDGES and images.agreeing(*points[a], *points[b]) >= images.MIN_AGREEING]
     for _ in group:
         for a, b in linked:
             group[a] = group[b] = min(group[a], group[b])
     got = {r.id: r.group_id for r in images.copies(rows).collect()}
-    assert all(group[100 + i] == group[i] for i in range(5)) and got == group
+    # the copies are found; nothing is linked that brute force wouldn't link, and hardly any chain over the logo is missed
+    assert all(got[100 + i] == got[i] for i in range(5)) and all(group[i] == group[got[i]] for i in got)
+    assert sum(got[i] != group[i] for i in got) <= 0.1 * len(got)
 
 
 @pytest.mark.parametrize("f", [

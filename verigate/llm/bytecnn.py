@@ -78,8 +78,32 @@ def windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x, text, held
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted cross-entropy of a batch, and its gradients by tables, dense and bias; only the places that won the
+    pooling get one."""
+    pooled, at = net.pooled(x, where=True)
+    h = np.maximum(pooled, 0)
+    z = h @ net.dense + net.bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    rows = np.arange(len(y))
+    loss = float(-(weight[y] * np.log(p[rows, y])).sum() / len(y))
+    p[rows, y] -= 1
+    p *= weight[y][:, None] / len(y)
+    back = (p @ net.dense.T) * (pooled > 0)
+    grads = []
+    for i, width in enumerate(WIDTHS):
+        cols = slice(i * FILTERS, (i + 1) * FILTERS)
+        for j in range(width):
+            g = np.zeros((256, FILTERS), dtype=back.dtype)
+            byte = np.take_along_axis(x, at[:, cols] + j, axis=1)
+            np.add.at(g, (byte, np.broadcast_to(np.arange(FILTERS), byte.shape)), back[:, cols])
+            grads.append(g)
+    return loss, grads + [h.T @ p, p.sum(axis=0)]
+
+
 def train(texts: list[bytes], labels: list[str]) -> Network:
-    """Adam on the cross-entropy; only the places that won the pooling get a gradient."""
+    """Adam on the cross-entropy, languages weighted alike."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(SEED)
     tables = [[rng.normal(0, 0.1, (256, FILTERS)).astype(np.float32) for _ in range(w)] for w in WIDTHS]
@@ -95,24 +119,7 @@ def train(texts: list[bytes], labels: list[str]) -> Network:
         order = rng.permutation(len(x))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
-            xb, yb = x[rows], y[rows]
-            pooled, at = net.pooled(xb, where=True)
-            h = np.maximum(pooled, 0)
-            z = h @ net.dense + net.bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(yb)), yb] -= 1
-            p *= weight[yb][:, None] / len(yb)
-            back = (p @ net.dense.T) * (pooled > 0)
-            grads = []
-            for i, width in enumerate(WIDTHS):
-                cols = slice(i * FILTERS, (i + 1) * FILTERS)
-                for j in range(width):
-                    g = np.zeros((256, FILTERS), dtype=np.float32)
-                    byte = np.take_along_axis(xb, at[:, cols] + j, axis=1)
-                    np.add.at(g, (byte, np.broadcast_to(np.arange(FILTERS), byte.shape)), back[:, cols])
-                    grads.append(g)
-            grads += [h.T @ p, p.sum(axis=0)]
+            _, grads = gradients(net, x[rows], y[rows], weight)
             step += 1
             for q, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)

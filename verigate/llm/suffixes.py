@@ -323,7 +323,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row = F.xxhash64(docs[id_col].isNull(), holder, text)
     both = docs.join(cuts.hint("shuffle_hash"), (holder == cuts["_vg_holder"]) & (row == cuts["_vg_row"]), "left")
     both = both.select(*[docs[c] for c in docs.columns], "_vg_start", "_vg_n")
-    place, width = docs.columns.index(text_col), len(docs.columns)
+    names, place, width = list(docs.columns), docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,7 +332,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for text, start, n in zip(column, b.column(width), b.column(width + 1), strict=True):
                 texts.append(_kept(text.as_py().encode(), start, n)[0].decode("utf-8", errors="ignore") if start.is_valid else text.as_py())
             columns = [pa.array(texts, column.type) if i == place else b.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, list(docs.columns))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return both.mapInArrow(frugal(run), docs.schema)
 
