@@ -4,8 +4,8 @@ One hash of each shingle picks a bin and a value; a bin keeps its smallest value
 of a bin that a fixed pseudo-random sequence finds first among the filled ones (optimal densification). Bands
 of bins are bucket keys. Within a bucket the edges form a star around one centre, so a bucket of m sets gives
 m - 1 pairs; the centre is the set whose buckets are largest, which for a group of edited copies is their
-common source. Pairs are compared by one byte of each bin first, then confirmed on the full sets. While a round
-finds links, every bucket that still holds several components gets two more stars, around the member with the
+common source. Pairs are compared by one byte of each bin first, then confirmed on the full sets. While members that are
+still apart would make very many pairs, and a round finds links, every bucket that still holds several components gets two more stars, around the member with the
 most links so far and around one drawn by a hash, towards the members of other components. Bucket keys are one,
 two or three neighbouring bands: the wider ones part dissimilar sets that share a narrow one. When the stars find no more,
 all members of each bucket of a single band that are still in different components meet: in blocks of a bounded
@@ -36,6 +36,8 @@ from verigate.llm.components import components
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
 ROWS_A_TASK, PAIRS_A_TASK, BLOCK = 50_000, 3_000, 1_024
+#: While members that are still apart make more pairs than this, further stars thin them out before all of them meet.
+MEET = 5_000_000
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -315,7 +317,14 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     links = spark.createDataFrame([], "a long, b long")
     joined = spark.createDataFrame([], "node long, root long")
     tested = links
-    everyone = staged(bucketed(1).withColumn("width", F.lit(1)).union(bucketed(2).withColumn("width", F.lit(2))).union(bucketed(3).withColumn("width", F.lit(3))), "everyone")
+    everyone = staged(bucketed(1).select("key", F.lit(1).alias("width"), "node", "rank"), "everyone")
+
+    def apart(everyone: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of single bands with their roots, and the bands that still hold several (with their number of pairs)."""
+        left = everyone.where("width = 1").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = left.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("c")).where("r1 < r2")
+        return left, mixed.select("key", (F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))
+
     turn, more = 0, True
     while more:
         # first one star in every bucket of a single band; then, while a round finds links, stars around the member
@@ -323,7 +332,7 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
         # the round, both towards the members of other components
         ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
         degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        now = everyone if turn else everyone.where("width = 1")
+        now = everyone
         now = now.join(joined, "node", "left").join(degree, "node", "left").select("key", "width", "node", "rank", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         mixed = now.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
         # tables of a round get tasks by their rows, not by the session's number of partitions
@@ -339,7 +348,7 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
         pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti").coalesce(parts), "pairs")
         # a centre has met all of its bucket and leaves it
         rest = near.where((F.col("node") != F.col("x")) & (F.col("y").isNull() | (F.col("node") != F.col("y")))).select("key", "width", "node", "rank")
-        everyone = rest if turn else rest.union(everyone.where("width > 1").select("key", "width", "node", "rank"))
+        everyone = rest
         few = 1 + pairs.count() // PAIRS_A_TASK
         found = staged(_confirmed(staged(_likely(pairs, involved, percent).coalesce(few), "likely"), sets, percent).coalesce(few), "links")
         more = not found.isEmpty() or not turn
@@ -348,10 +357,15 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
         if more:
             links = links.union(found)
             joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+        if turn == 1:
+            # the last step makes the result the same with and without further stars: they only save it work
+            more = (apart(everyone, joined)[1].agg(F.sum("pairs").alias("n")).first()["n"] or 0) > MEET
+            if more:
+                wider = bucketed(2).withColumn("width", F.lit(2)).union(bucketed(3).withColumn("width", F.lit(3)))
+                everyone = staged(everyone.union(wider.select("key", "width", "node", "rank")), "everyone")
     # the stars end with the first round that finds no link; all members of a bucket that are still apart now meet
-    left = everyone.where("width = 1").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = left.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
-    left = staged(left.join(mixed, "key").join(involved.select("node", "n"), "node").coalesce(1 + everyone.count() // ROWS_A_TASK), "apart")
+    left, mixed = apart(everyone, joined)
+    left = staged(left.join(mixed.select("key"), "key").join(involved.select("node", "n"), "node").coalesce(1 + everyone.count() // ROWS_A_TASK), "apart")
     blocks = staged(_blocks(left, percent), "blocks")
     opens = F.when(F.col("n") <= SMALL * 100 // percent, F.expr(f"slice(keys, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).otherwise(F.array().cast("array<bigint>"))
     whole = involved.join(keyed.select("node", "keys"), "node").select("node", "n", "sketch", opens.alias("prefix"))
