@@ -360,7 +360,7 @@ def test_images_shared_logo(spark):
 
 
 @pytest.mark.parametrize("f", [
-    lambda d: linededup.apply_bitmaps(d, linededup.keep_bitmaps(d)), suffixes.removals, lambda d: minhash.near_duplicates(d, 85), sharding.shard_documents,
+    lambda d: linededup.apply_bitmaps(d, linededup.keep_bitmaps(d)), suffixes.removals, lambda d: minhash.near_duplicates(d, 85),
     lzprint.fingerprints, lambda d: bytecnn.predict(d, bytecnn.learn(d)), lambda d: packing.pack(d, BPE, public_tokenizers.PATTERN), lambda d: pieces.digests(d, public_tokenizers.path("piece_bpe_32k.model")),
 ])
 def test_empty_table(empty, f):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from verigate.llm import bytecnn, images, linededup, lzprint, minhash, packing, pieces, sharding, sstable, suffixes
+from verigate.llm import bytecnn, images, linededup, minhash, pieces, sharding, sstable, suffixes
 from verigate.llm.tokens import TokenEncoder
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,24 +119,22 @@ def test_stages_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("f", [
-    lambda d: minhash.deduplicate(d, 85), suffixes.deduplicate, bytecnn.keep_identified, sharding.shard_documents, lzprint.fingerprints, suffixes.removals,
-    lambda d: images.copies(d.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("image"))), lambda d: pieces.encode_documents(d, PIECES),
+    lambda d: images.copies(d.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("image"))), lambda d: pieces.encode_documents(d, PIECES), sharding.shard_documents,
 ])
-def test_empty_and_odd_tables(spark, f):
+def test_odd_tables(spark, f):
+    """Operators that no stage applies; the stages' tests do the same for all others."""
     docs = clashing(spark, ROWS)
     assert f(docs.limit(0)).count() == 0
-    assert f(docs).count() > 0
+    assert f(docs).count() == len(ROWS)
 
 
 def test_near_duplicates_with_repeated_identifiers(spark):
     """Equal identifiers on unlike texts, in either order: links and groups are the same."""
     base = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
-    want = None
-    for rows in itertools.permutations([(1, other), (1, base), (2, base + " more")]):
+    for rows in ([(1, other), (1, base), (2, base + " more")], [(2, base + " more"), (1, base), (1, other)]):
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect())
-        want = want or got
-        assert got == want == [(1, 56, 1), (1, 56, 1), (2, 57, 1)]
+        assert got == [(1, 56, 1), (1, 56, 1), (2, 57, 1)]
     kept = minhash.deduplicate(spark.createDataFrame([(1, other), (1, base), (2, base + " more")], "doc_id long, text string"), 85)
     assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, other), (1, base)])
 

@@ -38,20 +38,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_vg_path"] = path
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more, where all that came from them is staged itself.
+    """Deletes tables that ``staged`` gave and nothing reads any more, where all that came from them is staged itself.
 
     A collection on the driver lets Spark's cleaner delete the shuffle files of the steps that are over, too.
     """
     for df in tables:
         spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        spark._jvm.System.gc()
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_vg_path"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import Rolling, frugal, mix64, seeds64, staged, text_runs
+from verigate.llm.common import Rolling, discard, frugal, mix64, seeds64, staged, text_runs
 from verigate.llm.components import components
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
@@ -294,20 +294,26 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
     """The profiles of all rows, and for each node: root (of its component) and label (its smallest identifier)."""
     spark = rows.sparkSession
+    steps: list[DataFrame] = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        steps.append(staged(df, name))
+        return steps[-1]
+
     band = 5 if percent >= 85 else 4
     every = staged(profiles(rows, percent, band, words), "profiles")
     held = every.where("node is not null")
     labels = held.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("first"))
-    labels = staged(labels.select("node", F.col("first.doc_id").alias("label"), F.col("first.t").alias("label_t")), "labels")
+    labels = step(labels.select("node", F.col("first.doc_id").alias("label"), F.col("first.t").alias("label_t")), "labels")
     nodes = held.select("node", "n", "keys", "sketch").dropDuplicates(["node"])
-    buckets = staged(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
-    shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    members = staged(buckets.join(shared, "key"), "members")
-    busy = staged(members.groupBy("node").agg(F.sum("size").alias("rank")), "busy")
-    involved = staged(held.join(busy, "node").select("node", "n", "sketch", "doc_id", "t").join(labels, "node").where("doc_id = label and t = label_t").dropDuplicates(["node"]).select("node", "n", "sketch", "label", "label_t"), "involved")
+    buckets = step(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
+    shared = step(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    members = step(buckets.join(shared, "key"), "members")
+    busy = step(members.groupBy("node").agg(F.sum("size").alias("rank")), "busy")
+    involved = step(held.join(busy, "node").select("node", "n", "sketch", "doc_id", "t").join(labels, "node").where("doc_id = label and t = label_t").dropDuplicates(["node"]).select("node", "n", "sketch", "label", "label_t"), "involved")
     texts = rows.join(involved.select(F.col("label").alias("doc_id"), F.col("label_t").alias("t"), "node").hint("shuffle_hash"), ["doc_id", "t"]).select("text", "node")
-    sets = staged(full_sets(texts, words), "sets").dropDuplicates(["node"])
-    keyed = staged(nodes.select("node", "keys").join(busy, "node"), "keyed")
+    sets = step(full_sets(texts, words), "sets").dropDuplicates(["node"])
+    keyed = step(nodes.select("node", "keys").join(busy, "node"), "keyed")
 
     def bucketed(width: int) -> DataFrame:
         # a key is as many neighbouring keys of a set as the width says: wider ones part the dissimilar sets of a large bucket
@@ -317,7 +323,7 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     links = spark.createDataFrame([], "a long, b long")
     joined = spark.createDataFrame([], "node long, root long")
     tested = links
-    everyone = staged(bucketed(1).select("key", F.lit(1).alias("width"), "node", "rank"), "everyone")
+    everyone = step(bucketed(1).select("key", F.lit(1).alias("width"), "node", "rank"), "everyone")
 
     def apart(everyone: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of single bands with their roots, and the bands that still hold several (with their number of pairs)."""
@@ -337,47 +343,49 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
         mixed = now.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
         # tables of a round get tasks by their rows, not by the session's number of partitions
         parts = 1 + everyone.count() // ROWS_A_TASK
-        now = staged(now.join(mixed, "key").coalesce(parts), "now")
+        now = step(now.join(mixed, "key").coalesce(parts), "now")
         drawn = F.when(F.col("width") > 1, F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "root"))
         picks = now.groupBy("key").agg(F.max(F.struct("degree", "rank", "node", "root")).alias("x"), F.max(drawn).alias("y"))
-        near = staged(now.join(picks.select("key", "x.node", "x.root", "y.node", "y.root").toDF("key", "x", "x_root", "y", "y_root"), "key").coalesce(parts), "near")
+        near = step(now.join(picks.select("key", "x.node", "x.root", "y.node", "y.root").toDF("key", "x", "x_root", "y", "y_root"), "key").coalesce(parts), "near")
         pairs = None
         for centre in "xy":
             own = near.where(F.col("root") != F.col(f"{centre}_root")).select(F.least("node", centre).alias("a"), F.greatest("node", centre).alias("b"))
             pairs = own if pairs is None else pairs.union(own)
-        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti").coalesce(parts), "pairs")
+        pairs = step(pairs.distinct().join(tested, ["a", "b"], "left_anti").coalesce(parts), "pairs")
         # a centre has met all of its bucket and leaves it
         rest = near.where((F.col("node") != F.col("x")) & (F.col("y").isNull() | (F.col("node") != F.col("y")))).select("key", "width", "node", "rank")
         everyone = rest
         few = 1 + pairs.count() // PAIRS_A_TASK
-        found = staged(_confirmed(staged(_likely(pairs, involved, percent).coalesce(few), "likely"), sets, percent).coalesce(few), "links")
+        found = step(_confirmed(step(_likely(pairs, involved, percent).coalesce(few), "likely"), sets, percent).coalesce(few), "links")
         more = not found.isEmpty() or not turn
         turn += 1
         tested = tested.union(pairs)
         if more:
             links = links.union(found)
-            joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+            joined = step(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
         if turn == 1:
             # the last step makes the result the same with and without further stars: they only save it work
             more = (apart(everyone, joined)[1].agg(F.sum("pairs").alias("n")).first()["n"] or 0) > MEET
             if more:
                 wider = bucketed(2).withColumn("width", F.lit(2)).union(bucketed(3).withColumn("width", F.lit(3)))
-                everyone = staged(everyone.union(wider.select("key", "width", "node", "rank")), "everyone")
+                everyone = step(everyone.union(wider.select("key", "width", "node", "rank")), "everyone")
     # the stars end with the first round that finds no link; all members of a bucket that are still apart now meet
     left, mixed = apart(everyone, joined)
-    left = staged(left.join(mixed.select("key"), "key").join(involved.select("node", "n"), "node").coalesce(1 + everyone.count() // ROWS_A_TASK), "apart")
-    blocks = staged(_blocks(left, percent), "blocks")
+    left = step(left.join(mixed.select("key"), "key").join(involved.select("node", "n"), "node").coalesce(1 + everyone.count() // ROWS_A_TASK), "apart")
+    blocks = step(_blocks(left, percent), "blocks")
     opens = F.when(F.col("n") <= SMALL * 100 // percent, F.expr(f"slice(keys, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).otherwise(F.array().cast("array<bigint>"))
     whole = involved.join(keyed.select("node", "keys"), "node").select("node", "n", "sketch", opens.alias("prefix"))
     met = blocks.join(whole, "node").select("block", "own", "i", "j", "node", "root", "n", "sketch", "prefix")
     met = met.repartition(1 + blocks.count() // ROWS_A_TASK, "block").sortWithinPartitions("block")
-    pairs = staged(_met(met, percent), "met")
-    pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = staged(_confirmed(pairs.coalesce(1 + pairs.count() // PAIRS_A_TASK), sets, percent), "links")
+    pairs = step(_met(met, percent), "met")
+    pairs = step(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = step(_confirmed(pairs.coalesce(1 + pairs.count() // PAIRS_A_TASK), sets, percent), "links")
     if not found.isEmpty():
         links = links.union(found)
-        joined = staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    return every, staged(labels.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "label"), "groups")
+        joined = step(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    out = staged(labels.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "label"), "groups")
+    discard(*steps)
+    return every, out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
