@@ -146,3 +146,47 @@ def test_best_so_far_over_batches(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     best = out.groupBy("bug").agg(F.min_by("attempt", F.struct(-F.col("score"), F.col("attempt"))).alias("a"), F.max("score").alias("s"))
     assert {tuple(r) for r in best.collect()} == {("b", 0, 0.5), ("c", 1, 0.9)}
+
+
+JAVA = """package a;
+/* block; */ class X {
+  private int f = 1; // field;
+  int g(String s) {
+    int a = 0;
+    for (int i = 0; i < 3; i++) { a += i; }
+    do { a--; } while (a > 0);
+    if (a == 1) return 2; else a = 3;
+    String t = "x; return";
+    try { h(a); } finally { k(); }
+    throw new E(t);
+  }
+}
+"""
+
+
+def test_java_counts():
+    from verigate.functions.java import counted
+
+    assert counted(JAVA) == (13, 2)
+    assert counted("class X { int f; void g() { } }") == (0, 0) and counted("") == (0, 0)
+    assert counted("class X { void g() { a(); }") is None and counted("class X { void g() ( a(); } }") is None
+
+
+def test_parsed_guard(spark):
+    fewer = JAVA.replace("    throw new E(t);\n", "    a();\n")
+    rows = spark.createDataFrame([(JAVA, JAVA), (JAVA, fewer), (JAVA, JAVA[:-3]), (JAVA[:-3], JAVA)], "a string, b string")
+    got = [tuple(r)[::3] for r in rows.select(gate.parsed_guard("a", "b").alias("g")).select("g.ok", "g.ratio", "g.returns_kept", "g.method").collect()]
+    assert got == [(True, "lexed"), (False, "lexed"), (False, "lexed"), (True, "lines")]
+
+
+def test_documents_that_are_missing(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"rows": []}')
+    (tmp_path / "b.json").write_text("{oops")
+    assert [R.read_document(spark, str(tmp_path / n)).count() for n in ("a.json", "b.json", "c.json")] == [1, 0, 0]
+
+
+def test_queries_from_the_command_line(spark, tmp_path, capsys):
+    from verigate.__main__ import main
+
+    assert main(["q_verdict_truth", "/root/testdata/sf0.001", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 64

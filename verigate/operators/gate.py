@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verigate.functions.java import java_counts
 from verigate.functions.text import count_elements, retained, statement_lines
 from verigate.operators.metrics import FLAGS, cleared, tool_clean
 
@@ -112,6 +113,21 @@ def code_guard(before: Column | str, after: Column | str, least: float = MIN_RET
     return F.transform(F.array(F.struct(counts(before).alias("old"), counts(after).alias("new"))), judged)[0]  # counts are taken once
 
 
+def parsed_guard(before: Column | str, after: Column | str, least: float = MIN_RETAINED) -> Column:
+    """struct(ok, ratio, returns_kept, method) by lexed statements: code whose brackets don't match is rejected as a
+    patch, and as an original leaves the judgement of both to lines."""
+    both = F.array(F.struct(java_counts(before).alias("old"), java_counts(after).alias("new"), code_guard(before, after, least).alias("lines")))
+
+    def judged(x: Column) -> Column:
+        ratio, kept = retained(x["new"]["statements"], x["old"]["statements"]), x["new"]["exits"] >= x["old"]["exits"]
+        lexed = F.struct(((ratio >= least) & kept).alias("ok"), ratio.alias("ratio"), kept.alias("returns_kept"), F.lit("lexed").alias("method"))
+        rejected = F.struct(F.lit(False).alias("ok"), F.lit(0.0).alias("ratio"), F.lit(False).alias("returns_kept"), F.lit("lexed").alias("method"))
+        by_line = F.struct(x["lines"]["ok"].alias("ok"), x["lines"]["ratio"].alias("ratio"), x["lines"]["returns_kept"].alias("returns_kept"), F.lit("lines").alias("method"))
+        return F.when(x["new"].isNull(), rejected).when(x["old"].isNull(), by_line).otherwise(lexed)
+
+    return F.transform(both, judged)[0]
+
+
 def dom_guard(before: Column | str, after: Column | str, least: float = MIN_RETAINED) -> Column:
     """struct(ok, ratio): enough elements stay."""
     both = F.array(F.struct(count_elements(before).alias("old"), count_elements(after).alias("new")))

@@ -55,6 +55,14 @@ def records(raw: DataFrame, value: str = "value") -> DataFrame:
     return out.where("vuln_code <> '' and fixed_code <> ''").drop(value)
 
 
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document as a row ``value``; no row where the file is missing or doesn't parse."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return spark.createDataFrame([], "value string")
+    return spark.read.text(path, wholetext=True).where("try_parse_json(value) is not null")
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank ones are skipped, a bad one fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
