@@ -266,7 +266,7 @@ def test_image_recall():
         whole.append((p, d))
         for kind in range(images.KINDS):
             q, e = images.descriptors(images.edited(img, kind).astype(np.float32))
-            found[kind] += len(keys(d) & keys(e)) >= 5 and images.agreeing(p, d, q, e) >= images.MIN_AGREEING
+            found[kind] += len(keys(d) & keys(e)) >= images.MIN_EDGES and images.agreeing(p, d, q, e) >= images.MIN_AGREEING
     assert all(found[k] >= 0.9 * n for k in range(images.KINDS)), found
     assert not any(images.agreeing(*a, *b) >= images.MIN_AGREEING for a, b in itertools.combinations(whole, 2))
 
