@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verigate.llm import bytecnn, images, linededup, lzprint, minhash, packing, pieces, sharding, sstable, suffixes
+from verigate.llm import bytecnn, images, linededup, lzprint, merkle, minhash, packing, pieces, sharding, sstable, suffixes
 
 QUERIES = {
     "op1_sstable": sstable.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_minhash": minhash.query,
     "op9_bytecnn": bytecnn.query,
     "op10_packing": packing.query,
+    "op12_merkle": merkle.query,
 }
 ORACLE = {
     "op5_linededup": linededup.ORACLE,
     "op8_minhash": minhash.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
