@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verigate.llm import bytecnn, images, linededup, lzprint, merkle, minhash, packing, pieces, sharding, sstable, suffixes
+from verigate.llm import align, bytecnn, images, linededup, lzprint, merkle, minhash, packing, pieces, sharding, sstable, suffixes
 
 QUERIES = {
     "op1_sstable": sstable.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bytecnn": bytecnn.query,
     "op10_packing": packing.query,
     "op12_merkle": merkle.query,
+    "op13_align": align.query,
 }
 ORACLE = {
     "op5_linededup": linededup.ORACLE,
