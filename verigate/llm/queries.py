@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verigate.llm import align, bytecnn, images, linededup, lzprint, merkle, minhash, packing, pieces, sharding, sstable, suffixes
+from verigate.llm import align, bytecnn, images, linededup, lzprint, merkle, minhash, overlap, packing, pieces, sharding, sstable, suffixes
 
 QUERIES = {
     "op1_sstable": sstable.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_minhash": minhash.query,
     "op9_bytecnn": bytecnn.query,
     "op10_packing": packing.query,
+    "op11_overlap": overlap.query,
     "op12_merkle": merkle.query,
     "op13_align": align.query,
 }
 ORACLE = {
     "op5_linededup": linededup.ORACLE,
     "op8_minhash": minhash.ORACLE,
+    "op11_overlap": overlap.ORACLE,
     "op12_merkle": merkle.ORACLE,
 }
