@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verigate.functions import text as T
 from verigate.functions.rates import wilson
-from verigate.operators import dedup, gate, split
+from verigate.operators import dedup, gate, sft, split
 
 
 def test_wilson_known_values(spark):
@@ -84,3 +84,19 @@ def test_streaming_window_equals_batch(spark):
     run.awaitTermination()
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ok", F.col("value") > 50)
     assert sorted(spark.table("rates").collect()) == sorted(streams.windowed_rate(batch, "ts", "ok").collect())
+
+
+def test_blocks_with_blanks_stay_apart(spark):
+    rows = [(1, "a", "b c"), (2, "a b", "c"), (3, "a b c", ""), (4, None, "b c"), (5, "", "b c"), (6, "a", "B  c"), (7, "z", "..."), (8, "z", "!"), (9, "y", "?")]
+    df = spark.createDataFrame(rows, "id long, block string, text string")
+    assert sorted(r.id for r in dedup.near_dedup(df, "id", "block", "text").collect()) == [1, 2, 3, 4, 7, 9]
+
+
+def test_records_of_other_projects_and_one_like_side(spark):
+    """Alike on one side alone, or of another project, is no duplicate; two sides without tokens are."""
+    words = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, words, "x y", "p q"), (2, words + " more", "x  Y", "p q"), (3, words, "x y z", "p"), (4, words + " yet", "quite other", "p q"), (5, "{}", ";", "n"), (6, "( )", ",", "n"), (7, "{}", "words", "n")]
+    df = spark.createDataFrame([(*r, "", "", "f") for r in rows], "ord long, vuln_code string, fixed_code string, project string, date string, cve string, source_file string")
+    kept, counts = sft.dedup_records(df)
+    assert sorted(r.ord for r in kept.collect()) == [1, 3, 4, 5, 7]
+    assert counts.first().asDict() == {"input": 7, "exact_dups": 0, "near_dups": 2, "kept": 5}

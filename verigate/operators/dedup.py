@@ -34,16 +34,30 @@ def exact(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return keyed.join(least, "_key").withColumn("dup", F.col("_order") != F.col("_least")).drop("_key", "_order", "_least")
 
 
-def _classes(df: DataFrame, id_col: str, block: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): node and id of every row with tokens; node, block, set and first id of every distinct set."""
-    own = df.select(F.col(id_col).alias("id"), F.col(block).alias("block"), F.array_sort(F.array_distinct(tokens(text))).alias("set")).where(F.size("set") > 0)
-    own = staged(own.withColumn("node", F.md5(F.concat_ws(" ", F.coalesce("block", F.lit("")), "set"))))
+def _blocked(c: Column | str) -> Column:
+    """The block of a row; none is a block of its own, the same as an empty one."""
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+
+
+def _node(block: Column | str, tokens_of: Column | str) -> Column:
+    """Names a set within a block. The block's length stands first, so that no block runs into the tokens."""
+    return F.md5(F.concat_ws(" ", F.length(block).cast("string"), block, tokens_of))
+
+
+def _classes(df: DataFrame, id_col: str, block: str, text: Column | str, empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): node and id of every row with tokens (of every row at all with ``empty``); node, block, set
+    and first id of every distinct set. ``text`` is a column of text, or an array of tokens."""
+    own_tokens = tokens(text) if isinstance(text, str) else text
+    own = df.select(F.col(id_col).alias("id"), _blocked(block).alias("block"), F.array_sort(F.array_distinct(own_tokens)).alias("set"))
+    own = own if empty else own.where(F.size("set") > 0)
+    own = staged(own.withColumn("node", _node(F.col("block"), F.col("set"))))
     classes = own.groupBy("node").agg(F.min("id").alias("first"), F.first("block").alias("block"), F.first("set").alias("set"))
     return own.select("node", "id"), staged(classes)
 
 
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (p, q, similarity) of distinct sets (node, block, set) of one block that are alike by the threshold.
+def similar_classes(classes: DataFrame, threshold: float, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Pairs (p, q, similarity) of distinct sets (node, block, set) of one block that are alike by the threshold, and
+    for whose sets ``also`` holds.
 
     Prefix filter: two sets above the threshold share one of their rarest tokens, as many of them as the threshold
     leaves open; and from the first one they share, enough tokens have to be left in both. Only such pairs of like
@@ -60,10 +74,12 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     like = (F.col("a.m") >= threshold * F.col("b.m") - 1e-9) & (F.col("b.m") >= threshold * F.col("a.m") - 1e-9)
     room = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at")) + 1
     enough = room >= (F.col("a.m") + F.col("b.m")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = a.join(b, F.col("a.block").eqNullSafe(F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.node") < F.col("b.node")) & like & enough)
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.node") < F.col("b.node")) & like & enough)
     pairs = pairs.select(F.col("a.node").alias("p"), F.col("b.node").alias("q")).distinct()
     left, right = classes.select(F.col("node").alias("p"), F.col("set").alias("x")), classes.select(F.col("node").alias("q"), F.col("set").alias("y"))
-    return pairs.join(left, "p").join(right, "q").select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+    both = pairs.join(left, "p").join(right, "q")
+    both = both.where(also(F.col("x"), F.col("y"))) if also else both
+    return both.select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def _expanded(found: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -98,19 +114,26 @@ def greedy_drops(pairs: DataFrame) -> DataFrame:
     return gone if gone is not None else pairs.select(F.col("a").alias("id")).limit(0)
 
 
-def near_dedup(df: DataFrame, id_col: str, block: str, text: str, threshold: float = 0.9) -> DataFrame:
-    """The rows that the greedy rule keeps; a threshold of 0 or less keeps all.
+def near_duplicates(df: DataFrame, id_col: str, block: str, text: Column | str, threshold: float = 0.9, also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The ids (``_gone``) that the greedy rule drops.
 
-    Equal sets share their fate with the first of them, which they are like: only it meets other sets.
+    Equal sets of a block share their fate with the first of them, which they are like: only it meets other sets, and
+    two sets without tokens are equal.
     """
-    if threshold <= 0:
-        return df
-    members, classes = _classes(df, id_col, block, text)
+    members, classes = _classes(df, id_col, block, text, empty=True)
     first = classes.select("node", "first")
-    pairs = similar_classes(classes, threshold).join(first.withColumnsRenamed({"node": "p", "first": "a"}), "p").join(first.withColumnsRenamed({"node": "q", "first": "b"}), "q")
+    pairs = similar_classes(classes, threshold, also).join(first.withColumnsRenamed({"node": "p", "first": "a"}), "p").join(first.withColumnsRenamed({"node": "q", "first": "b"}), "q")
     gone = greedy_drops(pairs.select("a", "b"))
     later = members.join(first, "node").where(F.col("id") != F.col("first")).select("id")
-    return df.join(gone.union(later).withColumnRenamed("id", "_gone"), df[id_col] == F.col("_gone"), "left_anti")
+    return gone.union(later).withColumnRenamed("id", "_gone")
+
+
+def near_dedup(df: DataFrame, id_col: str, block: str, text: str, threshold: float = 0.9) -> DataFrame:
+    """The rows that the greedy rule keeps within each block; a threshold of 0 or less keeps all."""
+    if threshold <= 0:
+        return df
+    gone = near_duplicates(df, id_col, block, text, threshold)
+    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
 
 
 def minhash_pairs(df: DataFrame, id_col: str, text: str, threshold: float, bands: int = 16, rows: int = 4, tokens_of: str = "code") -> DataFrame:

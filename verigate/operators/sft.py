@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verigate.functions.text import code_key, first_nonempty, jaccard, redact, tokens
-from verigate.operators.dedup import date_key, exact, greedy_drops, similar_pairs
+from verigate.operators.dedup import date_key, exact, near_duplicates
 from verigate.operators.split import assert_no_leak, family_of, family_split, temporal_split
 from verigate.operators.tables import staged
 
@@ -29,11 +29,11 @@ def dedup_records(records: DataFrame, threshold: float = 0.9) -> tuple[DataFrame
         gone = records.sparkSession.createDataFrame([], "_gone string")
     else:
         ranked = staged(first.withColumn("_id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "_pair")))
-        pairs = similar_pairs(ranked, "_id", "project", "vuln_code", threshold).select("a", "b")
-        sides = ranked.select(F.col("_id").alias("_of"), tokens("fixed_code").alias("_fixed"))
-        a, b = sides.select(F.col("_of").alias("a"), F.col("_fixed").alias("_x")), sides.select(F.col("_of").alias("b"), F.col("_fixed").alias("_y"))
-        alike = pairs.join(a, "a").join(b, "b").where(jaccard("_x", "_y") >= threshold).select("a", "b")
-        gone = greedy_drops(staged(alike)).select(F.col("id._pair").alias("_gone"))
+        side = lambda mark, c: F.transform(tokens(c), lambda w: F.concat(F.lit(mark), w))
+        of = lambda mark, c: F.filter(c, lambda w: w.startswith(mark))
+        # alike on both sides is alike on both taken together, so one search over marked tokens finds all candidates
+        alike = lambda x, y: (jaccard(of("v:", x), of("v:", y)) >= threshold) & (jaccard(of("f:", x), of("f:", y)) >= threshold)
+        gone = near_duplicates(ranked, "_id", "project", F.concat(side("v:", "vuln_code"), side("f:", "fixed_code")), threshold, alike).select(F.col("_gone._pair").alias("_gone"))
     gone = staged(gone)
     kept = first.join(gone, first["_pair"] == gone["_gone"], "left_anti")
     counts = marked.join(gone, marked["_pair"] == gone["_gone"], "left").agg(

@@ -40,3 +40,21 @@ def wilson_sql(k: str, n: str) -> str:
     centre = f"(({p} + {zz} / (2.0::DOUBLE * {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"
     half = f"((1.96::DOUBLE * sqrt(({p} * (1.0::DOUBLE - {p}) + {zz} / (4.0::DOUBLE * {n}::DOUBLE)) / {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"
     return f"CASE WHEN {n} > 0 THEN {k}::DOUBLE / {n}::DOUBLE ELSE 0.0::DOUBLE END AS rate, CASE WHEN {n} > 0 THEN greatest(0.0::DOUBLE, {centre} - {half}) ELSE 0.0::DOUBLE END AS ci_low, CASE WHEN {n} > 0 THEN least(1.0::DOUBLE, {centre} + {half}) ELSE 0.0::DOUBLE END AS ci_high"
+
+
+# What has to be redacted, as RE2 has it.
+REDACTED = [
+    (r"(?://|/\*|#)\s*(?:FIX(?:ME|ED)?|VULN(?:ERABILITY|ERABLE)?|PATCH(?:ED)?|SECURITY|EXPLOIT|SINK)\b[^\n*]*", "", "gi"),
+    (r"\bCVE-[0-9]{4}-[0-9]{4,}\b", "<CVE>", "gi"),
+    (r"\bCWE[-_]?[0-9]+\b", "<CWE>", "gi"),
+    (r"\b(?:VUL4J|VJBENCH)[-_]?[0-9]+\b", "<BUGID>", "gi"),
+    (r"\b[A-Za-z]:\\(?:[^\s\\]+\\)*[^\s\\]+\.(?:java|kt|xml|properties|json)\b", "<PATH>", "g"),
+    (r"\b(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.(?:java|kt|xml|properties|json)\b", "<PATH>", "g"),
+    (r"\b[0-9a-f]{7,40}\b", "<HASH>", "gi"),
+]
+
+
+def redacted_sql(c: str) -> str:
+    for pattern, by, flags in REDACTED:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', '{flags}')"
+    return c

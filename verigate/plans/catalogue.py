@@ -16,7 +16,7 @@ from verigate.functions.rates import wilson
 from verigate.operators import corpus, dedup, gate, metrics, ranking, split
 from verigate.operators.tables import shared_folder
 from verigate.plans import preparation  # noqa: F401 - registers its queries
-from verigate.plans.base import BASE, NORM, ORACLE, QUERIES, WS, inline, query, table, wilson_sql  # noqa: F401
+from verigate.plans.base import BASE, NORM, ORACLE, QUERIES, WS, inline, query, redacted_sql, table, wilson_sql  # noqa: F401
 from verigate.sources import records as R
 from verigate.streaming import streams
 
@@ -73,25 +73,7 @@ def q_tokens(spark, sf_dir):
 _CODES = "(1, 'int f() { return 1; } // FIX cve', 'CWE_89', 'https://x.org/a/Repo.git/', 'a, b ,,c'), (2, 'see CVE-2020-12345 and CWE-79 in VUL4J-10 at deadbeef12', '79', 'g/Proj', ''), (3, 'path src/main/App.java and C:x', 'cwe22', '', 'one'), (4, '', '', 'http://h/', 'x::y'), (5, '/* VULN: gone */ keep', 'none', ' A/B ', ',')"
 
 
-# What has to be redacted, as RE2 has it.
-_REDACTED = [
-    (r"(?://|/\*|#)\s*(?:FIX(?:ME|ED)?|VULN(?:ERABILITY|ERABLE)?|PATCH(?:ED)?|SECURITY|EXPLOIT|SINK)\b[^\n*]*", "", "gi"),
-    (r"\bCVE-[0-9]{4}-[0-9]{4,}\b", "<CVE>", "gi"),
-    (r"\bCWE[-_]?[0-9]+\b", "<CWE>", "gi"),
-    (r"\b(?:VUL4J|VJBENCH)[-_]?[0-9]+\b", "<BUGID>", "gi"),
-    (r"\b[A-Za-z]:\\(?:[^\s\\]+\\)*[^\s\\]+\.(?:java|kt|xml|properties|json)\b", "<PATH>", "g"),
-    (r"\b(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.(?:java|kt|xml|properties|json)\b", "<PATH>", "g"),
-    (r"\b[0-9a-f]{7,40}\b", "<HASH>", "gi"),
-]
-
-
-def _redacted(c: str) -> str:
-    for pattern, by, flags in _REDACTED:
-        c = f"regexp_replace({c}, '{pattern}', '{by}', '{flags}')"
-    return c
-
-
-@query(f"SELECT doc_id AS id, md5({_redacted('text')}) AS redacted FROM documents UNION ALL SELECT -id, md5({_redacted('code')}) FROM (VALUES {_CODES}) t(id, code, cwe, url, tests)")
+@query(f"SELECT doc_id AS id, md5({redacted_sql('text')}) AS redacted FROM documents UNION ALL SELECT -id, md5({redacted_sql('code')}) FROM (VALUES {_CODES}) t(id, code, cwe, url, tests)")
 def q_redact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5(T.redact("text")).alias("redacted"))
     return docs.union(inline(spark, _CODES, "id, code, cwe, url, tests").select((-F.col("id")).cast("long"), F.md5(T.redact("code"))))
@@ -146,7 +128,11 @@ def q_jaccard_pairs(spark, sf_dir):
     return dedup.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", "source", "text", 0.9)
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, coalesce(lang, '') AS lang, list_distinct(regexp_extract_all({NORM}, '[a-z0-9_]+')) AS t FROM documents), w AS (SELECT doc_id, lang, unnest(t) AS w FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM w a JOIN w b ON a.w = b.w AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE i::DOUBLE / (len(x.t) + len(y.t) - i)::DOUBLE >= 0.9 UNION ALL SELECT x.doc_id, y.doc_id FROM s x JOIN s y ON x.lang = y.lang AND x.doc_id < y.doc_id WHERE len(x.t) = 0 AND len(y.t) = 0),
+g AS (SELECT list_reduce(list([b, a] ORDER BY b, a), lambda gone, x: CASE WHEN list_contains(gone, x[2]) THEN gone ELSE list_append(gone, x[1]) END, []::BIGINT[]) AS gone FROM p)
+SELECT doc_id FROM documents, g WHERE gone IS NULL OR NOT list_contains(gone, doc_id)""")
 def q_near_dedup_greedy(spark, sf_dir):
     return dedup.near_dedup(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", 0.9).select("doc_id")
 

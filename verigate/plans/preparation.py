@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verigate.functions import text as T
 from verigate.operators import corpus, evaluation, gate, metrics, sft, split
-from verigate.plans.base import NORM, WS, inline, query, table, wilson_sql
+from verigate.plans.base import NORM, WS, inline, query, redacted_sql, table, wilson_sql
 from verigate.sources import metadata as M
 from verigate.sources import records as R
 
@@ -295,50 +295,56 @@ def q_file_text(spark, sf_dir):
 _RECORDS = """(1, 'int a; // x', 'int b;', 'CVE-2020-12345', '2021-01-01', 'p', 'f1'), (2, 'INT  a;', 'int b;', 'CVE-2', '2020-01-01', 'q', 'f2'), (3, 'w1 w2 w3 w4 w5 w6 w7 w8 w9 w10', 'v1 v2 v3', 'CVE-3', '', 'p', 'f1'), (4, 'w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11', 'v1 v2 v3', '', '2022-03-04', 'p', 'f3'),
 (5, 'w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12', 'other words', '', '2022-03-05', 'p', 'f3'), (6, 'see CVE-2021-44444', 'ok', 'CVE-6', '2023-01-01', '', 'f4'), (7, 'lone', 'one', '', '', '', 'f5')"""
 _RECORD_COLUMNS = "ord, vuln_code, fixed_code, cve, date, project, source_file"
-_KEPT_SQL = f"""d AS (SELECT * FROM (VALUES {_RECORDS}) t({_RECORD_COLUMNS})), n AS (SELECT *, {NORM.replace("text", "vuln_code")} AS a, {NORM.replace("text", "fixed_code")} AS b, (CASE WHEN date = '' THEN '9999-99-99' ELSE date END, source_file, ord) AS o FROM d),
+#: The awkward records above and one of every document, in words that both engines read.
+_RECORDS_SQL = f"""SELECT {_RECORD_COLUMNS} FROM (VALUES {_RECORDS}) t({_RECORD_COLUMNS}) UNION ALL
+SELECT doc_id + 100, text, concat(text, ' guarded ', doc_id % 2), CASE WHEN doc_id % 2 = 0 THEN concat('CVE-2023-', doc_id) ELSE '' END, CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat('202', doc_id % 4, '-0', 1 + doc_id % 9, '-1', doc_id % 10) END, source, lang FROM documents"""
+_KEPT_SQL = f"""d AS ({_RECORDS_SQL}), n AS (SELECT *, {NORM.replace("text", "vuln_code")} AS a, {NORM.replace("text", "fixed_code")} AS b, row_number() OVER (ORDER BY CASE WHEN date = '' THEN '9999-99-99' ELSE date END, source_file, ord) AS o FROM d),
 e AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY o) AS k FROM n), x AS (SELECT *, list_distinct(regexp_extract_all(a, '[a-z0-9_]+')) AS s, list_distinct(regexp_extract_all(b, '[a-z0-9_]+')) AS u FROM e WHERE k = 1),
-gone AS (SELECT q.ord FROM x p JOIN x q ON p.project = q.project AND p.o < q.o WHERE len(list_intersect(p.s, q.s))::DOUBLE / len(list_distinct(list_concat(p.s, q.s))) >= 0.9 AND len(list_intersect(p.u, q.u))::DOUBLE / len(list_distinct(list_concat(p.u, q.u))) >= 0.9), kept AS (SELECT * FROM x WHERE ord NOT IN (SELECT ord FROM gone))"""
+like_v AS (SELECT p.o AS p, q.o AS q FROM x p JOIN x q ON p.project = q.project AND p.o < q.o WHERE len(p.s) BETWEEN 0.9 * len(q.s) AND len(q.s) / 0.9 AND (len(p.s) + len(q.s) = 0 OR len(list_intersect(p.s, q.s))::DOUBLE / len(list_distinct(list_concat(p.s, q.s))) >= 0.9)),
+alike AS (SELECT p.o AS p, q.o AS q FROM like_v l JOIN x p ON p.o = l.p JOIN x q ON q.o = l.q WHERE len(p.u) + len(q.u) = 0 OR len(list_intersect(p.u, q.u))::DOUBLE / len(list_distinct(list_concat(p.u, q.u))) >= 0.9),
+fold AS (SELECT list_reduce(list([q, p] ORDER BY q, p), lambda gone, y: CASE WHEN list_contains(gone, y[2]) THEN gone ELSE list_append(gone, y[1]) END, []::BIGINT[]) AS l FROM alike),
+gone AS (SELECT ord, k FROM e JOIN (SELECT a AS ga, b AS gb FROM x, fold WHERE list_contains(l, o)) ON a = ga AND b = gb), kept AS (SELECT * FROM x WHERE ord NOT IN (SELECT ord FROM gone))"""
 
 
-def _records(spark):
-    return inline(spark, _RECORDS, _RECORD_COLUMNS)
+def _records(spark, sf_dir):
+    return spark.sql(_RECORDS_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_KEPT_SQL} SELECT ord FROM kept")
 def q_dedup_records(spark, sf_dir):
-    return sft.dedup_records(_records(spark), 0.9)[0].select("ord")
+    return sft.dedup_records(_records(spark, sf_dir), 0.9)[0].select("ord")
 
 
-@query(f"WITH {_KEPT_SQL} SELECT (SELECT count(*) FROM d) AS input, (SELECT count(*) FROM e WHERE k > 1) AS exact_dups, (SELECT count(*) FROM gone) AS near_dups, (SELECT count(*) FROM kept) AS kept")
+@query(f"WITH {_KEPT_SQL} SELECT (SELECT count(*) FROM d) AS input, (SELECT count(*) FROM e WHERE k > 1 AND ord NOT IN (SELECT ord FROM gone)) AS exact_dups, (SELECT count(*) FROM gone) AS near_dups, (SELECT count(*) FROM kept) AS kept")
 def q_dedup_counts(spark, sf_dir):
-    return sft.dedup_records(_records(spark), 0.9)[1]
+    return sft.dedup_records(_records(spark, sf_dir), 0.9)[1]
 
 
-@query(f"WITH {_KEPT_SQL} SELECT fixed_code AS output, date, project, CASE WHEN date <> '' AND date >= '2022-03-05' THEN 'eval' ELSE 'train' END AS split, replace(vuln_code, 'CVE-2021-44444', '<CVE>') AS input, sha1(a || chr(0) || b) AS dedup_key, '2022-03-05' AS cutoff FROM (SELECT * REPLACE (CASE WHEN ord = 2 THEN vuln_code ELSE vuln_code END AS vuln_code) FROM kept)")
+@query(f"WITH {_KEPT_SQL} SELECT fixed_code AS output, date, project, CASE WHEN date <> '' AND date >= '2022-03-05' THEN 'eval' ELSE 'train' END AS split, {redacted_sql('vuln_code')} AS input, sha1(a || chr(0) || b) AS dedup_key, '2022-03-05' AS cutoff FROM kept")
 def q_sft_examples(spark, sf_dir):
-    made, _ = sft.prepare(_records(spark), cutoff="2022-03-05")
+    made, _ = sft.prepare(_records(spark, sf_dir), cutoff="2022-03-05")
     return made.select("output", "meta.date", "meta.project", "split", "input", "meta.dedup_key", "meta.cutoff")
 
 
 _FAMILY = "coalesce(nullif(cve, ''), nullif(project, ''), '__rec_' || ord)"
 
 
-@query(f"""WITH d AS (SELECT ord, {_FAMILY} AS f FROM (VALUES {_RECORDS}) t({_RECORD_COLUMNS})), s AS (SELECT f, count(*) AS n FROM d GROUP BY 1), o AS (SELECT f, coalesce(sum(n) OVER (ORDER BY md5('13:' || f), f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor((SELECT count(*) FROM d) * 0.4) AS t FROM s)
+@query(f"""WITH d AS (SELECT ord, {_FAMILY} AS f FROM ({_RECORDS_SQL})), s AS (SELECT f, count(*) AS n FROM d GROUP BY 1), o AS (SELECT f, coalesce(sum(n) OVER (ORDER BY md5('13:' || f), f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor((SELECT count(*) FROM d) * 0.4) AS t FROM s)
 SELECT ord, CASE WHEN b < t THEN 'eval' ELSE 'train' END AS split FROM d JOIN o ON d.f = o.f""")
 def q_family_fallback(spark, sf_dir):
-    return sft.split_records(_records(spark), "cve", fraction=0.4).select("ord", "split")
+    return sft.split_records(_records(spark, sf_dir), "cve", fraction=0.4).select("ord", "split")
 
 
-@query(f"""WITH d AS (SELECT ord, date FROM (VALUES {_RECORDS}) t({_RECORD_COLUMNS})), r AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d WHERE date <> ''), c AS (SELECT date AS c FROM r WHERE i = greatest(0, least(n - 1, floor(n * 0.8))))
+@query(f"""WITH d AS (SELECT ord, date FROM ({_RECORDS_SQL})), r AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM d WHERE date <> ''), c AS (SELECT date AS c FROM r WHERE i = greatest(0, least(n - 1, floor(n * 0.8))))
 SELECT ord, CASE WHEN date <> '' AND date >= c THEN 'eval' ELSE 'train' END AS split FROM d, c""")
 def q_temporal_auto(spark, sf_dir):
-    return sft.split_records(_records(spark), "temporal").select("ord", "split")
+    return sft.split_records(_records(spark, sf_dir), "temporal").select("ord", "split")
 
 
-@query(f"""WITH d AS (SELECT ord, {_FAMILY} AS f FROM (VALUES {_RECORDS}) t({_RECORD_COLUMNS})), s AS (SELECT f, count(*) AS n FROM d GROUP BY 1), o AS (SELECT f, coalesce(sum(n) OVER (ORDER BY md5('13:' || f), f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor((SELECT count(*) FROM d) * 0.2) AS t FROM s)
+@query(f"""WITH d AS (SELECT ord, {_FAMILY} AS f FROM ({_RECORDS_SQL})), s AS (SELECT f, count(*) AS n FROM d GROUP BY 1), o AS (SELECT f, coalesce(sum(n) OVER (ORDER BY md5('13:' || f), f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, floor((SELECT count(*) FROM d) * 0.2) AS t FROM s)
 SELECT ord, CASE WHEN b < t THEN 'eval' ELSE 'train' END AS split FROM d JOIN o ON d.f = o.f""")
 def q_undated_split(spark, sf_dir):
-    return sft.split_records(_records(spark).withColumn("date", F.lit("")), "temporal").select("ord", "split")
+    return sft.split_records(_records(spark, sf_dir).withColumn("date", F.lit("")), "temporal").select("ord", "split")
 
 
 @query("SELECT s.doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS source, doc_id % 50 = 0 AS held FROM documents) s WHERE NOT held AND source NOT IN ('src1', 'jsoup', 'javamelody')")
