@@ -103,12 +103,14 @@ def test_a_block_of_many_components():
     """All pairs of a block, whatever the largest component is, against plain sets."""
     r = random.Random(6)
     n = 120
-    short = [sorted(r.sample(range(60), r.randrange(10, 30))) for _ in range(n)]
+    short = [sorted(r.sample(range(60), r.randrange(25, 50))) for _ in range(n)]
     size = np.array([r.randrange(90, 120) for _ in range(n)])
     root = np.array([r.choice([0, 0, 0, k + 1]) for k in range(n)])
     least = np.array([r.randrange(6, 12) for _ in range(n)])
     own = np.array([r.randrange(2) for _ in range(n)])
     for i, j in ((0, 0), (0, 1)):
         got = set(overlap.block_pairs(own, i, j, np.arange(n), root, size, least, short, 85))
-        want = {(x, y) for y in range(n) for x in range(y) if root[x] != root[y] and len(set(short[x]) & set(short[y])) >= min(least[x], least[y]) and 100 * min(size[x], size[y]) >= 85 * max(size[x], size[y]) and (i == j or own[x] != own[y])}
+        need = lambda x, y: max(min(least[x], least[y]), -(-85 * (size[x] + size[y]) // 185) - max(-(-85 * size[z] // 100) - least[z] for z in (x, y)))
+        want = {(x, y) for y in range(n) for x in range(y) if root[x] != root[y] and len(set(short[x]) & set(short[y])) >= need(x, y) and 100 * min(size[x], size[y]) >= 85 * max(size[x], size[y]) and (i == j or own[x] != own[y])}
+        assert want
         assert got == want
