@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verigate.functions import text as T
+from verigate.functions.java import java_counts
 from verigate.operators import corpus, dedup, gate, sft, split
 from verigate.operators.metrics import FLAGS, source_stratum
 from verigate.sources import metadata as M
@@ -64,7 +65,7 @@ def test_greedy_against_a_loop(spark):
     kept = []
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
         s = set(re.findall("[a-z0-9_]+", norm(r.text or "")))
-        if not any(lang == r.lang and s and len(s & o) / len(s | o) >= 0.9 for _, lang, o in kept):
+        if not any(lang == r.lang and (not s | o or len(s & o) / len(s | o) >= 0.9) for _, lang, o in kept):
             kept.append((r.doc_id, r.lang, s))
     assert sorted(r.doc_id for r in dedup.near_dedup(docs, "doc_id", "lang", "text", 0.9).collect()) == [k[0] for k in kept]
 
@@ -76,13 +77,16 @@ def test_guard_wants_as_many_exits(spark):
     assert got == [(False, False, 3, 2), (True, True, 3, 3), (True, True, 3, 4)]
 
 
+METHOD = "class A {{ int f() {{ {0} }} }}"
+
+
 def test_gate_of_the_single_false(spark):
     """Each flag alone takes the verdict away; all 64 combinations of tool flags."""
     base = {"compiles": True, "semgrep_clean": True, "codeql_clean": True}
     rows = []
     for bits in itertools.product([True, False], repeat=6):
         c, s, q, reg, pov, kept = bits
-        rows.append((*bits, c, ["T#a"], [("T", "a")], [] if reg else [("U", "z")], ["T#a"] if pov else [], s, q, "return 1;", "return 2;" if kept else "x();"))
+        rows.append((*bits, c, ["T#a"], [("T", "a")], [] if reg else [("U", "z")], ["T#a"] if pov else [], s, q, METHOD.format("return 1;"), METHOD.format("return 2;" if kept else "x();")))
     schema = "b0 boolean, b1 boolean, b2 boolean, b3 boolean, b4 boolean, b5 boolean, compiles boolean, pov_tests array<string>, failures_before array<struct<test_class:string,test_method:string>>, failures_after array<struct<test_class:string,test_method:string>>, passing_after array<string>, semgrep_clean boolean, codeql_clean boolean, code_before string, code_after string"
     out = gate.run_gate(spark.createDataFrame(rows, schema)).collect()
     assert set(base) < set(FLAGS)
@@ -164,19 +168,17 @@ JAVA = """package a;
 """
 
 
-def test_java_counts():
-    from verigate.functions.java import counted
-
-    assert counted(JAVA) == (13, 2)
-    assert counted("class X { int f; void g() { } }") == (0, 0) and counted("") == (0, 0)
-    assert counted("class X { void g() { a(); }") is None and counted("class X { void g() ( a(); } }") is None
+def test_java_counts(spark):
+    codes = [JAVA, "class X { int f; void g() { } }", "", "class X { void g() { a(); }", "class X { void g() ( a(); } }"]
+    rows = spark.createDataFrame([(c,) for c in codes], "code string").select(java_counts("code").alias("c")).collect()
+    assert [r.c and tuple(r.c) for r in rows] == [(13, 2), (0, 0), (0, 0), None, None]
 
 
 def test_parsed_guard(spark):
     fewer = JAVA.replace("    throw new E(t);\n", "    a();\n")
     rows = spark.createDataFrame([(JAVA, JAVA), (JAVA, fewer), (JAVA, JAVA[:-3]), (JAVA[:-3], JAVA)], "a string, b string")
     got = [tuple(r)[::3] for r in rows.select(gate.parsed_guard("a", "b").alias("g")).select("g.ok", "g.ratio", "g.returns_kept", "g.method").collect()]
-    assert got == [(True, "lexed"), (False, "lexed"), (False, "lexed"), (True, "lines")]
+    assert got == [(True, "parsed"), (False, "parsed"), (False, "parsed"), (True, "lines")]
 
 
 def test_documents_that_are_missing(spark, tmp_path):

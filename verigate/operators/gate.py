@@ -25,6 +25,7 @@ class GateOptions:
     require_baseline: bool = True
     semgrep_required: bool = True
     codeql_required: bool = False
+    guard: str = "parsed"  # or "lines"
 
 
 def _base(path: Column) -> Column:
@@ -114,20 +115,25 @@ def code_guard(before: Column | str, after: Column | str, least: float = MIN_RET
 
 
 def parsed_guard(before: Column | str, after: Column | str, least: float = MIN_RETAINED) -> Column:
-    """struct(ok, ratio, returns_kept, method) by lexed statements: code whose brackets don't match is rejected as a
+    """struct(ok, ratio, returns_kept, method) by parsed statements: code that can't be parsed is rejected as a
     patch, and as an original leaves the judgement of both to lines."""
     both = F.array(F.struct(java_counts(before).alias("old"), java_counts(after).alias("new"), code_guard(before, after, least).alias("lines")))
 
     def judged(x: Column) -> Column:
         ratio, kept = retained(x["new"]["statements"], x["old"]["statements"]), x["new"]["exits"] >= x["old"]["exits"]
-        lexed = F.struct(((ratio >= least) & kept).alias("ok"), ratio.alias("ratio"), kept.alias("returns_kept"), F.lit("lexed").alias("method"))
-        rejected = F.struct(F.lit(False).alias("ok"), F.lit(0.0).alias("ratio"), F.lit(False).alias("returns_kept"), F.lit("lexed").alias("method"))
+        parsed = F.struct(((ratio >= least) & kept).alias("ok"), ratio.alias("ratio"), kept.alias("returns_kept"), F.lit("parsed").alias("method"))
+        rejected = F.struct(F.lit(False).alias("ok"), F.lit(0.0).alias("ratio"), F.lit(False).alias("returns_kept"), F.lit("parsed").alias("method"))
         by_line = F.struct(x["lines"]["ok"].alias("ok"), x["lines"]["ratio"].alias("ratio"), x["lines"]["returns_kept"].alias("returns_kept"), F.lit("lines").alias("method"))
-        return F.when(x["new"].isNull(), rejected).when(x["old"].isNull(), by_line).otherwise(lexed)
+        return F.when(x["new"].isNull(), rejected).when(x["old"].isNull(), by_line).otherwise(parsed)
 
     return F.transform(both, judged)[0]
 
 
+#: How the gate judges what a patch leaves of the code: by parsed statements, with lines where the original can't be
+#: parsed; or by lines alone.
+GUARDS = {"parsed": parsed_guard, "lines": code_guard}
+
+
 def dom_guard(before: Column | str, after: Column | str, least: float = MIN_RETAINED) -> Column:
     """struct(ok, ratio): enough elements stay."""
     both = F.array(F.struct(count_elements(before).alias("old"), count_elements(after).alias("new")))
@@ -150,7 +156,7 @@ def run_gate(df: DataFrame, options: GateOptions = GateOptions()) -> DataFrame:
     out = df.withColumns({
         "baseline_failed": failed_first,
         "regression_pass": F.col("compiles") & (F.size(regressions(F.col("pov_tests"), before, after)) == 0),
-        "_guard": code_guard("code_before", "code_after", options.min_retained),
+        "_guard": GUARDS[options.guard]("code_before", "code_after", options.min_retained),
     })
     out = out.withColumns({"pov_flipped": F.col("compiles") & F.col("baseline_failed") & fixed, "not_deleted": F.col("_guard.ok")}).drop("_guard")
     usable = F.col("baseline_failed") if options.require_baseline else F.lit(True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+TABLES = frozenset("region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split())
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -35,6 +37,15 @@ def inline(spark: SparkSession, values: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
 
+def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A SELECT in words that both engines read, over the given tables that it names after FROM and JOIN."""
+    for name in dict.fromkeys(re.findall(r"(?:FROM|JOIN) (\w+)", sql)):
+        if name in TABLES:
+            table(spark, sf_dir, name).createOrReplaceTempView(f"vg_{name}")
+            sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 vg_{name}", sql)
+    return spark.sql(sql)
+
+
 def wilson_sql(k: str, n: str) -> str:
     p, zz = f"({k}::DOUBLE / {n}::DOUBLE)", "(1.96::DOUBLE * 1.96::DOUBLE)"
     centre = f"(({p} + {zz} / (2.0::DOUBLE * {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"

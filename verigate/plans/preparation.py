@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verigate.functions import text as T
+from verigate.functions.java import java_counts, java_statements
 from verigate.operators import corpus, evaluation, gate, metrics, sft, split
-from verigate.plans.base import NORM, WS, inline, query, redacted_sql, table, wilson_sql
+from verigate.plans.base import NORM, WS, inline, over, query, redacted_sql, table, wilson_sql
 from verigate.sources import metadata as M
 from verigate.sources import records as R
 
@@ -60,18 +61,40 @@ _LIST = "list_filter(string_split({0}, ','), lambda s: s <> '')"
 _FLAG_SQL = "compiles, regression_pass, pov_flipped, semgrep_clean, codeql_clean, not_deleted"
 
 
-@query(f"""WITH g AS (SELECT id, compiles, {_LIST.format("pov")} AS pov, {_LIST.format("before")} AS fb, {_LIST.format("after")} AS fa, {_LIST.format("passing")} AS pa, sg, cq, contains(y, 'return') >= contains(x, 'return') AS kept FROM (VALUES {_GATE}) t(id, compiles, pov, before, after, passing, sg, cq, x, y)),
+#: Code around a whole text, which stands in a comment and in a string. So many calls and guarded returns come after it.
+_QUOTED = "replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n'))"
+_WRAPPED = f"concat('class D {{{{ int m() {{{{ /* ', replace(text, '*/', '* /'), chr(10), ' */ String s = ', chr(34), {_QUOTED}, chr(34), ';', chr(10), repeat('a();', {{0}}), repeat('if (b) {{{{ return 1; }}}}', {{1}}), ' return 0; }}}}', {{2}})"
+_GATE_SQL = f"""SELECT id, compiles, pov, before, after, passing, sg, cq, concat('class A {{ int f() {{ ', x, ' }} }}') AS x, concat('class A {{ int f() {{ ', y, ' }} }}') AS y FROM (VALUES {_GATE}) t(id, compiles, pov, before, after, passing, sg, cq, x, y) UNION ALL
+SELECT doc_id + 1000, doc_id % 11 <> 0, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('T', doc_id, '#a,U#', doc_id % 3) END, CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('T', doc_id, '#a,U#', doc_id % 3, ',W#n') END, CASE WHEN doc_id % 5 = 0 THEN 'V#x' WHEN doc_id % 5 = 1 THEN 'W#n' ELSE '' END, concat('T', doc_id, '#a,U#', doc_id % 3), doc_id % 7 <> 1, doc_id % 8 <> 2,
+{_WRAPPED.format("cast(doc_id % 7 as int)", "cast(doc_id % 3 as int)", "CASE WHEN doc_id % 17 = 0 THEN '' ELSE ' }' END")}, {_WRAPPED.format("cast(doc_id % 5 as int)", "cast(doc_id % 2 as int)", "CASE WHEN doc_id % 13 = 0 THEN ' ) }' ELSE ' }' END")} FROM documents"""
+
+
+@query(f"""WITH c AS ({_GATE_SQL}), n AS (SELECT *, id - 1000 AS d, {_STMT.format("x")} AS xs, {_STMT.format("y")} AS ys FROM c),
+g AS (SELECT id, compiles, {_LIST.format("pov")} AS pov, {_LIST.format("before")} AS fb, {_LIST.format("after")} AS fa, {_LIST.format("passing")} AS pa, sg, cq, CASE WHEN id < 1000 THEN contains(y, 'return') >= contains(x, 'return') WHEN d % 13 = 0 THEN false
+WHEN d % 17 = 0 THEN len(ys)::DOUBLE / len(xs) >= 0.6 AND {_EXITS.format("ys")} >= {_EXITS.format("xs")} ELSE (2 + d % 5 + 2 * (d % 2))::DOUBLE / (2 + d % 7 + 2 * (d % 3)) >= 0.6 AND d % 2 >= d % 3 END AS kept FROM n),
 h AS (SELECT *, CASE WHEN len(pov) > 0 THEN list_has_all(fb, pov) ELSE len(fb) > 0 END AS base, CASE WHEN len(pov) > 0 THEN list_has_all(pa, pov) ELSE len(fa) = 0 END AS fixed, len(list_filter(fa, lambda f: NOT list_contains(pov, f) AND NOT list_contains(fb, f))) = 0 AS quiet FROM g),
 f AS (SELECT id, base AS baseline_failed, base AND compiles AS compiles, base AND compiles AND quiet AS regression_pass, base AND compiles AND fixed AS pov_flipped, base AND sg AS semgrep_clean, base AND cq AS codeql_clean, base AND kept AS not_deleted FROM h)
 SELECT id, baseline_failed, {_FLAG_SQL}, compiles AND regression_pass AND pov_flipped AND semgrep_clean AND codeql_clean AND not_deleted AS cleared, compiles::INT + regression_pass::INT + pov_flipped::INT + semgrep_clean::INT + codeql_clean::INT + not_deleted::INT AS passed FROM f""")
 def q_gate(spark, sf_dir):
-    rows = inline(spark, _GATE, "id, compiles, pov, before, after, passing, sg, cq, x, y")
+    rows = over(spark, sf_dir, _GATE_SQL)
     failures = lambda c: F.transform(T.listed(c), lambda t: F.struct(F.substring_index(t, "#", 1).alias("test_class"), F.substring_index(t, "#", -1).alias("test_method")))
     ready = rows.select("id", "compiles", T.listed("pov").alias("pov_tests"), failures("before").alias("failures_before"), failures("after").alias("failures_after"), T.listed("passing").alias("passing_after"), F.col("sg").alias("semgrep_clean"), F.col("cq").alias("codeql_clean"), F.col("x").alias("code_before"), F.col("y").alias("code_after"))
     out = gate.run_gate(ready)
     return out.select("id", "baseline_failed", *metrics.FLAGS, "cleared", F.size(F.filter("layers", lambda x: x["passed"])).alias("passed"))
 
 
+@query(f"""WITH c AS (SELECT doc_id AS d FROM documents) SELECT d AS id, CASE WHEN d % 17 <> 0 THEN (2 + d % 7 + 2 * (d % 3))::INT END AS statements, CASE WHEN d % 17 <> 0 THEN (1 + d % 3)::INT END AS exits, CASE WHEN d % 17 <> 0 THEN (d % 3)::INT END AS ifs, CASE WHEN d % 17 <> 0 THEN (d % 7)::INT END AS calls FROM c
+UNION ALL SELECT -doc_id - 1, NULL, NULL, NULL, NULL FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')""")
+def q_java_statements(spark, sf_dir):
+    """Statements of code that holds each whole text in a comment and a string; the text itself isn't Java."""
+    docs = table(spark, sf_dir, "documents")
+    codes = docs.select(F.col("doc_id").alias("id"), F.expr(_WRAPPED.format("cast(doc_id % 7 as int)", "cast(doc_id % 3 as int)", "CASE WHEN doc_id % 17 = 0 THEN '' ELSE ' }' END")).alias("code"))
+    plain = docs.where(F.col("text").rlike("[A-Za-z0-9]")).select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("code"))
+    n = lambda kind: F.size(F.filter("s", lambda f: f["kind"] == kind))
+    rows = codes.union(plain).select("id", java_statements("code").alias("s"), java_counts("code").alias("c"))
+    return rows.select("id", "c.statements", "c.exits", F.when(F.col("s").isNotNull(), n("if")).alias("ifs"), F.when(F.col("s").isNotNull(), n("expression")).alias("calls"))
+
+
 _FOUND = "('r1', 'src/A.java', 'semgrep', 'b1'), ('r1', 'src/B.java', 'semgrep', 'b1'), ('r2', 'file:///w/A.java', 'codeql', 'b2'), ('r3', '', 'semgrep', 'b2')"
 _TARGETS = "('b1', 'A.java', false, false), ('b2', 'A.java', false, false), ('b3', 'A.java', true, true)"
 
@@ -307,7 +330,7 @@ gone AS (SELECT ord, k FROM e JOIN (SELECT a AS ga, b AS gb FROM x, fold WHERE l
 
 
 def _records(spark, sf_dir):
-    return spark.sql(_RECORDS_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return over(spark, sf_dir, _RECORDS_SQL)
 
 
 @query(f"WITH {_KEPT_SQL} SELECT ord FROM kept")
