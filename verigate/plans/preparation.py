@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verigate.functions import text as T
 from verigate.functions.java import java_counts, java_statements
-from verigate.operators import corpus, evaluation, gate, metrics, sft, split
+from verigate.operators import accessibility, corpus, evaluation, gate, metrics, sft, split
 from verigate.plans.base import NORM, WS, inline, over, query, redacted_sql, table, wilson_sql
 from verigate.sources import metadata as M
 from verigate.sources import records as R
@@ -447,3 +447,30 @@ def q_probed(spark, sf_dir):
 @query("SELECT bug, j FROM (VALUES ('a', 'new'), ('b', 'old')) t(bug, j)")
 def q_preferred_results(spark, sf_dir):
     return M.preferred_results(inline(spark, "('a', 'new')", "bug, j"), inline(spark, "('a', 'old'), ('b', 'old')", "bug, j"), "bug")
+
+
+#: Every page as it is, and once more with so many planted nodes.
+_PLANTED_SQL = """SELECT page_id, html FROM pages UNION ALL SELECT page_id + 10000000, concat(html, repeat('<img src="x">', cast(page_id % 3 as int)), '<img src="x" alt=""><img aria-label="n">', repeat('<a href="#"><img alt=""> </a>', cast(page_id % 2 as int)), '<a href="#"><img alt="name"></a><a name="x"></a>',
+'<label for="f">L</label><input id="f"><input type="hidden"><label>T <textarea></textarea></label><input type="submit">', repeat('<INPUT name=q>', cast(page_id % 4 as int)), repeat('<ul><p>no</p><li>yes</ul>', cast(page_id % 2 as int)), repeat('<iframe src="y"></iframe>', cast(page_id % 3 as int)), '<iframe title="t"></iframe>',
+'<button aria-labelledby="f2"></button><span id="f2">n</span>', repeat('<button> <b></b></button>', cast(page_id % 5 as int)), '<select></select><h4 tabindex="3">x</h4><h5> </h5><li>lone</li><!-- <img> --><script>"<img>"</script><meta http-equiv="refresh" content="5">', repeat('<i id="same"></i>', cast(page_id % 3 as int))) FROM pages"""
+
+
+@query(f"""WITH p AS ({_PLANTED_SQL}), b AS (SELECT *, page_id % 10000000 AS k, page_id >= 10000000 AS planted FROM p),
+r AS (SELECT page_id, unnest(['image-alt', 'link-name', 'label', 'list', 'frame-title', 'button-name', 'select-name', 'tabindex', 'empty-heading', 'listitem', 'meta-refresh', 'duplicate-id', 'heading-order', 'landmark-one-main', 'html-has-lang', 'document-title']) AS rule,
+unnest([CASE WHEN planted THEN k % 3 ELSE 0 END, CASE WHEN planted THEN k % 2 ELSE 0 END, CASE WHEN planted THEN k % 4 ELSE 0 END, CASE WHEN planted THEN k % 2 ELSE 0 END, CASE WHEN planted THEN k % 3 ELSE 0 END, CASE WHEN planted THEN k % 5 ELSE 0 END, planted::INT, planted::INT, planted::INT, planted::INT, planted::INT, CASE WHEN planted THEN greatest(k % 3 - 1, 0) ELSE 0 END, planted::INT,
+(NOT regexp_matches(html, '(?i)<main\\b|role="?main'))::INT, (NOT regexp_matches(html, '(?i)<html\\b[^>]*\\blang='))::INT, (NOT regexp_matches(html, '(?i)<title>[^<]*\\S[^<]*</title>'))::INT]) AS n FROM b) SELECT page_id, rule, n::BIGINT AS n FROM r WHERE n > 0""")
+def q_a11y_findings(spark, sf_dir):
+    """Findings by page and rule, over nodes with parents."""
+    found = accessibility.findings(over(spark, sf_dir, _PLANTED_SQL), "page_id", "html")
+    return found.groupBy(F.col("page").alias("page_id"), "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(h, '<(?:img|input|br|meta|link|hr)\\b'))::BIGINT AS void, len(regexp_extract_all(h, '<a\\b'))::BIGINT AS links, len(regexp_extract_all(h, '<li\\b'))::BIGINT AS items, len(regexp_extract_all(h, '<li\\b'))::BIGINT AS in_lists
+FROM (SELECT page_id, lower(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|title)\\b[^>]*>.*?</(script|style|title)>', '', 'g')) AS h FROM pages)""")
+def q_page_nodes(spark, sf_dir):
+    """Nodes of each page by kind; items that have a list as their parent."""
+    tree = accessibility.nodes(table(spark, sf_dir, "pages"), "page_id", "html")
+    up = tree.select("page", F.col("node").alias("parent"), F.col("tag").alias("above"))
+    rows = tree.join(up, ["page", "parent"], "left").groupBy(F.col("page").alias("page_id"))
+    n = F.count_if
+    return rows.agg(n(F.col("tag").isin("img", "input", "br", "meta", "link", "hr")).alias("void"), n(F.col("tag") == "a").alias("links"), n(F.col("tag") == "li").alias("items"), n((F.col("tag") == "li") & F.col("above").isin("ul", "ol")).alias("in_lists"))
