@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verigate.functions.text import collapse_whitespace, pair_key, repo_key
@@ -71,6 +73,20 @@ def near_dedup(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.join(gone, pairs["ord"] == gone["id"], "left_anti")
 
 
+def write_counted(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str, path: str) -> DataFrame:
+    """Writes the corpus (hold-out, temporal cut, exact dedup) to ``path`` and gives (stage, n), all in one job.
+
+    Each stage counts its rows as they stream by, so nothing is read or joined again for the counts.
+    """
+    spark = raw.sparkSession
+    counts = {stage: Observation(f"{stage}-{uuid.uuid4().hex}") for stage in ("raw", "after_holdout", "after_temporal_cut", "after_dedup")}
+    seen = lambda df, stage: df.observe(counts[stage], F.count(F.lit(1)).alias("n"))
+    held = seen(hold_out(seen(raw, "raw").withColumn("_repo", repo_key("repo")), "cve", "_repo", cves, repos).drop("_repo"), "after_holdout")
+    cut = seen(held.where(before(F.coalesce("cdate", F.lit("")), cutoff)), "after_temporal_cut")
+    seen(first_per_key(cut, pair_key("vuln", "fixed"), [F.col("ord")]), "after_dedup").write.parquet(path)
+    return spark.createDataFrame([(stage, int(o.get["n"])) for stage, o in counts.items()], "stage string, n long")
+
+
 def build(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str, near: float | None = None) -> dict[str, DataFrame]:
     """The stages of the corpus by name: raw, after the hold-out, the temporal cut, the exact and the near dedup."""
     held = hold_out(raw.withColumn("_repo", repo_key("repo")), "cve", "_repo", cves, repos).drop("_repo")

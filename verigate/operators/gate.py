@@ -38,16 +38,37 @@ def same_file(a: Column, b: Column) -> Column:
     return (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "") & (_base(a) == _base(b))
 
 
+def suffix_pairs(left: DataFrame, right: DataFrame, by: str, text: str, other: str) -> DataFrame:
+    """Distinct (by, text, other) where, for equal ``by``, one of the two texts ends with the other; blank ones never do.
+
+    Texts are turned round, so suffixes are prefixes: each text gives its prefixes of the lengths that the other side
+    has with the same ``by``, and equal ones meet in a hash join. No side's texts are gathered anywhere.
+    """
+    a = left.select(F.col(by).alias("by"), F.reverse(text).alias("a")).where("a <> ''").distinct()
+    b = right.select(F.col(by).alias("by"), F.reverse(other).alias("b")).where("b <> ''").distinct()
+
+    def cut(longer: DataFrame, c: str, shorter: DataFrame, d: str) -> DataFrame:
+        lengths = shorter.select("by", F.length(d).alias("n")).distinct()
+        parts = longer.join(lengths, "by").where(F.length(c) >= F.col("n")).select("by", c, F.expr(f"substring({c}, 1, n)").alias(d))
+        return parts.join(shorter, ["by", d]).select("by", "a", "b")
+
+    pairs = cut(a, "a", b, "b").union(cut(b, "b", a, "a")).distinct()
+    return pairs.select(F.col("by").alias(by), F.reverse("a").alias(text), F.reverse("b").alias(other))
+
+
 def in_scope(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings whose rule id is one of the weakness's rules, or is a suffix of one or the other way round.
 
     ``findings`` has check_id and cwe, ``rules`` has cwe and rule. An empty or unmapped weakness has no scope: all its
     findings stay. An empty check_id never matches.
     """
-    own = rules.where("rule <> ''").groupBy(F.upper("cwe").alias("_cwe")).agg(F.collect_set("rule").alias("_rules"))  # a handful for each weakness
-    both = findings.join(own, F.upper(findings["cwe"]) == F.col("_cwe"), "left")
-    hit = F.exists("_rules", lambda r: (F.col("check_id") == r) | F.col("check_id").endswith(r) | r.endswith(F.col("check_id")))
-    return both.where(F.col("_rules").isNull() | ((F.col("check_id") != "") & hit)).drop("_rules", "_cwe")
+    keyed = findings.withColumn("_cwe", F.upper("cwe"))
+    own = rules.where("rule <> ''").select(F.upper("cwe").alias("_cwe"), "rule")
+    hits = suffix_pairs(keyed.select("_cwe", "check_id"), own, "_cwe", "check_id", "rule").select("_cwe", "check_id").distinct()
+    mapped = own.select("_cwe").distinct()
+    hit = keyed.join(hits, ["_cwe", "check_id"], "left_semi")
+    free = keyed.join(mapped, "_cwe", "left_anti")
+    return hit.select(*findings.columns).unionByName(free.select(*findings.columns))
 
 
 def on_file(findings: DataFrame, patches: DataFrame, key: str, path: str = "path", target: str = "patched_file") -> DataFrame:
@@ -78,6 +99,29 @@ def same_test(wanted: Column, found: Column) -> Column:
     return (w == f) | dotted | joined | plain
 
 
+def _test_keys(c: Column, wanted: bool) -> Column:
+    """The keys of a test id: a wanted and a found id name the same test if, and only if, they have one in common."""
+    i = F.replace(F.trim(c), F.lit("::"), F.lit("#"))
+    of, method = F.substring_index(i, "#", 1), F.when(i.contains("#"), F.regexp_replace(i, r"^[^#]*#", "")).otherwise("")
+    some, key = method != "", lambda kind, *parts: F.concat(F.lit(kind), *parts)
+    if wanted:
+        keys = [key("=", i), F.when(some, key(".", of, F.lit("."), method)), F.when(some, key("j", of, method)), F.when(~some, key("+", of)), F.when(~some, key("c", of)), F.when(some, key("m", of, F.lit("#"), method))]
+    else:
+        keys = [key("=", i), F.when(~some, key(".", i)), F.when(~some, key("j", of)), F.when(some, key("+", of, method)), key("c", of), F.when(some, key("m", of, F.lit("#"), method))]
+    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+
+
+def named_pairs(wanted: DataFrame, found: DataFrame, test: str = "test") -> DataFrame:
+    """Distinct (wanted, found) test ids that name the same test, by ``same_test``'s rules, as an equi-join of keys.
+
+    Each distinct id is in a handful of blocks, a class's or a method's own, so ids of other classes never meet. A
+    wanted class stands for each of its found methods: those pairs are the result itself.
+    """
+    w = wanted.select(F.col(test).alias("wanted")).distinct().select("wanted", F.explode(_test_keys(F.col("wanted"), True)).alias("_key"))
+    f = found.select(F.col(test).alias("found")).distinct().select("found", F.explode(_test_keys(F.col("found"), False)).alias("_key"))
+    return w.join(f, "_key").select("wanted", "found").distinct()
+
+
 def failing_ids(failures: Column) -> Column:
     """Test ids of failure records: Class#method, or the class where no method is named."""
     blank = lambda c: F.coalesce(c, F.lit(""))

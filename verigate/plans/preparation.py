@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from verigate.functions import sql
 from verigate.functions import text as T
 from verigate.functions.java import java_counts, java_statements
 from verigate.operators import accessibility, corpus, evaluation, gate, metrics, sft, split
+from verigate.operators.tables import shared_folder, staged
 from verigate.plans.base import NORM, WS, inline, over, query, redacted_sql, table, wilson_sql
 from verigate.sources import metadata as M
 from verigate.sources import records as R
@@ -474,3 +479,71 @@ def q_page_nodes(spark, sf_dir):
     rows = tree.join(up, ["page", "parent"], "left").groupBy(F.col("page").alias("page_id"))
     n = F.count_if
     return rows.agg(n(F.col("tag").isin("img", "input", "br", "meta", "link", "hr")).alias("void"), n(F.col("tag") == "a").alias("links"), n(F.col("tag") == "li").alias("items"), n((F.col("tag") == "li") & F.col("above").isin("ul", "ol")).alias("in_lists"))
+
+
+@query(f"""SELECT doc_id, md5({NORM}) AS normal, len(list_distinct(regexp_extract_all({NORM}, '[a-z0-9_]+')))::INT AS words, md5({redacted_sql("text")}) AS redacted, replace(string_split(regexp_replace(lower(trim(source)), '/+$', ''), '/')[-1], '.git', '') AS repo,
+CASE WHEN doc_id % 3 = 0 THEN 'CWE-' || (doc_id % 90) ELSE 'CWE-' || doc_id END AS cwe, len({_STMT.format("text")})::INT AS statements, {_EXITS.format(_STMT.format("text"))}::INT AS exits FROM documents""")
+def q_sql_functions(spark, sf_dir):
+    """The functions in SQL text alone."""
+    sql.register(spark)
+    return over(spark, sf_dir, """SELECT doc_id, md5(vg_normalize_code(text)) AS normal, size(array_distinct(vg_tokens(text))) AS words, md5(vg_redact(text)) AS redacted, vg_repo_key(source) AS repo,
+vg_norm_cwe(CASE WHEN doc_id % 3 = 0 THEN concat('cwe_', doc_id % 90) ELSE concat(' ', doc_id) END) AS cwe, vg_count_statements(text) AS statements, vg_count_exits(text) AS exits FROM documents""")
+
+
+@query(f"""WITH w AS (SELECT lang, unnest(list_distinct(regexp_extract_all({NORM}, '[a-z0-9_]+'))) AS word, doc_id FROM documents), c AS (SELECT lang, word, count(*) AS k FROM w GROUP BY 1, 2), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1)
+SELECT c.lang, word, {wilson_sql("k", "n")} FROM c JOIN n ON c.lang = n.lang WHERE k::DOUBLE / n >= 0.5""")
+def q_sql_table_functions(spark, sf_dir):
+    """Words of at least half of a language's documents, by a table function and a scalar one in SQL text."""
+    sql.register(spark)
+    return over(spark, sf_dir, """WITH c AS (SELECT lang, word, count(DISTINCT doc_id) AS k FROM documents, LATERAL vg_code_words(text) GROUP BY lang, word), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+r AS (SELECT c.lang, word, CAST(k AS DOUBLE) / n AS rate, vg_wilson(k, n) AS w FROM c JOIN n ON c.lang = n.lang WHERE k / n >= 0.5) SELECT lang, word, rate, w.ci_low, w.ci_high FROM r""")
+
+
+_LINE_SQL = "CASE WHEN doc_id % 7 = 0 THEN '{oops' WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 = 0 THEN '[1, 2]' ELSE concat('{\"vuln_code\": \"', md5(text), '\"}') END"
+
+
+@query(f"""WITH l AS (SELECT source, {_LINE_SQL} AS v, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents)
+SELECT source, place, trim(v) AS value, CASE WHEN v = '{{oops' THEN 'not JSON' WHEN starts_with(v, '[') THEN 'not an object' END AS problem, count(*) OVER () AS entries, count(*) FILTER (v = '{{oops' OR starts_with(v, '[')) OVER () AS problems FROM l WHERE trim(v) <> ''""")
+def q_record_scan(spark, sf_dir):
+    """Files of lines written from all documents, some broken, read again by place, with the counts of the same pass."""
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    lines = over(spark, sf_dir, f"SELECT source, doc_id, {_LINE_SQL} AS value FROM documents")
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(folder)
+    seen = Observation(f"records-{uuid.uuid4().hex}")
+    rows = staged(R.scan_records(spark, folder, lines="*.txt", observed=seen))
+    n = seen.get
+    return rows.select(F.regexp_extract("source_file", "source=([^/]+)/", 1).alias("source"), "place", "value", "problem", F.lit(n["entries"]).alias("entries"), F.lit(n["problems"]).alias("problems"))
+
+
+_PAIRS_OF = "SELECT text AS vuln, concat(text, ' ', doc_id % 2) AS fixed, concat('https://host/x/', source, '.git') AS repo, CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('202', doc_id % 4, '-03-04') END AS cdate, concat('CVE-', doc_id) AS cve, '' AS cwe, doc_id AS ord FROM documents"
+
+
+@query(f"""WITH p AS ({_PAIRS_OF}), h AS (SELECT * FROM p WHERE ord NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND repo NOT LIKE '%/src3.git' AND repo NOT LIKE '%/src5.git'), c AS (SELECT * FROM h WHERE cdate = '' OR cdate < '2022-01-01'), d AS (SELECT DISTINCT trim(regexp_replace(vuln, '{WS}+', ' ', 'g')), trim(regexp_replace(fixed, '{WS}+', ' ', 'g')) FROM c)
+SELECT 'raw' AS stage, count(*) AS n FROM p UNION ALL SELECT 'after_holdout', count(*) FROM h UNION ALL SELECT 'after_temporal_cut', count(*) FROM c UNION ALL SELECT 'after_dedup', count(*) FROM d""")
+def q_provenance_counted(spark, sf_dir):
+    """The stages' counts from the one job that writes the corpus of all documents."""
+    cves = over(spark, sf_dir, "SELECT concat('cve-', doc_id) AS cve FROM labels WHERE toxic = 1")
+    return corpus.write_counted(over(spark, sf_dir, _PAIRS_OF), cves, inline(spark, "('src3'), ('src5')", "repo"), "2022-01-01", f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}")
+
+
+_SCOPE_SQL = ("SELECT page_id, url AS check_id, CASE WHEN page_id % 10 = 0 THEN '' ELSE concat('cwe-', page_id % 4) END AS cwe FROM pages UNION ALL SELECT -page_id - 1, CASE WHEN page_id % 5 = 0 THEN '' ELSE substring(url, 9) END, 'CWE-1' FROM pages", "SELECT CASE WHEN page_id % 2 = 0 THEN substring(url, 12) ELSE concat('own.', url) END AS rule, concat('CWE-', page_id % 3) AS cwe FROM pages WHERE page_id % 3 <> 1 UNION ALL SELECT '', 'CWE-3' FROM pages")
+
+
+@query(f"""WITH f AS ({_SCOPE_SQL[0]}), r AS ({_SCOPE_SQL[1]}) SELECT page_id, check_id FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE rule <> '' AND upper(r.cwe) = upper(f.cwe)) OR (check_id <> '' AND EXISTS (SELECT 1 FROM r WHERE rule <> '' AND upper(r.cwe) = upper(f.cwe) AND (suffix(check_id, rule) OR suffix(rule, check_id))))""")
+def q_scope_pages(spark, sf_dir):
+    """Rule ids that are suffixes of one another, either way: addresses of all pages."""
+    found, rules = (over(spark, sf_dir, q) for q in _SCOPE_SQL)
+    return gate.in_scope(found, rules).select("page_id", "check_id")
+
+
+_TESTS_SQL = ("SELECT CASE o_orderkey % 5 WHEN 0 THEN concat('pkg.C', o_custkey, '#m', o_orderkey % 7) WHEN 1 THEN concat('pkg.C', o_custkey, '::m', o_orderkey % 7) WHEN 2 THEN concat(' pkg.C', o_custkey) WHEN 3 THEN concat('C', o_custkey, 'x') ELSE concat('pkg.C', o_custkey, '#') END AS test FROM orders", "SELECT CASE l_orderkey % 4 WHEN 0 THEN concat('pkg.C', l_partkey, '#m', l_linenumber) WHEN 1 THEN concat('pkg.C', l_partkey, '.m', l_linenumber) WHEN 2 THEN concat('pkg.C', l_partkey) ELSE concat('C', l_partkey, '#x') END AS test FROM lineitem")
+_SPLIT_TEST = "replace(trim(test), '::', '#') AS i"
+
+
+@query(f"""WITH w AS (SELECT *, string_split(i, '#')[1] AS c, CASE WHEN contains(i, '#') THEN substr(i, strpos(i, '#') + 1) ELSE '' END AS m, regexp_extract(i, '[0-9]+') AS k FROM (SELECT DISTINCT test, {_SPLIT_TEST} FROM ({_TESTS_SQL[0]}))),
+f AS (SELECT *, string_split(i, '#')[1] AS c, CASE WHEN contains(i, '#') THEN substr(i, strpos(i, '#') + 1) ELSE '' END AS m, regexp_extract(i, '[0-9]+') AS k FROM (SELECT DISTINCT test, {_SPLIT_TEST} FROM ({_TESTS_SQL[1]})))
+SELECT w.test AS wanted, f.test AS found FROM w JOIN f ON w.k = f.k WHERE w.i = f.i OR (f.m = '' AND w.m <> '' AND (f.i = w.c || '.' || w.m OR f.c = w.c || w.m)) OR (w.m = '' AND f.m <> '' AND w.c = f.c || f.m) OR (f.c = w.c AND (w.m = '' OR f.m = w.m))""")
+def q_named_tests(spark, sf_dir):
+    """Wanted and found test ids of all orders and lines that name the same test, by blocks of keys."""
+    wanted, found = (over(spark, sf_dir, q) for q in _TESTS_SQL)
+    return gate.named_pairs(wanted, found)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verigate.functions.text import first_nonempty, listed, norm_cwe, repo_key
 from verigate.operators.split import default_repos
@@ -48,6 +49,34 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return lines.unionByName(items).where("startswith(value, '{')")
 
 
+def scan_records(spark: SparkSession, folder: str, lines: str = "*.jsonl", documents: str = "*.json", observed: Observation | None = None) -> DataFrame:
+    """Every entry of all files below a folder, bad ones too: source_file (from the folder on), place, value, problem.
+
+    Files that match ``lines`` have one entry a line (blank ones don't count as entries), those that match ``documents``
+    hold one object or a list. ``place`` is the line's number or the place in the list, from 1. ``problem`` is null for
+    an object, else why the entry can't be used; then ``value`` is what stands there. Sort by source_file and place for
+    the order of a sequential reader. A large file is read by many tasks: lines are numbered within its blocks, and the
+    blocks' counts (a row for each) shift them. ``observed`` gets entries and problems in the pass that reads the rows
+    (a sort of all rows reads them twice, so write them first).
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    home = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getRawPath().rstrip("/") + "/"
+    files = spark.read.option("recursiveFileLookup", "true")
+    at = F.col("_metadata.file_path")
+    name = F.substring(at, F.locate(home, at) + len(home), F.length(at)).alias("source_file")
+    read = files.option("pathGlobFilter", lines).text(folder).select(name, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = read.groupBy("source_file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("source_file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    numbered = read.join(blocks, ["source_file", "block"]).select("source_file", (F.col("id") + F.col("shift")).alias("place"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("value")).where("value <> ''")
+    whole = files.option("pathGlobFilter", documents).text(folder, wholetext=True).select(name, "value")
+    entries = F.coalesce(json_items("value"), F.array("value"))
+    items = whole.select("source_file", F.posexplode(entries).alias("place", "value")).select("source_file", (F.col("place") + 1).cast("long").alias("place"), "value")
+    kind = F.when(F.col("value").isNull() | F.try_parse_json("value").isNull(), "not JSON").when(~F.ltrim("value").startswith("{"), "not an object")
+    out = numbered.unionByName(items).withColumn("problem", kind)
+    return out.observe(observed, F.count(F.lit(1)).alias("entries"), F.count("problem").alias("problems")) if observed is not None else out
+
+
 def records(raw: DataFrame, value: str = "value") -> DataFrame:
     """Repair records from JSON under any of their aliases; without both code sides a record goes."""
     pick = lambda names: first_nonempty(*[F.get_json_object(value, f"$.{n}") for n in names])
