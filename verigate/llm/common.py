@@ -46,14 +46,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``staged`` gave and nothing reads any more, where all that came from them is staged itself.
 
-    A collection on the driver lets Spark's cleaner delete the shuffle files of the steps that are over, too.
+    A collection on the driver lets Spark's cleaner delete the shuffle files of the steps that are over, too; without
+    tables it does this alone.
     """
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_vg_path"])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -13,7 +13,8 @@ them with any partner. All bounds below are exact; nothing is missed by chance.
 4. Stars. In a bucket with several components all are tested against one centre, so copies of one source become one
    component by one test each, not by all pairs. Rounds go on while they find links and much is left to meet.
 5. Merge. Members of a bucket that are still apart meet in blocks: the short lists of each are merged by a heap that
-   skips, with binary search, what can't reach T - L; pairs that reach it are candidates.
+   skips, with binary search, what can't reach T - L; pairs that can still be linked, if they share all of the long
+   lists too, are candidates.
 6. Probe. The shingles of a candidate's smaller set, long lists included, are looked up in the other by binary search.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; fewer words than a shingle are
@@ -41,7 +42,7 @@ RUN_BYTES, ROWS_A_TASK, PAIRS_A_TASK = 1 << 18, 50_000, 3_000
 #: DivideSkip's weight of a list's length; postings above which a merge counts all of them in one pass, without a heap.
 MU, HEAP_POSTINGS = 0.0085, 4_096
 #: Further stars only while members that are apart would make more pairs than this; the merge finds the rest anyhow.
-MEET = 5_000_000
+MEET = 50_000_000
 _C = seeds64(4, 111)
 
 
@@ -159,7 +160,7 @@ def occurrences(lists: list[list[int]], least: int, n: int) -> list[tuple[int, i
 
 
 def block_pairs(own, i: int, j: int, node, root, n, least, short: list, percent: int) -> list[tuple[int, int]]:
-    """The pairs of a block that are in different components, of sizes that can be linked, and share enough short lists.
+    """The pairs of a block that are in different components, of sizes that can be linked, and share so many short lists that, with all the long ones, they can be linked.
 
     Sets of the largest component don't search: all others are searched for in the lists of all.
     """
@@ -170,18 +171,23 @@ def block_pairs(own, i: int, j: int, node, root, n, least, short: list, percent:
     for x, k in enumerate(order.tolist()):
         for h in short[k]:
             lists.setdefault(h, []).append(x)
-    own, node, root, n, least = (c[order].tolist() for c in (own, node, root, n, least))
-    lowest = min(least)
+    own, node, root, n, least = (c[order] for c in (own, node, root, n, least))
+    long, place = -(-percent * n // 100) - least, np.arange(len(n))
     found = []
     for x, k in enumerate(order.tolist()):
         if root[x] == main:
             continue
+        # what two sets share beyond their short lists stands in the long lists of the one whose short ones end first
+        goal = np.maximum(np.minimum(least, least[x]), -(-percent * (n + n[x]) // (100 + percent)) - np.maximum(long, long[x]))
+        may = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((place > x) | (root == main))
+        may &= (own != own[x]) if i != j else True
+        if not may.any():
+            continue
         mine = [own_list for h in short[k] if len(own_list := lists[h]) > 1]
-        for y, c in occurrences(mine, max(1, min(least[x], lowest)), len(n)):
-            lo, hi = (x, y) if x < y else (y, x)
-            if root[y] == root[x] or (y < x and root[y] != main) or c < min(least[x], least[y]) or 100 * n[lo] < percent * n[hi] or (i != j and own[x] == own[y]):
+        for y, c in occurrences(mine, max(1, int(goal[may].min())), len(n)):
+            if not may[y] or c < goal[y]:
                 continue
-            found.append((min(node[x], node[y]), max(node[x], node[y])))
+            found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
     return found
 
 
@@ -303,17 +309,20 @@ def _linked(index: DataFrame, percent: int) -> DataFrame:
 def similarity_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest identifier reachable by links, its own included)."""
     rows = _rows(docs, id_col, text_col)
-    every = staged(profiles(rows, percent, words), "profiles")
-    held = every.where("node is not null")
+    first = staged(profiles(rows, percent, words), "profiles")
+    held = first.where("node is not null")
     labels = held.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("n").alias("n"))
     labels = staged(labels.select("node", "n", F.col("first.doc_id").alias("label"), F.col("first.t").alias("label_t")), "labels")
-    keys = staged(held.dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key")), "keys")
+    nodes = staged(held.dropDuplicates(["node"]).select("node", "keys"), "nodes")
+    every = staged(first.drop("keys"), "every")
+    discard(first)
+    keys = nodes.select("node", F.explode("keys").alias("key"))
     shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
+    discard()
     # a partner has at least T shingles, so it shows k of its own size at least
-    need = F.ceil(_t(percent) / 8)
-    likely = keys.join(shared, "key").groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need).select("node")
-    likely = staged(likely, "likely")
-    discard(keys, shared)
+    of_node = keys.join(shared, "key").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    likely = staged(of_node.join(labels, "node").where(F.col("c") >= F.ceil(_t(percent) / 8)).select("node"), "likely")
+    discard(nodes, shared)
     wanted = likely.join(labels, "node").select("node", "n", F.col("label").alias("doc_id"), F.col("label_t").alias("t"))
     texts = rows.join(wanted.hint("shuffle_hash"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
     elements = staged(_elements(texts, words), "elements")
