@@ -15,6 +15,7 @@ from verigate.operators.tables import shared_folder, staged
 from verigate.plans.base import NORM, WS, inline, over, query, redacted_sql, table, wilson_sql
 from verigate.sources import metadata as M
 from verigate.sources import records as R
+from verigate.streaming import streams
 
 _STMT = "list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x)), lambda s: s NOT IN ('', '{{', '}}') AND NOT regexp_matches(s, '^(//|\\*|/\\*|@)'))"
 _EXITS = "len(list_filter({0}, lambda x: contains(x, 'return') OR contains(x, 'throw')))"
@@ -547,3 +548,24 @@ def q_named_tests(spark, sf_dir):
     """Wanted and found test ids of all orders and lines that name the same test, by blocks of keys."""
     wanted, found = (over(spark, sf_dir, q) for q in _TESTS_SQL)
     return gate.named_pairs(wanted, found)
+
+
+#: Events in ten batches by time, some of which come three batches late.
+_BATCHES_SQL = "SELECT event_id, ts, value, least(9, slot + CASE WHEN event_id % 37 = 0 THEN 3 ELSE 0 END) AS batch FROM (SELECT event_id, ts, value, ntile(10) OVER (ORDER BY ts, event_id) - 1 AS slot FROM events)"
+
+
+@query(f"""WITH b AS ({_BATCHES_SQL}), m AS (SELECT batch, CASE WHEN batch = 5 THEN max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) END - INTERVAL 1 DAY AS mark FROM b GROUP BY batch), f AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM b),
+k AS (SELECT date_trunc('day', ts) AS d, value FROM b JOIN m ON b.batch = m.batch WHERE m.mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > m.mark)
+SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (value > 50) AS cleared FROM k, f WHERE d + INTERVAL 1 DAY <= f.mark GROUP BY 1""")
+def q_stream_late(spark, sf_dir):
+    """Daily rates over ten micro-batches with late rows; the stream stops after five and starts again from its checkpoint.
+
+    Late is what the watermark of the batch before rules out; a run ends with a batch without rows, so the sixth batch
+    has the mark of the first five.
+    """
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = staged(over(spark, sf_dir, _BATCHES_SQL).withColumn("ok", F.col("value") > 50))
+    for half in ([0, 1, 2, 3, 4], [5, 6, 7, 8, 9]):
+        streams.written_in_batches(rows, "batch", half, f"{folder}/in")
+        found = streams.run_to_end(streams.windowed_rate(streams.from_batches(rows, "batch", f"{folder}/in"), "ts", "ok"), folder)
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "cleared")
