@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,26 +136,84 @@ def near_dedup(df: DataFrame, id_col: str, block: str, text: str, threshold: flo
     return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
 
 
+def _word_sets(df: DataFrame, id_col: str, text: str, tokens_of: str) -> DataFrame:
+    """id, set and node of rows that have a token: of code, or words between white space."""
+    own = tokens(text) if tokens_of == "code" else F.filter(F.split(collapse_whitespace(text), " "), lambda w: w != "")
+    return df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(own)).alias("set")).where(F.size("set") > 0).withColumn("node", F.md5(F.concat_ws(" ", "set")))
+
+
+def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """node, m (size) and key for each band of a set's minimum hashes."""
+
+    def seeded(i: int) -> Callable[[Column], Column]:
+        return lambda w: F.xxhash64(F.lit(i), w)  # a second parameter would be taken for the place in the array
+
+    hashes = F.array(*[F.array_min(F.transform("set", seeded(i))) for i in range(bands * rows)])
+    return sets.select("node", F.size("set").alias("m"), hashes.alias("h")).select("node", "m", F.explode(F.array(*[F.xxhash64(F.lit(j), *[F.get("h", j * rows + k) for k in range(rows)]) for j in range(bands)])).alias("key"))
+
+
+def _of_like_size(threshold: float) -> Column:
+    return (F.col("x.m") >= threshold * F.col("y.m") - 1e-9) & (F.col("y.m") >= threshold * F.col("x.m") - 1e-9)
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """p, q, similarity of the candidate pairs that are alike; ``left`` and ``right`` have node and set."""
+    left, right = left.select(F.col("node").alias("p"), F.col("set").alias("x")), right.select(F.col("node").alias("q"), F.col("set").alias("y"))
+    return pairs.join(left, "p").join(right, "q").select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def minhash_pairs(df: DataFrame, id_col: str, text: str, threshold: float, bands: int = 16, rows: int = 4, tokens_of: str = "code") -> DataFrame:
     """Approximate similarity join: all pairs of sets that share a band are candidates, exact likeness decides.
 
     Sets are of code tokens, or of words between white space (``tokens_of="words"``). Equal sets are one class;
     ``members`` brings their identifiers back. Pairs are (a, b) with a < b.
     """
-    own = tokens(text) if tokens_of == "code" else F.filter(F.split(collapse_whitespace(text), " "), lambda w: w != "")
-    sets = staged(df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(own)).alias("set")).where(F.size("set") > 0).withColumn("node", F.md5(F.concat_ws(" ", "set"))))
+    sets = staged(_word_sets(df, id_col, text, tokens_of))
     members = sets.select("node", "id").where("id is not null").distinct()
     sets = staged(sets.select("node", "set").dropDuplicates(["node"]))
+    keys = staged(_banded(sets, bands, rows))
+    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & _of_like_size(threshold)).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
+    return _expanded(_verified(pairs, sets, sets, threshold), members, threshold)
 
-    def seeded(i: int) -> Callable[[Column], Column]:
-        return lambda w: F.xxhash64(F.lit(i), w)  # a second parameter would be taken for the place in the array
 
-    hashes = F.array(*[F.array_min(F.transform("set", seeded(i))) for i in range(bands * rows)])
-    keys = sets.select("node", F.size("set").alias("m"), hashes.alias("h")).select("node", "m", F.explode(F.array(*[F.xxhash64(F.lit(j), *[F.get("h", j * rows + k) for k in range(rows)]) for j in range(bands)])).alias("key"))
-    keys = staged(keys)
-    x, y = keys.alias("x"), keys.alias("y")
-    like = (F.col("x.m") >= threshold * F.col("y.m") - 1e-9) & (F.col("y.m") >= threshold * F.col("x.m") - 1e-9)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & like).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
-    left, right = sets.select(F.col("node").alias("p"), F.col("set").alias("x")), sets.select(F.col("node").alias("q"), F.col("set").alias("y"))
-    found = pairs.join(left, "p").join(right, "q").select("p", "q", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= threshold)
-    return _expanded(found, members, threshold)
+class KeptIndex:
+    """A near-duplicate filter for records that come batch by batch: only records that stay are remembered.
+
+    ``folder`` holds the sets of all kept records and their band keys, one part for each batch. A batch's records go if
+    they are like a kept one of an earlier batch, or like an earlier kept one of their own batch; so two batches give
+    what one gives that holds both, in order. A batch that is run again under its number replaces its part.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, threshold: float, bands: int = 16, rows: int = 4, tokens_of: str = "code"):
+        self.spark, self.folder, self.threshold, self.bands, self.rows, self.tokens_of = spark, folder.rstrip("/"), threshold, bands, rows, tokens_of
+
+    def _part(self, kind: str, schema: str, before: int) -> DataFrame:
+        """What batches before this one have kept."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.folder}/{kind}").where(F.col("batch") < before).drop("batch")
+
+    def add(self, df: DataFrame, id_col: str, text: str, batch: int) -> DataFrame:
+        """The batch's rows that stay; a row without tokens always does."""
+        own = staged(_word_sets(df, id_col, text, self.tokens_of))
+        classes = own.groupBy("node").agg(F.min("id").alias("first"), F.first("set").alias("set"))
+        classes = staged(classes)
+        keys = staged(_banded(classes, self.bands, self.rows))
+        kept_sets = self._part("sets", "node string, set array<string>", batch)
+        kept_keys = self._part("keys", "node string, m int, key long", batch)
+        like = _of_like_size(self.threshold)
+        met = keys.alias("x").join(kept_keys.alias("y"), (F.col("x.key") == F.col("y.key")) & like).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
+        known = staged(_verified(met, classes, kept_sets, self.threshold).select(F.col("p").alias("node")).distinct())
+        fresh = staged(classes.join(known, "node", "left_anti"))
+        now = keys.join(known, "node", "left_anti")
+        pairs = now.alias("x").join(now.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & like).select(F.col("x.node").alias("p"), F.col("y.node").alias("q")).distinct()
+        alike = _verified(pairs, fresh, fresh, self.threshold)
+        first = fresh.select("node", "first")
+        named = alike.join(first.withColumnsRenamed({"node": "p", "first": "a"}), "p").join(first.withColumnsRenamed({"node": "q", "first": "b"}), "q")
+        gone = greedy_drops(staged(named.select("a", "b")))
+        stay = staged(fresh.join(gone, fresh["first"] == gone["id"], "left_anti").select("node", "first", "set"))
+        stay.select("node", "set").write.mode("overwrite").parquet(f"{self.folder}/sets/batch={batch}")
+        keys.join(stay.select("node"), "node", "left_semi").select("node", "m", "key").write.mode("overwrite").parquet(f"{self.folder}/keys/batch={batch}")
+        dropped = own.join(stay.select("node", "first"), ["node"], "left").where(F.col("first").isNull() | (F.col("id") != F.col("first"))).select(F.col("id").alias("_gone"))
+        return df.join(dropped, df[id_col] == F.col("_gone"), "left_anti")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from verigate.functions import sql
 from verigate.functions import text as T
 from verigate.functions.java import java_counts, java_statements
-from verigate.operators import accessibility, corpus, evaluation, gate, metrics, sft, split
+from verigate.operators import accessibility, corpus, dedup, evaluation, gate, metrics, sft, split
 from verigate.operators.tables import shared_folder, staged
 from verigate.plans.base import NORM, WS, inline, over, query, redacted_sql, table, wilson_sql
+from verigate.sources import documents as D
 from verigate.sources import metadata as M
 from verigate.sources import records as R
 from verigate.streaming import streams
@@ -569,3 +570,26 @@ def q_stream_late(spark, sf_dir):
         streams.written_in_batches(rows, "batch", half, f"{folder}/in")
         found = streams.run_to_end(streams.windowed_rate(streams.from_batches(rows, "batch", f"{folder}/in"), "ts", "ok"), folder)
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "cleared")
+
+
+@query(f"""WITH s AS (SELECT doc_id, doc_id % 3 * 10000000 + doc_id AS o, list_distinct(regexp_extract_all({NORM}, '[a-z0-9_]+')) AS t FROM documents), w AS (SELECT o, unnest(t) AS w FROM s),
+c AS (SELECT a.o AS a, b.o AS b, count(*) AS i FROM w a JOIN w b ON a.w = b.w AND a.o < b.o GROUP BY 1, 2), p AS (SELECT a, b FROM c JOIN s x ON x.o = a JOIN s y ON y.o = b WHERE i::DOUBLE / (len(x.t) + len(y.t) - i)::DOUBLE >= 0.9),
+g AS (SELECT list_reduce(list([b, a] ORDER BY b, a), lambda gone, x: CASE WHEN list_contains(gone, x[2]) THEN gone ELSE list_append(gone, x[1]) END, []::BIGINT[]) AS gone FROM p)
+SELECT doc_id FROM s, g WHERE gone IS NULL OR NOT list_contains(gone, o)""")
+def q_kept_index(spark, sf_dir):
+    """All documents in three batches against an index of what has been kept."""
+    index = dedup.KeptIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", 0.9)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = [staged(index.add(docs.where(F.col("doc_id") % 3 == k), "doc_id", "text", k).select("doc_id")) for k in range(3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+#: Objects of unlike shapes around each event's props: as they are, deeper, incomplete, of other types, no object.
+_OBJECTS_SQL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN concat('{"model_tag": "', event_type, '", "n": ', user_id, ', "overall": {"cleared": ', user_id % 5, ', "rate": ', user_id % 4, '.5}}') WHEN 2 THEN '[1, 2]' WHEN 3 THEN '{oops' WHEN 4 THEN '{"n": "many", "overall": [], "errors": ["a", "b"]}' ELSE NULL END AS value FROM events"""
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 6 = 1 THEN v->>'model_tag' ELSE '' END AS model_tag, CASE WHEN event_id % 6 = 1 THEN (v->>'n')::INT ELSE 0 END AS n, CASE WHEN event_id % 6 = 1 THEN (v->'overall'->>'cleared')::INT ELSE 0 END AS cleared, CASE WHEN event_id % 6 = 1 THEN (v->'overall'->>'rate')::DOUBLE ELSE 0.0 END AS rate, CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END AS errors
+FROM (SELECT event_id, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM ({_OBJECTS_SQL}))""")
+def q_unlike_objects(spark, sf_dir):
+    rows = D.rows(D.objects(over(spark, sf_dir, _OBJECTS_SQL), "value"), D.RESULTS, ["event_id"])
+    return rows.select("event_id", "model_tag", "n", "cleared", "rate", F.size("errors").alias("errors"))
