@@ -46,6 +46,11 @@ def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def mixed(values: str, columns: str, select: str) -> str:
+    """Awkward rows as constants, and a row (or more) of every row of a given table; in words that both engines read."""
+    return f"SELECT {columns} FROM (VALUES {values}) t({columns}) UNION ALL {select}"
+
+
 def wilson_sql(k: str, n: str) -> str:
     p, zz = f"({k}::DOUBLE / {n}::DOUBLE)", "(1.96::DOUBLE * 1.96::DOUBLE)"
     centre = f"(({p} + {zz} / (2.0::DOUBLE * {n}::DOUBLE)) / (1.0::DOUBLE + {zz} / {n}::DOUBLE))"

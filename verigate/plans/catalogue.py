@@ -16,7 +16,7 @@ from verigate.functions.rates import wilson
 from verigate.operators import corpus, dedup, gate, metrics, ranking, split
 from verigate.operators.tables import shared_folder
 from verigate.plans import preparation  # noqa: F401 - registers its queries
-from verigate.plans.base import BASE, NORM, ORACLE, QUERIES, WS, inline, query, redacted_sql, table, wilson_sql  # noqa: F401
+from verigate.plans.base import BASE, NORM, ORACLE, QUERIES, WS, inline, mixed, over, query, redacted_sql, table, wilson_sql  # noqa: F401
 from verigate.sources import records as R
 from verigate.streaming import streams
 
@@ -79,11 +79,14 @@ def q_redact(spark, sf_dir):
     return docs.union(inline(spark, _CODES, "id, code, cwe, url, tests").select((-F.col("id")).cast("long"), F.md5(T.redact("code"))))
 
 
+_IDENTIFIERS_OVER = mixed(_CODES, "id, code, cwe, url, tests", "SELECT cast(doc_id + 100 as int), '', CASE WHEN doc_id % 3 = 0 THEN concat(' cwe_', doc_id) WHEN doc_id % 3 = 1 THEN concat('', doc_id) ELSE source END, concat('https://h/', source, '/Repo', doc_id, '.git/'), concat(' t', doc_id, ', ,', lang) FROM documents")
+
+
 @query(f"""SELECT id, CASE WHEN starts_with(c, 'CWE-') THEN c WHEN starts_with(c, 'CWE') THEN 'CWE-' || regexp_replace(substr(c, 4), '^[-_]+', '') WHEN regexp_matches(c, '^[0-9]+$') THEN 'CWE-' || c ELSE c END AS cwe,
 replace(string_split(regexp_replace(lower(trim(url)), '/+$', ''), '/')[-1], '.git', '') AS repo, list_filter(list_transform(string_split(tests, ','), lambda x: trim(x)), lambda x: x <> '') AS tests
-FROM (SELECT *, upper(trim(cwe)) AS c FROM (VALUES {_CODES}) t(id, code, cwe, url, tests))""")
+FROM (SELECT *, upper(trim(cwe)) AS c FROM ({_IDENTIFIERS_OVER}))""")
 def q_identifiers(spark, sf_dir):
-    return inline(spark, _CODES, "id, code, cwe, url, tests").select("id", T.norm_cwe("cwe").alias("cwe"), T.repo_key("url").alias("repo"), T.listed("tests").alias("tests"))
+    return over(spark, sf_dir, _IDENTIFIERS_OVER).select("id", T.norm_cwe("cwe").alias("cwe"), T.repo_key("url").alias("repo"), T.listed("tests").alias("tests"))
 
 
 @query("SELECT page_id, replace(string_split(regexp_replace(lower(trim(url)), '/+$', ''), '/')[-1], '.git', '') AS repo FROM pages")
@@ -92,11 +95,12 @@ def q_repo_key(spark, sf_dir):
 
 
 _REPLIES = "(1, 'Here:' || chr(10) || '```java' || chr(10) || 'int x;' || chr(10) || '```' || chr(10) || 'done'), (2, '```' || chr(10) || 'class A {}' || chr(10) || '```'), (3, '  no fence  '), (4, '')"
+_REPLIES_OVER = mixed(_REPLIES, "id, t", """SELECT cast(doc_id + 100 as int), concat('Here:', chr(10), '```', CASE WHEN doc_id % 2 = 0 THEN 'java' ELSE '' END, chr(10), text, chr(10), '```', chr(10), 'done') FROM documents""")
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(t, '(?is)```(?:java|jsp)?[^\\S\\n]*\\n(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:java|jsp)?[^\\S\\n]*\\n(.*?)```', 1), chr(10)) ELSE trim(t) END AS code FROM (VALUES {_REPLIES}) x(id, t)")
+@query(f"SELECT id, CASE WHEN regexp_matches(t, '(?is)```(?:java|jsp)?[^\\S\\n]*\\n(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:java|jsp)?[^\\S\\n]*\\n(.*?)```', 1), chr(10)) ELSE trim(t) END AS code FROM ({_REPLIES_OVER}) x(id, t)")
 def q_fence_extract(spark, sf_dir):
-    return inline(spark, _REPLIES, "id, t").select("id", T.fenced("t").alias("code"))
+    return over(spark, sf_dir, _REPLIES_OVER).select("id", T.fenced("t").alias("code"))
 
 
 _FIRST = "row_number() OVER (PARTITION BY k ORDER BY doc_id) > 1"
@@ -193,26 +197,34 @@ _FIVE = {
     "fixes": ("('h1', 'CVE-1'), ('h2', 'CVE-2'), ('h2', 'CVE-3'), ('h3', 'CVE-4')", "hash, cve_id"),
     "classes": ("('CVE-1', 'CWE-79', 1), ('CVE-2', 'CWE-22', 2), ('CVE-2', 'CWE-89', 3)", "cve_id, cwe_id, ord"),
 }
-_FIVE_SQL = ", ".join(f"{n}({c}) AS (VALUES {v})" for n, (v, c) in _FIVE.items())
+#: What the given tables add to each: a method before and after for every document, fifty commits.
+_FIVE_MORE = {
+    "methods": "SELECT concat('g', doc_id), 'm', CASE WHEN doc_id % 3 = 0 THEN 'T' ELSE '1' END, text, cast(2 * doc_id + 100 as int) FROM documents UNION ALL SELECT concat('g', doc_id), 'm', 'no', CASE WHEN doc_id % 8 = 0 THEN concat(text, ' ') ELSE concat(text, ' fixed') END, cast(2 * doc_id + 101 as int) FROM documents WHERE doc_id % 10 <> 0",
+    "files": "SELECT concat('g', doc_id), CASE WHEN doc_id % 5 = 0 THEN 'Python' ELSE 'Java' END, concat('c', doc_id % 50) FROM documents",
+    "commits": "SELECT DISTINCT concat('c', doc_id % 50), concat('https://g/x/r', doc_id % 50), CASE WHEN doc_id % 5 = 1 THEN '' ELSE concat('202', doc_id % 50 % 5, '-05-05') END FROM documents",
+    "fixes": "SELECT DISTINCT concat('c', doc_id % 50), concat('CVE-', 100 + doc_id % 50) FROM documents",
+    "classes": "SELECT concat('CVE-', 100 + doc_id % 50), concat('CWE-', doc_id % 20), cast(doc_id + 100 as int) FROM documents",
+}
+_FIVE_SQL = ", ".join(f"{n} AS ({mixed(v, c, _FIVE_MORE[n])})" for n, (v, c) in _FIVE.items())
 _PAIRS_SQL = f"""WITH {_FIVE_SQL}, j AS (SELECT *, lower(before_change) IN ('1', 'true', 't', 'yes') AS yes FROM methods JOIN files USING (file_change_id) JOIN commits USING (hash) JOIN fixes USING (hash) WHERE lower(programming_language) = 'java'),
 g AS (SELECT file_change_id, name, arg_max(code, ord) FILTER (yes) AS vuln, arg_max(code, ord) FILTER (NOT yes) AS fixed, arg_min(repo_url, ord) AS repo, arg_min(committer_date, ord) AS cdate, arg_min(cve_id, (ord, cve_id)) AS cve, min(ord) AS ord FROM j GROUP BY 1, 2),
 k AS (SELECT cve_id, arg_min(cwe_id, ord) AS cwe FROM classes GROUP BY 1),
 p AS (SELECT vuln, fixed, repo, cdate, cve, coalesce(cwe, '') AS cwe, ord FROM g LEFT JOIN k ON g.cve = k.cve_id WHERE trim(regexp_replace(vuln, '\\s+', ' ', 'g')) <> trim(regexp_replace(fixed, '\\s+', ' ', 'g')))"""
 
 
-def _five(spark: SparkSession) -> dict[str, DataFrame]:
-    return {n: inline(spark, v, c) for n, (v, c) in _FIVE.items()}
+def _five(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: over(spark, sf_dir, mixed(v, c, _FIVE_MORE[n])) for n, (v, c) in _FIVE.items()}
 
 
 @query(f"{_PAIRS_SQL} SELECT * FROM p")
 def q_pair_pivot(spark, sf_dir):
-    return corpus.pairs(**_five(spark))
+    return corpus.pairs(**_five(spark, sf_dir))
 
 
 @query(f"""{_PAIRS_SQL}, h AS (SELECT *, string_split(lower(repo), '/')[-1] AS r FROM p), a AS (SELECT * FROM h WHERE cve <> 'CVE-9' AND r <> 'jsoup'), b AS (SELECT * FROM a WHERE cdate = '' OR substr(cdate, 1, 10) < '2022-01-01'), c AS (SELECT DISTINCT vuln, fixed FROM b)
 SELECT 'raw' AS stage, count(*) AS n FROM p UNION ALL SELECT 'after_holdout', count(*) FROM a UNION ALL SELECT 'after_temporal_cut', count(*) FROM b UNION ALL SELECT 'after_dedup', count(*) FROM c""")
 def q_provenance(spark, sf_dir):
-    return R.stage_counts(corpus.build(corpus.pairs(**_five(spark)), inline(spark, "('CVE-9')", "cve"), inline(spark, "('jsoup')", "repo"), "2022-01-01"))
+    return R.stage_counts(corpus.build(corpus.pairs(**_five(spark, sf_dir)), inline(spark, "('CVE-9')", "cve"), inline(spark, "('jsoup')", "repo"), "2022-01-01"))
 
 
 @query("SELECT l_orderkey, l_linenumber, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -228,84 +240,93 @@ def q_first_per_key(spark, sf_dir):
 
 
 _META = "('VUL4J-1', 'p/a', 'CWE_89', 'vul4j', 'F.java', 'T#a, T#b', 1), ('VJB-2', '', '79', 'vjbench', '', '', 2), ('VUL4J-1', 'late', '', 'vul4j', 'G.java', '', 3), ('VJB-3-trans', 'q', 'CWE22', 'vjbench', 'H.java', 'x', 4)"
+_META_OVER = mixed(_META, "id, project, cwe, source, vulnerable_file, tests, ord", """SELECT concat('D-', doc_id % 700, CASE WHEN doc_id % 9 = 0 THEN '-trans' ELSE '' END), source, concat('cwe_', doc_id % 90), CASE WHEN doc_id % 2 = 0 THEN 'vul4j' ELSE 'vjbench' END, concat('D', doc_id, '.java'), concat('T#', doc_id, ', ,U#', lang), cast(doc_id + 100 as int) FROM documents""")
 
 
 @query(f"""SELECT id, project, CASE WHEN c = '' THEN '' WHEN starts_with(c, 'CWE-') THEN c WHEN starts_with(c, 'CWE') THEN 'CWE-' || regexp_replace(substr(c, 4), '^[-_]+', '') ELSE 'CWE-' || c END AS cwe, vulnerable_file, list_filter(list_transform(string_split(tests, ','), lambda x: trim(x)), lambda x: x <> '') AS pov_tests
-FROM (SELECT *, upper(trim(cwe)) AS c, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM (VALUES {_META}) t(id, project, cwe, source, vulnerable_file, tests, ord)) WHERE r = 1""")
+FROM (SELECT *, upper(trim(cwe)) AS c, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM ({_META_OVER}) t(id, project, cwe, source, vulnerable_file, tests, ord)) WHERE r = 1""")
 def q_manifest(spark, sf_dir):
-    meta = inline(spark, _META, "id, project, cwe, source, vulnerable_file, tests, ord")
+    meta = over(spark, sf_dir, _META_OVER)
     return R.manifest_entries(R.first_wins(meta, "id", "ord")).select("id", "project", "cwe", "vulnerable_file", "pov_tests")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (source = 'vul4j') AS vul4j, count(*) FILTER (source = 'vjbench') AS vjbench, count(*) FILTER (contains(id, 'trans')) AS transformed, count(*) FILTER (cwe IN ('CWE_89', '79')) AS covered FROM (VALUES {_META}) t(id, project, cwe, source, vulnerable_file, tests, ord)")
+@query(f"SELECT count(*) AS total, count(*) FILTER (source = 'vul4j') AS vul4j, count(*) FILTER (source = 'vjbench') AS vjbench, count(*) FILTER (contains(id, 'trans')) AS transformed, count(*) FILTER (cwe IN ('CWE_89', '79')) AS covered FROM ({_META_OVER}) t(id, project, cwe, source, vulnerable_file, tests, ord)")
 def q_manifest_summary(spark, sf_dir):
-    meta = inline(spark, _META, "id, project, cwe, source, vulnerable_file, tests, ord")
+    meta = over(spark, sf_dir, _META_OVER)
     return R.manifest_summary(meta.withColumns({"transformed": F.col("id").contains("trans"), "semgrep_covered": F.col("cwe").isin("CWE_89", "79")}))
 
 
 _LINES = "('VUL4J-1'), ('# note'), (''), ('  VUL4J-2 # inline '), ('  ')"
+_LINES_OVER = mixed(_LINES, "value", """SELECT CASE doc_id % 4 WHEN 0 THEN concat('  D-', doc_id, '  ') WHEN 1 THEN concat('# ', source) WHEN 2 THEN '' ELSE concat('D-', doc_id, ' # ', lang) END FROM documents""")
 
 
-@query(f"SELECT trim(v) AS id FROM (VALUES {_LINES}) t(v) WHERE trim(v) <> '' AND NOT starts_with(trim(v), '#')")
+@query(f"SELECT trim(v) AS id FROM ({_LINES_OVER}) t(v) WHERE trim(v) <> '' AND NOT starts_with(trim(v), '#')")
 def q_id_list(spark, sf_dir):
-    return R.id_list(inline(spark, _LINES, "value"))
+    return R.id_list(over(spark, sf_dir, _LINES_OVER))
 
 
 _RAW = """('{"buggy_code": "a", "after": "b", "cve_id": "CVE-1", "project": "p"}'), ('{"vuln_code": "", "before": "x", "fix_code": "y", "published": "2020"}'), ('{"vuln_code": "only"}')"""
+_RAW_OVER = mixed(_RAW, "value", """SELECT CASE doc_id % 3 WHEN 0 THEN concat('{"before": "', md5(text), '", "fixed_code": "', lang, '"}') WHEN 1 THEN concat('{"buggy_code": "', md5(text), '", "fix_code": "y", "published": "2021", "project": "', source, '"}') ELSE concat('{"vuln_code": "', md5(text), '"}') END FROM documents""")
 
 
 @query(f"""SELECT coalesce(nullif(v->>'vuln_code', ''), nullif(v->>'before', ''), nullif(v->>'buggy_code', ''), '') AS vuln_code, coalesce(nullif(v->>'fixed_code', ''), nullif(v->>'after', ''), nullif(v->>'fix_code', ''), '') AS fixed_code,
-coalesce(v->>'cve_id', '') AS cve, '' AS cwe, coalesce(v->>'published', '') AS date, coalesce(v->>'project', '') AS project FROM (SELECT v::JSON AS v FROM (VALUES {_RAW}) t(v)) WHERE coalesce(nullif(v->>'after', ''), nullif(v->>'fix_code', ''), '') <> ''""")
+coalesce(v->>'cve_id', '') AS cve, '' AS cwe, coalesce(v->>'published', '') AS date, coalesce(v->>'project', '') AS project FROM (SELECT v::JSON AS v FROM ({_RAW_OVER}) t(v)) WHERE coalesce(nullif(v->>'after', ''), nullif(v->>'fixed_code', ''), nullif(v->>'fix_code', ''), '') <> '' AND coalesce(nullif(v->>'vuln_code', ''), nullif(v->>'before', ''), nullif(v->>'buggy_code', ''), '') <> ''""")
 def q_records(spark, sf_dir):
-    return R.records(inline(spark, _RAW, "value"))
+    return R.records(over(spark, sf_dir, _RAW_OVER))
 
 
 _SEMGREP = """('b1', '{"results": [{"check_id": "java.sqli", "path": "src/A.java", "start": {"line": 3}, "end": {"line": 5}, "extra": {"severity": "ERROR", "message": "m"}}, {"path": "B.java", "start": {"line": 7}}]}'), ('b2', '{"results": []}'), ('b3', 'not json')"""
+_SEMGREP_OVER = mixed(_SEMGREP, "bug, j", """SELECT concat('d', doc_id), CASE WHEN doc_id % 9 = 0 THEN '{"results": [' ELSE concat('{"results": [{"check_id": "', lang, '.r', doc_id % 5, '", "path": "', source, '/D.java", "start": {"line": ', doc_id % 50, '}, "extra": {"severity": "INFO"}}, {"check_id": "x", "start": {"line": 1}, "end": {"line": ', 1 + doc_id % 3, '}}]}') END FROM documents""")
 
 
 @query(f"""SELECT bug, coalesce(r->>'check_id', '') AS check_id, coalesce(r->>'path', '') AS path, coalesce((r->'start'->>'line')::INT, 0) AS start_line, coalesce((r->'end'->>'line')::INT, (r->'start'->>'line')::INT, 0) AS end_line, coalesce(r->'extra'->>'severity', '') AS severity, coalesce(r->'extra'->>'message', '') AS message, 'semgrep' AS tool
-FROM (SELECT bug, unnest((j::JSON->'results')::JSON[]) AS r FROM (VALUES {_SEMGREP}) t(bug, j) WHERE json_valid(j))""")
+FROM (SELECT bug, unnest((j::JSON->'results')::JSON[]) AS r FROM ({_SEMGREP_OVER}) t(bug, j) WHERE json_valid(j))""")
 def q_semgrep(spark, sf_dir):
-    return R.semgrep_findings(inline(spark, _SEMGREP, "bug, j"), "j", ["bug"])
+    return R.semgrep_findings(over(spark, sf_dir, _SEMGREP_OVER), "j", ["bug"])
 
 
 _SARIF = """('b1', '{"runs": [{"tool": {"driver": {"name": "c", "rules": [{"id": "java/sqli", "defaultConfiguration": {"level": "error"}}]}}, "results": [{"ruleId": "java/sqli", "message": {"text": "q"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "src/A.java"}, "region": {"startLine": 9}}}]}, {"rule": {"id": "java/x"}, "level": "note", "message": {"text": "n"}}]}]}')"""
+_SARIF_OVER = mixed(_SARIF, "bug, j", """SELECT concat('d', doc_id), concat('{"runs": [{"tool": {"driver": {"name": "c", "rules": [{"id": "', lang, '", "defaultConfiguration": {"level": "warning"}}]}}, "results": [{"ruleId": "', lang, '", "message": {"text": "', md5(text), '"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "', source, '"}, "region": {"startLine": ', 1 + doc_id % 9, ', "endLine": ', 10 + doc_id % 9, '}}}]}]}]}') FROM documents""")
 
 
-@query(f"""WITH t(bug, j) AS (VALUES {_SARIF}), runs AS (SELECT bug, unnest((j::JSON->'runs')::JSON[]) AS run FROM t), r AS (SELECT bug, run, unnest((run->'results')::JSON[]) AS r FROM runs),
+@query(f"""WITH t(bug, j) AS ({_SARIF_OVER}), runs AS (SELECT bug, unnest((j::JSON->'runs')::JSON[]) AS run FROM t), r AS (SELECT bug, run, unnest((run->'results')::JSON[]) AS r FROM runs),
 d AS (SELECT bug, u->>'id' AS id, u->'defaultConfiguration'->>'level' AS level FROM (SELECT bug, unnest((run->'tool'->'driver'->'rules')::JSON[]) AS u FROM runs))
 SELECT r.bug, coalesce(r->>'ruleId', r->'rule'->>'id', '') AS check_id, coalesce(r->'locations'->0->'physicalLocation'->'artifactLocation'->>'uri', '') AS path, coalesce((r->'locations'->0->'physicalLocation'->'region'->>'startLine')::INT, 0) AS start_line,
 coalesce((r->'locations'->0->'physicalLocation'->'region'->>'endLine')::INT, (r->'locations'->0->'physicalLocation'->'region'->>'startLine')::INT, 0) AS end_line, coalesce(r->>'level', d.level, '') AS severity, coalesce(r->'message'->>'text', '') AS message, 'codeql' AS tool
 FROM r LEFT JOIN d ON d.bug = r.bug AND d.id = coalesce(r->>'ruleId', r->'rule'->>'id', '')""")
 def q_sarif(spark, sf_dir):
-    return R.sarif_findings(inline(spark, _SARIF, "bug, j"), "j", ["bug"])
+    return R.sarif_findings(over(spark, sf_dir, _SARIF_OVER), "j", ["bug"])
 
 
 _FINDINGS = "('java.lang.sqli', 'CWE-89', 'src/A.java', 'semgrep', 'b1'), ('sqli', 'cwe-89', 'A.java', 'codeql', 'b1'), ('xss', 'CWE-89', 'A.java', 'semgrep', 'b2'), ('', 'CWE-89', 'A.java', 'semgrep', 'b3'), ('any', '', 'A.java', 'semgrep', 'b3')"
+_FINDINGS_OVER = mixed(_FINDINGS, "check_id, cwe, path, tool, bug", "SELECT CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat(lang, '.r', doc_id % 5) END, concat('cwe-', 70 + doc_id % 30), concat('src/', source, '.java'), CASE WHEN doc_id % 2 = 0 THEN 'semgrep' ELSE 'codeql' END, concat('d', doc_id % 300) FROM documents")
 _RULES = "('CWE-89', 'lang.sqli'), ('CWE-79', 'xss')"
-_SCOPED = f"f AS (SELECT * FROM (VALUES {_FINDINGS}) t(check_id, cwe, path, tool, bug)), r AS (SELECT * FROM (VALUES {_RULES}) t(cwe, rule)), s AS (SELECT f.* FROM f WHERE upper(cwe) NOT IN (SELECT cwe FROM r) OR (check_id <> '' AND EXISTS (SELECT 1 FROM r WHERE r.cwe = upper(f.cwe) AND (ends_with(rule, check_id) OR ends_with(check_id, rule)))))"
+_RULES_OVER = mixed(_RULES, "cwe, rule", "SELECT DISTINCT concat('CWE-', 70 + doc_id % 25), concat('r', doc_id % 4) FROM documents")
+_SCOPED = f"f AS (SELECT * FROM ({_FINDINGS_OVER}) t(check_id, cwe, path, tool, bug)), r AS (SELECT * FROM ({_RULES_OVER}) t(cwe, rule)), s AS (SELECT f.* FROM f WHERE upper(cwe) NOT IN (SELECT cwe FROM r) OR (check_id <> '' AND EXISTS (SELECT 1 FROM r WHERE r.cwe = upper(f.cwe) AND (ends_with(rule, check_id) OR ends_with(check_id, rule)))))"
 
 
 @query(f"WITH {_SCOPED} SELECT * FROM s")
 def q_scope(spark, sf_dir):
-    return gate.in_scope(inline(spark, _FINDINGS, "check_id, cwe, path, tool, bug"), inline(spark, _RULES, "cwe, rule"))
+    return gate.in_scope(over(spark, sf_dir, _FINDINGS_OVER), over(spark, sf_dir, _RULES_OVER))
 
 
 _PATCHES = "('b1', false, false), ('b2', false, true), ('b3', true, false), ('b4', false, false)"
+_PATCHES_OVER = mixed(_PATCHES, "bug, semgrep_error, codeql_error", "SELECT concat('d', doc_id), doc_id % 9 = 0, doc_id % 8 = 0 FROM documents")
 
 
-@query(f"WITH {_SCOPED}, p AS (SELECT * FROM (VALUES {_PATCHES}) t(bug, semgrep_error, codeql_error)), n AS (SELECT bug, count(*) FILTER (tool = 'semgrep') AS a, count(*) FILTER (tool = 'codeql') AS b FROM s GROUP BY 1) SELECT p.*, NOT semgrep_error AND coalesce(a, 0) = 0 AS semgrep_clean, codeql_error OR coalesce(b, 0) = 0 AS codeql_clean FROM p LEFT JOIN n ON p.bug = n.bug")
+@query(f"WITH {_SCOPED}, p AS (SELECT * FROM ({_PATCHES_OVER}) t(bug, semgrep_error, codeql_error)), n AS (SELECT bug, count(*) FILTER (tool = 'semgrep') AS a, count(*) FILTER (tool = 'codeql') AS b FROM s GROUP BY 1) SELECT p.*, NOT semgrep_error AND coalesce(a, 0) = 0 AS semgrep_clean, codeql_error OR coalesce(b, 0) = 0 AS codeql_clean FROM p LEFT JOIN n ON p.bug = n.bug")
 def q_sast_gate(spark, sf_dir):
-    return gate.sast_gate(inline(spark, _PATCHES, "bug, semgrep_error, codeql_error"), q_scope(spark, sf_dir), "bug")
+    return gate.sast_gate(over(spark, sf_dir, _PATCHES_OVER), q_scope(spark, sf_dir), "bug")
 
 
 _RESULTS = """('b1', '{"tests": {"overall_metrics": {"number_running": 5, "number_passing": 3, "number_failing": 2}, "failures": [{"test_class": "T", "test_method": "a"}, {"test_class": "U", "test_method": "z"}], "passing_tests": ["T#b"]}}'), ('b2', '{"overall_metrics": {"number_running": "2", "number_passing": "x"}, "passing_tests": ["T#a", "U#z"]}')"""
+_RESULTS_OVER = mixed(_RESULTS, "bug, j", """SELECT concat('d', doc_id), CASE WHEN doc_id % 2 = 0 THEN concat('{"tests": {"overall_metrics": {"number_running": ', doc_id % 50, ', "number_passing": ', doc_id % 7, ', "number_failing": ', doc_id % 3, '}, "failures": [{"test_class": "', source, '", "test_method": "m"}], "passing_tests": ["T#', doc_id, '"]}}') ELSE concat('{"overall_metrics": {"number_running": "', doc_id % 50, '"}, "passing_tests": ["a", "b"]}') END FROM documents""")
 
 
 @query(f"""SELECT bug, coalesce(try_cast(m->>'number_running' AS INT), 0) AS running, coalesce(try_cast(m->>'number_passing' AS INT), 0) AS passing, coalesce(try_cast(m->>'number_failing' AS INT), 0) AS failing, coalesce(json_array_length(d->'failures'), 0)::INT AS failures, coalesce(json_array_length(d->'passing_tests'), 0)::INT AS passed
-FROM (SELECT bug, d, d->'overall_metrics' AS m FROM (SELECT bug, coalesce(j::JSON->'tests', j::JSON) AS d FROM (VALUES {_RESULTS}) t(bug, j)))""")
+FROM (SELECT bug, d, d->'overall_metrics' AS m FROM (SELECT bug, coalesce(j::JSON->'tests', j::JSON) AS d FROM ({_RESULTS_OVER}) t(bug, j)))""")
 def q_test_summary(spark, sf_dir):
-    return R.test_summary(inline(spark, _RESULTS, "bug, j"), "j", ["bug"]).select("bug", "running", "passing", "failing", F.size("failures").alias("failures"), F.size("passing_tests").alias("passed"))
+    return R.test_summary(over(spark, sf_dir, _RESULTS_OVER), "j", ["bug"]).select("bug", "running", "passing", "failing", F.size("failures").alias("failures"), F.size("passing_tests").alias("passed"))
 
 
 _STMT = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda s: s NOT IN ('', '{', '}') AND NOT regexp_matches(s, '^(//|\\*|/\\*|@)'))"
@@ -344,13 +365,14 @@ def q_a11y_rules(spark, sf_dir):
 _A11Y_LIST = r"""[len(regexp_extract_all(html, '(?i)<img\b')) - len(regexp_extract_all(html, '(?i)<img\b[^>]*\balt=')), CASE WHEN regexp_matches(html, '(?i)<html\b[^>]*\blang=') THEN 0 ELSE 1 END, CASE WHEN regexp_matches(html, '(?i)<title>[^<]*\S[^<]*</title>') THEN 0 ELSE 1 END,
 len(regexp_extract_all(html, '(?i)<a\b[^>]*>\s*</a>')), len(regexp_extract_all(html, '(?i)<button\b[^>]*>\s*</button>')), len(regexp_extract_all(html, '(?i)<input\b')) - len(regexp_extract_all(html, '(?i)<input\b[^>]*\baria-label='))]"""
 _HTML = "(1, '<html><body><img><a href=x></a></body></html>', '<html lang=en><title>t</title><body><img alt=x><a href=x>y</a></body></html>'), (2, '<html><img></html>', '<html lang=en><title>t</title></html>'), (3, '<html lang=en><title>t</title></html>', '<html lang=en><title>t</title></html>')"
+_HTML_OVER = mixed(_HTML, "id, a, b", """SELECT cast(page_id + 100 as int), concat(html, repeat('<img>', cast(page_id % 3 as int)), repeat('<a href=x></a>', cast(page_id % 2 as int))), concat(html, repeat('<img>', cast(page_id % 2 as int))) FROM pages""")
 
 
-@query(f"""WITH r AS (SELECT id, a, b, {_A11Y_LIST.replace('(html,', '(a,')} AS x, {_A11Y_LIST.replace('(html,', '(b,')} AS y, {_ELEMENTS.replace('(html,', '(a,')} AS m, {_ELEMENTS.replace('(html,', '(b,')} AS n FROM (VALUES {_HTML}) t(id, a, b)),
+@query(f"""WITH r AS (SELECT id, a, b, {_A11Y_LIST.replace('(html,', '(a,')} AS x, {_A11Y_LIST.replace('(html,', '(b,')} AS y, {_ELEMENTS.replace('(html,', '(a,')} AS m, {_ELEMENTS.replace('(html,', '(b,')} AS n FROM ({_HTML_OVER}) t(id, a, b)),
 g AS (SELECT id, list_sum(x) > 0 AS had, list_sum(y)::INT AS after, len(list_filter(list_zip(x, y), lambda z: z[1] > 0 AND z[2] > 0))::INT AS still, n::DOUBLE / m >= 0.6 AS kept FROM r)
 SELECT id, had AS had_violations, after AS violations_after, had AND still = 0 AS flipped, kept AS not_deleted, had AND still = 0 AND kept AS cleared, still FROM g""")
 def q_a11y_gate(spark, sf_dir):
-    rows = inline(spark, _HTML, "id, a, b")
+    rows = over(spark, sf_dir, _HTML_OVER)
     g = gate.a11y_gate(gate.accessibility("a"), gate.accessibility("b"), F.col("a"), F.col("b"))
     return rows.select("id", g.alias("g")).select("id", "g.had_violations", "g.violations_after", "g.flipped", "g.not_deleted", "g.cleared", F.size("g.still_failing").alias("still"))
 
@@ -374,12 +396,13 @@ def q_pref_pairs(spark, sf_dir):
 
 
 _JUDGE = """(1, '{"accept": true, "score": 0.7, "reason": "ok"}'), (2, 'Sure: {"accept": true, "score": 7} bye'), (3, '{"accept": false}'), (4, 'nothing here'), (5, '{"accept": true, "score": "bad"}')"""
+_JUDGE_OVER = mixed(_JUDGE, "id, t", """SELECT cast(doc_id + 100 as int), CASE doc_id % 3 WHEN 0 THEN concat('So: {"accept": true, "score": 0.', doc_id % 10, ', "reason": "', md5(text), '"} .') WHEN 1 THEN concat('{"accept": false, "score": ', doc_id % 3, '}') ELSE text END FROM documents""")
 
 
-@query(f"""WITH b AS (SELECT id, t, regexp_extract(t, '(?s)\\{{.*\\}}') AS b FROM (VALUES {_JUDGE}) x(id, t)), p AS (SELECT id, t, CASE WHEN b <> '' AND json_valid(b) THEN b::JSON END AS j FROM b)
+@query(f"""WITH b AS (SELECT id, t, regexp_extract(t, '(?s)\\{{.*\\}}') AS b FROM ({_JUDGE_OVER}) x(id, t)), p AS (SELECT id, t, CASE WHEN b <> '' AND json_valid(b) THEN b::JSON END AS j FROM b)
 SELECT id, coalesce(j->>'accept' = 'true', false) AS accept, CASE WHEN j IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(try_cast(j->>'score' AS DOUBLE), CASE WHEN j->>'accept' = 'true' THEN 1.0 ELSE 0.0 END))) END AS score, CASE WHEN j IS NULL THEN 'unparseable: ' || left(t, 200) ELSE coalesce(j->>'reason', '') END AS reason FROM p""")
 def q_judge_parse(spark, sf_dir):
-    return inline(spark, _JUDGE, "id, t").select("id", ranking.judged("t").alias("j")).select("id", "j.accept", "j.score", "j.reason")
+    return over(spark, sf_dir, _JUDGE_OVER).select("id", ranking.judged("t").alias("j")).select("id", "j.accept", "j.score", "j.reason")
 
 
 @query("SELECT conv_id, count(*)::INT AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
@@ -389,20 +412,22 @@ def q_chat(spark, sf_dir):
 
 
 _LAYERS = "(1, 1, 'a', true, 'x'), (1, 2, 'b', false, 'no'), (1, 3, 'c', false, NULL), (2, 1, 'a', true, '')"
+_LAYERS_OVER = mixed(_LAYERS, "id, pos, name, passed, detail", """SELECT cast(doc_id + 100 as int), 1, lang, doc_id % 2 = 0, text FROM documents UNION ALL SELECT cast(doc_id + 100 as int), 2, source, doc_id % 3 = 0, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END FROM documents""")
 
 
-@query(f"SELECT id, coalesce(string_agg('- ' || name || ': ' || coalesce(detail, ''), chr(10) ORDER BY pos) FILTER (NOT passed), 'The previous patch did not pass the verification gate.') AS feedback FROM (VALUES {_LAYERS}) t(id, pos, name, passed, detail) GROUP BY 1")
+@query(f"SELECT id, coalesce(string_agg('- ' || name || ': ' || coalesce(detail, ''), chr(10) ORDER BY pos) FILTER (NOT passed), 'The previous patch did not pass the verification gate.') AS feedback FROM ({_LAYERS_OVER}) t(id, pos, name, passed, detail) GROUP BY 1")
 def q_feedback(spark, sf_dir):
-    rows = inline(spark, _LAYERS, "id, pos, name, passed, detail").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "passed", "detail"))).alias("layers"))
+    rows = over(spark, sf_dir, _LAYERS_OVER).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "passed", "detail"))).alias("layers"))
     return rows.select("id", gate.feedback(F.col("layers")).alias("feedback"))
 
 
 _COUNTS = "(1, 'a', 2, 0), (1, 'b', 1, 1), (1, 'c', 0, 4), (2, 'z', 0, 3)"
+_COUNTS_OVER = mixed(_COUNTS, "id, rule, x, y", """SELECT cast(doc_id + 100 as int), lang, cast(doc_id % 3 as int), cast(doc_id % 2 as int) FROM documents UNION ALL SELECT cast(doc_id + 100 as int), source, cast(doc_id % 2 as int), cast(doc_id % 5 as int) FROM documents""")
 
 
-@query(f"WITH c AS (SELECT * FROM (VALUES {_COUNTS}) t(id, rule, x, y)), a AS (SELECT * FROM c WHERE x > 0), b AS (SELECT * FROM c WHERE y > 0) SELECT coalesce(a.id, b.id) AS id, coalesce(a.rule, b.rule) AS rule, coalesce(a.x, 0) AS before, coalesce(b.y, 0) AS after FROM a FULL JOIN b ON a.id = b.id AND a.rule = b.rule")
+@query(f"WITH c AS (SELECT * FROM ({_COUNTS_OVER}) t(id, rule, x, y)), a AS (SELECT * FROM c WHERE x > 0), b AS (SELECT * FROM c WHERE y > 0) SELECT coalesce(a.id, b.id) AS id, coalesce(a.rule, b.rule) AS rule, coalesce(a.x, 0) AS before, coalesce(b.y, 0) AS after FROM a FULL JOIN b ON a.id = b.id AND a.rule = b.rule")
 def q_rule_diff(spark, sf_dir):
-    rows = inline(spark, _COUNTS, "id, rule, x, y")
+    rows = over(spark, sf_dir, _COUNTS_OVER)
     side = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c) > 0, F.struct("rule", c))))
     return rows.groupBy("id").agg(side("x").alias("x"), side("y").alias("y")).select("id", F.explode(gate.rule_changes(F.col("x"), F.col("y"))).alias("rule", "v")).select("id", "rule", "v.before", "v.after")
 

@@ -12,7 +12,7 @@ from verigate.functions import text as T
 from verigate.functions.java import java_counts, java_statements
 from verigate.operators import accessibility, corpus, dedup, evaluation, gate, metrics, sft, split
 from verigate.operators.tables import shared_folder, staged
-from verigate.plans.base import NORM, WS, inline, over, query, redacted_sql, table, wilson_sql
+from verigate.plans.base import NORM, WS, inline, mixed, over, query, redacted_sql, table, wilson_sql
 from verigate.sources import documents as D
 from verigate.sources import metadata as M
 from verigate.sources import records as R
@@ -43,21 +43,23 @@ def q_test_ids(spark, sf_dir):
 
 
 _SUMMARIES = "(1, 0, 0, 'T#a,T#b', 'T#a'), (2, 1, 0, 'T#a', 'T#a'), (3, 0, 0, 'T#a', 'U#z'), (4, 0, 0, '', ''), (5, 0, 2, 'T#a', '')"
+_SUMMARIES_OVER = mixed(_SUMMARIES, "id, failing, error, passing, required", """SELECT cast(doc_id + 100 as int), cast(doc_id % 3 as int), cast(doc_id % 2 as int), concat('T#', doc_id % 5, ',U#', doc_id % 7), CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('T#', doc_id % 4) END FROM documents""")
 
 
-@query(f"SELECT id, failing = 0 AND error = 0 AND len(list_filter(list_filter(string_split(required, ','), lambda r: r <> ''), lambda r: NOT list_contains(string_split(passing, ','), r))) = 0 AS ok FROM (VALUES {_SUMMARIES}) t(id, failing, error, passing, required)")
+@query(f"SELECT id, failing = 0 AND error = 0 AND len(list_filter(list_filter(string_split(required, ','), lambda r: r <> ''), lambda r: NOT list_contains(string_split(passing, ','), r))) = 0 AS ok FROM ({_SUMMARIES_OVER}) t(id, failing, error, passing, required)")
 def q_tests_pass(spark, sf_dir):
-    rows = inline(spark, _SUMMARIES, "id, failing, error, passing, required")
+    rows = over(spark, sf_dir, _SUMMARIES_OVER)
     return rows.select("id", gate.tests_pass(F.col("failing"), F.col("error"), T.listed("passing"), T.listed("required")).alias("ok"))
 
 
 _PATHS = "('file:///w/src/A.java', 'src/A.java'), ('C:' || chr(92) || 'w' || chr(92) || 'A.java', 'A.java'), ('src/B.java', 'src/A.java'), ('', 'A.java'), ('/A.java', 'A.java'), ('secrets/x.key', 'Photos/a.png'), ('.env', 'docs/handbook.md')"
+_PATHS_OVER = mixed(_PATHS, "a, b", """SELECT concat('file:///w/', source, '/D', doc_id, '.java'), concat('src/D', doc_id - doc_id % 3, '.java') FROM documents""")
 
 
-@query(f"""WITH p AS (SELECT *, replace(replace(a, 'file://', ''), chr(92), '/') AS x, replace(b, chr(92), '/') AS y FROM (VALUES {_PATHS}) t(a, b))
+@query(f"""WITH p AS (SELECT *, replace(replace(a, 'file://', ''), chr(92), '/') AS x, replace(b, chr(92), '/') AS y FROM ({_PATHS_OVER}) t(a, b))
 SELECT a, b, a <> '' AND b <> '' AND string_split(x, '/')[-1] = string_split(y, '/')[-1] AS same, regexp_matches(a, '(?i)(^|/)(\\.env$|secrets/|.*\\.token$|.*\\.key$|.*\\.pptx?$|handbook|problem-statement|photos/)') AS forbidden, CASE WHEN starts_with(x, '/w/') THEN substr(x, 4) ELSE x END AS relative FROM p""")
 def q_paths(spark, sf_dir):
-    rows = inline(spark, _PATHS, "a, b")
+    rows = over(spark, sf_dir, _PATHS_OVER)
     plain = F.replace(F.replace(F.col("a"), F.lit("file://"), F.lit("")), F.lit("\\"), F.lit("/"))
     return rows.select("a", "b", gate.same_file(F.col("a"), F.col("b")).alias("same"), T.forbidden_path("a").alias("forbidden"), T.relative_path(plain, F.lit("/w")).alias("relative"))
 
@@ -103,15 +105,17 @@ def q_java_statements(spark, sf_dir):
 
 
 _FOUND = "('r1', 'src/A.java', 'semgrep', 'b1'), ('r1', 'src/B.java', 'semgrep', 'b1'), ('r2', 'file:///w/A.java', 'codeql', 'b2'), ('r3', '', 'semgrep', 'b2')"
+_FOUND_OVER = mixed(_FOUND, "rule, path, tool, bug", """SELECT concat('r', doc_id % 9), CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('file:///w/', source, '/D', doc_id % 3, '.java') END, CASE WHEN doc_id % 2 = 0 THEN 'semgrep' ELSE 'codeql' END, concat('d', doc_id % 400) FROM documents""")
 _TARGETS = "('b1', 'A.java', false, false), ('b2', 'A.java', false, false), ('b3', 'A.java', true, true)"
+_TARGETS_OVER = mixed(_TARGETS, "bug, patched_file, semgrep_error, codeql_error", """SELECT concat('d', doc_id), concat('src/D', doc_id % 4, '.java'), doc_id % 11 = 0, doc_id % 13 = 0 FROM documents""")
 
 
-@query(f"""WITH f AS (SELECT * FROM (VALUES {_FOUND}) t(rule, path, tool, bug)), p AS (SELECT * FROM (VALUES {_TARGETS}) t(bug, patched_file, semgrep_error, codeql_error)),
+@query(f"""WITH f AS (SELECT * FROM ({_FOUND_OVER}) t(rule, path, tool, bug)), p AS (SELECT * FROM ({_TARGETS_OVER}) t(bug, patched_file, semgrep_error, codeql_error)),
 n AS (SELECT f.bug, count(*) FILTER (tool = 'semgrep') AS a, count(*) FILTER (tool = 'codeql') AS b FROM f JOIN p ON f.bug = p.bug AND path <> '' AND string_split(path, '/')[-1] = string_split(patched_file, '/')[-1] GROUP BY 1)
 SELECT p.bug, NOT semgrep_error AND coalesce(a, 0) = 0 AS semgrep_clean, codeql_error OR coalesce(b, 0) = 0 AS codeql_clean FROM p LEFT JOIN n ON p.bug = n.bug""")
 def q_file_scope(spark, sf_dir):
-    patches = inline(spark, _TARGETS, "bug, patched_file, semgrep_error, codeql_error")
-    found = gate.on_file(inline(spark, _FOUND, "rule, path, tool, bug"), patches, "bug")
+    patches = over(spark, sf_dir, _TARGETS_OVER)
+    found = gate.on_file(over(spark, sf_dir, _FOUND_OVER), patches, "bug")
     return gate.sast_gate(patches, found, "bug").select("bug", "semgrep_clean", "codeql_clean")
 
 
@@ -125,71 +129,77 @@ def q_focus_rules(spark, sf_dir):
 
 _COVERED = "('CWE-89'), ('cwe-79')"
 _META_DOC = """('{"B-1": {"cwe_id": "CWE_89", "project_name": "p", "human_patch_file": "F.java", "failing_tests": ["T#a", "T#b"], "revision": "abc"}, "B-2": {"cwe": "79", "project": "q", "vulnerable_file": "G.java", "tests": "x, y"}, "B-9": {"cwe": ""}}')"""
+_META_DOC_OVER = mixed(_META_DOC, "value", """SELECT concat('{"D-', doc_id, '": {"cwe": "', doc_id % 90, '", "project": "', source, '", "vulnerable_file": "D.java", "tests": "T#', doc_id, ', U"}}') FROM documents WHERE doc_id % 2 = 0""")
 _IDS_DOC = "('B-1', 1), ('B-3', 2), ('B-2', 3), ('B-1', 4)"
+_IDS_DOC_OVER = mixed(_IDS_DOC, "id, ord", """SELECT concat('D-', doc_id), cast(doc_id + 100 as int) FROM documents""")
 _SHAPES = """('[{"vul_id": "V-1", "cwe": "22", "repo": "r", "file": "H.java", "tests": "t"}, 5]'), ('{"id": "V-2", "cwe_id": "CWE-89", "is_trans": true}'), ('{"V-3": {"project": "s", "pov_tests": ["k"]}, "V-4": {"name": "V-4b"}, "x": 1}'), ('{broken')"""
+_SHAPES_OVER = mixed(_SHAPES, "value", """SELECT CASE doc_id % 3 WHEN 0 THEN concat('[{"vul_id": "E-', doc_id, '", "cwe": "79", "repo": "', source, '", "file": "E.java", "tests": "t"}, 5]') WHEN 1 THEN concat('{"id": "E-', doc_id, '", "cwe_id": "CWE-', doc_id % 100, '", "is_trans": true}') ELSE concat('{"E-', doc_id, '": {"project": "', lang, '", "pov_tests": ["k"]}}') END FROM documents""")
 _CWE_SQL = "CASE WHEN c = '' THEN '' WHEN starts_with(c, 'CWE-') THEN c WHEN starts_with(c, 'CWE') THEN 'CWE-' || regexp_replace(substr(c, 4), '^[-_]+', '') WHEN regexp_matches(c, '^[0-9]+$') THEN 'CWE-' || c ELSE c END"
 _TESTS_SQL = "CASE WHEN json_type(v->'failing_tests') = 'ARRAY' THEN (v->>'failing_tests')::JSON::VARCHAR[] WHEN json_type(v->'pov_tests') = 'ARRAY' THEN (v->>'pov_tests')::JSON::VARCHAR[] WHEN v->>'tests' IS NOT NULL THEN list_transform(string_split(v->>'tests', ','), lambda x: trim(x)) ELSE []::VARCHAR[] END"
-_FIRST_SQL = f"""m AS (SELECT key AS id, value AS v FROM (VALUES {_META_DOC}) t(j), json_each(j::JSON)), i AS (SELECT * FROM (VALUES {_IDS_DOC}) t(id, ord)),
+_FIRST_SQL = f"""m AS (SELECT key AS id, value AS v FROM ({_META_DOC_OVER}) t(j), json_each(j::JSON)), i AS (SELECT * FROM ({_IDS_DOC_OVER}) t(id, ord)),
 a0 AS (SELECT i.id, ord, coalesce(v->>'project', v->>'project_name', '') AS project, upper(coalesce(v->>'cwe_id', v->>'cwe', '')) AS c, coalesce(v->>'vulnerable_file', v->>'human_patch_file', '') AS vulnerable_file, coalesce(v->>'revision', '') AS human_patch_ref, {_TESTS_SQL} AS pov_tests FROM i LEFT JOIN m ON i.id = m.id),
 a AS (SELECT 0 AS part, ord, id, project, {_CWE_SQL} AS cwe, 'vul4j' AS source, vulnerable_file, human_patch_ref, pov_tests, false AS transformed FROM a0)"""
-_BENCH_SQL = f"""d AS (SELECT j::JSON AS j FROM (VALUES {_SHAPES}) t(j) WHERE json_valid(j)), o AS (SELECT value AS v FROM d, json_each(j) WHERE json_type(j) = 'ARRAY' UNION ALL SELECT j FROM d WHERE json_type(j) = 'OBJECT'),
+_BENCH_SQL = f"""d AS (SELECT j::JSON AS j FROM ({_SHAPES_OVER}) t(j) WHERE json_valid(j)), o AS (SELECT value AS v FROM d, json_each(j) WHERE json_type(j) = 'ARRAY' UNION ALL SELECT j FROM d WHERE json_type(j) = 'OBJECT'),
 named AS (SELECT coalesce(v->>'id', v->>'vul_id', v->>'bug_id', v->>'name') AS id, v FROM o WHERE json_type(v) = 'OBJECT'), inner_ AS (SELECT coalesce(e.value->>'id', e.value->>'vul_id', e.value->>'bug_id', e.value->>'name', e.key) AS id, e.value AS v FROM named, json_each(v) e WHERE named.id IS NULL AND json_type(e.value) = 'OBJECT'),
 b0 AS (SELECT id, v, coalesce((v->>'transformed') = 'true', false) OR coalesce((v->>'is_trans') = 'true', false) AS transformed, upper(coalesce(v->>'cwe', v->>'cwe_id', '')) AS c FROM (SELECT * FROM named WHERE id IS NOT NULL UNION ALL SELECT * FROM inner_)),
 b AS (SELECT 1 AS part, 0 AS ord, id || CASE WHEN transformed THEN '-trans' ELSE '' END AS id, coalesce(v->>'project', v->>'repo', '') AS project, {_CWE_SQL} AS cwe, 'vjbench' AS source, coalesce(v->>'vulnerable_file', v->>'file', '') AS vulnerable_file, '' AS human_patch_ref, {_TESTS_SQL} AS pov_tests, transformed FROM b0)"""
 _ENTRY = "id, project, cwe, source, vulnerable_file, human_patch_ref, pov_tests, upper(cwe) IN ('CWE-89', 'CWE-79') AS semgrep_covered, transformed"
 
 
-def _first_entries(spark):
-    return M.reproducible_entries(inline(spark, _IDS_DOC, "id, ord"), M.by_id(inline(spark, _META_DOC, "value")))
+def _first_entries(spark, sf_dir):
+    return M.reproducible_entries(over(spark, sf_dir, _IDS_DOC_OVER), M.by_id(over(spark, sf_dir, _META_DOC_OVER)))
 
 
-def _bench_entries(spark, include):
-    return M.benchmark_entries(M.benchmark_records(inline(spark, _SHAPES, "value")).drop("at"), include)
+def _bench_entries(spark, sf_dir, include):
+    return M.benchmark_entries(M.benchmark_records(over(spark, sf_dir, _SHAPES_OVER)).drop("at"), include)
 
 
 @query(f"WITH {_BENCH_SQL} SELECT {_ENTRY} FROM b WHERE NOT transformed")
 def q_benchmark_entries(spark, sf_dir):
-    return M.with_coverage(_bench_entries(spark, False), inline(spark, _COVERED, "cwe")).select(*M.MANIFEST)
+    return M.with_coverage(_bench_entries(spark, sf_dir, False), inline(spark, _COVERED, "cwe")).select(*M.MANIFEST)
 
 
 @query(f"WITH {_FIRST_SQL}, {_BENCH_SQL}, e AS (SELECT * FROM a UNION ALL SELECT * FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, ord) AS k FROM e) SELECT {_ENTRY} FROM r WHERE k = 1")
 def q_evaluation_set(spark, sf_dir):
-    return M.evaluation_set(_first_entries(spark), _bench_entries(spark, True), inline(spark, _COVERED, "cwe"))[0]
+    return M.evaluation_set(_first_entries(spark, sf_dir), _bench_entries(spark, sf_dir, True), inline(spark, _COVERED, "cwe"))[0]
 
 
 @query(f"WITH {_FIRST_SQL}, {_BENCH_SQL}, e AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT count(*) AS total, count(*) FILTER (source = 'vul4j') AS vul4j, count(*) FILTER (source = 'vjbench') AS vjbench, count(*) FILTER (transformed) AS transformed, count(*) FILTER (upper(cwe) IN ('CWE-89', 'CWE-79')) AS covered FROM e")
 def q_evaluation_summary(spark, sf_dir):
-    return M.evaluation_set(_first_entries(spark), _bench_entries(spark, True), inline(spark, _COVERED, "cwe"))[1]
+    return M.evaluation_set(_first_entries(spark, sf_dir), _bench_entries(spark, sf_dir, True), inline(spark, _COVERED, "cwe"))[1]
 
 
 _KEYS = "(1, 'Bug ID: V-1' || chr(10) || 'no colon' || chr(10) || 'cwe: 89' || chr(10) || 'CWE: 79: x'), (2, '')"
+_KEYS_OVER = mixed(_KEYS, "id, t", """SELECT cast(doc_id + 100 as int), concat('Doc ID: ', doc_id, chr(10), replace(text, ':', ';'), chr(10), 'lang: ', lang, chr(10), ' Lang : ', source) FROM documents""")
 
 
-@query(f"""WITH l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM (VALUES {_KEYS}) x(id, t)), k AS (SELECT id, replace(lower(trim(split_part(line, ':', 1))), ' ', '_') AS key, trim(substr(line, instr(line, ':') + 1)) AS value, pos FROM l WHERE contains(line, ':'))
+@query(f"""WITH l AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM ({_KEYS_OVER}) x(id, t)), k AS (SELECT id, replace(lower(trim(split_part(line, ':', 1))), ' ', '_') AS key, trim(substr(line, instr(line, ':') + 1)) AS value, pos FROM l WHERE contains(line, ':'))
 SELECT id, key, arg_max(value, pos) AS value FROM k GROUP BY 1, 2""")
 def q_key_values(spark, sf_dir):
-    return inline(spark, _KEYS, "id, t").select("id", F.explode(M.key_values("t")).alias("key", "value"))
+    return over(spark, sf_dir, _KEYS_OVER).select("id", F.explode(M.key_values("t")).alias("key", "value"))
 
 
 _EVALS = """('B-1', '{"B-1": {"compiled": true, "n": 1}}'), ('B-1', '{"results": {"B-1": {"compile_success": false}}}'), ('B-1', '{"results": [{"vul_id": "B-0"}, {"id": "B-1", "metrics": {"compile": true}}]}'), ('B-1', '{"vul_id": "B-1", "build_success": true}'), ('B-1', '{"id": "B-2"}')"""
+_EVALS_OVER = mixed(_EVALS, "bug, doc", """SELECT concat('D-', doc_id), CASE doc_id % 4 WHEN 0 THEN concat('{"D-', doc_id, '": {"compiled": ', CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END, '}}') WHEN 1 THEN concat('{"results": {"D-', doc_id, '": {"compile_success": true}}}') WHEN 2 THEN concat('{"results": [{"vul_id": "D-0"}, {"id": "D-', doc_id, '", "metrics": {"compile": true}}]}') ELSE concat('{"id": "', source, doc_id, '"}') END FROM documents WHERE doc_id > 0""")
 
 
-@query(f"""WITH d AS (SELECT bug, j::JSON AS j, j AS raw FROM (VALUES {_EVALS}) t(bug, j)), l AS (SELECT raw, bug, value AS v FROM d, json_each(j->'results') WHERE json_type(j->'results') = 'ARRAY'),
+@query(f"""WITH d AS (SELECT bug, j::JSON AS j, j AS raw FROM ({_EVALS_OVER}) t(bug, j)), l AS (SELECT raw, bug, value AS v FROM d, json_each(j->'results') WHERE json_type(j->'results') = 'ARRAY'),
 e AS (SELECT d.raw, coalesce(d.j->d.bug, d.j->'results'->d.bug, l.v, CASE WHEN d.j->>'id' = d.bug OR d.j->>'vul_id' = d.bug THEN d.j END) AS e FROM d LEFT JOIN l ON l.raw = d.raw AND (l.v->>'id' = d.bug OR l.v->>'vul_id' = d.bug))
 SELECT raw AS doc, e IS NOT NULL AS found, coalesce(coalesce(e->>'compile_success', e->>'compiled', e->>'build_success', e->'metrics'->>'compile') = 'true', false) AS compiled FROM e""")
 def q_evaluate_entry(spark, sf_dir):
-    rows = inline(spark, _EVALS, "bug, doc").withColumn("entry", M.evaluate_entry("doc", "bug"))
+    rows = over(spark, sf_dir, _EVALS_OVER).withColumn("entry", M.evaluate_entry("doc", "bug"))
     return rows.select("doc", F.col("entry").isNotNull().alias("found"), M.entry_compiled(F.col("entry")).alias("compiled"))
 
 
 _RESULT_DOC = """('{"rows": [{"bug": {"id": "VUL4J-1", "cwe": "CWE-89"}, "verdict": {"compiles": true, "regression_pass": true, "pov_flipped": true, "semgrep_clean": true, "codeql_clean": true, "not_deleted": true}, "tag": "baseline"}, {"bug": {"id": "VJBench-2", "source": "x"}, "verdict": {"compiles": true}, "cleared": true}, {"bug": {"id": "B-trans", "source": "vjbench", "cwe": " cwe-22 "}, "verdict": {}, "cleared": false, "tag": "baseline"}, {}]}')"""
-_ROWS_SQL = f"""r AS (SELECT value AS v FROM (VALUES {_RESULT_DOC}) t(j), json_each(j::JSON->'rows')), x AS (SELECT coalesce(v->'bug'->>'id', '') AS id, coalesce(v->'bug'->>'cwe', '') AS cwe, coalesce(v->'bug'->>'source', 'vul4j') AS source, coalesce(v->>'tag', 'finetuned') AS tag,
+_RESULT_DOC_OVER = mixed(_RESULT_DOC, "value", """SELECT concat('{"rows": [{"bug": {"id": "', CASE WHEN doc_id % 3 = 0 THEN 'VJBench-' ELSE 'VUL4J-' END, doc_id, CASE WHEN doc_id % 9 = 0 THEN '-trans' ELSE '' END, '", "cwe": "CWE-', doc_id % 100, '"}, "verdict": {"compiles": ', CASE WHEN doc_id % 5 = 0 THEN 'false' ELSE 'true' END, ', "not_deleted": true, "pov_flipped": ', CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END, '}, "cleared": ', CASE WHEN doc_id % 4 = 0 THEN 'true' ELSE 'false' END, ', "tag": "', lang, '"}]}') FROM documents""")
+_ROWS_SQL = f"""r AS (SELECT value AS v FROM ({_RESULT_DOC_OVER}) t(j), json_each(j::JSON->'rows')), x AS (SELECT coalesce(v->'bug'->>'id', '') AS id, coalesce(v->'bug'->>'cwe', '') AS cwe, coalesce(v->'bug'->>'source', 'vul4j') AS source, coalesce(v->>'tag', 'finetuned') AS tag,
 coalesce((v->>'cleared')::BOOLEAN, coalesce((v->'verdict'->>'not_deleted')::BOOLEAN, false) AND coalesce((v->'verdict'->>'pov_flipped')::BOOLEAN, false)) AS cleared, coalesce((v->'verdict'->>'compiles')::BOOLEAN, false) AS compiles FROM r)"""
 
 
 @query(f"WITH {_ROWS_SQL} SELECT * FROM x")
 def q_result_rows(spark, sf_dir):
-    return evaluation.result_rows(inline(spark, _RESULT_DOC, "value")).select("id", "cwe", "source", "tag", "cleared", "compiles")
+    return evaluation.result_rows(over(spark, sf_dir, _RESULT_DOC_OVER)).select("id", "cwe", "source", "tag", "cleared", "compiles")
 
 
 _STRATA_SQL = f"""{_ROWS_SQL}, y AS (SELECT cleared, unnest(['overall', CASE WHEN contains(lower(id), 'trans') THEN 'vjbench-trans' WHEN lower(source) = 'vjbench' OR starts_with(lower(id), 'vjbench') THEN 'vjbench' ELSE 'vul4j' END,
@@ -197,95 +207,99 @@ CASE WHEN upper(trim(cwe)) IN ('CWE-89', 'CWE-78', 'CWE-79', 'CWE-22', 'CWE-327'
 z AS (SELECT s.stratum, count(y.stratum) AS n, count(*) FILTER (y.cleared) AS cleared FROM (SELECT unnest(['overall', 'vul4j', 'vjbench', 'vjbench-trans', 'semgrep-covered', 'semgrep-uncovered']) AS stratum) s LEFT JOIN y ON s.stratum = y.stratum GROUP BY 1), w AS (SELECT stratum, n, cleared, {wilson_sql("cleared", "n")} FROM z)"""
 
 
-def _summary(spark):
-    return evaluation.summarize(evaluation.result_rows(inline(spark, _RESULT_DOC, "value")))
+def _summary(spark, sf_dir):
+    return evaluation.summarize(evaluation.result_rows(over(spark, sf_dir, _RESULT_DOC_OVER)))
 
 
 @query(f"WITH {_STRATA_SQL} SELECT * FROM w")
 def q_canonical_strata(spark, sf_dir):
-    return _summary(spark)[0]
+    return _summary(spark, sf_dir)[0]
 
 
 @query(f"WITH {_STRATA_SQL} SELECT stratum, printf('%-18s %4d %8d %6.1f%%  [%.1f%%, %.1f%%]', stratum, n, cleared, rate * 100, ci_low * 100, ci_high * 100) AS line FROM w")
 def q_rate_lines(spark, sf_dir):
-    return evaluation.rate_lines(_summary(spark)[0])
+    return evaluation.rate_lines(_summary(spark, sf_dir)[0])
 
 
 @query(f"WITH {_STRATA_SQL} SELECT stratum, round(rate, 3) AS rate, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high, cleared, n FROM w")
 def q_rounded_strata(spark, sf_dir):
-    return evaluation.rounded(_summary(spark)[0])
+    return evaluation.rounded(_summary(spark, sf_dir)[0])
 
 
 @query(f"WITH {_ROWS_SQL}, t AS (SELECT tag, count(*) AS n, count(*) FILTER (cleared) AS cleared FROM x GROUP BY 1), u AS (SELECT tag, n, cleared, {wilson_sql('cleared', 'n')} FROM t) SELECT u.*, CASE WHEN tag <> 'baseline' THEN round(rate - (SELECT rate FROM u WHERE tag = 'baseline'), 4) END AS delta FROM u")
 def q_tag_rates(spark, sf_dir):
-    return _summary(spark)[1]
+    return _summary(spark, sf_dir)[1]
 
 
 _MANIFEST = "('B-1', 'p', 'CWE-89', 'vul4j'), ('B-2', 'q', '', 'vul4j'), ('B-3', 'r', 'CWE-1', 'vjbench')"
+_MANIFEST_OVER = mixed(_MANIFEST, "id, project, cwe, source", """SELECT concat('D-', doc_id), source, concat('CWE-', doc_id % 9), 'vul4j' FROM documents""")
 _TRIES = "('B-1', 0, 0, 0.1, true, false), ('B-1', 0, 1, 0.9, true, true), ('B-1', 1, 0, 0.5, true, true), ('B-2', 0, 0, 0.7, false, true), ('B-2', 1, 0, 0.7, true, false), ('B-2', 1, 1, 0.7, true, true)"
+_TRIES_OVER = mixed(_TRIES, "bug, attempt, position, score, compiles, not_deleted", """SELECT concat('D-', doc_id), 0, 0, cast(doc_id % 7 as double), doc_id % 3 = 0, doc_id % 2 = 0 FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT concat('D-', doc_id), 0, 1, cast(doc_id % 4 as double), doc_id % 4 <> 0, true FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT concat('D-', doc_id), 1, 0, cast(doc_id % 3 as double), true, doc_id % 7 = 0 FROM documents WHERE doc_id % 3 = 0""")
 
 
-def _tries(spark):
-    rows = inline(spark, _TRIES, "bug, attempt, position, score, compiles, not_deleted").withColumn("score", F.col("score").cast("double"))
+def _tries(spark, sf_dir):
+    rows = over(spark, sf_dir, _TRIES_OVER).withColumn("score", F.col("score").cast("double"))
     return rows.withColumns({f: F.lit(True) for f in metrics.FLAGS if f not in ("compiles", "not_deleted")})
 
 
 def _run_sql(order: str) -> str:
-    return f"""WITH m AS (SELECT * FROM (VALUES {_MANIFEST}) t(id, project, cwe, source)), c AS (SELECT *, row_number() OVER (PARTITION BY bug, attempt ORDER BY {order}) AS k FROM (VALUES {_TRIES}) t(bug, attempt, position, score, compiles, not_deleted)),
+    return f"""WITH m AS (SELECT * FROM ({_MANIFEST_OVER}) t(id, project, cwe, source)), c AS (SELECT *, row_number() OVER (PARTITION BY bug, attempt ORDER BY {order}) AS k FROM ({_TRIES_OVER}) t(bug, attempt, position, score, compiles, not_deleted)),
 g AS (SELECT *, compiles AND not_deleted AS cleared FROM c WHERE k = 1), d AS (SELECT *, row_number() OVER (PARTITION BY bug ORDER BY cleared DESC, CASE WHEN cleared THEN attempt ELSE -attempt END) AS r FROM g)"""
 
 
 @query(_run_sql("score DESC, position") + " SELECT m.id, cwe, attempt, position, cleared, 'tag' AS tag FROM m JOIN d ON m.id = d.bug WHERE r = 1")
 def q_run_judged(spark, sf_dir):
-    rows, _ = evaluation.run(inline(spark, _MANIFEST, "id, project, cwe, source"), _tries(spark), "tag", score="score")
+    rows, _ = evaluation.run(over(spark, sf_dir, _MANIFEST_OVER), _tries(spark, sf_dir), "tag", score="score")
     return rows.select("id", "cwe", "attempt", "position", "cleared", "tag")
 
 
 @query(_run_sql("position") + " SELECT m.id, attempt, position, cleared FROM m JOIN d ON m.id = d.bug WHERE r = 1")
 def q_run_first(spark, sf_dir):
-    rows, _ = evaluation.run(inline(spark, _MANIFEST, "id, project, cwe, source"), _tries(spark), "tag")
+    rows, _ = evaluation.run(over(spark, sf_dir, _MANIFEST_OVER), _tries(spark, sf_dir), "tag")
     return rows.select("id", "attempt", "position", "cleared")
 
 
 @query(_run_sql("position") + " SELECT id AS bug_id, 'checkout' AS stage FROM m WHERE id NOT IN (SELECT bug FROM d)")
 def q_run_errors(spark, sf_dir):
-    return evaluation.run(inline(spark, _MANIFEST, "id, project, cwe, source"), _tries(spark), "tag")[1].select("bug_id", "stage")
+    return evaluation.run(over(spark, sf_dir, _MANIFEST_OVER), _tries(spark, sf_dir), "tag")[1].select("bug_id", "stage")
 
 
-@query(f"WITH z AS (SELECT count(*) AS n FROM (VALUES {_MANIFEST}) t(id, p, c, s) WHERE id IN ('B-1', 'B-2')) SELECT 'tag' AS model_tag, n, 1::BIGINT AS errors, 'manifest' AS manifest FROM z")
+@query(f"WITH m AS (SELECT id IN (SELECT bug FROM ({_TRIES_OVER})) AS tried FROM ({_MANIFEST_OVER})) SELECT 'tag' AS model_tag, count(*) FILTER (tried) AS n, count(*) FILTER (NOT tried) AS errors, 'manifest' AS manifest FROM m")
 def q_report(spark, sf_dir):
-    rows, errors = evaluation.run(inline(spark, _MANIFEST, "id, project, cwe, source"), _tries(spark), "tag")
+    rows, errors = evaluation.run(over(spark, sf_dir, _MANIFEST_OVER), _tries(spark, sf_dir), "tag")
     doc = evaluation.report(rows, errors, "manifest", "tag")
     return doc.select(F.get_json_object("json", "$.model_tag").alias("model_tag"), F.get_json_object("json", "$.n").cast("long").alias("n"), F.get_json_object("json", "$.errors").cast("long").alias("errors"), F.get_json_object("json", "$.manifest").alias("manifest"))
 
 
 _SAMPLES = "('A.java', 'CWE-89', 'return a;' || chr(10) || 'x();', 'return b;' || chr(10) || 'y();', 2, 0), ('B.java', '', 'return a;', 'z();', 1, 0), ('C.java', '', 'a();', 'a();', 0, 0), ('D.java', '', 'a();', 'a();', 1, -1), ('E.java', '', 'a();', NULL, 1, NULL)"
-_QUICK_SQL = f"""q AS (SELECT *, before > 0 AS red, patched IS NOT NULL AND coalesce(after = 0, false) AS green, {_STMT.format("original")} AS x, {_STMT.format("coalesce(patched, '')")} AS y FROM (VALUES {_SAMPLES}) t(file, cwe, original, patched, before, after)),
+_SAMPLES_OVER = mixed(_SAMPLES, "file, cwe, original, patched, before, after", """SELECT concat('D', doc_id, '.java'), concat('CWE-', doc_id % 9), text, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE substring(text, 1, cast(floor(length(text) * (5 + doc_id % 6) / 10.0) as int)) END, cast(doc_id % 3 as int), cast(doc_id % 2 as int) FROM documents""")
+_QUICK_SQL = f"""q AS (SELECT *, before > 0 AS red, patched IS NOT NULL AND coalesce(after = 0, false) AS green, {_STMT.format("original")} AS x, {_STMT.format("coalesce(patched, '')")} AS y FROM ({_SAMPLES_OVER}) t(file, cwe, original, patched, before, after)),
 k AS (SELECT *, len(y)::DOUBLE / len(x) AS ratio, patched IS NOT NULL AND len(y)::DOUBLE / len(x) >= 0.6 AND {_EXITS.format("y")} >= {_EXITS.format("x")} AS not_deleted FROM q)"""
 
 
 @query(f"WITH {_QUICK_SQL} SELECT file, cwe, red, green, not_deleted, red AND green AND not_deleted AS cleared, before, after, CASE WHEN patched IS NOT NULL THEN round(ratio, 3) END AS retained_ratio FROM k")
 def q_quick_rows(spark, sf_dir):
-    return evaluation.quick_rows(inline(spark, _SAMPLES, "file, cwe, original, patched, before, after"))
+    return evaluation.quick_rows(over(spark, sf_dir, _SAMPLES_OVER))
 
 
 @query(f"WITH {_QUICK_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (red AND green AND not_deleted) AS cleared FROM k) SELECT 'base' AS model_tag, n, cleared, {wilson_sql('cleared', 'n')} FROM c")
 def q_quick_summary(spark, sf_dir):
-    return evaluation.quick_summary(evaluation.quick_rows(inline(spark, _SAMPLES, "file, cwe, original, patched, before, after")), "base")
+    return evaluation.quick_summary(evaluation.quick_rows(over(spark, sf_dir, _SAMPLES_OVER)), "base")
 
 
 _AXE = """('p1', '{"source": "a.html", "violationCount": 3, "ruleCount": 2, "byRule": {"image-alt": 2, "label": 1}, "violations": [{"id": "image-alt", "nodes": [{"html": "x"}, {"html": "y"}]}, {"id": "label", "nodes": [{"html": "z"}]}]}'), ('p2', '{}')"""
+_AXE_OVER = mixed(_AXE, "page, j", """SELECT concat('q', page_id), concat('{"source": "', page_id, '.html", "violationCount": ', page_id % 9, ', "ruleCount": ', page_id % 3, ', "byRule": {"image-alt": ', page_id % 5, ', "list": 2}, "violations": [{"id": "image-alt", "nodes": [{"html": "x"}]}, {"id": "r', page_id % 4, '", "nodes": [{"html": "y"}, {"html": "z"}]}]}') FROM pages""")
 
 
-@query(f"WITH a AS (SELECT p, j::JSON AS j FROM (VALUES {_AXE}) t(p, j)), k AS (SELECT p, string_agg(e.key || ' (x' || (e.value->>'$') || ')', ', ' ORDER BY e.key) AS s FROM a, json_each(j->'byRule') e GROUP BY 1) SELECT a.p AS page, coalesce(j->>'source', '') AS source, coalesce((j->>'violationCount')::INT, 0) AS violation_count, coalesce((j->>'ruleCount')::INT, 0) AS rule_count, coalesce(s, 'none reported') AS summary FROM a LEFT JOIN k ON a.p = k.p")
+@query(f"WITH a AS (SELECT p, j::JSON AS j FROM ({_AXE_OVER}) t(p, j)), k AS (SELECT p, string_agg(e.key || ' (x' || (e.value->>'$') || ')', ', ' ORDER BY e.key) AS s FROM a, json_each(j->'byRule') e GROUP BY 1) SELECT a.p AS page, coalesce(j->>'source', '') AS source, coalesce((j->>'violationCount')::INT, 0) AS violation_count, coalesce((j->>'ruleCount')::INT, 0) AS rule_count, coalesce(s, 'none reported') AS summary FROM a LEFT JOIN k ON a.p = k.p")
 def q_axe_scans(spark, sf_dir):
-    scans = evaluation.axe_scans(inline(spark, _AXE, "page, j"), "j", ["page"])
+    scans = evaluation.axe_scans(over(spark, sf_dir, _AXE_OVER), "j", ["page"])
     return scans.select("page", "source", "violation_count", "rule_count", gate.rule_summary(F.col("by_rule")).alias("summary"))
 
 
-@query(f"SELECT p AS page, v.value->>'id' AS rule, json_array_length(v.value->'nodes')::BIGINT AS nodes FROM (VALUES {_AXE}) t(p, j), json_each(j::JSON->'violations') v")
+@query(f"SELECT p AS page, v.value->>'id' AS rule, json_array_length(v.value->'nodes')::BIGINT AS nodes FROM ({_AXE_OVER}) t(p, j), json_each(j::JSON->'violations') v")
 def q_rule_counts(spark, sf_dir):
-    return evaluation.rule_counts(evaluation.axe_scans(inline(spark, _AXE, "page, j"), "j", ["page"]), "page")
+    return evaluation.rule_counts(evaluation.axe_scans(over(spark, sf_dir, _AXE_OVER), "j", ["page"]), "page")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN false ELSE page_id % 2 = 0 END AS flipped FROM pages")
@@ -302,16 +316,17 @@ def q_layer_rows(spark, sf_dir):
     return evaluation.layer_rows(rows.select(F.struct("conv_id", "turn").alias("of"), layers.alias("layers")), "of").select("of.conv_id", "of.turn", "layer", "passed", "detail")
 
 
-@query("SELECT id, a AS compiles, b AS regression, c AS pov, d AS not_deleted, e AND f AS scanners FROM (VALUES (1, true, true, false, true, true, true), (2, true, false, true, false, true, false)) t(id, a, b, c, d, e, f)")
+_FLAGS_OVER = mixed("(1, true, true, false, true, true, true), (2, true, false, true, false, true, false)", "id, compiles, regression_pass, pov_flipped, not_deleted, semgrep_clean, codeql_clean", "SELECT cast(doc_id + 100 as int), doc_id % 2 = 0, doc_id % 3 = 0, doc_id % 5 = 0, doc_id % 7 <> 0, doc_id % 4 = 0, doc_id % 8 < 4 FROM documents")
+
+
+@query(f"SELECT id, compiles, regression_pass AS regression, pov_flipped AS pov, not_deleted, semgrep_clean AND codeql_clean AS scanners FROM ({_FLAGS_OVER})")
 def q_badges(spark, sf_dir):
-    rows = inline(spark, "(1, true, true, false, true, true, true), (2, true, false, true, false, true, false)", "id, compiles, regression_pass, pov_flipped, not_deleted, semgrep_clean, codeql_clean")
-    return rows.select("id", *evaluation.badges())
+    return over(spark, sf_dir, _FLAGS_OVER).select("id", *evaluation.badges())
 
 
-@query("""SELECT id, '{"cleared":' || (a AND b) || ',"codeql_clean":true,"compiles":' || a || ',"id":' || id || ',"not_deleted":true,"pov_flipped":true,"regression_pass":' || b || ',"semgrep_clean":true}' AS json FROM (VALUES (1, true, true), (2, true, false)) t(id, a, b)""")
+@query(f"""SELECT id, '{{"cleared":' || (compiles AND regression_pass AND pov_flipped AND not_deleted AND semgrep_clean AND codeql_clean) || ',"codeql_clean":' || codeql_clean || ',"compiles":' || compiles || ',"id":' || id || ',"not_deleted":' || not_deleted || ',"pov_flipped":' || pov_flipped || ',"regression_pass":' || regression_pass || ',"semgrep_clean":' || semgrep_clean || '}}' AS json FROM ({_FLAGS_OVER})""")
 def q_verdict_json(spark, sf_dir):
-    rows = inline(spark, "(1, true, true), (2, true, false)", "id, compiles, regression_pass").withColumns({f: F.lit(True) for f in metrics.FLAGS[2:]})
-    return evaluation.verdict_json(rows.withColumn("cleared", metrics.cleared()), "id")
+    return evaluation.verdict_json(over(spark, sf_dir, _FLAGS_OVER).withColumn("cleared", metrics.cleared()), "id")
 
 
 @query("SELECT a.page_id, coalesce(b.text, '') AS text FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '' END AS path FROM pages) a LEFT JOIN (SELECT url, max(md5(html)) AS text FROM pages GROUP BY 1) b ON a.path = b.url")
@@ -388,9 +403,14 @@ def q_default_holdout(spark, sf_dir):
 _NEAR = "(1, 'w1 w2 w3 w4 w5 w6 w7 w8 w9', 'x'), (2, 'w1 w2 w3 w4 w5 w6 w7 w8', 'x'), (3, 'a b c', 'd'), (4, 'w1 w2 w3 w4 w5 w6 w7 w8 w9', 'x y')"
 
 
-@query(f"""WITH s AS (SELECT ord, list_distinct(string_split(v || ' ' || f, ' ')) AS t FROM (VALUES {_NEAR}) t(ord, v, f)), p AS (SELECT a.ord AS a, b.ord AS b FROM s a JOIN s b ON a.ord < b.ord WHERE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.8) SELECT ord FROM s WHERE ord NOT IN (SELECT b FROM p)""")
+_NEAR_OVER = mixed(_NEAR, "ord, vuln, fixed", "SELECT cast(doc_id + 100 as int), text, source FROM documents")
+
+
+@query(f"""WITH s AS (SELECT ord, list_distinct(string_split(trim(regexp_replace(concat(vuln, ' ', fixed), '{WS}+', ' ', 'g')), ' ')) AS t FROM ({_NEAR_OVER})), w AS (SELECT ord, unnest(t) AS w FROM s), c AS (SELECT a.ord AS a, b.ord AS b, count(*) AS i FROM w a JOIN w b ON a.w = b.w AND a.ord < b.ord GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN s x ON x.ord = a JOIN s y ON y.ord = b WHERE i::DOUBLE / (len(x.t) + len(y.t) - i)::DOUBLE >= 0.8), g AS (SELECT list_reduce(list([b, a] ORDER BY b, a), lambda gone, x: CASE WHEN list_contains(gone, x[2]) THEN gone ELSE list_append(gone, x[1]) END, []::INT[]) AS gone FROM p)
+SELECT ord FROM s, g WHERE NOT list_contains(gone, ord)""")
 def q_corpus_near_dedup(spark, sf_dir):
-    return corpus.near_dedup(inline(spark, _NEAR, "ord, vuln, fixed"), 0.8).select("ord")
+    return corpus.near_dedup(over(spark, sf_dir, _NEAR_OVER), 0.8).select("ord")
 
 
 @query(f"SELECT ord, 'security' AS cwe, contains(f, 'x') AS same, '```java' || chr(10) || f || chr(10) || '```' AS completion FROM (VALUES {_NEAR}) t(ord, v, f)")
@@ -408,28 +428,31 @@ def q_fix_prompt(spark, sf_dir):
 
 
 _SFT = "(1, 'fix it', '', 'done'), (2, '', 'in', ''), (3, 'a', 'b', 'c')"
+_SFT_OVER = mixed(_SFT, "id, instruction, input, output", """SELECT cast(doc_id + 100 as int), CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END, concat(source, text), lang FROM documents""")
 
 
-@query(f"SELECT id, 3 AS n, coalesce(nullif(i, ''), x) AS user, o AS assistant FROM (VALUES {_SFT}) t(id, i, x, o)")
+@query(f"SELECT id, 3 AS n, coalesce(nullif(i, ''), x) AS user, o AS assistant FROM ({_SFT_OVER}) t(id, i, x, o)")
 def q_chat_aliases(spark, sf_dir):
-    rows = inline(spark, _SFT, "id, instruction, input, output")
+    rows = over(spark, sf_dir, _SFT_OVER)
     return rows.withColumn("m", sft.chat_of(rows)).select("id", F.size("m").alias("n"), F.col("m")[1]["content"].alias("user"), F.col("m")[2]["content"].alias("assistant"))
 
 
 _FENCES = "(1, 'x ```java int a; ``` y'), (2, '```html' || chr(10) || '<p>' || chr(10) || '```'), (3, ' none '), (4, '```java' || chr(10) || chr(10) || 'b' || chr(10) || '```'), (5, '``` c ```')"
+_FENCES_OVER = mixed(_FENCES, "id, t", """SELECT cast(doc_id + 100 as int), concat('see ```', CASE doc_id % 3 WHEN 0 THEN 'java' WHEN 1 THEN 'html' ELSE '' END, chr(10), text, chr(10), '``` end') FROM documents""")
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(t, '(?is)```(?:java)?\\s*(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:java)?\\s*(.*?)```', 1), ' ' || chr(10)) ELSE trim(t) END AS java, CASE WHEN regexp_matches(t, '(?is)```(?:html)?\\s*(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:html)?\\s*(.*?)```', 1), ' ' || chr(10)) ELSE trim(t) END AS html FROM (VALUES {_FENCES}) x(id, t)""")
+@query(f"""SELECT id, CASE WHEN regexp_matches(t, '(?is)```(?:java)?\\s*(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:java)?\\s*(.*?)```', 1), ' ' || chr(10)) ELSE trim(t) END AS java, CASE WHEN regexp_matches(t, '(?is)```(?:html)?\\s*(.*?)```') THEN trim(regexp_extract(t, '(?is)```(?:html)?\\s*(.*?)```', 1), ' ' || chr(10)) ELSE trim(t) END AS html FROM ({_FENCES_OVER}) x(id, t)""")
 def q_fences_anyhow(spark, sf_dir):
-    return inline(spark, _FENCES, "id, t").select("id", T.fenced_anyhow("t").alias("java"), T.fenced_anyhow("t", "html").alias("html"))
+    return over(spark, sf_dir, _FENCES_OVER).select("id", T.fenced_anyhow("t").alias("java"), T.fenced_anyhow("t", "html").alias("html"))
 
 
 _CLASSES = "(1, 'package a.b;' || chr(10) || 'public class X extends Y { int q() { return 1; } }'), (2, 'interface I {}'), (3, 'nothing')"
+_CLASSES_OVER = mixed(_CLASSES, "id, t", """SELECT cast(doc_id + 100 as int), concat('package p', doc_id, '.q;', chr(10), 'final class D', doc_id, ' { // ', text, ' }') FROM documents""")
 
 
-@query(f"""SELECT id, CASE WHEN contains(t, 'package') THEN 'package ' || regexp_extract(t, 'package\\s+([\\w.]+)', 1) || ';' || chr(10) || chr(10) ELSE '' END || 'public class ' || coalesce(nullif(regexp_extract(t, '\\b(?:class|interface|enum)\\s+(\\w+)', 1), ''), 'Emptied') || ' {{' || chr(10) || '}}' || chr(10) AS code FROM (VALUES {_CLASSES}) x(id, t)""")
+@query(f"""SELECT id, CASE WHEN contains(t, 'package') THEN 'package ' || regexp_extract(t, 'package\\s+([\\w.]+)', 1) || ';' || chr(10) || chr(10) ELSE '' END || 'public class ' || coalesce(nullif(regexp_extract(t, '\\b(?:class|interface|enum)\\s+(\\w+)', 1), ''), 'Emptied') || ' {{' || chr(10) || '}}' || chr(10) AS code FROM ({_CLASSES_OVER}) x(id, t)""")
 def q_skeleton(spark, sf_dir):
-    return inline(spark, _CLASSES, "id, t").select("id", T.skeleton("t").alias("code"))
+    return over(spark, sf_dir, _CLASSES_OVER).select("id", T.skeleton("t").alias("code"))
 
 
 @query(f"SELECT doc_id, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END::INT AS words, md5(n) AS normal FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', ' ', 'g'), '//[^\\n]*', ' ', 'g'), '{WS}+', ' ', 'g')) AS n FROM documents)")
@@ -443,11 +466,12 @@ def q_samples(spark, sf_dir):
 
 
 _METHODS = "('f1', 'a'), ('f2', 'b')"
+_METHODS_OVER = mixed(_METHODS, "file_change_id, method_code", """SELECT concat('g', doc_id), text FROM documents""")
 
 
-@query(f"SELECT f AS file_change_id, '' AS name, c AS code, 'true' AS before_change FROM (VALUES {_METHODS}) t(f, c)")
+@query(f"SELECT f AS file_change_id, '' AS name, c AS code, 'true' AS before_change FROM ({_METHODS_OVER}) t(f, c)")
 def q_probed(spark, sf_dir):
-    rows = inline(spark, _METHODS, "file_change_id, method_code").withColumn("is_before", F.lit("true"))
+    rows = over(spark, sf_dir, _METHODS_OVER).withColumn("is_before", F.lit("true"))
     return corpus.probed(rows, "methods")
 
 
@@ -538,16 +562,16 @@ def q_scope_pages(spark, sf_dir):
     return gate.in_scope(found, rules).select("page_id", "check_id")
 
 
-_TESTS_SQL = ("SELECT CASE o_orderkey % 5 WHEN 0 THEN concat('pkg.C', o_custkey, '#m', o_orderkey % 7) WHEN 1 THEN concat('pkg.C', o_custkey, '::m', o_orderkey % 7) WHEN 2 THEN concat(' pkg.C', o_custkey) WHEN 3 THEN concat('C', o_custkey, 'x') ELSE concat('pkg.C', o_custkey, '#') END AS test FROM orders", "SELECT CASE l_orderkey % 4 WHEN 0 THEN concat('pkg.C', l_partkey, '#m', l_linenumber) WHEN 1 THEN concat('pkg.C', l_partkey, '.m', l_linenumber) WHEN 2 THEN concat('pkg.C', l_partkey) ELSE concat('C', l_partkey, '#x') END AS test FROM lineitem")
+_NAMED_SQL = ("SELECT CASE o_orderkey % 5 WHEN 0 THEN concat('pkg.C', o_custkey, '#m', o_orderkey % 7) WHEN 1 THEN concat('pkg.C', o_custkey, '::m', o_orderkey % 7) WHEN 2 THEN concat(' pkg.C', o_custkey) WHEN 3 THEN concat('C', o_custkey, 'x') ELSE concat('pkg.C', o_custkey, '#') END AS test FROM orders", "SELECT CASE l_orderkey % 4 WHEN 0 THEN concat('pkg.C', l_partkey, '#m', l_linenumber) WHEN 1 THEN concat('pkg.C', l_partkey, '.m', l_linenumber) WHEN 2 THEN concat('pkg.C', l_partkey) ELSE concat('C', l_partkey, '#x') END AS test FROM lineitem")
 _SPLIT_TEST = "replace(trim(test), '::', '#') AS i"
 
 
-@query(f"""WITH w AS (SELECT *, string_split(i, '#')[1] AS c, CASE WHEN contains(i, '#') THEN substr(i, strpos(i, '#') + 1) ELSE '' END AS m, regexp_extract(i, '[0-9]+') AS k FROM (SELECT DISTINCT test, {_SPLIT_TEST} FROM ({_TESTS_SQL[0]}))),
-f AS (SELECT *, string_split(i, '#')[1] AS c, CASE WHEN contains(i, '#') THEN substr(i, strpos(i, '#') + 1) ELSE '' END AS m, regexp_extract(i, '[0-9]+') AS k FROM (SELECT DISTINCT test, {_SPLIT_TEST} FROM ({_TESTS_SQL[1]})))
+@query(f"""WITH w AS (SELECT *, string_split(i, '#')[1] AS c, CASE WHEN contains(i, '#') THEN substr(i, strpos(i, '#') + 1) ELSE '' END AS m, regexp_extract(i, '[0-9]+') AS k FROM (SELECT DISTINCT test, {_SPLIT_TEST} FROM ({_NAMED_SQL[0]}))),
+f AS (SELECT *, string_split(i, '#')[1] AS c, CASE WHEN contains(i, '#') THEN substr(i, strpos(i, '#') + 1) ELSE '' END AS m, regexp_extract(i, '[0-9]+') AS k FROM (SELECT DISTINCT test, {_SPLIT_TEST} FROM ({_NAMED_SQL[1]})))
 SELECT w.test AS wanted, f.test AS found FROM w JOIN f ON w.k = f.k WHERE w.i = f.i OR (f.m = '' AND w.m <> '' AND (f.i = w.c || '.' || w.m OR f.c = w.c || w.m)) OR (w.m = '' AND f.m <> '' AND w.c = f.c || f.m) OR (f.c = w.c AND (w.m = '' OR f.m = w.m))""")
 def q_named_tests(spark, sf_dir):
     """Wanted and found test ids of all orders and lines that name the same test, by blocks of keys."""
-    wanted, found = (over(spark, sf_dir, q) for q in _TESTS_SQL)
+    wanted, found = (over(spark, sf_dir, q) for q in _NAMED_SQL)
     return gate.named_pairs(wanted, found)
 
 
