@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verigate.functions.text import collapse_whitespace, jaccard, tokens
 from verigate.operators.tables import staged
@@ -63,13 +62,16 @@ def similar_classes(classes: DataFrame, threshold: float, also: Callable[[Column
     leaves open; and from the first one they share, enough tokens have to be left in both. Only such pairs of like
     sizes are compared.
     """
-    words = classes.select("node", "block", F.size("set").alias("m"), F.explode("set").alias("word"))
-    count = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rare = Window.partitionBy("node").orderBy("n", "word")
+    # words go by their hash within the block: two that share one only make a pair more to compare
+    hashed = F.transform("set", lambda w: F.xxhash64("block", w))
+    words = classes.select("node", F.size("set").alias("m"), F.explode(hashed).alias("word"))
+    count = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = words.join(count, "word").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))
     # tokens that stand in one set only come first in the order: they can't match, and shorten the rest
-    known = words.join(count, ["block", "word"]).withColumns({"at": F.row_number().over(rare), "shared": F.count(F.lit(1)).over(Window.partitionBy("node"))})
-    known = known.withColumn("at", F.col("at") + F.col("m") - F.col("shared"))
-    prefix = staged(known.where(F.col("at") <= F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1).select("node", "block", "word", "m", "at"))
+    alone, room = F.col("m") - F.size("words"), F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1
+    ranked = ranked.where(alone < room).select("node", "m", alone.alias("alone"), F.posexplode(F.slice("words", F.lit(1), (room - alone).cast("int"))).alias("at", "word"))
+    prefix = ranked.join(classes.select("node", "block"), "node").select("node", "block", F.col("word.word").alias("word"), "m", (F.col("at") + F.col("alone") + 1).alias("at"))
+    prefix = staged(prefix)
     a, b = prefix.alias("a"), prefix.alias("b")
     like = (F.col("a.m") >= threshold * F.col("b.m") - 1e-9) & (F.col("b.m") >= threshold * F.col("a.m") - 1e-9)
     room = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at")) + 1
@@ -148,7 +150,11 @@ def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     def seeded(i: int) -> Callable[[Column], Column]:
         return lambda w: F.xxhash64(F.lit(i), w)  # a second parameter would be taken for the place in the array
 
-    hashes = F.array(*[F.array_min(F.transform("set", seeded(i))) for i in range(bands * rows)])
+    def least(h: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(h, seeded(i))) for i in range(bands * rows)])
+
+    base = F.transform("set", lambda w: F.xxhash64(w))  # a text is hashed once, its hash by each function
+    hashes = F.transform(F.array(base), least)[0]
     return sets.select("node", F.size("set").alias("m"), hashes.alias("h")).select("node", "m", F.explode(F.array(*[F.xxhash64(F.lit(j), *[F.get("h", j * rows + k) for k in range(rows)]) for j in range(bands)])).alias("key"))
 
 
