@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verigate.llm import overlap
+from verigate.llm import occurrence, overlap
 
 
 def _set(text, words):
@@ -69,7 +69,7 @@ def _check(spark, rows, percent=85, words=4):
 @pytest.mark.parametrize("seed,percent,words,meet,postings", [(1, 85, 4, 5_000_000, 4_096), (2, 85, 4, 0, 0), (3, 60, 2, 5_000_000, 10_000_000), (4, 95, 5, 0, 4_096)])
 def test_equals_all_pairs(spark, monkeypatch, seed, percent, words, meet, postings):
     monkeypatch.setattr(overlap, "MEET", meet)  # more rounds of stars, or one
-    monkeypatch.setattr(overlap, "HEAP_POSTINGS", postings)
+    monkeypatch.setattr(occurrence, "HEAP_POSTINGS", postings)
     _check(spark, _corpus(seed), percent, words)
 
 
@@ -96,7 +96,7 @@ def test_merge_skip_and_counting_agree():
         lists = [sorted(r.sample(range(40), r.randrange(0, 30))) for _ in range(r.randrange(1, 9))]
         for least in range(1, len(lists) + 1):
             want = sorted((k, c) for k, c in Counter(x for own in lists for x in own).items() if c >= least)
-            assert sorted(overlap.merge_skip(lists, least)) == want
+            assert sorted(occurrence.merge_skip(lists, least)) == want
 
 
 def test_a_block_of_many_components():
@@ -109,7 +109,7 @@ def test_a_block_of_many_components():
     least = np.array([r.randrange(6, 12) for _ in range(n)])
     own = np.array([r.randrange(2) for _ in range(n)])
     for i, j in ((0, 0), (0, 1)):
-        got = set(overlap.block_pairs(own, i, j, np.arange(n), root, size, least, short, 85))
+        got = set(occurrence.block_pairs(own, i, j, np.arange(n), root, size, least, short, 85))
         need = lambda x, y: max(min(least[x], least[y]), -(-85 * (size[x] + size[y]) // 185) - max(-(-85 * size[z] // 100) - least[z] for z in (x, y)))
         want = {(x, y) for y in range(n) for x in range(y) if root[x] != root[y] and len(set(short[x]) & set(short[y])) >= need(x, y) and 100 * min(size[x], size[y]) >= 85 * max(size[x], size[y]) and (i == j or own[x] != own[y])}
         assert want

@@ -9,8 +9,8 @@ still apart would make very many pairs, and a round finds links, every bucket th
 most links so far and around one drawn by a hash, towards the members of other components. Bucket keys are one,
 two or three neighbouring bands: the wider ones part dissimilar sets that share a narrow one. When the stars find no more,
 all members of each bucket of a single band that are still in different components meet: in blocks of a bounded
-number of rows, by sizes, then by the sketch or (small sets) by the number of shared prefix keys. Components of the
-links are the groups.
+number of rows, by how many of their rarest shingles they share (``occurrence``): only pairs that can reach the
+threshold by that are confirmed. Components of the links are the groups.
 
 Equal sets are one node, so exact copies never become pairs. Sets of up to ``SMALL`` shingles have too few
 values for reliable bands: their bucket keys are the smallest hashes of the set, as many as the prefix filter
@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 
 from verigate.llm.common import Rolling, discard, frugal, mix64, seeds64, staged, text_runs
 from verigate.llm.components import components
+from verigate.llm.occurrence import indexed, merged
 
 WORDS, BINS, SMALL, RUN_BYTES, NO_ID = 5, 120, 64, 1 << 18, -(1 << 63)
-ROWS_A_TASK, PAIRS_A_TASK, BLOCK = 50_000, 3_000, 1_024
+ROWS_A_TASK, BLOCK_ROWS_A_TASK, PAIRS_A_TASK, BLOCK = 50_000, 5_000, 3_000, 1_024
 #: While members that are still apart make more pairs than this, further stars thin them out before all of them meet.
-MEET = 5_000_000
+MEET = 50_000_000
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -199,73 +200,17 @@ def _blocks(left: DataFrame, percent: int) -> DataFrame:
     return few.union(many.select(F.xxhash64("key", "k", i, j).alias("block"), "node", "root", "own", i.alias("i"), j.alias("j")))
 
 
-def _met(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of all blocks that may be links: rows are block, own, i, j, node, root, n, sketch, prefix, sorted by block."""
-    t = percent / 100
-    least = BINS * (t - 6 * math.sqrt(t * (1 - t) / BINS))
-
-    def pairs_of(own: np.ndarray, i: int, j: int, node: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, prefix: list) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        own, node, root, n, sketch = own[order], node[order], root[order], n[order], sketch[order]
-        length = np.array([len(prefix[x]) for x in order])
-        # the rest of the smaller-ending prefix bounds what two sets can share beyond their shared prefix keys
-        shared = np.zeros((len(n), len(n)), dtype=np.int16) if n[0] <= SMALL else None
-        if shared is not None:
-            flat, of = np.concatenate([prefix[x] for x in order]), np.repeat(np.arange(len(n)), length)
-            by = np.argsort(flat, kind="stable")
-            cut = np.flatnonzero(np.diff(flat[by])) + 1
-            for x in np.split(of[by], cut):
-                if len(x) > 1:
-                    shared[np.ix_(x, x)] += 1
-        a, b = [], []
-        for x in range(len(n) - 1):
-            y = np.arange(x + 1, int(np.searchsorted(n, n[x] * 100 // percent, side="right")) if percent else len(n))
-            y = y[(root[y] != root[x]) & ((i == j) | (own[y] != own[x]))]
-            if not len(y):
-                continue
-            if n[x] <= SMALL:
-                both = shared[x, y] + np.maximum(n[x] - length[x], n[y] - length[y])
-                y = y[(100 + percent) * both >= percent * (n[x] + n[y])]
-            else:
-                y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
-            a.append(np.full(len(y), node[x]))
-            b.append(node[y])
-        none = np.zeros(0, dtype=np.int64)
-        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-        return np.minimum(a, b), np.maximum(a, b)
+def _elements(sets: DataFrame) -> DataFrame:
+    """node, n and h for each member of rows (node, n, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            block, own, i, j, node, root, n = (t.column(c).to_numpy() for c in range(7))
-            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
-            prefix = [np.array(x, dtype=np.int64) for x in t.column(8).to_pylist()]
-            ends = [*(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            first = 0
-            found = []
-            for end in ends:
-                if end - first > 1:
-                    s = slice(first, end)
-                    found.append(pairs_of(own[s], i[first], j[first], node[s], root[s], n[s], sketch[s], prefix[s]))
-                first = end
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], ["a", "b"])
-
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
-            if kept and (cut or kept[-1].column(0)[-1].as_py() != int(block[0])):
-                yield from done(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
-                kept = []
-            elif cut:
-                yield from done(pa.Table.from_batches([batch.slice(0, cut)]))
-            kept.append(batch.slice(cut))
-        if kept:
-            yield from done(pa.Table.from_batches(kept))
-
-    return rows.mapInArrow(frugal(run), "a long, b long")
+        for b in batches:
+            if b.num_rows:
+                held = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+                of = np.repeat(np.arange(b.num_rows), [len(x) for x in held])
+                yield pa.RecordBatch.from_arrays([*(pa.array(b.column(k).to_numpy()[of]) for k in (0, 1)), pa.array(np.concatenate(held))], ["node", "n", "h"])
+
+    return sets.select("node", "n", "members").mapInArrow(frugal(run), "node long, n long, h long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -373,12 +318,13 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     left, mixed = apart(everyone, joined)
     left = step(left.join(mixed.select("key"), "key").join(involved.select("node", "n"), "node").coalesce(1 + everyone.count() // ROWS_A_TASK), "apart")
     blocks = step(_blocks(left, percent), "blocks")
-    opens = F.when(F.col("n") <= SMALL * 100 // percent, F.expr(f"slice(keys, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).otherwise(F.array().cast("array<bigint>"))
-    whole = involved.join(keyed.select("node", "keys"), "node").select("node", "n", "sketch", opens.alias("prefix"))
-    met = blocks.join(whole, "node").select("block", "own", "i", "j", "node", "root", "n", "sketch", "prefix")
-    met = met.repartition(1 + blocks.count() // ROWS_A_TASK, "block").sortWithinPartitions("block")
-    pairs = step(_met(met, percent), "met")
-    pairs = step(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    still = step(sets.join(left.select("node", "n").distinct(), "node"), "still")
+    index = indexed(_elements(still), percent)
+    steps.append(index)
+    met = blocks.join(index.select("node", "n", "least", "short"), "node").select("block", "own", "i", "j", "node", "root", "n", "least", "short")
+    met = met.repartition(1 + blocks.count() // BLOCK_ROWS_A_TASK, "block").sortWithinPartitions("block")
+    pairs = step(merged(met, percent).distinct(), "met")
+    pairs = step(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     found = step(_confirmed(pairs.coalesce(1 + pairs.count() // PAIRS_A_TASK), sets, percent), "links")
     if not found.isEmpty():
         links = links.union(found)

@@ -28,7 +28,6 @@ ordered by their ids' checksum; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,8 +44,9 @@ from verigate.llm.tokens import encoder
 LENGTH = 1024
 #: Rounds of the schedule, the share of its need that a length may be ahead of it, the exponent of the prices.
 ROUNDS, AHEAD, STEP, TILT = 64, 0.05, 1.0, 0.3
-#: As many pieces may be left to best fit; sequences (and which part of them at most) that rounding keeps back for it.
-REST, BACK, BACK_PART = 1024, 128, 0.04
+#: As many pieces may be left to best fit; sequences that rounding keeps back for it at first; the parts of the
+#: program's sequences that it keeps back at most at first, and then.
+REST, BACK, BACK_PARTS = 1024, 128, (0.04, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5)
 
 
 class Plan(NamedTuple):
@@ -141,55 +141,88 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[n
     return wide, np.array(used), bound
 
 
+def best_fit(histogram: np.ndarray, capacity: int = LENGTH) -> list[tuple[np.ndarray, int]]:
+    """Best fit by decreasing length, for all items of a length at once: configurations and how many of each.
+
+    Items of one length go to the open sequences with the least room for one, each of which takes as many as it has
+    room for before the next one. A length opens three kinds of sequences at most, so this is bounded by the lengths.
+    """
+    rooms: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for length in range(capacity, 0, -1):
+        left = int(histogram[length])
+        for room in sorted(r for r in rooms if r >= length) if left else []:
+            fits, groups = room // length, rooms.pop(room)
+            for a, n in groups:
+                whole = min(n, left // fits)
+                some = left - whole * fits if whole < n else 0
+                for k, times in ((fits, whole), (some, int(some > 0)), (0, n - whole - int(some > 0))):
+                    if times:
+                        more = a.copy()
+                        more[length] += k
+                        rooms.setdefault(room - k * length, []).append((more, times))
+                left -= whole * fits + some
+        fits = capacity // length
+        for k, times in ((fits, left // fits), (left % fits, int(left % fits > 0))):
+            if times:
+                a = np.zeros(capacity + 1, dtype=np.int64)
+                a[length] = k
+                rooms.setdefault(capacity - k * length, []).append((a, times))
+    return [group for groups in rooms.values() for group in groups]
+
+
+def _rounded(left: np.ndarray, rows: np.ndarray, x: np.ndarray, back: float) -> list[tuple[np.ndarray, int]]:
+    """Whole configurations from fractional ones, the last ``back`` of them not used; takes their items from ``left``."""
+    out = []
+    longest = left.shape[0] - 1 - np.argmax(rows[:, ::-1] > 0, axis=1)
+    order = np.lexsort((-x, -longest))
+    order = order[np.cumsum(x[order][::-1])[::-1] > back]
+    times = np.diff(np.floor(np.append(0.0, np.cumsum(x[order])) + 0.5)).astype(np.int64)
+    for j, n in zip(order.tolist(), times.tolist(), strict=True):
+        held = np.flatnonzero(rows[j])
+        n = min(n, int((left[held] // rows[j, held]).min())) if n else 0
+        if n:
+            out.append((rows[j], n))
+            left[held] -= rows[j, held] * n
+    return out
+
+
 def plan(histogram: np.ndarray, capacity: int = LENGTH, rounds: int = ROUNDS) -> Plan:
-    """Whole configurations that hold every item of the histogram exactly once."""
-    left = histogram.astype(np.int64).copy()
-    left[0] = 0
-    out: list[tuple[np.ndarray, int]] = []
-    full = int(left[capacity])
+    """Whole configurations that hold every item of the histogram exactly once.
+
+    The program's solution is rounded with ever more of its last configurations kept back, until no more sequences are
+    needed than best fit alone needs, or the bound is met; the rounding with the fewest sequences counts.
+    """
+    needs = histogram.astype(np.int64).copy()
+    needs[0] = 0
+    full, out = int(needs[capacity]), []
     if full:  # a full sequence is a configuration of its own
         only = np.zeros(capacity + 1, dtype=np.int64)
         only[capacity] = 1
         out.append((only, full))
-        left[capacity] = 0
-    total, use, bound = int(left.sum()), 0.0, 0.0
-    first = True
-    sizes = np.arange(capacity + 1)
-    while left.any() and (first or int(left.sum()) > REST):
-        rows, x, least = solve(left, capacity, rounds if first else rounds // 4)
-        if first:
-            use, bound = float(x.sum()), least
-        longest = capacity - np.argmax(rows[:, ::-1] > 0, axis=1)
-        order = np.lexsort((-x, -longest))
-        order = order[np.cumsum(x[order][::-1])[::-1] > min(BACK, BACK_PART * x.sum())]
-        times = np.diff(np.floor(np.append(0.0, np.cumsum(x[order])) + 0.5)).astype(np.int64)
-        had = int(left.sum())
-        for j, n in zip(order.tolist(), times.tolist(), strict=True):
-            held = np.flatnonzero(rows[j])
-            n = min(n, int((left[held] // rows[j, held]).min())) if n else 0
-            if n:
-                out.append((rows[j], n))
-                left[held] -= rows[j, held] * n
-        first = False
-        if had - int(left.sum()) < had / 10:
+        needs[capacity] = 0
+    if not needs.any():
+        return Plan(out, full, 0, 0, 0.0, 0.0)
+    rows, x, bound = solve(needs, capacity, rounds)
+    goal = max(int(np.ceil(bound - 1e-6)), 0)
+    plain = sum(n for _, n in best_fit(needs, capacity))
+    best: tuple[int, list, int] | None = None
+    for part in BACK_PARTS:
+        left = needs.copy()
+        made = _rounded(left, rows, x, min(BACK, part * x.sum()) if part == BACK_PARTS[0] else part * x.sum())
+        while int(left.sum()) > REST:
+            had = int(left.sum())
+            again, y, _ = solve(left, capacity, rounds // 4)
+            made += _rounded(left, again, y, min(BACK, BACK_PARTS[0] * y.sum()))
+            if had - int(left.sum()) < had / 10:
+                break
+        rest = int(left.sum())
+        made += best_fit(left, capacity)
+        n = sum(k for _, k in made)
+        if best is None or n < best[0]:
+            best = (n, made, rest)
+        if best[0] <= max(goal, plain):
             break
-    rest = int(left.sum())
-    room: list[int] = []  # best fit by decreasing length for the rest
-    open_: list[np.ndarray] = []
-    for length in range(capacity, 0, -1):
-        for _ in range(int(left[length])):
-            i = bisect.bisect_left(room, length)
-            if i == len(room):
-                a = np.zeros(capacity + 1, dtype=np.int64)
-                free = capacity
-            else:
-                free, a = room.pop(i), open_.pop(i)
-            a[length] += 1
-            free -= length
-            i = bisect.bisect_left(room, free)
-            room.insert(i, free)
-            open_.insert(i, a)
-    return Plan(out + [(a, 1) for a in open_], full, total - rest, rest, use, bound)
+    return Plan(out + best[1], full, int(needs.sum()) - best[2], best[2], float(x.sum()), bound)
 
 
 def pieces(docs: DataFrame, tokenizer: str, pattern: str | None, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
