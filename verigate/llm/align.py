@@ -111,9 +111,9 @@ def segment_starts(data: np.ndarray, starts: np.ndarray, splits: bool) -> np.nda
 
 _LINKS = """
 CREATE OR REPLACE TEMP TABLE links AS
-SELECT a.seg, a.k AS ka, b.k AS kb, a.id AS a, b.id AS b FROM ta a ASOF JOIN tb b ON a.s >= b.s
+SELECT a.seg, a.id AS a, b.id AS b FROM ta a ASOF JOIN tb b ON a.s >= b.s
 UNION ALL
-SELECT a.seg, a.k, b.k, a.id, b.id FROM ta a JOIN tb b ON b.s > a.s AND b.s < a.e
+SELECT a.seg, a.id, b.id FROM ta a JOIN (SELECT id, s FROM tb ANTI JOIN ta USING (s)) b ON b.s > a.s AND b.s < a.e
 """
 _GROUPS = """
 WITH ends AS (SELECT e, (count(*) = 2)::INT AS cut FROM (SELECT e FROM ta UNION ALL SELECT e FROM tb) GROUP BY e),
