@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import frugal, text_runs
+from verigate.llm.common import frugal, text_runs, trim
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE, SEED = 4000, 3, 3, 128, 0.02, 9
@@ -152,7 +152,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = found.orderBy("key", "lang").limit(SAMPLE_DOCS).collect()
     if not sample:
         return None
-    return train([bytes(p) for r in sample for p in r["parts"]], [r["lang"] for r in sample for _ in r["parts"]])
+    net = train([bytes(p) for r in sample for p in r["parts"]], [r["lang"] for r in sample for _ in r["parts"]])
+    del sample
+    trim()  # what training took on the driver
+    return net
 
 
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

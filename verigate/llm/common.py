@@ -58,15 +58,20 @@ def discard(*tables: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back:
+        give_back(0)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow``: gives free memory back to the system after a task, for Python workers outlive their tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        trim()
 
     return task
 

@@ -181,7 +181,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(left: DataFrame, percent: int) -> DataFrame:
-    """From rows (key, node, root, n) the blocks in which all pairs of a bucket meet: block, node, root, own, i, j.
+    """From rows (key, node, root, n) the blocks in which all pairs of a bucket meet: block, node, root, own, i, j, key.
 
     A bucket of up to BLOCK rows is one block. A larger one is split into classes of size of which only equal and
     neighbouring ones can hold a link, each two neighbours into cells, and each two cells are a block: rows of cell i
@@ -190,14 +190,14 @@ def _blocks(left: DataFrame, percent: int) -> DataFrame:
     wide = math.log(100 / max(percent, 1) * 1.0001) if percent < 100 else 1e-4
     size = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     rows = left.join(size, "key")
-    few = rows.where(F.col("size") <= BLOCK).select(F.xxhash64("key").alias("block"), "node", "root", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    few = rows.where(F.col("size") <= BLOCK).select(F.xxhash64("key").alias("block"), "node", "root", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"), "key")
     rank = F.floor(F.log(F.col("n").cast("double")) / wide).cast("int")
     many = rows.where(F.col("size") > BLOCK).select("key", "node", "root", F.explode(F.array(rank, rank - 1)).alias("k"))
     cells = many.groupBy("key", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cells"))
     many = many.join(cells, ["key", "k"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit("cell")), F.col("cells")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    return few.union(many.select(F.xxhash64("key", "k", i, j).alias("block"), "node", "root", "own", i.alias("i"), j.alias("j")))
+    return few.union(many.select(F.xxhash64("key", "k", i, j).alias("block"), "node", "root", "own", i.alias("i"), j.alias("j"), "key"))
 
 
 def _elements(sets: DataFrame) -> DataFrame:
@@ -321,7 +321,10 @@ def _grouped(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     still = step(sets.join(left.select("node", "n").distinct(), "node"), "still")
     index = indexed(_elements(still), percent)
     steps.append(index)
-    met = blocks.join(index.select("node", "n", "least", "short"), "node").select("block", "own", "i", "j", "node", "root", "n", "least", "short")
+    # a set's own buckets go along (a few for each band), for a pair counts in the first bucket that it shares alone
+    own = left.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    whole = step(index.join(own, "node").select("node", "n", "least", "short", "keys"), "whole")
+    met = blocks.join(whole, "node").select("block", "own", "i", "j", "node", "root", "n", "least", "short", "key", "keys")
     met = met.repartition(1 + blocks.count() // BLOCK_ROWS_A_TASK, "block").sortWithinPartitions("block")
     pairs = step(merged(met, percent).distinct(), "met")
     pairs = step(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

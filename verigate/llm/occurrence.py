@@ -80,10 +80,11 @@ def occurrences(lists: list[list[int]], least: int, n: int) -> list[tuple[int, i
     return [(int(k), int(count[k])) for k in np.flatnonzero(count >= least)]
 
 
-def block_pairs(own, i: int, j: int, node, root, n, least, short: list, percent: int) -> list[tuple[int, int]]:
+def block_pairs(own, i: int, j: int, node, root, n, least, short: list, percent: int, key: int | None = None, keys: list | None = None) -> list[tuple[int, int]]:
     """The pairs of a block that are in different components, of sizes that can be linked, and share so many short lists that, with all the long ones, they can be linked.
 
-    Sets of the largest component don't search: all others are searched for in the lists of all.
+    With ``key`` (the block's bucket) and ``keys`` (all buckets of each set) a pair only counts in the first bucket that
+    both are in. Sets of the largest component don't search: all others are searched for in the lists of all.
     """
     order = np.argsort(n, kind="stable")
     roots, sizes = np.unique(root, return_counts=True)
@@ -92,6 +93,7 @@ def block_pairs(own, i: int, j: int, node, root, n, least, short: list, percent:
     for x, k in enumerate(order.tolist()):
         for h in short[k]:
             lists.setdefault(h, []).append(x)
+    held = [set(x) for x in keys] if keys is not None else []
     own, node, root, n, least = (c[order] for c in (own, node, root, n, least))
     long, place = -(-percent * n // 100) - least, np.arange(len(n))
     found = []
@@ -106,14 +108,15 @@ def block_pairs(own, i: int, j: int, node, root, n, least, short: list, percent:
             continue
         mine = [own_list for h in short[k] if len(own_list := lists[h]) > 1]
         for y, c in occurrences(mine, max(1, int(goal[may].min())), len(n)):
-            if not may[y] or c < goal[y]:
+            if not may[y] or c < goal[y] or (keys is not None and key != min(held[k] & held[int(order[y])])):
                 continue
             found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
     return found
 
 
 def merged(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of all blocks; rows are block, own, i, j, node, root, n, least, short, sorted by block."""
+    """Candidate pairs (a, b) of all blocks; rows are block, own, i, j, node, root, n, least, short, sorted by
+    block, and key and keys where a pair is to count in one bucket alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -121,7 +124,7 @@ def merged(rows: DataFrame, percent: int) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            pairs = block_pairs(*[t["own"].to_numpy(), i, j], *[t[c].to_numpy() for c in ("node", "root", "n", "least")], t["short"].to_pylist(), percent) if t.num_rows > 1 else []
+            pairs = block_pairs(*[t["own"].to_numpy(), i, j], *[t[c].to_numpy() for c in ("node", "root", "n", "least")], t["short"].to_pylist(), percent, *([t["key"][0].as_py(), t["keys"].to_pylist()] if "keys" in t.column_names else [])) if t.num_rows > 1 else []
             held.clear()
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])

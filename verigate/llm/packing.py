@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import frugal, number_rows, staged
+from verigate.llm.common import frugal, number_rows, staged, trim
 from verigate.llm.tokens import encoder
 
 LENGTH = 1024
@@ -259,7 +259,9 @@ def assign(rows: DataFrame, capacity: int = LENGTH) -> DataFrame:
     for r in rows.groupBy("length").count().collect():  # at most one row for each length
         counts[r["length"]] = r["count"]
     sequence, at, places = 0, np.zeros(capacity + 1, dtype=np.int64), []
-    for a, n in plan(counts, capacity).configurations:
+    made = plan(counts, capacity).configurations
+    trim()  # what the solution took on the driver
+    for a, n in made:
         offset = 0
         for length in np.flatnonzero(a)[::-1].tolist():
             k = int(a[length])
