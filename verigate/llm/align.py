@@ -140,10 +140,13 @@ class Chunk:
         self.of_text = np.searchsorted(begin, heads)  # segments of text i: seg[of_text[i] : of_text[i + 1]]
         self.seg = coded.indices.to_numpy().astype(np.int64)
         tokens = {}
-        for name, ids, table in (("a", [np.frombuffer(x, "<u4") for x in pair.a.encode(words)], pair.bytes_a), ("b", pair.encode_b(words), pair.bytes_b)):
-            many = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(x if name == "b" else x.tolist() for x in ids), np.int64, int(many.sum()))
+        ids_a, ids_b = pair.a.encode(words), pair.encode_b(words)
+        many_a, many_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
+        flat_a = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64)
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(many_b.sum()))
+        for name, many, flat, table in (("a", many_a // 4, flat_a, pair.bytes_a), ("b", many_b, flat_b, pair.bytes_b)):
             tokens[name] = many, flat, list(map(table.__getitem__, flat.tolist()))
+        del ids_a, ids_b
         good = np.ones(len(raw), dtype=bool)
         for many, _, given in tokens.values():
             if b"".join(given) != b"".join(raw):
