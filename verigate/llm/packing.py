@@ -92,7 +92,7 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[n
     (fractional; together they cover the histogram), and the dual's lower bound."""
     lengths = np.flatnonzero(histogram)
     if not len(lengths):
-        return np.zeros((0, capacity + 1), dtype=np.int64), np.zeros(0), 0.0
+        return np.zeros((0, capacity + 1), dtype=np.int16), np.zeros(0), 0.0
     whole, need = histogram[lengths], histogram[lengths].astype(float)
     covered = np.zeros(len(lengths))
     # prices that are feasible as they are: the room taken, and 1 for all from a length on that leaves less than k
@@ -130,13 +130,13 @@ def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[n
                 continue
             j = found.setdefault(a.tobytes(), len(rows))
             if j == len(rows):
-                rows.append(a.astype(np.int64))
+                rows.append(a.astype(np.int16))
                 used.append(0.0)
             used[j] += amount
             covered[held] += a[held] * amount
         t, gained = t + 1, float(covered @ lengths) - before
         open_ = covered < need * (1 - 1e-6)
-    wide = np.zeros((len(rows), capacity + 1), dtype=np.int64)
+    wide = np.zeros((len(rows), capacity + 1), dtype=np.int16)
     wide[:, lengths] = rows
     return wide, np.array(used), bound
 
@@ -181,8 +181,9 @@ def _rounded(left: np.ndarray, rows: np.ndarray, x: np.ndarray, back: float) ->
         held = np.flatnonzero(rows[j])
         n = min(n, int((left[held] // rows[j, held]).min())) if n else 0
         if n:
-            out.append((rows[j], n))
-            left[held] -= rows[j, held] * n
+            a = rows[j].astype(np.int64)
+            out.append((a, n))
+            left[held] -= a[held] * n
     return out
 
 
