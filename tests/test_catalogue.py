@@ -36,3 +36,14 @@ def test_query(spark, con, name):
         return
     cur = con.execute(catalogue.ORACLE[name])
     assert canon(df.columns, rows) == canon([c[0] for c in cur.description], cur.fetchall())
+
+
+def test_words_by_table_function_stay_in_their_task(spark, tmp_path):
+    """No text goes into a join, and each row counts as a document, whatever its identifier."""
+    from verigate.plans.catalogue import QUERIES
+
+    rows = [(1, "one two", "en"), (1, "two two", "en"), (None, "two", "en"), (2, None, "en"), (3, "x", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["q_sql_table_functions"](spark, str(tmp_path))
+    assert {(r.lang, r.word): r.rate for r in found.collect()} == {("en", "two"): 0.75, ("fr", "x"): 1.0}
+    assert "coalesce(text" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)

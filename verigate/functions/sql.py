@@ -2,6 +2,10 @@
 
 Scalar and table functions have SQL bodies, which the optimiser unfolds into the query. The one Python table function is
 the alignment of lines, which has no SQL form.
+
+A table function with an SQL body becomes a join on its argument where that is a column, and its rows carry the argument
+to there. Over large tables, ``FROM (SELECT vg_distinct_tokens(text) AS t FROM ...), LATERAL explode(t)`` gives the words
+within the row's own task.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ FUNCTIONS = [
     ("vg_strip_comments(code STRING)", "STRING", _replaced("coalesce(code, '')", *_COMMENTS)),
     ("vg_normalize_code(code STRING)", "STRING", f"trim({_replaced("lower(vg_strip_comments(code))", _BLANKS)})"),
     ("vg_tokens(code STRING)", "ARRAY<STRING>", "regexp_extract_all(vg_normalize_code(code), '[a-z0-9_]+', 0)"),
+    ("vg_distinct_tokens(code STRING)", "ARRAY<STRING>", "array_distinct(vg_tokens(code))"),
     ("vg_cased_tokens(code STRING)", "ARRAY<STRING>", f"filter(split(trim({_replaced('vg_strip_comments(code)', _BLANKS)}), ' '), w -> w <> '')"),
     ("vg_jaccard(a ARRAY<STRING>, b ARRAY<STRING>)", "DOUBLE", "CASE WHEN size(array_union(a, b)) = 0 THEN 1.0D ELSE size(array_intersect(a, b)) / greatest(size(array_union(a, b)), 1) END"),
     ("vg_redact(t STRING)", "STRING", _replaced("coalesce(t, '')", *REDACTIONS)),

@@ -519,9 +519,9 @@ vg_norm_cwe(CASE WHEN doc_id % 3 = 0 THEN concat('cwe_', doc_id % 90) ELSE conca
 @query(f"""WITH w AS (SELECT lang, unnest(list_distinct(regexp_extract_all({NORM}, '[a-z0-9_]+'))) AS word, doc_id FROM documents), c AS (SELECT lang, word, count(*) AS k FROM w GROUP BY 1, 2), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1)
 SELECT c.lang, word, {wilson_sql("k", "n")} FROM c JOIN n ON c.lang = n.lang WHERE k::DOUBLE / n >= 0.5""")
 def q_sql_table_functions(spark, sf_dir):
-    """Words of at least half of a language's documents, by a table function and a scalar one in SQL text."""
+    """Words of at least half of a language's documents, by a table function over a scalar one in SQL text."""
     sql.register(spark)
-    return over(spark, sf_dir, """WITH c AS (SELECT lang, word, count(DISTINCT doc_id) AS k FROM documents, LATERAL vg_code_words(text) GROUP BY lang, word), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+    return over(spark, sf_dir, """WITH c AS (SELECT lang, word, count(*) AS k FROM (SELECT lang, vg_distinct_tokens(text) AS words FROM documents), LATERAL explode(words) AS t(word) GROUP BY lang, word), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 r AS (SELECT c.lang, word, CAST(k AS DOUBLE) / n AS rate, vg_wilson(k, n) AS w FROM c JOIN n ON c.lang = n.lang WHERE k / n >= 0.5) SELECT lang, word, rate, w.ci_low, w.ci_high FROM r""")
 
 
