@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verigate.functions.text import collapse_whitespace, pair_key, repo_key
-from verigate.operators.dedup import first_per_key, greedy_drops, minhash_pairs
+from verigate.operators.dedup import first_per_key, minhash_duplicates
 from verigate.operators.split import before, hold_out
 
 
@@ -69,8 +69,8 @@ def near_dedup(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Candidates come from minimum hashes; likeness is exact, so that nothing goes by a chance of the hashes.
     """
     both = pairs.withColumn("_both", F.concat("vuln", F.lit(" "), "fixed"))
-    gone = greedy_drops(minhash_pairs(both, "ord", "_both", threshold, tokens_of="words"))
-    return pairs.join(gone, pairs["ord"] == gone["id"], "left_anti")
+    gone = minhash_duplicates(both, "ord", "_both", threshold, tokens_of="words")
+    return pairs.join(gone, pairs["ord"] == gone["_gone"], "left_anti")
 
 
 def write_counted(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str, path: str) -> DataFrame:

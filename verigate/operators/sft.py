@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verigate.functions.text import code_key, first_nonempty, jaccard, redact, tokens
-from verigate.operators.dedup import date_key, exact, near_duplicates
+from verigate.operators.dedup import date_key, hashed_sets, near_duplicates_of
+from verigate.operators.signatures import signed
 from verigate.operators.split import assert_no_leak, family_of, family_split, temporal_split
 from verigate.operators.tables import staged
 
@@ -22,25 +23,33 @@ def dedup_records(records: DataFrame, threshold: float = 0.9) -> tuple[DataFrame
     first step. Copies of a record that goes count as near duplicates, as it does.
     """
     order = [date_key("date"), F.col("source_file"), F.col("ord")]
-    keyed = records.withColumn("_pair", code_key("vuln_code", "fixed_code"))
-    marked = exact(keyed, F.col("_pair"), order)
-    first = marked.where(~F.col("dup")).drop("dup")
-    if not 0 < threshold <= 1:
-        gone = records.sparkSession.createDataFrame([], "_gone string")
+    keyed = records.withColumn("_id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], code_key("vuln_code", "fixed_code").alias("_pair")))
+    near = 0 < threshold <= 1
+    if near:
+        # alike on both sides is alike on both taken together, so one search over marked tokens finds all candidates; a
+        # token's side is the last bit of its hash
+        side = lambda mark, c: F.transform(tokens(c), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(mark)))
+        of = lambda mark, c: F.filter(c, lambda w: w.bitwiseAND(F.lit(1)) == mark)
+        alike = lambda x, y: (jaccard(of(0, x), of(0, y)) >= threshold) & (jaccard(of(1, x), of(1, y)) >= threshold)
+        sets = hashed_sets(keyed, "_id", "project", F.concat(side(0, "vuln_code"), side(1, "fixed_code")))
+        own = staged(signed(sets, threshold))
+    else:
+        own = staged(keyed.select(F.col("_id").alias("id")))
+    # the texts are read again at the end; until then there are keys, signatures and the sets of candidates alone
+    least = staged(own.groupBy(F.col("id._pair").alias("_pair")).agg(F.min("id").alias("_least")))
+    if near:
+        gone = near_duplicates_of(own.join(least, F.col("id") == F.col("_least"), "left_semi"), sets, threshold, alike).select(F.col("_gone._pair").alias("_gone"))
     else:
-        ranked = staged(first.withColumn("_id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "_pair")))
-        side = lambda mark, c: F.transform(tokens(c), lambda w: F.concat(F.lit(mark), w))
-        of = lambda mark, c: F.filter(c, lambda w: w.startswith(mark))
-        # alike on both sides is alike on both taken together, so one search over marked tokens finds all candidates
-        alike = lambda x, y: (jaccard(of("v:", x), of("v:", y)) >= threshold) & (jaccard(of("f:", x), of("f:", y)) >= threshold)
-        gone = near_duplicates(ranked, "_id", "project", F.concat(side("v:", "vuln_code"), side("f:", "fixed_code")), threshold, alike).select(F.col("_gone._pair").alias("_gone"))
+        gone = records.sparkSession.createDataFrame([], "_gone string")
     gone = staged(gone)
-    kept = first.join(gone, first["_pair"] == gone["_gone"], "left_anti")
+    stay = staged(least.join(gone, least["_pair"] == gone["_gone"], "left_anti").select("_least"))
+    kept = keyed.join(stay, F.col("_id") == F.col("_least"), "left_semi").drop("_id")
+    marked = own.select("id").join(least, F.col("id._pair") == F.col("_pair")).select("_pair", (F.col("id") != F.col("_least")).alias("dup"))
     counts = marked.join(gone, marked["_pair"] == gone["_gone"], "left").agg(
         F.count(F.lit(1)).alias("input"), F.count_if(F.col("_gone").isNull() & F.col("dup")).alias("exact_dups"),
         F.count_if(F.col("_gone").isNotNull()).alias("near_dups"), F.count_if(F.col("_gone").isNull() & ~F.col("dup")).alias("kept"),
     )
-    return kept.drop("_pair"), counts
+    return kept, counts
 
 
 def split_records(kept: DataFrame, mode: str = "temporal", cutoff: str | None = None, fraction: float = 0.2, seed: int = 13) -> DataFrame:
@@ -60,7 +69,7 @@ def examples(split: DataFrame, cutoff: str) -> DataFrame:
 def prepare(records: DataFrame, mode: str = "temporal", cutoff: str | None = None, threshold: float = 0.9, fraction: float = 0.2, seed: int = 13) -> tuple[DataFrame, DataFrame]:
     """(examples, dedup statistics) of records. Raises where a CVE stands on both sides of the split."""
     kept, counts = dedup_records(records, threshold)
-    split = staged(split_records(staged(kept), mode, cutoff, fraction, seed))
+    split = staged(split_records(kept, mode, cutoff, fraction, seed))
     assert_no_leak(split, "cve")
     return examples(split, cutoff or f"({mode}, seed={seed})"), counts
 
