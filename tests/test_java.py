@@ -89,3 +89,14 @@ def test_long_code(spark):
     literal = "class A { String s = \"" + "x\\n;" * 200_000 + "\"; String t = \"\"\"" + "y{\n" * 200_000 + "\"\"\"; /*" + "z;\n" * 200_000 + "*/ void f() { a(); } }"
     row = spark.createDataFrame([(literal,)], "code string").select(java_counts("code").alias("c")).first()
     assert tuple(row.c) == (1, 0)
+
+
+def test_fold_sees_no_prose(spark):
+    """Runs of words are two steps at most, and what can't be Java by its last sign is told without the fold."""
+    long = " ".join(["word"] * 300)
+    codes = ["", "()", ";", "class A { int f() { " + long + " x; return 1; } }", long + ".", long, "class A { void f() { a(); } } '", "import a.b;", "class A { int[] x() [] }", "int f() { while (a) b(); }", "a()", "[]", "class A { " + long + " = 1; }"]
+    rows = spark.createDataFrame(list(enumerate(codes)), "i int, code string")
+    got = {r.i: r.s and [(x.kind, x.at) for x in r.s] for r in rows.select("i", java_statements("code").alias("s")).collect()}
+    assert got[0] == [] and got[1] == [] and got[2] == [] and got[4] is None and got[5] is None and got[6] is None and got[7] == []
+    assert got[3] == [("local", 309), ("return", 310)]
+    assert "filter(" in str(java_statements("code"))

@@ -94,20 +94,34 @@ def java_statements(code: Column | str) -> Column:
     Kinds are the keywords, ``local`` (a declaration) and ``expression``; a ``do`` and its ``while`` are two entries.
     """
     text = F.coalesce(F.col(code) if isinstance(code, str) else code, F.lit(""))
-    parts = F.transform(_parts(text), lambda c, i: F.struct(c.alias("c"), i.cast("int").alias("at")))
     begin = F.expr(f"cast(named_struct('stack', '', 'first', 'n', 'prev', ';', 'type', false, 'made', false, 'anon', false, 'one', false, 'bad', false, 'found', array()) as {_STATE})")
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     rows = lambda s: F.transform(s["found"], lambda f: F.struct(F.element_at(names, f["kind"]).alias("kind"), f["depth"].alias("depth"), f["at"].alias("at")))
-    return F.aggregate(parts, begin, _step, lambda s: F.when(~s["bad"] & (s["stack"] == "") & (s["first"] == "n"), rows(s)))
+
+    def folded(parts: Column) -> Column:
+        # a word after two words changes nothing in the state
+        placed = F.transform(parts, lambda c, i: F.struct(c.alias("c"), i.cast("int").alias("at")))
+        word = lambda k: F.get(parts, k) == "w"
+        steps = F.filter(placed, lambda x: ~((x["c"] == "w") & F.coalesce(word(x["at"] - 1) & word(x["at"] - 2), F.lit(False))))
+        # what ends otherwise, or has a sign that is no Java, has no result; that is told without the fold
+        ends = (F.size(parts) == 0) | F.coalesce(F.try_element_at(parts, F.lit(-1)).isin(";", "}", ")", "]"), F.lit(False))
+        return F.when(ends & ~F.array_contains(parts, "q"), F.aggregate(steps, begin, _step, lambda s: F.when(~s["bad"] & (s["stack"] == "") & (s["first"] == "n"), rows(s))))
+
+    return F.transform(F.array(_parts(text)), folded)[0]
+
+
+def counts_of(found: Column | str) -> Column:
+    """``java_counts`` of statements that are there already."""
+
+    def counted(f: Column) -> Column:
+        loops = F.size(F.filter(f, lambda x: x["kind"] == "do"))
+        exits = F.size(F.filter(f, lambda x: x["kind"].isin("return", "throw")))
+        return F.struct((F.size(f) - loops).alias("statements"), exits.alias("exits"))
+
+    return F.transform(F.array(found), lambda f: F.when(f.isNotNull(), counted(f)))[0]
 
 
 def java_counts(code: Column | str) -> Column:
     """struct(statements, exits): of all kinds, a loop by do and while being one, and of return and throw. Null where
     the code can't be parsed."""
-
-    def counted(found: Column) -> Column:
-        loops = F.size(F.filter(found, lambda f: f["kind"] == "do"))
-        exits = F.size(F.filter(found, lambda f: f["kind"].isin("return", "throw")))
-        return F.struct((F.size(found) - loops).alias("statements"), exits.alias("exits"))
-
-    return F.transform(F.array(java_statements(code)), lambda f: F.when(f.isNotNull(), counted(f)))[0]
+    return counts_of(java_statements(code))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verigate.functions import sql
 from verigate.functions import text as T
-from verigate.functions.java import java_counts, java_statements
+from verigate.functions.java import counts_of, java_statements
 from verigate.operators import accessibility, corpus, dedup, evaluation, gate, metrics, sft, split
 from verigate.operators.tables import shared_folder, staged
 from verigate.plans.base import NORM, WS, inline, mixed, over, query, redacted_sql, table, wilson_sql
@@ -100,7 +100,7 @@ def q_java_statements(spark, sf_dir):
     codes = docs.select(F.col("doc_id").alias("id"), F.expr(_WRAPPED.format("cast(doc_id % 7 as int)", "cast(doc_id % 3 as int)", "CASE WHEN doc_id % 17 = 0 THEN '' ELSE ' }' END")).alias("code"))
     plain = docs.where(F.col("text").rlike("[A-Za-z0-9]")).select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("code"))
     n = lambda kind: F.size(F.filter("s", lambda f: f["kind"] == kind))
-    rows = codes.union(plain).select("id", java_statements("code").alias("s"), java_counts("code").alias("c"))
+    rows = codes.union(plain).select("id", java_statements("code").alias("s")).withColumn("c", counts_of("s"))
     return rows.select("id", "c.statements", "c.exits", F.when(F.col("s").isNotNull(), n("if")).alias("ifs"), F.when(F.col("s").isNotNull(), n("expression")).alias("calls"))
 
 
