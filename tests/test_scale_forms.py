@@ -96,3 +96,20 @@ def test_diff_lines(spark):
     sql.register(spark)
     rows = spark.sql("SELECT d.mark, d.line FROM VALUES ('a\nb\nc', 'a\nx\nc\nd'), ('same', 'same'), (CAST(NULL AS STRING), 'new') AS t(x, y), LATERAL vg_diff_lines(x, y) d").collect()
     assert sorted(map(tuple, rows)) == [("+", "d"), ("+", "new"), ("+", "x"), ("-", "b")]
+
+
+def test_named_pairs_are_dealt_by_key_alone(spark):
+    """Two ids of several common keys are one pair, without an exchange of the pairs."""
+    import re
+
+    from verigate.operators import gate
+
+    ids = ["T#a", "T::a", "T.a", "Ta", "T", "T#", "p.T#a", " T#b ", "T"]
+    rows = spark.createDataFrame([(i,) for i in ids], "test string")
+    found = gate.named_pairs(rows, rows)
+    got = [tuple(r) for r in found.collect()]
+    both = rows.distinct().withColumnRenamed("test", "w").crossJoin(rows.distinct().withColumnRenamed("test", "f"))
+    want = [tuple(r) for r in both.where(gate.same_test(both["w"], both["f"])).collect()]
+    assert sorted(got) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(_key", plan) and not re.search(r"hashpartitioning\(wanted#\d+L?, found", plan)

@@ -119,7 +119,9 @@ def named_pairs(wanted: DataFrame, found: DataFrame, test: str = "test") -> Data
     """
     w = wanted.select(F.col(test).alias("wanted")).distinct().select("wanted", F.explode(_test_keys(F.col("wanted"), True)).alias("_key"))
     f = found.select(F.col(test).alias("found")).distinct().select("found", F.explode(_test_keys(F.col("found"), False)).alias("_key"))
-    return w.join(f, "_key").select("wanted", "found").distinct()
+    # ids that have several keys in common are a pair by the first of these, so the pairs needn't be dealt out again
+    once = F.get(F.array_intersect(_test_keys(F.col("wanted"), True), _test_keys(F.col("found"), False)), F.lit(0)) == F.col("_key")
+    return w.join(f, "_key").where(once).select("wanted", "found")
 
 
 def failing_ids(failures: Column) -> Column:
