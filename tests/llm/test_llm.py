@@ -369,6 +369,12 @@ def test_images_shared_logo_equals_brute_force(logo_groups):
     assert got == group
 
 
+def test_images_shared_logo_loses_no_link(logo_groups):
+    """Images that are alike only in a part that all others have are linked as by brute force."""
+    got, group = logo_groups
+    assert got == group
+
+
 @pytest.mark.parametrize("f", [
     lambda d: linededup.apply_bitmaps(d, linededup.keep_bitmaps(d)), suffixes.removals, lambda d: minhash.near_duplicates(d, 85),
     lzprint.fingerprints, lambda d: bytecnn.predict(d, bytecnn.learn(d)), lambda d: packing.pack(d, BPE, public_tokenizers.PATTERN), lambda d: pieces.digests(d, public_tokenizers.path("piece_bpe_32k.model")),

@@ -271,6 +271,18 @@ def test_image_recall():
     assert not any(images.agreeing(*a, *b) >= images.MIN_AGREEING for a, b in itertools.combinations(whole, 2))
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_image_keys_of_many_images_lose_no_pair(spark, monkeypatch, block):
+    """All pairs that share two keys are candidates, of keys that many images hold too, dealt to blocks or not."""
+    rng = np.random.default_rng(5)
+    held = {i: {100} | set(rng.integers(0, 12, 2).tolist()) | set(rng.integers(200, 204, 1).tolist()) for i in range(40)} | {50: {7}, 51: {300}}
+    monkeypatch.setattr(images, "BLOCK", block)
+    monkeypatch.setattr(images, "_keys", lambda classes: classes)
+    rows = spark.createDataFrame([(k, i) for i, keys in held.items() for k in sorted(keys)], "key long, node long")
+    want = {(i, j) for i, j in itertools.combinations(sorted(held), 2) if len(held[i] & held[j]) >= images.MIN_EDGES}
+    assert sorted((r.a, r.b) for r in images._candidates(rows).collect()) == sorted(want)
+
+
 def test_image_edges():
     """The edges of sorted keys connect each key's images; up to four images all meet."""
     key, node = np.array([1, 2, 2, 3, 3, 3, 3, 9, 9, 9, 9, 9, 9]), np.array([5, 1, 2, 1, 2, 3, 4, 1, 2, 3, 4, 5, 6])

@@ -6,12 +6,11 @@ not by steps of it. Every cell of a scale's grid gives its strongest corners, so
 descriptors' four 64-bit words are the keys of Hamming tables: descriptors that differ in fewer than four bits agree in
 a word, others by chance; an image has hundreds of words, and a copy needs two.
 
-The keys are dealt by ranges of (key, image) and sorted, so a key that a third of all images hold spreads over many
-tasks. As a range streams by, each of its keys links its images in a line and in two stars, around the first and the
-last: at most three times as many edges as images, and all pairs where up to four share a key. Where a key goes on in
-the next range, the ranges' end images are linked the same way. An edge that enough keys give is confirmed by geometry:
-matched corners vote for one scale, turn and shift, and enough of them have to agree. A crop to two thirds, a turn, noise
-or a change of brightness or contrast leave that intact; another size only near the ratios of ``SCALES``.
+All images that share a key meet in pairs, whatever their number: a key of more than ``BLOCK`` images is dealt to pairs
+of blocks of them, so that no task holds all of it. Of each image the images that it met come together and are counted.
+A pair that enough keys give is confirmed by geometry: matched corners vote for one scale, turn and shift, and enough of
+them have to agree. A crop to two thirds, a turn, noise or a change of brightness or contrast leave that intact; another
+size only near the ratios of ``SCALES``.
 
 Images with equal bytes are one class first; edges run between classes only.
 
@@ -25,18 +24,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigate.llm.common import discard, frugal, mix64, n_partitions, seeds64, staged
+from verigate.llm.common import discard, frugal, mix64, seeds64, staged
 from verigate.llm.components import components
 
 SCALES, PATCH, BITS, TABLES = (1.0, 0.75, 0.5), 9, 256, 4
 MIN_EDGES, MIN_AGREEING, MAX_BITS = 2, 8, 48
+#: So many images of a key meet as they stream by; more are dealt to blocks of about as many.
+BLOCK = 1024
 #: Each cell of so many pixels a side gives so many corners.
 CELL, CELL_CORNERS = 26, 4
 _raw = seeds64(4 * BITS, 3)
@@ -197,59 +198,89 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", "words").mapInArrow(frugal(run), "key long, node long")
 
 
+def _after(key: np.ndarray) -> np.ndarray:
+    """How many rows of its key come after each of sorted rows."""
+    new = np.flatnonzero(np.append(np.ones(min(len(key), 1), bool), key[1:] != key[:-1]))
+    size = np.diff(np.append(new, len(key)))
+    return np.repeat(new + size, size) - 1 - np.arange(len(key))
+
+
 def _linked(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of sorted (key, node): each key's line, and its stars around the first and the last node."""
-    n = len(key)
-    new = np.ones(n, dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, n))
-    first, last = np.repeat(head, size), np.repeat(head + size - 1, size)
-    i = np.arange(n)
-    line, left, right = i[~new], i[i - first > 1], i[(last - i > 1) & (i > first)]
-    a = np.concatenate((node[line - 1], node[first[left]], node[right]))
-    return a, np.concatenate((node[line], node[left], node[last[right]]))
-
-
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted range of keys: how many of them give an edge (a < b); first and last key of the range with n = 0."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-    a, b = _linked(key, node)
-    both = np.stack([np.minimum(a, b), np.maximum(a, b)])
-    order = np.lexsort(both[::-1])
-    both = both[:, order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(order)))
-    # the ends of the first and the last key meet those of the neighbouring ranges
-    ends = np.array([0, int(np.searchsorted(key, key[0], "right")) - 1, int(np.searchsorted(key, key[-1])), len(key) - 1])
-    part = TaskContext.get().partitionId()
-    columns = [np.concatenate((both[0, at], key[ends])), np.concatenate((both[1, at], node[ends])), np.concatenate((times, [0, 0, 0, 0])), np.full(len(at) + 4, part)]
-    out = pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "n", "part"])
-    yield from out.to_batches(max_chunksize=1 << 16)
+    """The edges of sorted (key, node): all pairs of each key's nodes."""
+    after = _after(key)
+    start = np.cumsum(after) - after
+    return np.repeat(node, after), node[np.repeat(np.arange(len(key)) + 1 - start, after) + np.arange(after.sum())]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, node): of each node of a key the nodes after it, packed. A key of more than BLOCK nodes gives its
+    bare rows (no ``others``), as they stream by."""
+    key = node = np.zeros(0, np.int64)
+    wide = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            key, node = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+        n = len(key)
+        if batch is not None and n and key[-1] != wide:
+            start = int(np.searchsorted(key, key[-1]))
+            n = start if n - start <= BLOCK else n  # the last key may go on
+        if n:
+            k, a = key[:n], node[:n]
+            bare = (np.searchsorted(k, k, "right") - np.searchsorted(k, k) > BLOCK) | (k == wide)
+            wide = int(k[-1]) if bare[-1] else None
+            if bare.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[bare]), pa.array(a[bare]), pa.nulls(int(bare.sum()), pa.binary())], ["key", "a", "others"])
+            k, a = k[~bare], a[~bare]
+            after = _after(k)
+            some = after > 0
+            if some.any():
+                ends = np.append(0, np.cumsum(after[some]) * 8).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(_linked(k, a)[1])])
+                yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(a[some]), packed], ["key", "a", "others"])
+        key, node = key[n:], node[n:]
+
+
+def _met_in_blocks(rows: pa.Table) -> pa.Table:
+    """The same of two blocks (i, j) of one key's nodes; of one block, where both are the same."""
+    block, node = rows.column("block").to_numpy(), rows.column("node").to_numpy()
+    sides = [np.sort(node[block == rows.column(c)[0].as_py()]) for c in ("i", "j")]
+    turns = ((0, 1), (1, 0)) if rows.column("i")[0] != rows.column("j")[0] else ((0, 0),)
+    found = [(a, sides[y][np.searchsorted(sides[y], a, "right") :].tobytes()) for x, y in turns for a in sides[x].tolist()]
+    found = [(a, others) for a, others in found if others]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "others": pa.array([o for _, o in found], pa.binary())})
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of a: the pairs (a, b) that enough keys gave."""
+    a = b = n = np.zeros(0, np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            lists = [np.frombuffer(o.as_py(), np.int64) for o in batch.column(1)]
+            a, b = np.concatenate((a, np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists]))), np.concatenate((b, *lists))
+            n = np.concatenate((n, np.ones(len(a) - len(n), np.int64)))
+        if not len(a):
+            continue
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        a, b, n = a[new], b[new], np.add.reduceat(n, new)
+        done = np.ones(len(a), bool) if batch is None else a != a[-1]  # the last may go on
+        out = done & (n >= MIN_EDGES)
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(b[out])], ["a", "b"])
+        a, b, n = a[~done], b[~done], n[~done]
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that enough keys link."""
-    keys = _keys(classes)
-    order = ["key", "node"]
-    edges = staged(keys.repartitionByRange(n_partitions(classes, 1 << 20), *order).sortWithinPartitions(*order).mapInArrow(frugal(_streamed), "a long, b long, n long, part long"), "edges")
-    ends = edges.where("n = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), "part").distinct().collect()  # four rows for each range
-    several: dict[int, set[int]] = {}
-    for r in ends:
-        several.setdefault(r["key"], set()).add(r["part"])
-    across = sorted((r["key"], r["node"]) for r in ends if len(several[r["key"]]) > 1)
-    a, b = _linked(*(np.array([x[i] for x in across], dtype=np.int64) for i in (0, 1)))
-    more = classes.sparkSession.createDataFrame([(min(x, y), max(x, y), 1) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y], "a long, b long, n long")
-    every = edges.where("n > 0").select("a", "b", "n").union(more)
-    pairs = staged(every.groupBy("a", "b").agg(F.sum("n").alias("shared")).where(F.col("shared") >= MIN_EDGES).select("a", "b"), "pairs")
-    discard(edges)
-    return pairs
+    """All pairs (a, b), a < b, of classes that share enough keys."""
+    met = _keys(classes).repartition("key").sortWithinPartitions("key", "node").mapInArrow(frugal(_met), "key long, a long, others binary")
+    bare = met.where("others is null").select("key", F.col("a").alias("node"))
+    blocks = bare.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = bare.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
+    wide = dealt.groupBy("key", "i", "j").applyInArrow(_met_in_blocks, "a long, others binary")
+    every = met.where("others is not null").select("a", "others").union(wide)
+    return staged(every.repartition("a").sortWithinPartitions("a").mapInArrow(frugal(_tallied), "a long, b long"), "pairs")
 
 
 def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
