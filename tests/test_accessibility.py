@@ -113,3 +113,15 @@ def test_long_page(spark):
     body = "<p title='" + "q" * 200_000 + "'>" + "<ul><li>a</ul>" * 1500 + "x" * 300_000 + "<!--" + "y" * 200_000 + "--><img>"
     found = A.findings(spark.createDataFrame([(1, _page(body))], "page_id int, html string"), "page_id", "html").collect()
     assert [f.rule for f in found] == ["image-alt"]
+
+
+def test_long_pages_are_one_tree(spark):
+    """A page of many runs of tokens has one tree; no expression over a page is made again for each of its elements."""
+    deep, flat = 3 * A.RUN + 5, 2 * A.RUN
+    pages = spark.createDataFrame([(1, "<div>" * deep + "x" + "</div>" * deep + "<i></i>" * flat), (2, ""), (3, "<p>" * (A.RUN + 1))], "id int, html string")
+    tree = A.nodes(pages, "id", "html")
+    got = {(r.page, r.node): r for r in tree.collect()}
+    assert len(got) == deep + 1 + flat + A.RUN + 1
+    assert [got[1, i].parent for i in range(deep + 1)] == [None, *range(deep)] and got[1, deep].up == list(range(deep))
+    assert all(got[1, 2 * deep + 1 + 2 * i].parent is None for i in range(flat)) and all(got[3, i].parent is None for i in range(A.RUN + 1))
+    assert tree._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 3

@@ -35,6 +35,8 @@ RULES = [
 
 _TAG = r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+"
 _TOKENS = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW)})(?=[\s/>]){_TAG}>.*?(?:</\1\s*>|\z)|</?[a-z]{_TAG}>|<[!?][^>]*+>|[^<]++|<"
+#: Tokens of a page that are folded in one run.
+RUN = 32
 _STATE = "struct<tags:array<string>,ids:array<int>,nodes:array<struct<node:int,parent:int,up:array<int>,tag:string,raw:string>>>"
 
 
@@ -70,6 +72,13 @@ def _tree(s: Column, x: Column) -> Column:
     return F.transform(F.array(keep), placed)[0]
 
 
+def _run(s: Column, tokens: Column) -> Column:
+    """The state after a run of tokens. What a fold has so far is copied with each token, so a run has its own nodes;
+    those of the page are copied once a run."""
+    begin = F.struct(s["tags"].alias("tags"), s["ids"].alias("ids"), F.slice(s["nodes"], F.lit(1), F.lit(0)).alias("nodes")).cast(_STATE)
+    return F.aggregate(tokens, begin, _tree, lambda t: F.struct(t["tags"].alias("tags"), t["ids"].alias("ids"), F.concat(s["nodes"], t["nodes"]).alias("nodes")).cast(_STATE))
+
+
 def nodes(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     """Rows (page, node, parent, up, tag, raw, attrs, text): elements and texts of each page in order.
 
@@ -80,15 +89,18 @@ def nodes(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     name = lambda t: F.when(t.rlike(r"^</?[a-zA-Z]"), F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))).otherwise("#text")
     parts = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.cast("int").alias("at"), name(t).alias("name"), t.rlike("^</[a-zA-Z]").alias("end")))
     begin = F.expr(f"cast(named_struct('tags', array(), 'ids', array(), 'nodes', array()) as {_STATE})")
-    rows = pages.select(F.col(id_col).alias("page"), F.inline(F.aggregate(parts, begin, _tree, lambda s: s["nodes"])))
+    # what is used more than once is a column of its own: within a function over an array it would be made for each element
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_parts") - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice("_parts", i + 1, F.lit(RUN)))
+    rows = pages.select(F.col(id_col).alias("page"), parts.alias("_parts"))
+    rows = rows.select("page", F.inline(F.aggregate(runs, begin, _run, lambda s: s["nodes"])))
     head = F.when(F.col("tag") != "#text", F.regexp_extract("raw", rf"(?is)^<[a-z][^\s/>]*({_TAG})>", 1))
     pattern = r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
-    names, values = (F.regexp_extract_all(F.coalesce(head, F.lit("")), F.lit(pattern), F.lit(k)) for k in (1, 2))
-    names = F.transform(names, lambda n: F.lower(n))
-    pairs = F.transform(names, lambda n, i: F.struct(n.alias("key"), F.regexp_replace(F.get(values, i), "^[\"']|[\"']$", "").alias("value"), (F.array_position(names, n) == i + 1).alias("new")))
+    names, values = (F.regexp_extract_all(F.coalesce("_head", F.lit("")), F.lit(pattern), F.lit(k)) for k in (1, 2))
+    rows = rows.withColumn("_head", head).withColumns({"_names": F.transform(names, lambda n: F.lower(n)), "_values": values})
+    pairs = F.transform("_names", lambda n, i: F.struct(n.alias("key"), F.regexp_replace(F.get("_values", i), "^[\"']|[\"']$", "").alias("value"), (F.array_position("_names", n) == i + 1).alias("new")))
     attrs = F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["new"]), lambda p: F.struct(p["key"], p["value"])))
     inner = F.when(F.col("tag") == "#text", F.col("raw")).when(F.col("tag").isin(*RAW), F.regexp_extract("raw", rf"(?is)^<[a-z]{_TAG}>(.*?)(?:</[a-z]+\s*>)?\z", 1))
-    return rows.withColumns({"attrs": attrs, "text": inner})
+    return rows.withColumns({"attrs": attrs, "text": inner}).drop("_head", "_names", "_values")
 
 
 def _attr(name: str) -> Column:
