@@ -72,3 +72,13 @@ def test_texts_of_records_are_not_staged(spark, monkeypatch):
     kept, counts = sft.dedup_records(df)
     assert sorted(r.ord for r in kept.collect()) == [1] and counts.first().asDict() == {"input": 4, "exact_dups": 2, "near_dups": 1, "kept": 1}
     assert put and not any("code" in c for columns in put for c in columns)
+
+
+def test_index_makes_sets_once(spark, tmp_path, monkeypatch):
+    """A batch's texts are split into words once; what reads the sets again reads what was put down."""
+    put = []
+    monkeypatch.setattr(dedup, "staged", lambda df, f=dedup.staged: (put.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())), f(df))[1])
+    rows = spark.createDataFrame([(k, f"a b c d{k // 2}") for k in range(6)], "id long, text string")
+    index = dedup.KeptIndex(spark, f"file://{tmp_path}/index", 0.9)
+    assert index.add(rows, "id", "text", 0).count() == 3
+    assert put[0][0] == ["id", "salt", "node", "set"] and not any("regexp_extract_all" in plan for _, plan in put[1:])
