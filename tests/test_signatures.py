@@ -82,3 +82,13 @@ def test_index_makes_sets_once(spark, tmp_path, monkeypatch):
     index = dedup.KeptIndex(spark, f"file://{tmp_path}/index", 0.9)
     assert index.add(rows, "id", "text", 0).count() == 3
     assert put[0][0] == ["id", "salt", "node", "set"] and not any("regexp_extract_all" in plan for _, plan in put[1:])
+
+
+def test_sets_without_candidate_are_not_exchanged(spark, monkeypatch):
+    """While few sets have a candidate, the others are read where they are."""
+    plans = []
+    monkeypatch.setattr(dedup, "staged", lambda df, f=dedup.staged: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), f(df))[1])
+    rows = spark.createDataFrame([(k, "b", " ".join(f"w{k // 2 * 40 + i}" for i in range(20 + k % 2))) for k in range(40)], "id long, block string, text string")
+    assert dedup.similar_pairs(rows, "id", "block", "text", 0.9).count() == 20
+    (moved,) = [plan for columns, plan in plans if columns == ["node", "set"]]
+    assert "BroadcastHashJoin" in moved and "SortMergeJoin" not in moved
