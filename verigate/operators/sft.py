@@ -23,14 +23,14 @@ def dedup_records(records: DataFrame, threshold: float = 0.9) -> tuple[DataFrame
     first step. Copies of a record that goes count as near duplicates, as it does.
     """
     order = [date_key("date"), F.col("source_file"), F.col("ord")]
-    keyed = records.withColumn("_id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], code_key("vuln_code", "fixed_code").alias("_pair")))
+    keyed = records.withColumn("_id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.unhex(code_key("vuln_code", "fixed_code")).alias("_pair")))
     near = 0 < threshold <= 1
     if near:
         # alike on both sides is alike on both taken together, so one search over marked tokens finds all candidates; a
         # token's side is the last bit of its hash
         side = lambda mark, c: F.transform(tokens(c), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(mark)))
-        of = lambda mark, c: F.filter(c, lambda w: w.bitwiseAND(F.lit(1)) == mark)
-        alike = lambda x, y: (jaccard(of(0, x), of(0, y)) >= threshold) & (jaccard(of(1, x), of(1, y)) >= threshold)
+        only = lambda mark, c: F.filter(c, lambda w: w.bitwiseAND(F.lit(1)) == mark)
+        alike = lambda x, y: (jaccard(only(0, x), only(0, y)) >= threshold) & (jaccard(only(1, x), only(1, y)) >= threshold)
         sets = hashed_sets(keyed, "_id", "project", F.concat(side(0, "vuln_code"), side(1, "fixed_code")))
         own = staged(signed(sets, threshold))
     else:
@@ -38,9 +38,10 @@ def dedup_records(records: DataFrame, threshold: float = 0.9) -> tuple[DataFrame
     # the texts are read again at the end; until then there are keys, signatures and the sets of candidates alone
     least = staged(own.groupBy(F.col("id._pair").alias("_pair")).agg(F.min("id").alias("_least")))
     if near:
-        gone = near_duplicates_of(own.join(least, F.col("id") == F.col("_least"), "left_semi"), sets, threshold, alike).select(F.col("_gone._pair").alias("_gone"))
+        of = own.select("node", "id").join(least, F.col("id") == F.col("_least"), "left_semi")
+        gone = near_duplicates_of(own, sets, threshold, alike, of).select(F.col("_gone._pair").alias("_gone"))
     else:
-        gone = records.sparkSession.createDataFrame([], "_gone string")
+        gone = records.sparkSession.createDataFrame([], "_gone binary")
     gone = staged(gone)
     stay = staged(least.join(gone, least["_pair"] == gone["_gone"], "left_anti").select("_least"))
     kept = keyed.join(stay, F.col("_id") == F.col("_least"), "left_semi").drop("_id")
