@@ -47,3 +47,16 @@ def test_words_by_table_function_stay_in_their_task(spark, tmp_path):
     found = QUERIES["q_sql_table_functions"](spark, str(tmp_path))
     assert {(r.lang, r.word): r.rate for r in found.collect()} == {("en", "two"): 0.75, ("fr", "x"): 1.0}
     assert "coalesce(text" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+@pytest.mark.parametrize("name", ["q_provenance", "q_pair_pivot"])
+def test_texts_of_pairs_count_as_they_are(spark, tmp_path, name):
+    """White space makes another text, an empty text is one, null is none."""
+    texts = ["a b", "a  b", "a\nb", "a\u00a0b", "a\u000bb", "a b", "", "", " ", None, "a\0", "a\0b", "A b", "\u3000"]
+    rows = [(10 * i + k, t) for i, t in enumerate(texts) for k in (1, 6, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(catalogue.ORACLE[name])
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([c[0] for c in cur.description], cur.fetchall())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verigate.functions.text import collapse_whitespace, pair_key, repo_key
@@ -17,18 +17,24 @@ def first_weakness(classes: DataFrame) -> DataFrame:
     return classes.groupBy("cve_id").agg(F.min_by("cwe_id", "ord").alias("cwe"))
 
 
-def pairs(methods: DataFrame, files: DataFrame, commits: DataFrame, fixes: DataFrame, classes: DataFrame, language: str = "java") -> DataFrame:
-    """vuln, fixed, repo, cdate, cve, cwe and ord for each (file, method): the last code before and after, the first of the rest."""
+def pairs(methods: DataFrame, files: DataFrame, commits: DataFrame, fixes: DataFrame, classes: DataFrame, language: str = "java", empty: bool = False) -> DataFrame:
+    """vuln, fixed, repo, cdate, cve, cwe and ord for each (file, method): the last code before and after, the first of the rest.
+
+    A pair with an empty side is none, and code that is null is empty. With ``empty`` an empty side is a side like any
+    other, and null is no code: the last one that isn't null counts.
+    """
     rows = methods.join(files, "file_change_id").where(F.lower("programming_language") == language).join(commits, "hash").join(fixes, "hash")
     yes = F.lower(F.col("before_change").cast("string")).isin("1", "true", "t", "yes")
-    code = F.coalesce("code", F.lit(""))
+    code = F.col("code") if empty else F.coalesce("code", F.lit(""))
+    last = lambda side: F.max_by(F.when(side, code), F.when(side & code.isNotNull(), F.col("ord")))
     own = rows.groupBy("file_change_id", "name").agg(
-        F.max_by(F.when(yes, code), F.when(yes, F.col("ord"))).alias("vuln"),
-        F.max_by(F.when(~yes, code), F.when(~yes, F.col("ord"))).alias("fixed"),
+        last(yes).alias("vuln"),
+        last(~yes).alias("fixed"),
         *[F.min_by(c, F.struct("ord", "cve_id")).alias(a) for c, a in (("repo_url", "repo"), ("committer_date", "cdate"), ("cve_id", "cve"))],
         F.min("ord").alias("ord"),
     )
-    own = own.where((F.coalesce("vuln", F.lit("")) != "") & (F.coalesce("fixed", F.lit("")) != "") & (collapse_whitespace("vuln") != collapse_whitespace("fixed")))
+    sides = F.col("vuln").isNotNull() & F.col("fixed").isNotNull() if empty else (F.coalesce("vuln", F.lit("")) != "") & (F.coalesce("fixed", F.lit("")) != "")
+    own = own.where(sides & (collapse_whitespace("vuln") != collapse_whitespace("fixed")))
     cwe = first_weakness(classes)
     return own.join(cwe, own["cve"] == cwe["cve_id"], "left").select("vuln", "fixed", "repo", "cdate", "cve", F.coalesce("cwe", F.lit("")).alias("cwe"), "ord")
 
@@ -87,11 +93,14 @@ def write_counted(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str
     return spark.createDataFrame([(stage, int(o.get["n"])) for stage, o in counts.items()], "stage string, n long")
 
 
-def build(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str, near: float | None = None) -> dict[str, DataFrame]:
-    """The stages of the corpus by name: raw, after the hold-out, the temporal cut, the exact and the near dedup."""
+def build(raw: DataFrame, cves: DataFrame, repos: DataFrame, cutoff: str, near: float | None = None, key: Column | None = None) -> dict[str, DataFrame]:
+    """The stages of the corpus by name: raw, after the hold-out, the temporal cut, the exact and the near dedup.
+
+    The exact dedup is by collapsed texts (``pair_key``), or by another ``key``.
+    """
     held = hold_out(raw.withColumn("_repo", repo_key("repo")), "cve", "_repo", cves, repos).drop("_repo")
     cut = held.where(before(F.coalesce("cdate", F.lit("")), cutoff))
-    stages = {"raw": raw, "after_holdout": held, "after_temporal_cut": cut, "after_dedup": first_per_key(cut, pair_key("vuln", "fixed"), [F.col("ord")])}
+    stages = {"raw": raw, "after_holdout": held, "after_temporal_cut": cut, "after_dedup": first_per_key(cut, pair_key("vuln", "fixed") if key is None else key, [F.col("ord")])}
     if near is not None:
         stages["after_near_dedup"] = near_dedup(stages["after_dedup"], near)
     return stages
