@@ -60,3 +60,26 @@ def test_texts_of_pairs_count_as_they_are(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     cur = con.execute(catalogue.ORACLE[name])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([c[0] for c in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pairs_by_digests(spark, empty):
+    """The same pairs as with texts."""
+    import hashlib
+
+    from verigate.operators import corpus
+
+    codes = [("1", "a", 1), ("0", " a", 2), ("1", "x y", 3), ("1", None, 4), ("0", "", 5), ("1", "b", 6), ("0", "b\u00a0c", 7), ("1", "", 8), ("0", "d", 9), ("0", None, 10)]
+    of = {1: "f", 2: "f", 3: "g", 4: "g", 5: "g", 6: "h", 7: "h", 8: "i", 9: "i", 10: "i"}
+    tables = {
+        "methods": spark.createDataFrame([(of[o], "m", b, c, o) for b, c, o in codes], "file_change_id string, name string, before_change string, code string, ord int"),
+        "files": spark.createDataFrame([(f, "java", "c") for f in "fghi"], "file_change_id string, programming_language string, hash string"),
+        "commits": spark.createDataFrame([("c", "r", "")], "hash string, repo_url string, committer_date string"),
+        "fixes": spark.createDataFrame([("c", "CVE-1")], "hash string, cve_id string"),
+        "classes": spark.createDataFrame([("CVE-1", "CWE-1", 1)], "cve_id string, cwe_id string, ord int"),
+    }
+    texts, digests = corpus.pairs(**tables, empty=empty), corpus.pairs(**tables, empty=empty, digests=True)
+    own = sorted((r.vuln, r.fixed) for r in texts.collect())
+    assert own == ([("", "d"), ("b", "b\u00a0c"), ("x y", "")] if empty else [("b", "b\u00a0c")])
+    short = lambda t: t and hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.vuln, r.fixed) for r in digests.collect()) == sorted((short(a), short(b)) for a, b in own)

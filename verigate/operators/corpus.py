@@ -17,24 +17,35 @@ def first_weakness(classes: DataFrame) -> DataFrame:
     return classes.groupBy("cve_id").agg(F.min_by("cwe_id", "ord").alias("cwe"))
 
 
-def pairs(methods: DataFrame, files: DataFrame, commits: DataFrame, fixes: DataFrame, classes: DataFrame, language: str = "java", empty: bool = False) -> DataFrame:
+def _digest(text: Column) -> Column:
+    """SHA-256; an empty text stays empty, null stays null."""
+    return F.when(text == "", text).otherwise(F.sha2(text, 256))
+
+
+def pairs(methods: DataFrame, files: DataFrame, commits: DataFrame, fixes: DataFrame, classes: DataFrame, language: str = "java", empty: bool = False, digests: bool = False) -> DataFrame:
     """vuln, fixed, repo, cdate, cve, cwe and ord for each (file, method): the last code before and after, the first of the rest.
 
     A pair with an empty side is none, and code that is null is empty. With ``empty`` an empty side is a side like any
-    other, and null is no code: the last one that isn't null counts.
+    other, and null is no code: the last one that isn't null counts. With ``digests`` vuln and fixed are digests of the
+    texts, which then go into no join: enough to count by.
     """
+    code = F.col("code") if empty else F.coalesce("code", F.lit(""))
+    if digests:
+        methods = methods.select("file_change_id", "name", "before_change", "ord", _digest(code).alias("code"), _digest(collapse_whitespace(code)).alias("_flat"))
+    kept = F.struct("code", "_flat") if digests else F.struct(code.alias("code"))
     rows = methods.join(files, "file_change_id").where(F.lower("programming_language") == language).join(commits, "hash").join(fixes, "hash")
     yes = F.lower(F.col("before_change").cast("string")).isin("1", "true", "t", "yes")
-    code = F.col("code") if empty else F.coalesce("code", F.lit(""))
-    last = lambda side: F.max_by(F.when(side, code), F.when(side & code.isNotNull(), F.col("ord")))
+    last = lambda side: F.max_by(F.when(side, kept), F.when(side & code.isNotNull(), F.col("ord")))
     own = rows.groupBy("file_change_id", "name").agg(
-        last(yes).alias("vuln"),
-        last(~yes).alias("fixed"),
+        last(yes).alias("_vuln"),
+        last(~yes).alias("_fixed"),
         *[F.min_by(c, F.struct("ord", "cve_id")).alias(a) for c, a in (("repo_url", "repo"), ("committer_date", "cdate"), ("cve_id", "cve"))],
         F.min("ord").alias("ord"),
     )
+    own = own.withColumns({"vuln": F.col("_vuln.code"), "fixed": F.col("_fixed.code")})
+    flat = (lambda side: F.col(f"_{side}._flat")) if digests else collapse_whitespace
     sides = F.col("vuln").isNotNull() & F.col("fixed").isNotNull() if empty else (F.coalesce("vuln", F.lit("")) != "") & (F.coalesce("fixed", F.lit("")) != "")
-    own = own.where(sides & (collapse_whitespace("vuln") != collapse_whitespace("fixed")))
+    own = own.where(sides & (flat("vuln") != flat("fixed")))
     cwe = first_weakness(classes)
     return own.join(cwe, own["cve"] == cwe["cve_id"], "left").select("vuln", "fixed", "repo", "cdate", "cve", F.coalesce("cwe", F.lit("")).alias("cwe"), "ord")
 
